@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
+from lapidary.llm.mixing import mix_sources
 from lapidary.llm.packing import pack
 from lapidary.llm.repetition import repetition_rules
 
@@ -67,3 +68,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_repetition": op1_repetition, "op9_chat": op9_chat, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {"op9_chat": OP9_SQL}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op6_mixing"] = op6_mixing
