@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapidary.llm import linededup
 from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
 from lapidary.llm.mixing import mix_sources
 from lapidary.llm.packing import pack
@@ -75,3 +76,28 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_mixing"] = op6_mixing
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return linededup.dedup(docs, linededup.insert(linededup.empty_index(spark), docs), digest=True)
+
+
+OP7_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, parts[i] AS line FROM (
+    SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+owners AS (
+  SELECT k, min(doc_id) AS owner FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING min(doc_id) < max(doc_id)),
+marked AS (
+  SELECT doc_id, i, line, owner IS NOT NULL AND owner <> doc_id AS gone FROM keyed LEFT JOIN owners USING (k))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+QUERIES["op7_line_dedup"] = op7_line_dedup
+ORACLES["op7_line_dedup"] = OP7_SQL
