@@ -12,6 +12,7 @@ from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
 from lapidary.llm.mixing import mix_sources
 from lapidary.llm.packing import pack
 from lapidary.llm.repetition import repetition_rules
+from lapidary.llm.vptree import nearest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,3 +102,11 @@ FROM marked GROUP BY doc_id
 """
 QUERIES["op7_line_dedup"] = op7_line_dedup
 ORACLES["op7_line_dedup"] = OP7_SQL
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+QUERIES["op8_neighbours"] = op8_neighbours
