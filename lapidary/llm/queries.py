@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import linededup
+from lapidary.llm import linededup, quality
 from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
 from lapidary.llm.mixing import mix_sources
 from lapidary.llm.packing import pack
@@ -110,3 +110,14 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_neighbours"] = op8_neighbours
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = lambda doc_id: F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    model = quality.fit(quality.training_rows(docs, _table(spark, sf_dir, "labels"), held_out))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES["op2_quality"] = op2_quality
