@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import linededup, quality
+from lapidary.llm import linededup, lm, quality
 from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
 from lapidary.llm.mixing import mix_sources
 from lapidary.llm.packing import pack
@@ -114,10 +114,22 @@ QUERIES["op8_neighbours"] = op8_neighbours
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    held_out = lambda doc_id: F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    held_out = lambda doc_id: F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = quality.fit(quality.training_rows(docs, _table(spark, sf_dir, "labels"), held_out))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES["op2_quality"] = op2_quality
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # of the training rows, a ninth gives the held-out counts; it is chosen by the hundreds of the same number
+    fold = F.when(part % 10 == 0, lm.OUT).when(F.floor(part / 10) % 9 == 0, lm.DELETED).otherwise(lm.LEARN)
+    scored = lm.score_texts(_table(spark, sf_dir, "documents"), fold)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op3_lm"] = op3_lm
