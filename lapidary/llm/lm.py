@@ -24,16 +24,16 @@ ignored. Two n-grams are taken as one when their 64-bit hashes agree.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapidary.llm.store import shared_folder
 from lapidary.llm.text import Chunk, bounded_batches, chunks, mix
 
 ORDER = 2
@@ -50,15 +50,6 @@ _END, _BEGIN = _U(0x9A3F0C1D5E7B2468), _U(0x1B56C4E9D2F08A73)
 
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "/tmp/checkpoints"  # single machine: tests
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/lm-{uuid.uuid4().hex}"
-
-
 def _pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
@@ -267,7 +258,7 @@ def score_texts(docs: DataFrame, fold, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    folder, shards = shared_folder(spark), shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder, shards = shared_folder(spark, "lm"), shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(fold, F.lit(LEARN)).cast("int").alias("fold"))
     _blocks(docs, order, block_tokens).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")

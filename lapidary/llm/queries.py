@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import linededup, lm, quality
+from lapidary.llm import langid, linededup, lm, quality
 from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
 from lapidary.llm.mixing import mix_sources
 from lapidary.llm.packing import pack
@@ -133,3 +133,12 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_lm"] = op3_lm
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(_table(spark, sf_dir, "documents"))
+    found = langid.identify(langid.page_evidence(_table(spark, sf_dir, "pages"), model))
+    return found.select(F.col("id").alias("page_id"), "language", "posterior", "accepted", "declared", "host", "n_trigrams")
+
+
+QUERIES["op5_language"] = op5_language
