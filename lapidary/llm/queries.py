@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lapidary.llm import langid, linededup, lm, quality
 from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
 from lapidary.llm.mixing import mix_sources
+from lapidary.llm.ngramjoin import ngram_join
 from lapidary.llm.packing import pack
 from lapidary.llm.repetition import repetition_rules
 from lapidary.llm.vptree import nearest
@@ -142,3 +143,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_language"] = op5_language
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_ngram_join"] = op4_ngram_join
