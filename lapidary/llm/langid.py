@@ -155,57 +155,65 @@ def document_evidence(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id"
     return rows.mapInArrow(run, EVIDENCE)
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    return [F.exp(x - top) / sum((F.exp(y - top) for y in logs[1:]), F.exp(logs[0] - top)) for x in logs]
+def _softmax(logs: Column) -> Column:
+    top = F.array_max(logs)
+    total = F.aggregate(logs, F.lit(0.0), lambda n, x: n + F.exp(x - top))
+    return F.transform(logs, lambda x: F.exp(x - top) / total)
+
+
+def _sums(column: str, k: int) -> Column:
+    """The sum of each place of an array of k numbers."""
+    return F.array(*(F.sum(F.element_at(column, i + 1)) for i in range(k)))
 
 
 def fuse(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
     """One row for each row of evidence: id, language (null where rejected), best, posterior, accepted and the parts."""
-    evidence = evidence.withColumn("number", F.monotonically_increasing_id())
-    k = range(len(languages))
-    right, wrong = float(np.log(DECLARED)), float(np.log((1 - DECLARED) / max(len(languages) - 1, 1)))
-    known = F.col("declared").isin(*languages)
-    own = [F.col("logs")[i] + F.when(known, F.when(F.col("declared") == x, right).otherwise(wrong)).otherwise(0.0) for i, x in enumerate(languages)]
-    rows = evidence.withColumns({f"own{i}": x for i, x in enumerate(own)})
-    rows = rows.withColumns({f"q{i}": x for i, x in enumerate(_softmax([F.col(f"own{i}") for i in k]))})
-
-    mass = [F.sum(f"q{i}").alias(f"m{i}") for i in k]
-    again = [F.sum(f"m{i}").alias(f"m{i}") for i in k]
-    hosts = rows.where(F.col("host").isNotNull()).groupBy("host").agg(F.max("domain").alias("domain"), F.count("*").alias("n"), *mass)
-    domains = hosts.groupBy("domain").agg(F.sum("n").alias("domain_n"), *(F.sum(f"m{i}").alias(f"d{i}") for i in k)).where(F.col("domain").isNotNull())
-    suffixes = rows.groupBy("suffix").agg(F.count("*").alias("n"), *mass)
-    whole = F.broadcast(suffixes.agg(F.sum("n").alias("all_n"), *(F.sum(f"m{i}").alias(f"a{i}") for i in k)))  # one row
-    suffix_logs = suffixes.where(F.col("suffix").isNotNull()).join(whole).select("suffix", *(F.log((F.col(f"m{i}") + 1) / (F.col(f"a{i}") + 2) / ((F.col("n") + 1) / (F.col("all_n") + 2))).alias(f"s{i}") for i in k))
-    priors = hosts.join(domains, "domain", "left").select("host", F.col("n").alias("host_n"), *(F.col(f"m{i}").alias(f"h{i}") for i in k), F.coalesce("domain_n", F.lit(0)).alias("domain_n"), *(F.coalesce(f"d{i}", F.lit(0.0)).alias(f"d{i}") for i in k))
-
-    heavy = F.broadcast(priors.join(whole.select("all_n")).where(F.col("host_n") * HEAVY > F.col("all_n")).drop("all_n").withColumnsRenamed({c: f"heavy_{c}" for c in priors.columns}))  # fewer than HEAVY rows
-    rows = rows.join(heavy, rows["host"] == heavy["heavy_host"], "left")
-    spread = F.when(F.col("heavy_host").isNotNull() | F.col("host").isNull(), F.concat(F.lit("\0"), F.col("number").cast("string"))).otherwise(F.col("host"))
-    rows = rows.withColumn("join_host", spread).join(priors.withColumnRenamed("host", "join_host"), "join_host", "left")
-    rows = rows.withColumns({c: F.coalesce(F.col(f"heavy_{c}"), F.col(c), F.lit(0)) for c in priors.columns if c != "host"})
-    # suffixes are few beside rows; the same care as for hosts
-    rows = rows.join(whole)
-    short = F.broadcast(suffix_logs.join(suffixes.select(F.col("suffix"), F.col("n").alias("suffix_n")), "suffix").join(whole.select("all_n")).where(F.col("suffix_n") * HEAVY > F.col("all_n")).select(F.col("suffix").alias("short"), *(F.col(f"s{i}").alias(f"t{i}") for i in k)))
-    rows = rows.join(short, rows["suffix"] == short["short"], "left")
-    spread = F.when(F.col("short").isNotNull() | F.col("suffix").isNull(), F.concat(F.lit("\0"), F.col("number").cast("string"))).otherwise(F.col("suffix"))
-    rows = rows.withColumn("join_suffix", spread).join(suffix_logs.withColumnRenamed("suffix", "join_suffix"), "join_suffix", "left")
-
-    def prior(i: int) -> Column:
-        q, of = F.col(f"q{i}"), lambda c, n: (F.greatest(c - q, F.lit(0.0)), F.greatest(n - 1, F.lit(0)))  # noqa: E731  without the row itself
-        top = (F.col(f"a{i}") + 1) / (F.col("all_n") + len(languages))
-        c, n = of(F.col(f"d{i}"), F.col("domain_n"))
-        middle = F.when(F.col("domain_n") > 0, (c + SMOOTH * top) / (n + SMOOTH)).otherwise(top)
-        c, n = of(F.col(f"h{i}"), F.col("host_n"))
-        return F.when(F.col("host_n") > 0, (c + SMOOTH * middle) / (n + SMOOTH)).otherwise(middle)
-
-    total = [F.col(f"own{i}") + F.log(prior(i)) + F.coalesce(f"t{i}", f"s{i}", F.lit(0.0)) for i in k]
-    rows = rows.withColumns({f"total{i}": x for i, x in enumerate(total)})
-    rows = rows.withColumns({f"p{i}": x for i, x in enumerate(_softmax([F.col(f"total{i}") for i in k]))})
-    best = F.greatest(*(F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("i")) for i in k))
-    rows = rows.withColumn("top", best).withColumn("best", F.element_at(F.array(*map(F.lit, languages)), 1 - F.col("top.i")))
-    accepted = ((F.col("n_trigrams") > 0) | F.coalesce(F.col("declared").isin(*languages), F.lit(False))) & (F.col("top.p") >= min_posterior)
-    return rows.select("id", F.when(accepted, F.col("best")).alias("language"), "best", F.col("top.p").alias("posterior"), accepted.alias("accepted"), "declared", "host", "n_trigrams")
+    k = len(languages)
+    names = F.array(*map(F.lit, languages))
+    zeros = F.array(*[F.lit(0.0)] * k)
+    right, wrong = float(np.log(DECLARED)), float(np.log((1 - DECLARED) / max(k - 1, 1)))
+    known = F.coalesce(F.col("declared").isin(*languages), F.lit(False))
+    said = F.transform(names, lambda x: F.when(~known, 0.0).when(F.col("declared") == x, right).otherwise(wrong))
+    rows = evidence.withColumn("number", F.monotonically_increasing_id()).withColumn("own", F.zip_with("logs", said, lambda x, y: x + y))
+    rows = rows.withColumn("q", _softmax(F.col("own")))
+
+    hosts = rows.where(F.col("host").isNotNull()).groupBy("host").agg(F.max("domain").alias("domain"), F.count("*").alias("host_n"), _sums("q", k).alias("host_mass"))
+    domains = hosts.where(F.col("domain").isNotNull()).groupBy("domain").agg(F.sum("host_n").alias("domain_n"), _sums("host_mass", k).alias("domain_mass"))
+    priors = hosts.join(domains, "domain", "left").select("host", "host_n", "host_mass", "domain_n", "domain_mass")
+    suffixes = rows.groupBy("suffix").agg(F.count("*").alias("suffix_n"), _sums("q", k).alias("suffix_mass"))
+    whole = F.broadcast(suffixes.agg(F.sum("suffix_n").alias("all_n"), _sums("suffix_mass", k).alias("all_mass")))  # one row
+    rows = _attach(rows, "host", priors, "host_n", whole)
+    rows = _attach(rows, "suffix", suffixes.where(F.col("suffix").isNotNull()), "suffix_n", whole).join(whole)
+
+    def smoothed(mass: str, n: str, above: Column) -> Column:
+        """The others' mass, without the row's own, and ``SMOOTH`` rows like the level above."""
+        others = F.greatest(F.coalesce(n, F.lit(0)) - 1, F.lit(0))
+        sums = F.zip_with(F.coalesce(F.col(mass), F.col("q")), "q", lambda m, q: F.greatest(m - q, F.lit(0.0)))
+        return F.zip_with(sums, above, lambda m, p: (m + SMOOTH * p) / (others + SMOOTH))
+
+    rows = rows.withColumn("top", F.transform("all_mass", lambda m: (m + 1) / (F.col("all_n") + k)))
+    rows = rows.withColumn("middle", smoothed("domain_mass", "domain_n", F.col("top")))
+    rows = rows.withColumn("prior", smoothed("host_mass", "host_n", F.col("middle")))
+    # how much likelier the suffix is in a language than in all
+    share = (F.col("suffix_n") + 1) / (F.col("all_n") + 2)
+    suffix = F.when(F.col("suffix_n").isNull(), zeros).otherwise(F.zip_with("suffix_mass", "all_mass", lambda m, a: F.log((m + 1) / (a + 2) / share)))
+    rows = rows.withColumn("sum", F.zip_with(F.zip_with("own", "prior", lambda x, p: x + F.log(p)), suffix, lambda x, y: x + y))
+    rows = rows.withColumn("p", _softmax(F.col("sum"))).withColumn("posterior", F.array_max("p"))
+    rows = rows.withColumn("best", F.element_at(names, F.array_position("p", F.col("posterior")).cast("int")))
+    accepted = ((F.col("n_trigrams") > 0) | known) & (F.col("posterior") >= min_posterior)
+    return rows.select("id", F.when(accepted, F.col("best")).alias("language"), "best", "posterior", accepted.alias("accepted"), "declared", "host", "n_trigrams")
+
+
+def _attach(rows: DataFrame, key: str, table: DataFrame, count: str, whole: DataFrame) -> DataFrame:
+    """Left join on a key of which few values may hold most rows: those by broadcast, the rest by shuffle."""
+    heavy = table.join(whole.select("all_n")).where(F.col(count) * HEAVY > F.col("all_n"))
+    names = [c for c in table.columns if c != key]
+    heavy = F.broadcast(heavy.select(F.col(key).alias("_heavy"), *(F.col(c).alias(f"_{c}") for c in names)))  # fewer than HEAVY rows
+    rows = rows.join(heavy, rows[key] == heavy["_heavy"], "left")
+    # rows served, or without a key, take one of their own, so that they don't meet
+    own = F.when(F.col("_heavy").isNotNull() | F.col(key).isNull(), F.concat(F.lit("\0"), F.col("number").cast("string"))).otherwise(F.col(key))
+    rows = rows.withColumn("_key", own).join(table.withColumnRenamed(key, "_key").hint("merge"), "_key", "left")
+    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in names}).drop("_key", "_heavy", *(f"_{c}" for c in names))
 
 
 def identify(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
