@@ -1,6 +1,6 @@
 """Queries of the placement engine: name -> (spark, sf_dir) -> DataFrame, with the SQL that must give the same rows."""
 
-from lapidary.plans import designs
+from lapidary.plans import designs, distances
 
-QUERIES = designs.QUERIES
-ORACLES = designs.ORACLES
+QUERIES = designs.QUERIES | distances.query.queries
+ORACLES = designs.ORACLES | distances.query.oracles
