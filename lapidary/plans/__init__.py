@@ -1,6 +1,6 @@
 """Queries of the placement engine: name -> (spark, sf_dir) -> DataFrame, with the SQL that must give the same rows."""
 
-from lapidary.plans import colors, designs, distances
+from lapidary.plans import colors, designs, distances, records
 
-QUERIES = designs.QUERIES | distances.query.queries | colors.query.queries
-ORACLES = designs.ORACLES | distances.query.oracles | colors.query.oracles
+QUERIES = designs.QUERIES | distances.query.queries | colors.query.queries | records.query.queries
+ORACLES = designs.ORACLES | distances.query.oracles | colors.query.oracles | records.query.oracles
