@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.functions.numeric import quantile_inner, quantile_outer, rounded, sorted_values, upper_median
+from lapidary.operators import compose as C
 from lapidary.operators import design as D
+from lapidary.operators import qc as Q
 from lapidary.sources import tables as T
 
 QUERIES, ORACLES = {}, {}
@@ -205,3 +207,16 @@ def bom_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ORACLES["bom_csv"] = ORACLES["bom_csv"].replace("\n__csv__", _CSV)
+
+
+@query(None)
+def compose(spark: SparkSession, sf: str) -> DataFrame:
+    """What becomes of each layer's stones when layers are laid over each other."""
+    rows = C.layered(T.stones(spark, sf).select("design_id", "stone_id", "layer", "layer_rank", "x_mm", "y_mm", "phys_mm", "locked"))
+    return rows.groupBy("design_id", "layer", "fate").agg(F.count("*").alias("n"))
+
+
+@query(None)
+def qc_report(spark: SparkSession, sf: str) -> DataFrame:
+    context = {"catalog": T.catalog(spark, sf), "width": T.CANVAS, "height": T.CANVAS}
+    return Q.run(T.stones(spark, sf), context).select("design_id", "check_id", "level", "message", "n")

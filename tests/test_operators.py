@@ -164,3 +164,52 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("usage").collect())) == sorted(map(tuple, ledger.usage(df, "user_id", "event_type", "value").collect()))
+
+
+def test_layers_against_one_loop(spark):
+    from lapidary.operators import compose
+
+    rng = random.Random(9)
+    rows = [(0, i, rng.randrange(3), rng.uniform(0, 40), rng.uniform(0, 40), rng.choice([2.8, 4.0, 8.0]), rng.random() < 0.2) for i in range(120)]
+    kept, state = [], {}
+    for r in sorted(rows, key=lambda r: (-r[2], r[1])):
+        hits = [t for t in kept if t[2] != r[2] and ((r[3] - t[3]) ** 2 + (r[4] - t[4]) ** 2) ** 0.5 - (r[5] + t[5]) / 2 < 0]
+        if hits and not r[6]:
+            state[r[1]] = "collided"
+            continue
+        for t in hits:
+            if not t[6]:
+                kept.remove(t)
+                state[t[1]] = "removed"
+        kept.append(r)
+        state[r[1]] = "kept"
+    df = spark.createDataFrame(rows, "design_id int, stone_id long, layer_rank int, x_mm double, y_mm double, phys_mm double, locked boolean")
+    assert {r["stone_id"]: r["fate"] for r in compose.layered(df).collect()} == state
+
+
+def test_geometry(spark):
+    from lapidary.functions import geometry as G
+
+    point = "array<struct<x:double,y:double>>"
+    square, hole = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]
+    df = spark.createDataFrame([(3.0, 3.0, square, [hole]), (1.5, 1.5, square, [hole]), (5.0, 1.0, square, None)], f"x double, y double, p {point}, h array<{point}>")
+    got = df.select(G.inside_region(F.col("x"), F.col("y"), F.col("p"), F.col("h")), G.region_area(F.col("p"), F.col("h"))).collect()
+    assert [tuple(r) for r in got] == [(True, 15.0), (False, 15.0), (False, 16.0)]
+    runs = spark.createDataFrame([([2, 3, 1, 1, 2, 3],), ([0, 4],)], "r array<int>")
+    assert all(r["r"] == r["back"] for r in runs.select("r", G.encode_runs(G.decode_runs(F.col("r"))).alias("back")).collect())
+    names = spark.createDataFrame([("L10",), ("L9",), ("A2",)], "c string").orderBy(G.natural_key(F.col("c"))).collect()
+    assert [r["c"] for r in names] == ["A2", "L9", "L10"]
+
+
+def test_files(spark, tmp_path):
+    from lapidary.sources import files
+
+    (tmp_path / "sizes.csv").write_bytes("﻿physical_mm,reference_mm,status,rule,notes\n2.8,2,ok,,\n5,4.1,ok,,\n".encode())
+    sizes = files.read_csv(spark, str(tmp_path / "sizes.csv"), files.SIZE_MAP)
+    stones = spark.createDataFrame([(2.8,), (5.0,), (6.0,)], "phys_mm double")
+    assert [r["ref_mm"] for r in files.reference_size(stones, sizes).orderBy("phys_mm").collect()] == [2.0, 4.1, 5.2]
+    (tmp_path / "rules.json").write_text('{"max": 13, "note": "plain text"}')
+    assert {r["key"]: r["value"] for r in files.read_rules(spark, str(tmp_path / "rules.json")).collect()} == {"max": "13", "note": "plain text"}
+    docs = spark.createDataFrame([("other/1",)], "format string")
+    with pytest.raises(Exception, match="unknown format"):
+        files.checked(docs, "regions/1").collect()
