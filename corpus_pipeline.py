@@ -36,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that stand in an earlier one."""
-    kept = linededup.dedup(docs, linededup.insert(linededup.empty_index(spark), docs))
+    kept = linededup.dedup(docs, linededup.insert(linededup.empty_index(spark), docs), whole=True)
     sized = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return kept.withColumns(sized).select(*docs.columns)
 

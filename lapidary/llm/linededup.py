@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.llm.cuckoo import LOAD, SLOTS, CuckooFilter
+from lapidary.llm.store import shared_folder
 from lapidary.llm.text import SPACE, Chunk, bounded_batches, chunks
 
 MIN_CHARS = 10
@@ -187,14 +188,20 @@ def _counted(found: DataFrame) -> DataFrame:
     return found.where("first").groupBy("k1", "k2").agg(F.first("shard").alias("shard"), F.count("*").alias("refs"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-    """The index with these documents, whose ids it must not hold yet."""
-    found = postings(docs, index.shards, id_col, text_col)
+    """The index with these documents, whose ids it must not hold yet. Texts are read once."""
+    found = _kept(postings(docs, index.shards, id_col, text_col), "postings")
     # rows that repeat an id are one document
     counted = _counted(found).select("k1", "k2", "shard", F.when(F.col("owner") == F.col("last"), 1).otherwise(F.col("refs")).alias("refs"), "owner")
     old = index.filters.select("shard", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "refs", "owner")), "filter")
     rows = old.unionByName(counted.select("shard", F.lit(1).alias("kind"), "k1", "k2", "refs", "owner", F.lit(None).cast("binary").alias("filter")))
-    entries = _streamed(rows, ["shard"], ENTRY, _probe_and_insert)
+    entries = _kept(_streamed(rows, ["shard"], ENTRY, _probe_and_insert), "lines")
     keys = entries.where(F.col("filter").isNull()).select("k1", "k2", "shard", "refs", "owner", "known")
     new, known = keys.where(~F.col("known")).drop("known"), keys.where("known").drop("known")
     merged = index.refs.unionByName(known).groupBy("k1", "k2").agg(F.first("shard").alias("shard"), F.sum("refs").alias("refs"), F.min("owner").alias("owner"))
@@ -302,13 +309,15 @@ def _without(text: str | None, gone: list[int] | None) -> tuple[str, int]:
     return text or "", len(lines)
 
 
-def dedup(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, whole: bool = False) -> DataFrame:
     """The documents with their kept lines as text, and n_lines (before) and n_dropped.
 
+    ``whole`` says that the index holds just these documents, so that their lines needn't be found again.
     With ``digest`` the result is doc_id, n_lines, n_dropped and kept_sha256 instead, and no texts.
     """
     spark = docs.sparkSession
-    drops = dropped_lines(postings(docs, index.shards, id_col, text_col), index).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    lines = index.postings if whole else postings(docs, index.shards, id_col, text_col)
+    drops = dropped_lines(lines.select("doc", "k1", "k2", "line", "shard"), index).groupBy("doc").agg(F.collect_set("line").alias("gone"))
     others = [c for c in docs.columns if c != text_col] if not digest else [id_col]
     left = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_doc"), F.struct(*map(F.col, others)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     met = left.join(drops, left["_doc"] == drops["doc"], "left").select("_row", "_text", "gone")

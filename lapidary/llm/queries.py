@@ -82,7 +82,7 @@ QUERIES["op6_mixing"] = op6_mixing
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return linededup.dedup(docs, linededup.insert(linededup.empty_index(spark), docs), digest=True)
+    return linededup.dedup(docs, linededup.insert(linededup.empty_index(spark), docs), digest=True, whole=True)
 
 
 OP7_SQL = r"""
