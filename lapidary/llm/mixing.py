@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapidary.llm.store import shared_folder
+
 BUCKETS = 512
 BLOCK = 64
 SHARD_SLOTS = 8192
@@ -70,7 +72,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int =
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 17, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(documents, slots).
+    """(documents, slots). Writes one row a document, without its text, under spark.checkpoint.dir.
 
     Documents: doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted), key (of the
     row). Slots: the mix itself, as rows (shard, place, source, rank, block): output shard, place in it, and the block.
@@ -79,7 +81,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a name without nulls that sorts by code point, the null source last
     rows = docs.select(F.col(id_col).alias("doc_id"), F.when(named.isNull(), "1").otherwise(F.concat(F.lit("0"), named)).alias("source"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
-    rows = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    # sizes are counted once; what follows reads this small table
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "mixing")
+    rows.withColumn("bucket", F.pmod("key", F.lit(buckets))).write.parquet(path)
+    rows = spark.read.parquet(path)
 
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +97,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # slots come in runs of 4096, so that a large source's are made by many tasks
     span = 4096
-    runs = sources.where("slots > 0").select("source", "rank", "blocks", "slots", "slots_before", "all_slots", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(span).cast("long"))).alias("first")).repartition("rank", "first")
+    runs = sources.where("slots > 0").select("source", "rank", "blocks", "slots", "slots_before", "all_slots", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(span).cast("long"))).alias("first")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "first")
     slots = runs.select("*", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + span, F.col("slots")) - 1)).alias("t"))
     dealt = permuted(F.col("slots_before") + F.col("t"), F.col("all_slots"), F.lit(seed))
     chosen = permuted(F.pmod("t", F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("rank"), F.floor(F.col("t") / F.col("blocks")))
@@ -104,7 +109,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = rows.withColumn("inner_start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     known = parts.join(sources, "source").select("source", "bucket", "bucket_start", "rank", "source_size", "target")
     placed = placed.join(known, ["source", "bucket"]).select("doc_id", "source", "rank", "size", "source_size", "target", "key", (F.col("bucket_start") + F.col("inner_start")).alias("start"))
-    uses = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
+    uses = slots.groupBy("rank", "block").agg(F.count("*").alias("times")).hint("merge")  # its size is underestimated
     ends = placed.withColumn("stop", F.col("start") + F.col("size"))
     pieces = ends.where("size > 0").select("rank", "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))).alias("block"))
     words = F.least("stop", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
