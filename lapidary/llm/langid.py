@@ -10,16 +10,23 @@ The posterior of a language is, up to a constant, the product of
 * the host's prior: the posterior mass of the host's other pages by text and declaration, smoothed towards its domain's,
   that towards the whole collection's, each with ``SMOOTH`` pseudo-pages.
 
-A row is rejected when it has no trigram and no declaration, or when no language reaches ``MIN_POSTERIOR``.
+Besides the languages there is a class ``OTHER`` for what is none of them. Its text model gives all cells the same
+frequency, so a text whose trigrams are on average rarer in every language than in even noise falls to it; a declared
+language that is not among the languages counts for it as a declared one counts for its own; suffix and host count alike.
+
+A row is rejected when it has no trigram and no declaration, when ``OTHER`` is the likeliest class, or when no language
+reaches ``MIN_POSTERIOR``.
 
 Scale: texts are read by narrow maps and leave one vector of log-likelihoods a row, written to spark.checkpoint.dir. Hosts
 are aggregated with partial sums. Priors come back by host: hosts with over 1/``HEAVY`` of the rows, fewer than ``HEAVY`` of
 them, by broadcast, the others by a shuffled join in which heavy rows take a spread-out key. The driver gets the trigram
 table (languages x ``BUCKETS``) and nothing that grows with the rows.
 
-Results by definition: null or empty texts have no text evidence; null or unknown declarations and null addresses give no
-evidence; rows without a host share the collection's prior; equal rows are separate rows; an empty table gives no rows;
-without labelled documents all languages have equal text evidence; other columns are ignored.
+Results by definition: null or empty texts have no text evidence; declarations count by their first subtag (``en-US`` is
+``en``); null declarations, those that are no code of two or three letters and ``und``, ``mul`` and ``mis`` give no evidence,
+nor do null addresses; rows without a host share the collection's prior; equal rows are separate rows; an empty table gives no rows;
+without labelled documents all classes have equal text evidence; other columns are ignored. A text that is labelled with a
+wrong language trains that language too, which shows where a language has few more trigrams than the text.
 """
 
 from __future__ import annotations
@@ -38,6 +45,10 @@ from lapidary.llm.store import shared_folder
 from lapidary.llm.text import Chunk, bounded_batches, chunks
 
 LANGUAGES = ("de", "en", "es", "fr")
+OTHER = "other"
+#: Codes of three letters for languages that have one of two, and codes that name no language.
+LONG_CODES = {"deu": "de", "ger": "de", "eng": "en", "spa": "es", "fra": "fr", "fre": "fr"}
+NO_LANGUAGE = ("und", "mul", "mis")
 BUCKETS = 1 << 14
 TEXT_WEIGHT = 40.0
 DECLARED = 0.9
@@ -87,6 +98,7 @@ def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text_col: str
 
 
 _DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head|nav)\b.*?</\1\s*>|<[^>]*>")
+_CODE = re.compile(r"([a-z]{2,3})(?![^-_])")
 _LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""")
 
 
@@ -110,18 +122,27 @@ def read_address(url: str | None) -> tuple[str | None, str | None, str | None]:
     return host, ".".join(labels[-2:]), labels[-1]
 
 
-EVIDENCE = "id long, host string, domain string, suffix string, declared string, n_trigrams long, logs array<double>"
-_EVIDENCE = pa.schema([("id", pa.int64()), ("host", pa.string()), ("domain", pa.string()), ("suffix", pa.string()), ("declared", pa.string()), ("n_trigrams", pa.int64()), ("logs", pa.list_(pa.float64()))])
+def declared_code(declared: str | None) -> str | None:
+    """The language code that a declaration names, null where it is no evidence."""
+    found = _CODE.match(declared.strip().lower()) if declared else None
+    code = LONG_CODES.get(found[1], found[1]) if found else None
+    return None if code in NO_LANGUAGE else code
+
+
+EVIDENCE = "id long, key long, host string, domain string, suffix string, declared string, code string, n_trigrams long, logs array<double>"
+_EVIDENCE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("host", pa.string()), ("domain", pa.string()), ("suffix", pa.string()), ("declared", pa.string()), ("code", pa.string()), ("n_trigrams", pa.int64()), ("logs", pa.list_(pa.float64()))])
 
 
 def _rated(chunk: Chunk, model: np.ndarray, columns: list) -> pa.RecordBatch:
     cell, doc = trigrams(chunk)
     n = np.bincount(doc, minlength=len(chunk))
-    logs = np.stack([np.bincount(doc, row[cell], minlength=len(chunk)) for row in model], axis=1)
+    # the last class, OTHER, has all cells alike
+    logs = np.stack([*(np.bincount(doc, row[cell], minlength=len(chunk)) for row in model), n * -np.log(BUCKETS)], axis=1)
     logs -= logs.max(axis=1, keepdims=True)
     logs *= np.minimum(1.0, TEXT_WEIGHT / np.maximum(n, 1))[:, None]
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * len(model), pa.int32()), pa.array(logs.ravel()))
-    return pa.RecordBatch.from_arrays([chunk.rows.column("id"), *columns, pa.array(n.astype(np.int64)), lists], schema=_EVIDENCE)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * logs.shape[1], pa.int32()), pa.array(logs.ravel()))
+    codes = pa.array([declared_code(x) for x in columns[-1].to_pylist()], pa.string())
+    return pa.RecordBatch.from_arrays([chunk.rows.column("id"), *columns, codes, pa.array(n.astype(np.int64)), lists], schema=_EVIDENCE)
 
 
 def page_evidence(pages: DataFrame, model: np.ndarray, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -137,20 +158,27 @@ def page_evidence(pages: DataFrame, model: np.ndarray, id_col: str = "page_id",
                 names=["id", "text", "host", "domain", "suffix", "declared"],
             )
             for chunk in chunks(iter([table])):
-                yield _rated(chunk, model, [chunk.rows.column(c) for c in ("host", "domain", "suffix", "declared")])
+                yield _rated(chunk, model, [pa.nulls(len(chunk), pa.int64()), *(chunk.rows.column(c) for c in ("host", "domain", "suffix", "declared"))])
 
     return rows.mapInArrow(run, EVIDENCE)
 
 
+def row_key(text: Column, lang: Column, host: Column) -> Column:
+    """A hash of all that a document's verdict depends on, so that rows that share an id are told apart."""
+    parts = [c.cast("string") for c in (text, lang, host)]
+    # xxhash64 passes over nulls
+    return F.xxhash64(*(x for c in parts for x in (c, c.isNull())))
+
+
 def document_evidence(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source") -> DataFrame:
     """As for pages, for plain texts: a column declares the language, another one names the host."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), F.lower(F.col(lang_col).cast("string")).alias("declared"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(host_col).cast("string").alias("host"), F.lower(F.col(lang_col).cast("string")).alias("declared"), row_key(F.col(text_col), F.col(lang_col), F.col(host_col)).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             none = pa.nulls(len(chunk), pa.string())
-            yield _rated(chunk, model, [chunk.rows.column("host"), none, none, chunk.rows.column("declared")])
+            yield _rated(chunk, model, [chunk.rows.column("key"), chunk.rows.column("host"), none, none, chunk.rows.column("declared")])
 
     return rows.mapInArrow(run, EVIDENCE)
 
@@ -167,13 +195,13 @@ def _sums(column: str, k: int) -> Column:
 
 
 def fuse(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """One row for each row of evidence: id, language (null where rejected), best, posterior, accepted and the parts."""
-    k = len(languages)
-    names = F.array(*map(F.lit, languages))
+    """One row for each row of evidence: id, language (null where rejected), best (``OTHER`` is one), its posterior, accepted and the parts."""
+    names = F.array(*map(F.lit, (*languages, OTHER)))
+    k = len(languages) + 1
     zeros = F.array(*[F.lit(0.0)] * k)
     right, wrong = float(np.log(DECLARED)), float(np.log((1 - DECLARED) / max(k - 1, 1)))
-    known = F.coalesce(F.col("declared").isin(*languages), F.lit(False))
-    said = F.transform(names, lambda x: F.when(~known, 0.0).when(F.col("declared") == x, right).otherwise(wrong))
+    known, spoken = F.col("code").isNotNull(), F.col("code").isin(*languages)
+    said = F.transform(names, lambda x: F.when(~known, 0.0).when(F.when(spoken, F.col("code")).otherwise(OTHER) == x, right).otherwise(wrong))
     rows = evidence.withColumn("number", F.monotonically_increasing_id()).withColumn("own", F.zip_with("logs", said, lambda x, y: x + y))
     rows = rows.withColumn("q", _softmax(F.col("own")))
 
@@ -200,8 +228,8 @@ def fuse(evidence: DataFrame, languages: tuple[str, ...] = LANGUAGES, min_poster
     rows = rows.withColumn("sum", F.zip_with(F.zip_with("own", "prior", lambda x, p: x + F.log(p)), suffix, lambda x, y: x + y))
     rows = rows.withColumn("p", _softmax(F.col("sum"))).withColumn("posterior", F.array_max("p"))
     rows = rows.withColumn("best", F.element_at(names, F.array_position("p", F.col("posterior")).cast("int")))
-    accepted = ((F.col("n_trigrams") > 0) | known) & (F.col("posterior") >= min_posterior)
-    return rows.select("id", F.when(accepted, F.col("best")).alias("language"), "best", "posterior", accepted.alias("accepted"), "declared", "host", "n_trigrams")
+    accepted = ((F.col("n_trigrams") > 0) | known) & (F.col("best") != OTHER) & (F.col("posterior") >= min_posterior)
+    return rows.select("id", F.when(accepted, F.col("best")).alias("language"), "best", "posterior", accepted.alias("accepted"), "declared", "host", "n_trigrams", "key")
 
 
 def _attach(rows: DataFrame, key: str, table: DataFrame, count: str, whole: DataFrame) -> DataFrame:

@@ -58,3 +58,12 @@ def test_stages(spark):
     before, after = seen["packing"]
     tokens = {y["doc_id"]: y["doc_tokens"] for y in after}
     assert sum(y["length"] for y in after) == sum(tokens[x["doc_id"]] for x in before)
+
+
+def test_language_stage_rejects_other_languages(spark):
+    r = random.Random(7)
+    bank = {"en": "the and house of time with over is a nice".split(), "fr": "le la maison temps avec sur est une très belle".split()}
+    rows = [(i, " ".join(r.choice(bank[x]) for _ in range(40)), x, f"src{i % 4}") for i, x in enumerate(["en", "fr"] * 60)]
+    rows += [(500, "Город был спокоен в то утро, и мальчики шли в школу", "ru", "src1"), (501, "asdf qwer zxcv hjkl uiop bnmq wert sdfg xcvb", None, "src2"), (502, "那天早上城市很安静，男孩们背着装满书的书包去上学", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {x["doc_id"] for x in corpus_pipeline.language(spark, docs, "").collect()} == set(range(120))

@@ -193,3 +193,26 @@ def test_language(spark, docs, empty):
     assert not found[900]["accepted"] and not found[901]["accepted"] and len(found) == len(pages)
     assert langid.fuse(langid.document_evidence(docs, model)).count() == docs.count()
     assert langid.fuse(langid.document_evidence(empty, langid.train(empty))).count() == 0
+
+
+FOREIGN = [
+    "Город был спокоен в то утро, и мальчики шли в школу с рюкзаками, полными книг.", "那天早上城市很安静，男孩们背着装满书的书包去上学。", "ذهب الأولاد إلى المدرسة في الصباح",
+    "Miasto było spokojne tego ranka i chłopcy szli do szkoły z plecakami", "asdf qwer zxcv hjkl uiop bnmq wert sdfg xcvb fghj rtyu vbnm kjhg poiu", "xqzt vkwpj grrk bzzt qwkx plmf dsgh jkvq wxzp",
+]
+
+
+def test_language_of_none(spark):
+    """A fifth language, a script of its own and letter gibberish are rejected, whatever is declared; a declared other language alone too."""
+    speech = {"de": "der die und nicht zeit haus über schön ist ein", "en": "the and house of time with over is a nice", "es": "el la casa tiempo con sobre es una bonita muy", "fr": "le la maison temps avec sur est une très belle"}
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(speech[x].split()) for _ in range(30)), x) for i, x in enumerate(list(speech) * 40)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pages = [(i, f"http://h{i % 7}.net/", f"<html><p>{t}</p>") for i, t, _ in rows]
+    pages += [(1000 + 10 * i + j, f"http://h{i}.net/", f"<html{x}><p>{t}</p>") for i, t in enumerate(FOREIGN) for j, x in enumerate(["", " lang=ru", " lang='en'"])]
+    pages += [(2000, "http://h1.net/", "<html lang=ru><p>12</p>"), (2001, "http://h1.net/", "<html lang='en-GB'><p>12</p>")]
+    found = {x["id"]: x for x in langid.identify(langid.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string"), model)).collect()}
+    assert [i for i in found if 1000 <= i <= 2000 and found[i]["accepted"]] == []
+    assert all(found[i]["language"] is None and found[i]["best"] == langid.OTHER for i in found if 1000 <= i <= 2000)
+    assert all(found[i]["language"] == x for i, _, x in rows) and found[2001]["language"] == "en"
+    docs = spark.createDataFrame([(0, None, "en-US"), (1, None, "eng"), (2, None, "it"), (3, None, "und"), (4, rows[0][1], "it")], "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
+    assert {x["id"]: x["language"] for x in langid.identify(langid.document_evidence(docs, model)).collect()} == {0: "en", 1: "en", 2: None, 3: None, 4: "de"}
