@@ -6,6 +6,7 @@ choices are aggregates over it, the driver's loops running over codes chosen, ne
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from lapidary.functions import color
 
 UNCOVERED = 1000.0
 SHRINK, SHRINK_PER_MM, CROSS = 20.0, 2.0, 12.0
+DOWN = 25.0
+MAX_CODES = 11
 _DE = color.de2000_steps("p", "q")
 
 
@@ -84,54 +87,107 @@ def greedy(costs: DataFrame, records: DataFrame, most: int, fixed: tuple[int, ..
 def swapped(costs: DataFrame, records: DataFrame, codes: list[int], fixed: tuple[int, ...] = (), passes: int = 6, uncovered: float = UNCOVERED) -> list[int]:
     """Improve a set by exchanging one code for another while the total falls.
 
-    All exchanges of a pass are valued by one aggregate: without code a, a record pays its best or, where a was its best, its
-    second best; with code j beside, the lesser of that and j's cost.
+    A pass goes over the places of the set; each place takes the code that lowers the total most, if one does, before the
+    next is looked at. Passes end when one changes nothing, or after ``passes``.
+
+    All exchanges of a set are valued by one aggregate over the cost table: without code a, a record pays its best or, where
+    a was its best, its second best; with code j beside, the lesser of that and j's cost. So what j saves in a's place is
+    what it saves beside the whole set, and something more from the records whose best is a.
     """
     weights = records.select("target_id", "weight")
-    costs = costs.select("target_id", "code_id", "cost").join(weights, "target_id").cache()
+    costs = costs.select("target_id", "code_id", F.least("cost", F.lit(uncovered)).alias("cost")).join(weights, "target_id").cache()
     codes = list(codes)
-    for _ in range(passes):
+
+    def exchanges() -> dict[int, tuple[float, int]]:
+        """For each code that may go the largest gain and the code (ties: the smallest) that brings it."""
         order = Window.partitionBy("target_id").orderBy("cost", "code_id")
         top = costs.where(F.col("code_id").isin(codes)).withColumn("k", F.row_number().over(order)).where("k <= 2")
-        two = weights.join(top.groupBy("target_id").agg(F.max(F.when(F.col("k") == 1, F.col("code_id"))).alias("best"), F.max(F.when(F.col("k") == 1, F.col("cost"))).alias("c1"), F.max(F.when(F.col("k") == 2, F.col("cost"))).alias("c2")), "target_id", "left")
-        two = two.select("target_id", "weight", "best", F.coalesce("c1", F.lit(uncovered)).alias("c1"), F.coalesce("c2", F.lit(uncovered)).alias("c2"))
-        out = [c for c in codes if c not in fixed]
-        without = two.withColumn("out", F.explode(F.array(*map(F.lit, out)))).withColumn("rest", F.when(F.col("best") == F.col("out"), F.col("c2")).otherwise(F.col("c1")))
-        loss = without.groupBy("out").agg(F.sum((F.col("rest") - F.col("c1")) * F.col("weight")).alias("loss"))
-        saved = without.select("target_id", "out", "rest").join(costs.where(~F.col("code_id").isin(codes)), "target_id").groupBy("out", "code_id").agg(F.sum(F.greatest(F.col("rest") - F.col("cost"), F.lit(0.0)) * F.col("weight")).alias("saved"))
-        best = saved.join(loss, "out").select("out", "code_id", (F.col("saved") - F.col("loss")).alias("gain")).orderBy(F.desc("gain"), "out", "code_id").limit(1).collect()
-        if not best or best[0]["gain"] <= 1e-6:
+        top = top.groupBy("target_id").agg(F.max(F.when(F.col("k") == 1, F.col("code_id"))).alias("best"), F.max(F.when(F.col("k") == 1, F.col("cost"))).alias("c1"), F.max(F.when(F.col("k") == 2, F.col("cost"))).alias("c2"))
+        two = weights.join(top, "target_id", "left").select("target_id", "weight", "best", F.coalesce("c1", F.lit(uncovered)).alias("c1"), F.coalesce("c2", F.lit(uncovered)).alias("c2"))
+        loss = {r["best"]: r["loss"] for r in two.where("best is not null").groupBy("best").agg(F.sum((F.col("c2") - F.col("c1")) * F.col("weight")).alias("loss")).collect()}
+        rows = costs.where(~F.col("code_id").isin(codes)).drop("weight").join(two, "target_id")
+        saves = lambda c: F.greatest(F.col(c) - F.col("cost"), F.lit(0.0)) * F.col("weight")
+        out = [i for i, c in enumerate(codes) if c not in fixed]
+        more = [F.coalesce(F.sum(F.when(F.col("best") == codes[i], saves("c2") - saves("c1"))), F.lit(0.0)).alias(f"more_{i}") for i in out]
+        valued = rows.groupBy("code_id").agg(F.sum(saves("c1")).alias("saved"), *more)
+        most = valued.agg(F.count("*").alias("n"), *(F.max(F.struct((F.col("saved") + F.col(f"more_{i}")).alias("gain"), (-F.col("code_id")).alias("code"))).alias(f"best_{i}") for i in out)).first()
+        return {i: (most[f"best_{i}"]["gain"] - loss.get(codes[i], 0.0), -most[f"best_{i}"]["code"]) for i in out} if most["n"] else {}
+
+    gains = exchanges()
+    for _ in range(passes):
+        moved = False
+        for i in range(len(codes)):
+            if i in gains and gains[i][0] > 1e-6:
+                codes[i] = gains[i][1]
+                gains, moved = exchanges(), True
+        if not moved:
             break
-        codes[codes.index(best[0]["out"])] = best[0]["code_id"]
     costs.unpersist()
     return codes
 
 
-def merge(costs: DataFrame, records: DataFrame, most: int, lock: tuple[int, ...] = ()) -> tuple[list[int], list[tuple[int, int, float]]]:
+def merge(costs: DataFrame, records: DataFrame, most: int, lock: tuple[int, ...] = (), catalog: DataFrame | None = None, penalty: float = DOWN) -> tuple[list[int], list[tuple[int, int, float]]]:
     """Start with each record's cheapest code and merge the pair of codes (a into b) that costs least until ``most`` are left.
 
-    A merge costs the records of a their squared difference to b less that to a. Returns codes and the history.
+    A merge costs the records of a their squared difference to b less that to the code they have now. The difference is
+    ``de`` where the costs have it, else the cost. With a catalogue (code_id, kind, shape, phys_mm) records start with the
+    cheapest code marked ``same``, if they have one, a merges into codes of its kind (pearl or not) and shape that are no
+    larger, a smaller b costs ``penalty`` squared for each stone, and the price grows with the square of a's size. Locked
+    codes are never merged into others. Returns codes and the history.
+
+    A price is made of sums over a code's records, and these add up as codes merge. So one aggregate gives all that the
+    merges need: for each two codes of the start (a part of the catalogue) the sum of the squared differences.
     """
-    spark = costs.sparkSession
-    costs = costs.select("target_id", "code_id", "cost").join(records.select("target_id", "weight"), "target_id").cache()
-    home = cheapest(costs, ["target_id"]).select("target_id", F.col("code_id").alias("home")).cache()
-    now = {r["home"]: r["home"] for r in home.select("home").distinct().collect()}
+    measure = "de" if "de" in costs.columns else "cost"
+    rank = F.when(F.col("same"), 0).otherwise(1) if "same" in costs.columns else F.lit(0)
+    costs = costs.select("target_id", "code_id", "cost", F.col(measure).alias("de"), rank.alias("rank")).join(records.select("target_id", "weight"), "target_id").cache()
+    home = costs.groupBy("target_id").agg(F.min(F.struct("rank", "cost", "code_id")).alias("_b")).select("target_id", F.col("_b.code_id").alias("home")).cache()
+    used = home.select(F.col("home").alias("code_id")).distinct()
+    pairs = home.join(costs.join(used, "code_id", "left_semi"), "target_id").groupBy("home", "code_id").agg(F.count("*").alias("can"), F.sum(F.col("de") * F.col("de") * F.col("weight")).alias("squares"))
+    pairs = pairs.toPandas()
+    sizes = home.join(records.select("target_id", "weight"), "target_id").groupBy("home").agg(F.count("*").alias("n"), F.sum("weight").alias("stones")).toPandas()
+    codes = np.sort(sizes["home"].to_numpy())
+    squares, can = np.zeros((len(codes), len(codes))), np.zeros((len(codes), len(codes)), np.int64)
+    at = (np.searchsorted(codes, pairs["home"]), np.searchsorted(codes, pairs["code_id"]))
+    squares[at], can[at] = pairs["squares"], pairs["can"]
+    place = np.searchsorted(codes, sizes["home"])
+    n, stones = np.zeros(len(codes), np.int64), np.zeros(len(codes))
+    n[place], stones[place] = sizes["n"], sizes["stones"]
+    factor, down = np.ones(len(codes)), np.zeros((len(codes), len(codes)))
+    fits = ~np.eye(len(codes), dtype=bool)
+    if catalog is not None and len(codes):
+        known = catalog.join(used, "code_id", "left_semi").select("code_id", (F.col("kind") == "pearl").alias("pearl"), "shape", "phys_mm").toPandas().set_index("code_id").loc[codes]
+        pearl, shape, mm = (known[c].to_numpy() for c in ("pearl", "shape", "phys_mm"))
+        mm = mm.astype(float)
+        fits &= (pearl[:, None] == pearl[None]) & (shape[:, None] == shape[None]) & (mm[None] <= mm[:, None] + 1e-6)
+        down = np.where(mm[None] < mm[:, None] - 1e-6, penalty**2, 0.0)
+        factor = (mm / 2.8) ** 2
+    fits[np.isin(codes, lock)] = False
+    live = np.ones(len(codes), bool)
+
+    def row(a: int) -> np.ndarray:
+        """Prices of merging code a into each other one."""
+        price = factor[a] * (squares[a] - squares[a, a] + down[a] * stones[a])
+        return np.where(fits[a] & live & (can[a] == n[a]), price, np.inf)
+
+    prices = np.stack([row(a) for a in range(len(codes))]) if len(codes) else np.zeros((0, 0))
+    # the cheapest of each row, so that a merge looks anew only at the rows that it concerns
+    least = prices.argmin(axis=1) if len(codes) else np.zeros(0, np.int64)
     history = []
-    while len(set(now.values())) > most:
-        moved = spark.createDataFrame(list(now.items()), "home long, at long")
-        placed = home.join(F.broadcast(moved), "home").select("target_id", "at")
-        live = list(set(now.values()))
-        here = costs.select("target_id", F.col("code_id").alias("at"), F.col("cost").alias("paid"))
-        rows = placed.join(here, ["target_id", "at"]).join(costs.where(F.col("code_id").isin(live)), "target_id").where("at <> code_id")
-        sizes = placed.groupBy("at").agg(F.count("*").alias("n"))
-        pairs = rows.groupBy("at", "code_id").agg(F.count("*").alias("can"), F.sum((F.col("cost") * F.col("cost") - F.col("paid") * F.col("paid")) * F.col("weight")).alias("price"))
-        pairs = pairs.join(sizes, "at").where(F.col("can") == F.col("n")).where(~F.col("at").isin([-1, *lock]))
-        best = pairs.orderBy("price", "at", "code_id").limit(1).collect()
-        if not best:
+    while live.sum() > most:
+        a = int(prices[np.arange(len(codes)), least].argmin())
+        b = int(least[a])
+        if not np.isfinite(prices[a, b]):
             break
-        a, b, price = best[0]["at"], best[0]["code_id"], best[0]["price"]
-        now = {k: b if v == a else v for k, v in now.items()}
-        history.append((a, b, price))
+        history.append((int(codes[a]), int(codes[b]), float(prices[a, b])))
+        live[a] = False
+        squares[b] += squares[a]
+        can[b] += can[a]
+        n[b] += n[a]
+        stones[b] += stones[a]
+        prices[a], prices[:, a], prices[b] = np.inf, np.inf, row(b)
+        stale = np.flatnonzero((least == a) | (np.arange(len(codes)) == b))
+        least[stale] = prices[stale].argmin(axis=1)
     costs.unpersist()
     home.unpersist()
-    return sorted(set(now.values())), history
+    return [int(c) for c in codes[live]], history

@@ -71,23 +71,23 @@ def palette_eval(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def palette_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    found = P.greedy(_costs(spark, sf), T.targets(spark, sf), 6)
+    found = P.greedy(_costs(spark, sf), T.targets(spark, sf), P.MAX_CODES)
     return spark.createDataFrame([(i + 1, c, float(g)) for i, (c, g) in enumerate(found)], "place int, code_id long, gain double")
 
 
 @query()
 def palette_swaps(spark: SparkSession, sf: str) -> DataFrame:
     costs, targets = _costs(spark, sf), T.targets(spark, sf)
-    codes = P.swapped(costs, targets, [c for c, _ in P.greedy(costs, targets, 4)], passes=3)
+    codes = P.swapped(costs, targets, [c for c, _ in P.greedy(costs, targets, P.MAX_CODES)])
     return spark.createDataFrame([(c,) for c in sorted(codes)], "code_id long")
 
 
 @query()
 def palette_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Cheapest merges, from each target's best code down to all but five."""
-    costs, targets = _costs(spark, sf), T.targets(spark, sf)
-    start = P.cheapest(costs, ["target_id"]).select("code_id").distinct().count()
-    _, history = P.merge(costs, targets, max(1, start - 5))
+    """Cheapest merges, from each target's best code, of its own size where there is one, down to eleven codes."""
+    pairs = P.paired(T.targets(spark, sf), T.catalog(spark, sf), P.allowed())
+    same = (F.col("kind") != "pearl") & (F.abs(F.col("want_mm") - F.col("code_mm")) <= 1e-6)
+    _, history = P.merge(pairs.select("target_id", "code_id", "de", same.alias("same"), P.stone_cost().alias("cost")), T.targets(spark, sf), P.MAX_CODES, catalog=T.catalog(spark, sf))
     return spark.createDataFrame([(i + 1, a, b, float(p)) for i, (a, b, p) in enumerate(history)], "step int, from_code long, to_code long, price double")
 
 

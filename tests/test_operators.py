@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 
 import numpy as np
@@ -213,3 +214,63 @@ def test_files(spark, tmp_path):
     docs = spark.createDataFrame([("other/1",)], "format string")
     with pytest.raises(Exception, match="unknown format"):
         files.checked(docs, "regions/1").collect()
+
+
+def test_merge_by_the_reference_rules(spark):
+    """Against a plain form of the rules: kind, shape and size bound a merge, smaller codes cost more, rounds go on to the end."""
+    rng = np.random.default_rng(11)
+    codes = [(j, "pearl" if j % 4 == 0 else "stone", "heart" if j % 5 == 1 else "round", [2.8, 4.0, 6.0][j % 3]) for j in range(30)]
+    rows, same = {}, {}
+    for t in range(80):
+        want = [2.8, 4.0, 6.0][t % 3]
+        for j, kind, _, mm in codes:
+            if mm <= want:
+                rows[t, j], same[t, j] = float(rng.uniform(1, 40)), kind != "pearl" and mm == want
+    weight = {t: int(rng.integers(1, 5)) for t in range(80)}
+    cost = lambda t, j: rows[t, j] + (0 if same[t, j] else 20.0)
+    at = {t: min((not same[t, j], cost(t, j), j) for u, j in rows if u == t)[2] for t in range(80)}
+    start, want = len(set(at.values())), []
+    while len(set(at.values())) > 6:
+        found = []
+        for a in set(at.values()):
+            for b in set(at.values()) - {a}:
+                (_, ka, sa, ma), (_, kb, sb, mb) = codes[a], codes[b]
+                if ka == kb and sa == sb and mb <= ma:
+                    own = [t for t in at if at[t] == a]
+                    found.append(((ma / 2.8) ** 2 * sum(weight[t] * (rows[t, b] ** 2 - rows[t, a] ** 2 + (625 if mb < ma else 0)) for t in own), a, b))
+        if not found:
+            break
+        price, a, b = min(found)
+        at = {t: b if j == a else j for t, j in at.items()}
+        want.append((a, b, price))
+    table = spark.createDataFrame([(t, j, cost(t, j), d, same[t, j]) for (t, j), d in rows.items()], "target_id long, code_id long, cost double, de double, same boolean")
+    records = spark.createDataFrame(list(weight.items()), "target_id long, weight long")
+    catalog = spark.createDataFrame(codes, "code_id long, kind string, shape string, phys_mm double")
+    left, history = palette.merge(table, records, 6, catalog=catalog)
+    assert start - len(want) < start - 5 and left == sorted(set(at.values()))
+    assert [h[:2] for h in history] == [h[:2] for h in want] and [h[2] for h in history] == pytest.approx([h[2] for h in want])
+
+
+def test_swaps_pass_over_all_places(spark):
+    rng = np.random.default_rng(12)
+    rows = {(t, j): float(rng.uniform(0, 100)) for t in range(60) for j in range(25)}
+    total = lambda chosen: sum(min(rows[t, j] for j in chosen) for t in range(60))
+    want = list(range(11))
+    for a in range(11):  # one pass
+        best = min((j for j in range(25) if j not in want), key=lambda j: total([*want[:a], j, *want[a + 1 :]]))
+        if total([*want[:a], best, *want[a + 1 :]]) < total(want) - 1e-6:
+            want[a] = best
+    table = spark.createDataFrame([(t, j, c) for (t, j), c in rows.items()], "target_id long, code_id long, cost double")
+    records = spark.createDataFrame([(t, 1) for t in range(60)], "target_id long, weight long")
+    assert palette.swapped(table, records, list(range(11)), passes=1) == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_palette_queries_do_the_whole_job(spark):
+    from lapidary import plans
+
+    small, large = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+    assert plans.QUERIES["palette_greedy"](spark, small).count() == 11
+    assert plans.QUERIES["palette_swaps"](spark, small).count() == 11
+    merged = {x["from_code"] for x in plans.QUERIES["palette_merge"](spark, large).collect()}
+    assert len(merged) > 11  # a hundred targets, most with a code of their own
