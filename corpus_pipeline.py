@@ -6,32 +6,38 @@ null or repeated ids, empty and null texts pass through as the stages' operators
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.llm import langid, linededup
 from lapidary.llm.mixing import mix_sources
-from lapidary.llm.ngramjoin import ngram_join
+from lapidary.llm.ngramjoin import ngram_join, text_key
 from lapidary.llm.packing import pack
 from lapidary.llm.store import shared_folder
 
-#: Ids up to this many (16 MB) may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Row keys up to this many (16 MB) may be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id is not among ``gone`` (doc_id); null ids stay."""
-    gone = gone.where(F.col("doc_id").isNotNull()).distinct()
-    path = shared_folder(docs.sparkSession, "gone")
-    gone.write.parquet(path)
-    gone = docs.sparkSession.read.parquet(path)
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+def _met(docs: DataFrame, key: Column, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of the documents with rows (id, key), null ids included; ``key`` is of the document's row."""
+    keyed = docs.withColumn("_row_key", key)
+    rows = rows.select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows.hint("merge")
+    return keyed.join(rows, keyed["doc_id"].cast("long").eqNullSafe(rows["_id"]) & (keyed["_row_key"] == rows["_key"]), how).select(*docs.columns)
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is found; the column ``lang`` counts as declaration, ``source`` as host."""
     found = langid.identify(langid.document_evidence(docs, langid.train(docs)))
-    return _without(docs, found.where(~F.col("accepted")).select(F.col("id").alias("doc_id")))
+    gone = _stored(found.where(~F.col("accepted")).select("id", "key").distinct(), "gone")
+    return _met(docs, langid.row_key(F.col("text"), F.col("lang"), F.col("source")), gone, "left_anti")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +48,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near-duplicates."""
-    return _without(docs, ngram_join(docs).where("class_id <> doc_id").select("doc_id"))
+    """One row of each group of near-duplicates: one of the smallest id, a null id before all others."""
+    found = ngram_join(docs, keep=True).groupBy(F.col("doc_id").alias("id"), F.col("row_key").alias("key")).agg(F.count("*").alias("rows"), F.first("kept").alias("kept"), F.first("worded").alias("worded"))
+    found = _stored(found.where("not kept or (rows > 1 and worded)"), "verdicts")
+    key = text_key(F.col("text"))
+    repeated = found.where("kept").select("id", "key")
+    # rows of the same id and text: one of them, where they stand for their group
+    once = _met(docs, key, repeated, "left_semi").withColumn("_row_key", key).groupBy("doc_id", "_row_key").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return _met(docs, key, found, "left_anti").unionByName(once)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

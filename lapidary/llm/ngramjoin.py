@@ -28,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.llm.store import shared_folder
@@ -97,15 +97,22 @@ def signatures(key: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np
     return band
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells apart rows that share an id."""
+    return F.xxhash64(F.lit(17), text.cast("string"))
+
+
 def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    others = [c for c in docs.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             key, doc, whole = shingles(chunk, n)
             band = signatures(key, np.searchsorted(doc, np.arange(len(chunk) + 1)), bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), pa.array(whole.view(np.int64), mask=whole == 0), lists], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*(chunk.rows.column(c) for c in others), pa.array(whole.view(np.int64), mask=whole == 0), lists], names=[*others, "node", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, bands array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in others) + ", node long, bands array<long>")
 
 
 class _Tables:
@@ -244,15 +251,20 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut, cut[1:])) if len(x) else []
 
 
-def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links, n_copies (rows with this text)."""
+def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links, n_copies (rows with this text).
+
+    With ``keep`` also row_key, the hash of the text (``text_key``), and kept: whether id and text are those that stand for
+    their class, its smallest id (a null one first) and of several texts of that id the one of the smallest key. Rows of
+    equal id and text have equal verdicts. Rows without a word (not ``worded``) stand for themselves.
+    """
     bounded_batches(docs.sparkSession)
     tables = _Tables(docs)
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([text_key(F.col(text_col)).alias("row_key")] if keep else []))
     signed = tables.keep(_signed(docs, n, bands, rows))
 
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("bands").alias("bands"), *([F.min(F.struct("doc_id", "row_key")).alias("first_row")] if keep else []))
     nodes = tables.keep(nodes)
     # band hashes are mixed with the band's number
     entries = nodes.select(F.explode("bands").alias("band"), "node")
@@ -281,12 +293,15 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
     verified = tables.keep(groups_in.groupBy("g", "i", "j").applyInArrow(_verify(n, threshold), "node long, links long, root long"))
 
     labels = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")), tables)
-    classes = labels.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("class_id"))
-    classed = labels.join(classes, "label").select("node", "class_id")
+    first = ["first_row"] if keep else []
+    classes = labels.join(nodes.select("node", "first_id", *first), "node").groupBy("label").agg(F.min("first_id").alias("class_id"), *(F.min(c).alias("class_row") for c in first))
+    classed = labels.join(classes, "label").select("node", "class_id", *(["class_row"] if keep else []))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "first_id", "copies").join(classed, "node", "left").join(links, "node", "left")
-    known = known.select("node", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"))
-    out = signed.select("doc_id", "node").join(known, "node", "left")
+    known = nodes.select("node", "first_id", "copies", *first).join(classed, "node", "left").join(links, "node", "left")
+    known = known.select("node", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), *([F.coalesce("class_row", "first_row").alias("class_row")] if keep else []))
+    out = signed.select("doc_id", "node", *(["row_key"] if keep else [])).join(known, "node", "left")
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     out = out.withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return out.select(back("doc_id").alias("doc_id"), back("class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    stands = F.col("class_row").isNull() | ((F.col("class_row.doc_id") == F.col("doc_id")) & (F.col("class_row.row_key") == F.col("row_key"))) if keep else None
+    verdict = ["row_key", stands.alias("kept"), F.col("class_row").isNotNull().alias("worded")] if keep else []
+    return out.select(back("doc_id").alias("doc_id"), back("class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), *verdict)

@@ -67,3 +67,28 @@ def test_language_stage_rejects_other_languages(spark):
     rows += [(500, "Город был спокоен в то утро, и мальчики шли в школу", "ru", "src1"), (501, "asdf qwer zxcv hjkl uiop bnmq wert sdfg xcvb", None, "src2"), (502, "那天早上城市很安静，男孩们背着装满书的书包去上学", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     assert {x["doc_id"] for x in corpus_pipeline.language(spark, docs, "").collect()} == set(range(120))
+
+
+def test_near_duplicates_null_ids_and_repeated_rows(spark):
+    r = random.Random(8)
+    say = lambda: " ".join(r.choice("alpha beta gamma delta".split()) + str(r.randrange(50)) for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    rows = [(None, a, 1), (1, a, 1), (2, a + " tail", 1), (None, a, 1)]  # a null id stands for its group, once
+    rows += [(10, b, 1), (10, b, 2), (10, b, 1)]  # repeated rows
+    rows += [(20, c, 1), (21, c, 1), (21, d, 1)]  # 21 is a copy of 20 and a text of its own
+    rows += [(30, e, 1), (30, e + " tail", 1)]  # near copies that share an id
+    rows += [(40, None, 1), (40, None, 1), (None, "", 1), (None, None, 1)]  # no words: linked to nothing
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns
+    left = [(x["doc_id"], x["text"]) for x in left.collect()]
+    assert len(left) == 9 and sorted(left[i][1] in (e, e + " tail") for i in range(9)).count(True) == 1
+    want = [(None, a), (10, b), (20, c), (21, d), (40, None), (40, None), (None, ""), (None, None)]
+    assert sorted(map(repr, want)) == sorted(repr(x) for x in left if x[0] != 30)
+
+
+def test_language_keeps_rows_that_share_an_id(spark):
+    rows = [(i, "the house of time is a nice and over with " * 4, "en", "a") for i in range(20)] + [(3, "1 2 3", None, "a"), (None, "4 5", None, "a"), (None, "the house", "en", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    left = [(x["doc_id"], x["text"]) for x in corpus_pipeline.language(spark, docs, "").collect()]
+    assert sorted(map(repr, left)) == sorted(repr(x[:2]) for x in [*rows[:20], rows[22]])
