@@ -64,24 +64,23 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], order: str, firs
     return left.join(found, [*keys, order], "left")
 
 
-def components(nodes: DataFrame, edges: DataFrame, keys: list[str], rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``component``, the smallest node of each node's connected component, to (keys, node).
 
     ``edges`` are (keys, a, b). Each round takes the smallest label around a node, then that label's own label, which halves
-    the way to the root; checkpoints cut the lineage.
+    the way to the root, until none moves; checkpoints cut the lineage.
     """
     both = edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))).distinct().cache()
     labels = nodes.select(*keys, "node", F.col("node").alias("component"))
     _checkpoint_folder(labels)
-    for _ in range(rounds):
+    moved = True
+    while moved:
         around = both.join(labels.select(*keys, F.col("node").alias("other"), F.col("component").alias("_next")), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("_next").alias("_next"))
         step = labels.join(around, [*keys, "node"], "left").select(*keys, "node", "component", F.least("component", F.coalesce("_next", "component")).alias("_new"))
         jump = step.select(*keys, F.col("node").alias("_new"), F.col("_new").alias("_jump"))
         step = step.join(jump, [*keys, "_new"], "left").select(*keys, "node", F.col("component").alias("_old"), F.least("_new", F.coalesce("_jump", "_new")).alias("component")).checkpoint()
         moved = step.where("component <> _old").limit(1).count()
         labels = step.drop("_old")
-        if not moved:
-            break
     both.unpersist()
     return labels
 

@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import os
 import random
@@ -274,3 +275,14 @@ def test_palette_queries_do_the_whole_job(spark):
     assert plans.QUERIES["palette_swaps"](spark, small).count() == 11
     merged = {x["from_code"] for x in plans.QUERIES["palette_merge"](spark, large).collect()}
     assert len(merged) > 11  # a hundred targets, most with a code of their own
+
+
+def test_components_have_no_bound_of_rounds(spark):
+    """Rounds go on until no label moves; a bound would return a long component split."""
+    assert "rounds" not in inspect.signature(spatial.components).parameters
+    order = list(range(40))
+    random.Random(3).shuffle(order)
+    nodes = spark.createDataFrame([(0, i) for i in range(42)], "k long, node long")
+    edges = spark.createDataFrame([(0, a, b) for a, b in zip(order, order[1:])] + [(0, 40, 41)], "k long, a long, b long")
+    found = {r["node"]: r["component"] for r in spatial.components(nodes, edges, ["k"]).collect()}
+    assert found == {i: 0 if i < 40 else 40 for i in range(42)}
