@@ -1,30 +1,38 @@
 """Language-model scoring by deleted interpolation (Jelinek and Mercer, 1980).
 
 log10 P(text) sums over its tokens the logarithm of a mixture: of the maximum-likelihood estimates of the token after its
-``order - 1``, ..., 1, 0 predecessors and of the base distribution (counts plus 0.1). The weights depend on how often the
-longest context was seen (``BUCKETS`` frequency classes a context length) and are learnt by expectation-maximisation on
-held-out counts: a tenth of the training texts, whose counts are deleted from the estimates meanwhile. The final estimates
-use all training counts.
-
-Plan. Documents are gathered into blocks of about ``BLOCK_TOKENS`` tokens. A block names the distinct n-grams it holds, as
-sorted 64-bit hashes in one array a shard, with its own counts; shards add the counts up and answer each block with one
-array of totals in the block's order. So what moves is an entry for each n-gram and block, not for each occurrence; a block
-then has all it needs to score its texts. Two passes use the answers: held-out blocks only, to learn the weights (the
-evidence is binned, ``BINS`` numbers a bucket, for the driver's EM), then all blocks.
-
-Scale: a shard is a hash part of all n-grams, a frequent n-gram is one entry a block, and both counts grow with the input:
-blocks have a fixed size and shards follow spark.sql.shuffle.partitions. Blocks and answers are written to
-spark.checkpoint.dir and read again, so nothing is lost with an executor. Memory: one block, or one shard's entries.
-What the driver gets is the totals N and V and the bins.
+``order - 1``, ..., 1, 0 predecessors and of the base distribution (counts plus 0.1). From the longest context down, each
+level takes a share of what the levels above left; the share depends on how often that level's context was seen
+(``BUCKETS`` frequency classes a level). All shares are learnt together by expectation-maximisation on held-out counts:
+those of the rows of fold ``DELETED``, whose counts are deleted from the estimates meanwhile. The final estimates use all
+training counts.
+
+Plan. Documents are gathered into blocks of about ``BLOCK_TOKENS`` tokens, held-out ones apart. A block names the distinct
+n-grams it holds, as sorted hashes in one array a shard, with its own counts; shards add the counts up and answer each block
+with one array of totals in the block's order. So what moves is an entry for each n-gram and block, not for each
+occurrence. The count of a context is that of the shorter n-gram before the token, which the block asks for anyhow. Two
+passes use the answers: held-out blocks only, to learn the shares (the evidence is binned, see ``_cells``, for the driver's
+EM), then all blocks.
+
+Scale: a shard is a range of the hashes of all n-grams of one length, so a frequent n-gram is one entry a block; blocks hold
+a fixed number of tokens and shards about ``SHARD_ENTRIES`` entries, so both counts grow with the input and neither's size
+does. Blocks and answers are written to spark.checkpoint.dir and read again, so nothing is lost with an executor. Memory:
+one block, or one shard's entries. The driver gets the totals N and V and the cells, at most (2 * BUCKETS * BINS)**(order - 1)
+and far fewer in fact, whatever the corpus.
+
+Words are compared by 64-bit hashes. Longer n-grams are compared by fingerprints of ``SPARE_BITS`` bits more than the number
+of all tokens has, so one that was never seen is taken for a seen one with a probability of 2**-SPARE_BITS at every size.
 
 Results by definition: a null text is empty: its one token is the end; equal rows count each time; without training
-tokens the base has N = 0 and V = 0; null ids are held in training; an empty table gives no rows; other columns are
-ignored. Two n-grams are taken as one when their 64-bit hashes agree.
+tokens the base has N = 0 and V = 0; null ids are held in training; without held-out rows all shares are a half; a
+frequency class without held-out tokens takes the share of the class below; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +44,13 @@ from pyspark.sql import functions as F
 from lapidary.llm.store import shared_folder
 from lapidary.llm.text import Chunk, bounded_batches, chunks, mix
 
-ORDER = 2
+ORDER = 3
 BLOCK_TOKENS = 1_500_000
+SHARD_ENTRIES = 1 << 22
+SPARE_BITS = 18
 BUCKETS = 12
-BINS = 48
-EM_STEPS = 60
+BINS = 26
+EM_STEPS = 100
 ADD = 0.1
 DELETED, LEARN, OUT = 0, 1, 2  # folds: held-out counts of the training texts, the other training texts, no training
 _U = np.uint64
@@ -49,7 +59,6 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _END, _BEGIN = _U(0x9A3F0C1D5E7B2468), _U(0x1B56C4E9D2F08A73)
 
 
-
 def _pack(x: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
@@ -58,14 +67,23 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
+def _pack_numbers(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as byte planes, of the least width that holds them; most high bytes are zero."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << 8 * w)
+    return bytes([width]) + _pack(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+
+
+def _unpack_numbers(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    return np.ascontiguousarray(_unpack(raw[1:], np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
+
+
 def _pack_keys(sorted_keys: np.ndarray) -> bytes:
-    """Sorted hashes as byte planes of their differences, most of whose high bytes are zero."""
-    return _pack(np.diff(sorted_keys, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T)
+    return _pack_numbers(np.diff(sorted_keys, prepend=_U(0)))
 
 
 def _unpack_keys(raw: bytes) -> np.ndarray:
-    planes = _unpack(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
+    return np.cumsum(_unpack_numbers(raw), dtype=_U)
 
 
 def token_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -81,55 +99,53 @@ def token_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def gram_keys(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1..order, the hash of the n-gram that ends at each token; before a text stand begin marks."""
-    first = np.zeros(len(tokens), bool)
-    first[np.cumsum(sizes)[:-1]] = True
-    if len(tokens):
-        first[0] = True
-    at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    keys = [tokens]
+def gram_keys(tokens: np.ndarray, at: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """For n = 1..order, the hash of the n-gram that ends at each token, ``at`` its place in its text, begin marks before."""
+    key = tokens
+    yield key
     for n in range(2, order + 1):
         back = np.concatenate([np.full(n - 1, _BEGIN, _U), tokens[: max(len(tokens) - n + 1, 0)]])[: len(tokens)]
-        back = np.where(at < n - 1, _BEGIN, back)
-        keys.append(mix(keys[-1] * _U(0x9E3779B97F4A7C15) + back + _U(n)))
-    return keys
+        back[at < n - 1] = _BEGIN
+        key = mix(key * _U(0x9E3779B97F4A7C15) + back + _U(n))
+        yield key
 
 
-def context_keys(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 2..order, the hash of the context (the n - 1 tokens before) of each token."""
-    at = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, key = [], np.full(len(tokens), 0xC0FFEE, _U)
-    for n in range(2, order + 1):
-        back = np.concatenate([np.full(n - 1, _BEGIN, _U), tokens[: max(len(tokens) - n + 1, 0)]])[: len(tokens)]
-        back = np.where(at < n - 1, _BEGIN, back)
-        key = mix(key * _U(0x9E3779B97F4A7C15) + back + _U(n))
-        out.append(key)
-    return out
+def fingerprint_bits(tokens: int) -> int:
+    return min(64, SPARE_BITS + max(1, int(tokens)).bit_length())
 
 
 class _Block:
-    """The texts of one block and its distinct n-grams: unigrams, then n-grams and their contexts."""
+    """The texts of one block and, for each length, its distinct n-grams and where they stand."""
 
-    def __init__(self, ids: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, folds: np.ndarray, order: int):
-        self.ids, self.tokens, self.sizes, self.folds, self.order = ids, tokens, sizes, folds, order
+    def __init__(self, row: dict, order: int, bits: int):
+        self.sizes, self.folds, self.order = _unpack(row["sizes"], np.int32), _unpack(row["folds"], np.int8), order
+        tokens = _unpack_keys(row["words"])[_unpack_numbers(row["tokens"])]
+        self.first = np.cumsum(self.sizes) - self.sizes
+        at = np.arange(len(tokens)) - np.repeat(self.first, self.sizes)
         self.keys, self.back = [], []
-        for k in gram_keys(tokens, sizes, order) + context_keys(tokens, sizes, order):
-            key, back = np.unique(k, return_inverse=True)
+        for n, key in enumerate(gram_keys(tokens, at, order), 1):
+            key, back = np.unique(key >> _U(64 - bits) if n > 1 else key, return_inverse=True)
             self.keys.append(key)
-            self.back.append(back)
+            self.back.append(back.astype(np.int32))
 
-    def counts(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        fold = np.repeat(self.folds, self.sizes)
-        return [(key, np.bincount(back[fold == LEARN], minlength=len(key)), np.bincount(back[fold == DELETED], minlength=len(key))) for key, back in zip(self.keys, self.back)]
+    def counts(self) -> list[np.ndarray]:
+        taught = np.repeat(self.folds != OUT, self.sizes)
+        return [np.bincount(back[taught], minlength=len(key)) for key, back in zip(self.keys, self.back)]
 
+    def levels(self, totals: list[np.ndarray], texts: int, tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n = order..1: (maximum-likelihood estimate after n - 1 predecessors, class of that context), per token."""
+        for n in range(self.order, 0, -1):
+            if n > 1:
+                context = np.empty(len(self.back[0]))
+                context[1:] = totals[n - 2][self.back[n - 2][:-1]]
+                context[self.first] = texts  # before the first token stand begin marks only
+            else:
+                context = np.full(len(self.back[0]), float(tokens))
+            yield np.divide(totals[n - 1][self.back[n - 1]], context, out=np.zeros(len(context)), where=context > 0), _buckets(context)
 
-def _kinds(order: int) -> int:
-    return 2 * order - 1
 
-
-def _blocks(docs: DataFrame, order: int, block_tokens: int) -> DataFrame:
-    """Rows (block, held, ids, folds, sizes, tokens): documents gathered into blocks, held-out ones apart."""
+def _blocks(docs: DataFrame, block_tokens: int) -> DataFrame:
+    """Documents gathered into blocks, held-out ones apart, with their numbers of tokens, of training tokens and texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -141,11 +157,12 @@ def _blocks(docs: DataFrame, order: int, block_tokens: int) -> DataFrame:
             ids, null, folds, sizes, tokens = (np.concatenate(x) for x in zip(*open_[held]))
             open_[held] = []
             number += 1
-            values = [_pack(x) for x in (ids, null, folds, sizes)]
-            # tokens as numbers of the block's distinct ones, in byte planes
+            # tokens as numbers of the block's distinct ones
             key, back = np.unique(tokens, return_inverse=True)
-            planes = _pack(back.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([held]), *(pa.array([v], pa.binary()) for v in [*values, _pack_keys(key), planes])], names=["block", "held", "ids", "null", "folds", "sizes", "words", "tokens"])
+            taught = folds != OUT
+            numbers = [number - 1, held, len(tokens), int(sizes[taught].sum()), int(taught.sum())]
+            values = [*(_pack(x) for x in (ids, null, folds, sizes)), _pack_keys(key), _pack_numbers(back)]
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([*numbers, *values], _BLOCKS)], schema=_BLOCKS)
 
         for chunk in chunks(batches):
             tokens, sizes = token_hashes(chunk)
@@ -164,150 +181,207 @@ def _blocks(docs: DataFrame, order: int, block_tokens: int) -> DataFrame:
             if open_[held]:
                 yield close(held)
 
-    return docs.mapInArrow(run, "block long, held boolean, ids binary, null binary, folds binary, sizes binary, words binary, tokens binary")
+    return docs.mapInArrow(run, "block long, held boolean, n_tokens long, n_taught long, n_texts long, ids binary, null binary, folds binary, sizes binary, words binary, tokens binary")
 
 
-def _open_block(row: dict, order: int) -> _Block:
-    planes = _unpack(row["tokens"], np.uint8).reshape(4, -1)
-    tokens = _unpack_keys(row["words"])[np.ascontiguousarray(planes.T).view("<u4").ravel()]
-    block = _Block(_unpack(row["ids"], np.int64), tokens, _unpack(row["sizes"], np.int32), _unpack(row["folds"], np.int8), order)
-    block.null = _unpack(row["null"], bool)
-    return block
+_BLOCKS = pa.schema([("block", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_taught", pa.int64()), ("n_texts", pa.int64()), *((c, pa.binary()) for c in ("ids", "null", "folds", "sizes", "words", "tokens"))])
+_GRAMS = pa.schema([("block", pa.int64()), ("held", pa.bool_()), ("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOTALS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("all", pa.binary()), ("learn", pa.binary()), ("distinct", pa.int64())])
 
 
-def _shards_of(key: np.ndarray, shards: int) -> np.ndarray:
+def _cuts(key: np.ndarray, shards: int, bits: int) -> np.ndarray:
     """Bounds of the shards' ranges in sorted hashes."""
-    step = (1 << 64) // shards
+    step = -(-(1 << bits) // shards)
     return np.concatenate([np.searchsorted(key, np.array([i * step for i in range(shards)], _U)), [len(key)]])
 
 
-_GRAMS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("learn", pa.binary()), ("deleted", pa.binary())])
-_TOTALS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("learn", pa.binary()), ("deleted", pa.binary()), ("distinct", pa.int64()), ("all", pa.int64())])
-
+def _totals(blocks: DataFrame, order: int, bits: int, shards: int) -> DataFrame:
+    """Answers (block, kind, shard, all, learn): totals of the block's n-grams, in the block's order.
 
-def _totals(blocks: DataFrame, order: int, shards: int) -> DataFrame:
-    """Answers (block, kind, shard, learn, deleted): totals of the block's n-grams, in the block's order."""
+    ``learn``, without the held-out counts, is for held-out blocks only. ``distinct`` stands in one row of each shard.
+    """
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = _open_block(row, order)
-                for kind, (key, learn, deleted) in enumerate(block.counts()):
-                    cut = _shards_of(key, shards)
-                    out = [(row["block"], kind, s, _pack_keys(key[a:b]), _pack(learn[a:b].astype(np.int32)), _pack(deleted[a:b].astype(np.int32))) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
+                block = _Block(row, order, bits)
+                for kind, (key, count) in enumerate(zip(block.keys, block.counts())):
+                    cut = _cuts(key, shards, bits if kind else 64)
+                    out = [(row["block"], row["held"], kind, s, _pack_keys(key[a:b]), _pack_numbers(count[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:])) if b > a]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _GRAMS)], schema=_GRAMS)
 
     def add(table: pa.Table) -> pa.Table:
         keys = [_unpack_keys(x.as_py()) for x in table.column("keys")]
-        every, back = np.unique(np.concatenate(keys), return_inverse=True)
-        learn, deleted = (np.bincount(back, np.concatenate([_unpack(x.as_py(), np.int32) for x in table.column(c)]), minlength=len(every)).astype(np.int64) for c in ("learn", "deleted"))
         cut = np.cumsum([0, *map(len, keys)])
-        seen = np.count_nonzero(learn + deleted)
-        first = [seen] + [0] * (len(keys) - 1)
-        whole = [int((learn + deleted).sum())] + [0] * (len(keys) - 1)
-        answers = [[_pack(x[back[a:b]]) for a, b in zip(cut, cut[1:])] for x in (learn, deleted)]
-        return pa.table([table.column("block"), table.column("kind"), table.column("shard"), *(pa.array(a, pa.binary()) for a in answers), pa.array(first), pa.array(whole)], schema=_TOTALS)
+        every, back = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([_unpack_numbers(x.as_py()).astype(np.float64) for x in table.column("counts")])
+        held = table.column("held").to_numpy()
+        total = np.bincount(back, counts, minlength=len(every))
+        learn = total - np.bincount(back, counts * np.repeat(held, np.diff(cut)), minlength=len(every))
+        answers = [_pack_numbers(total[back[a:b]]) for a, b in zip(cut, cut[1:])]
+        apart = [_pack_numbers(learn[back[a:b]]) if h else None for h, a, b in zip(held, cut, cut[1:])]
+        distinct = [int(np.count_nonzero(total))] + [0] * (len(keys) - 1)
+        return pa.table([table.column("block"), table.column("kind"), table.column("shard"), pa.array(answers, pa.binary()), pa.array(apart, pa.binary()), pa.array(distinct)], schema=_TOTALS)
 
-    named = blocks.mapInArrow(name, "block long, kind int, shard int, keys binary, learn binary, deleted binary")
-    return named.groupBy("kind", "shard").applyInArrow(add, "block long, kind int, shard int, learn binary, deleted binary, distinct long, all long")
+    named = blocks.mapInArrow(name, "block long, held boolean, kind int, shard int, keys binary, counts binary")
+    return named.groupBy("kind", "shard").applyInArrow(add, "block long, kind int, shard int, all binary, learn binary, distinct long")
 
 
-def _answered(block: _Block, answers: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per kind, learnt and deleted totals of each of the block's n-grams."""
-    out = []
-    for name in ("learn", "deleted"):
-        parts: list[list] = [[] for _ in range(_kinds(block.order))]
-        for a in sorted(answers, key=lambda a: (a["kind"], a["shard"])):
-            parts[a["kind"]].append(_unpack(a[name], np.int64))
-        out.append([np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts])
-    return out[0], out[1]
+def _answered(answers: pa.Table, column: str, order: int) -> list[np.ndarray]:
+    """Per length, the totals of each of the block's n-grams."""
+    parts: list[list] = [[] for _ in range(order)]
+    for a in sorted(answers.select(["kind", "shard", column]).to_pylist(), key=lambda a: (a["kind"], a["shard"])):
+        parts[a["kind"]].append(_unpack_numbers(a[column]))
+    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
 
 
 def _buckets(context: np.ndarray) -> np.ndarray:
     """Frequency class of a context: 0 unseen, then by powers of two."""
-    return np.minimum(np.ceil(np.log2(np.maximum(context, 0) + 1)).astype(np.int64), BUCKETS - 1)
+    return np.minimum(np.ceil(np.log2(context + 1)).astype(np.int64), BUCKETS - 1)
 
 
-def _levels(grams: list[np.ndarray], contexts: list[np.ndarray], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 2..order: (estimate after n - 1 predecessors, frequency class of that context), per token."""
-    return [(np.divide(grams[n - 1], contexts[n - 2], out=np.zeros(len(grams[n - 1])), where=contexts[n - 2] > 0), _buckets(contexts[n - 2])) for n in range(2, order + 1)]
+def _cells(levels: list[tuple[np.ndarray, np.ndarray]], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A cell for each token, and its log2 ratios of estimate and base, level x token.
 
-
-def learn_weights(bins: np.ndarray) -> np.ndarray:
-    """EM for each level and bucket: the weight of the level's estimate against the lower mixture.
-
-    ``bins``: level x bucket x bin counts of held-out tokens, by log2 of the ratio of estimate and lower mixture; the first
-    bin holds tokens whose estimate is zero.
+    A cell is the classes of the contexts and the whole parts of the log2 ratios, 0 for an estimate of zero.
     """
-    ratio = np.concatenate([[0.0], 2.0 ** ((np.arange(BINS - 1) + 0.5) - 8)])
-    weights = np.full(bins.shape[:2], 0.5)
-    for _ in range(EM_STEPS):
-        w = weights[:, :, None]
-        share = w * ratio / (w * ratio + 1 - w)
-        n = bins.sum(axis=2)
-        weights = np.where(n > 0, (bins * share).sum(axis=2) / np.maximum(n, 1), weights)
-        weights = np.clip(weights, 1e-6, 1 - 1e-6)
-    weights[:, 0] = 0.0  # an unseen context has no estimate
-    return weights
+    cell, ratios = np.zeros(len(base), np.int64), []
+    for estimate, bucket in levels:
+        ratio = np.log2(np.maximum(estimate, 1e-300) / base)
+        part = np.where(estimate > 0, np.clip(np.floor(ratio) + 5, 1, BINS - 1), 0).astype(np.int64)
+        cell = (cell * BUCKETS + bucket) * BINS + part
+        ratios.append(np.where(estimate > 0, ratio, 0.0))
+    return cell, np.array(ratios)
 
 
-def score_texts(docs: DataFrame, fold, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, shards: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+def learn_shares(cell: np.ndarray, count: np.ndarray, sums: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """EM for the shares (level from the longest context down x frequency class) of all levels together.
 
-    ``fold``: a Column of DELETED, LEARN or OUT for each row. Writes two tables under spark.checkpoint.dir.
+    ``cell``: cells of held-out tokens; ``count``: how many tokens each has; ``sums``: the sums of their log2 ratios.
     """
+    shares = np.full((order, BUCKETS), 0.5)
+    shares[:, 0] = 0.0  # an unseen context has no estimate
+    if not len(cell):
+        return shares
+    bucket, ratio, rest = [], [], cell.copy()
+    for i in reversed(range(order)):
+        part, rest = rest % BINS, rest // BINS
+        bucket.insert(0, rest % BUCKETS)
+        rest = rest // BUCKETS
+        ratio.insert(0, np.where(part > 0, np.exp2(sums[i] / count), 0.0))
+    seen = np.array([np.bincount(b, count, minlength=BUCKETS) > 0 for b in bucket])
+    for _ in range(EM_STEPS):
+        left, weight = np.ones(len(cell)), []
+        for s, b in zip(shares, bucket):
+            weight.append(left * s[b])
+            left = left * (1 - s[b])
+        whole = sum(w * r for w, r in zip(weight, ratio)) + left
+        below = count * left / whole  # tokens expected from the base, then from each level and all below it
+        for i in reversed(range(order)):
+            own = count * weight[i] * ratio[i] / whole
+            below = below + own
+            reached = np.bincount(bucket[i], below, minlength=BUCKETS)
+            new = np.bincount(bucket[i], own, minlength=BUCKETS) / np.maximum(reached, 1e-300)
+            shares[i, 1:] = np.where(reached > 0, np.clip(new, 1e-6, 1 - 1e-6), shares[i])[1:]
+    for i in range(order):
+        for b in range(2, BUCKETS):
+            if not seen[i, b]:
+                shares[i, b] = shares[i, b - 1]
+    return shares
+
+
+@dataclass
+class Sizes:
+    order: int
+    bits: int
+    tokens: int  # training tokens: N
+    texts: int  # training texts
+    learn_tokens: int  # without the held-out ones
+    learn_texts: int
+    distinct: int  # V
+
+    def base(self, counts: np.ndarray, tokens: int) -> np.ndarray:
+        return (counts + ADD) / (tokens + ADD * (self.distinct + 1))
+
+
+@dataclass
+class Counted:
+    """Blocks of texts and the totals of their n-grams, as tables in the shared folder."""
+
+    blocks: DataFrame
+    answers: DataFrame
+    sizes: Sizes
+
+
+def count_grams(docs: DataFrame, fold, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, shard_entries: int = SHARD_ENTRIES) -> Counted:
+    """``fold``: a Column of DELETED, LEARN or OUT for each row. Writes two tables under spark.checkpoint.dir."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    folder, shards = shared_folder(spark, "lm"), shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = shared_folder(spark, "lm")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(fold, F.lit(LEARN)).cast("int").alias("fold"))
-    _blocks(docs, order, block_tokens).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    _blocks(docs, block_tokens).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
-    _totals(blocks, order, shards).write.option("compression", "uncompressed").parquet(f"{folder}/totals")
+    learn = lambda c: F.sum(F.when(~F.col("held"), F.col(c)))
+    sizes = [int(x or 0) for x in blocks.agg(F.sum("n_tokens"), F.sum("n_taught"), F.sum("n_texts"), learn("n_taught"), learn("n_texts")).first()]
+    bits, shards = fingerprint_bits(sizes[0]), max(1, -(-sizes[0] // shard_entries))
+    _totals(blocks, order, bits, shards).write.option("compression", "uncompressed").parquet(f"{folder}/totals")
     totals = spark.read.parquet(f"{folder}/totals")
-    sums = totals.where("kind = 0").agg(F.sum("distinct"), F.sum("all")).first()
-    v, n = int(sums[0] or 0), int(sums[1] or 0)
-    answers = totals.select("block", "kind", "shard", "learn", "deleted")
-    floor = lambda c: (c + ADD) / (n + ADD * (v + 1))
+    distinct = int(totals.where("kind = 0").agg(F.sum("distinct")).first()[0] or 0)
+    return Counted(blocks, totals.drop("distinct"), Sizes(order, bits, *sizes[1:], distinct))
+
+
+def fit_shares(counted: Counted) -> np.ndarray:
+    """The mixture's shares, learnt on the held-out blocks."""
+    sizes, order = counted.sizes, counted.sizes.order
+    names = [f"sum_{i}" for i in range(order)]
 
     def evidence(left: pa.Table, right: pa.Table) -> pa.Table:
-        bins = np.zeros((max(order - 1, 1), BUCKETS, BINS))
+        out = []
         for row in left.to_pylist():
-            block = _open_block(row, order)
-            learn, deleted = _answered(block, right.to_pylist())
-            kept = [x[b] for x, b in zip(learn, block.back)]
-            lower = floor(kept[0])
-            for i, (estimate, bucket) in enumerate(_levels(kept[:order], kept[order:], order)):
-                at = np.where(estimate > 0, np.clip(np.floor(np.log2(np.maximum(estimate, 1e-300) / lower)) + 9, 1, BINS - 1), 0).astype(int)
-                np.add.at(bins[i], (bucket, at), 1)
-                # the next level is mixed with this one at even weights while weights are unknown
-                lower = np.where(bucket > 0, 0.5 * estimate + 0.5 * lower, lower)
-        flat = bins.ravel()
-        return pa.table([pa.array(np.flatnonzero(flat)), pa.array(flat[flat > 0])], names=["at", "value"])
-
-    found = np.zeros(max(order - 1, 1) * BUCKETS * BINS)
-    held = blocks.where("held")
-    if order > 1:
-        mine = answers.join(held.select("block"), "block", "left_semi")
-        for row in held.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(evidence, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
-            found[row["at"]] = row["value"]
-    weights = learn_weights(found.reshape(max(order - 1, 1), BUCKETS, BINS))
-
-    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+            block = _Block(row, order, sizes.bits)
+            totals = _answered(right, "learn", order)
+            base = sizes.base(totals[0], sizes.learn_tokens)[block.back[0]]
+            cell, ratios = _cells(list(block.levels(totals, sizes.learn_texts, sizes.learn_tokens)), base)
+            key, back = np.unique(cell, return_inverse=True)
+            out.append(pa.table([pa.array(key), pa.array(np.bincount(back).astype(float)), *(pa.array(np.bincount(back, r)) for r in ratios)], names=["cell", "n", *names]))
+        return pa.concat_tables(out)
+
+    held = counted.blocks.where("held")
+    mine = counted.answers.join(held.select("block"), "block", "left_semi")
+    found = held.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(evidence, ", ".join(["cell long", "n double", *(f"{c} double" for c in names)]))
+    got = found.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", *names))).toPandas()
+    return learn_shares(got["cell"].to_numpy(np.int64), got["n"].to_numpy(), got[names].to_numpy().T, order)
+
+
+def rate(counted: Counted, shares: np.ndarray) -> DataFrame:
+    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    sizes, order = counted.sizes, counted.sizes.order
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         for row in left.to_pylist():
-            block = _open_block(row, order)
-            learn, deleted = _answered(block, right.to_pylist())
-            every = [(a + d)[b] for a, d, b in zip(learn, deleted, block.back)]
-            base = floor(every[0])
-            p = base
-            for i, (estimate, bucket) in enumerate(_levels(every[:order], every[order:], order)):
-                w = weights[i][bucket]
-                p = w * estimate + (1 - w) * p
-            text = np.repeat(np.arange(len(block.sizes)), block.sizes)
-            per = lambda x: np.bincount(text, x, minlength=len(block.sizes))
-            return pa.table([pa.array(block.ids, mask=block.null), pa.array(block.sizes.astype(np.int64)), pa.array(per(every[0] > 0).astype(np.int64)), pa.array(np.full(len(block.sizes), n)), pa.array(per(np.log10(base))), pa.array(per(np.log10(p)))], schema=_SCORES)
+            block = _Block(row, order, sizes.bits)
+            totals = _answered(right, "all", order)
+            known = totals[0][block.back[0]]
+            base = sizes.base(known, sizes.tokens)
+            p, unclaimed = np.zeros(len(base)), np.ones(len(base))
+            for share, (estimate, bucket) in zip(shares, block.levels(totals, sizes.texts, sizes.tokens)):
+                p += unclaimed * share[bucket] * estimate
+                unclaimed *= 1 - share[bucket]
+            p += unclaimed * base
+            texts = len(block.sizes)
+            text = np.repeat(np.arange(texts), block.sizes)
+            per = lambda x: np.bincount(text, x, minlength=texts)
+            ids = pa.array(_unpack(row["ids"], np.int64), mask=_unpack(row["null"], bool))
+            return pa.table([ids, pa.array(block.sizes.astype(np.int64)), pa.array(per(known > 0).astype(np.int64)), pa.array(np.full(texts, sizes.tokens)), pa.array(per(np.log10(base))), pa.array(per(np.log10(p)))], schema=_SCORES)
         return _SCORES.empty_table()
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return counted.blocks.groupBy("block").cogroup(counted.answers.groupBy("block")).applyInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def score_texts(docs: DataFrame, fold, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_tokens: int = BLOCK_TOKENS, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+    """Count, learn the shares and rate: one row per document, as ``rate`` gives it."""
+    counted = count_grams(docs, fold, id_col, text_col, order, block_tokens, shard_entries)
+    return rate(counted, fit_shares(counted))

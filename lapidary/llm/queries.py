@@ -126,8 +126,8 @@ QUERIES["op2_quality"] = op2_quality
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    # of the training rows, a ninth gives the held-out counts; it is chosen by the hundreds of the same number
-    fold = F.when(part % 10 == 0, lm.OUT).when(F.floor(part / 10) % 9 == 0, lm.DELETED).otherwise(lm.LEARN)
+    # of the training rows, a tenth gives the held-out counts; it is chosen by the tens of the same number
+    fold = F.when(part % 10 == 0, lm.OUT).when(F.floor(part / 10) % 10 == 0, lm.DELETED).otherwise(lm.LEARN)
     scored = lm.score_texts(_table(spark, sf_dir, "documents"), fold)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

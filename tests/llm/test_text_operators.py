@@ -138,32 +138,124 @@ def test_ngram_join(spark, docs, empty):
     assert 1 - (1 - 0.8**width) ** bands >= 0.999
 
 
-def test_lm_base_score_and_gain(spark, docs, empty):
-    rows = [(i, sentence(60)) for i in range(80)] + [(90, None), (91, ""), (92, "unseen " * 9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tokens", F.lit(1))
-    fold = F.when(F.col("doc_id") % 10 == 0, lm.OUT).when(F.col("doc_id") % 10 == 1, lm.DELETED).otherwise(lm.LEARN)
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = {i: [*WORD.findall((t or "").translate(low)), "\0"] for i, t in rows}
-    counts = collections.Counter(x for i, w in tokens.items() if i % 10 for x in w)
-    n, v = sum(counts.values()), len(counts)
-    for order, size in ((1, 10**6), (2, 500), (3, 500)):
-        got = {r["doc_id"]: r for r in lm.score_texts(df, fold, order=order, block_tokens=size, shards=3).collect()}
-        for i, w in tokens.items():
-            base = sum(np.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-            assert got[i]["base_score"] == pytest.approx(base) and got[i]["n_tokens"] == len(w) and got[i]["train_tokens"] == n
-            assert got[i]["n_known"] == sum(counts[x] > 0 for x in w) and np.isfinite(got[i]["score"])
-            if order == 1:
-                assert got[i]["score"] == pytest.approx(base)
+LM_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lm_tokens(rows):
+    return {i: [*WORD.findall((t or "").translate(LM_LOW)), "\0"] for i, t in rows}
+
+
+def lm_counts(texts, order):
+    """Counts of n-grams and of contexts, each counted for itself."""
+    grams, contexts = collections.Counter(), collections.Counter()
+    for w in texts:
+        padded = ["<"] * (order - 1) + w
+        for i in range(order - 1, len(padded)):
+            for n in range(1, order + 1):
+                grams[tuple(padded[i - n + 1 : i + 1])] += 1
+                contexts[tuple(padded[i - n + 1 : i])] += 1
+    return grams, contexts
+
+
+def lm_levels(w, grams, contexts, order):
+    """Per token the estimates and context counts, longest context first."""
+    padded = ["<"] * (order - 1) + w
+    for i in range(order - 1, len(padded)):
+        out = []
+        for n in range(order, 0, -1):
+            c = contexts[tuple(padded[i - n + 1 : i])]
+            out.append((grams[tuple(padded[i - n + 1 : i + 1])] / c if c else 0.0, min(int(np.ceil(np.log2(c + 1))), lm.BUCKETS - 1)))
+        yield padded[i], out
+
+
+def mixed(levels, base, shares):
+    p, rest = 0.0, 1.0
+    for s, (estimate, bucket) in zip(shares, levels):
+        p += rest * s[bucket] * estimate
+        rest *= 1 - s[bucket]
+    return p + rest * base
+
+
+def chained(n):
+    """Words of which each is likely to bring the next one, so that contexts tell something."""
+    out, at = [], rng.randrange(60)
+    for _ in range(n):
+        out.append(BANK[at])
+        at = (7 * at + 1) % 60 if rng.random() < 0.8 else rng.randrange(60)
+    return " ".join(out)
+
+
+LM_ROWS = [(i, chained(60)) for i in range(120)] + [(200, None), (201, ""), (202, "unseen " * 9), (203, chained(60)), (203, "A b"), (None, chained(9))]
+
+
+def lm_fold():
+    return F.when(F.col("doc_id") % 10 == 0, lm.OUT).when(F.col("doc_id") % 10 == 1, lm.DELETED).otherwise(lm.LEARN)
+
+
+@pytest.mark.parametrize("order, size", [(1, 10**6), (2, 500), (3, 500), (4, 700)])
+def test_lm_scores(spark, empty, order, size):
+    df = spark.createDataFrame(LM_ROWS, "doc_id long, text string").withColumn("tokens", F.lit(1))
+    tokens = [(i, lm_tokens([(i, t)])[i]) for i, t in LM_ROWS]
+    train = [w for i, w in tokens if i is None or i % 10]
+    grams, contexts = lm_counts(train, order)
+    n, v = sum(map(len, train)), len({x for w in train for x in w})
+    counted = lm.count_grams(df, lm_fold(), order=order, block_tokens=size, shard_entries=900)
+    shares = lm.fit_shares(counted)
+    assert shares.shape == (order, lm.BUCKETS) and (shares[:, 0] == 0).all()
+    got = collections.defaultdict(list)
+    for r in lm.rate(counted, shares).collect():
+        got[r["doc_id"]].append((r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)))
+    want = collections.defaultdict(list)
+    for i, w in tokens:
+        base = [(grams[(x,)] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
+        score = sum(np.log10(mixed(levels, b, shares)) for b, (_, levels) in zip(base, lm_levels(w, grams, contexts, order)))
+        want[i].append((len(w), sum(grams[(x,)] > 0 for x in w), n, round(sum(map(np.log10, base)), 6), round(score, 6)))
+    assert {i: sorted(x) for i, x in got.items()} == {i: [tuple(pytest.approx(y, abs=2e-6) for y in z) for z in sorted(x)] for i, x in want.items()}
+
+
+def test_lm_shares_and_gain(spark, empty):
+    """Binned EM finds what EM over single tokens finds, and longer contexts help on texts that were not counted."""
+    df = spark.createDataFrame(LM_ROWS, "doc_id long, text string")
+    tokens = [(i, lm_tokens([(i, t)])[i]) for i, t in LM_ROWS]
+    learn, held = [w for i, w in tokens if i is None or i % 10 > 1], [w for i, w in tokens if i is not None and i % 10 == 1]
+    grams, contexts = lm_counts(learn, 3)
+    n = sum(map(len, learn))
+    v = len({x for w in learn + held for x in w})
+    rows = [(levels, (grams[(x,)] + 0.1) / (n + 0.1 * (v + 1))) for w in held for x, levels in lm_levels(w, grams, contexts, 3)]
+    shares = np.full((3, lm.BUCKETS), 0.5)
+    shares[:, 0] = 0
+    for _ in range(lm.EM_STEPS):
+        own, reached = np.zeros_like(shares), np.zeros_like(shares)
+        for levels, base in rows:
+            whole, rest, weight = mixed(levels, base, shares), 1.0, []
+            for s, (_, b) in zip(shares, levels):
+                weight.append(rest * s[b])
+                rest *= 1 - s[b]
+            below = rest * base / whole
+            for k in (2, 1, 0):
+                below += weight[k] * levels[k][0] / whole
+                own[k, levels[k][1]] += weight[k] * levels[k][0] / whole
+                reached[k, levels[k][1]] += below
+        shares = np.where(reached > 0, np.clip(own / np.maximum(reached, 1e-300), 1e-6, 1 - 1e-6), shares)
+        shares[:, 0] = 0
+    counted = lm.count_grams(df, lm_fold(), order=3, block_tokens=500, shard_entries=900)
+    found = lm.fit_shares(counted)
+    likely = lambda s: sum(np.log10(mixed(levels, base, s)) for levels, base in rows)
+    assert likely(found) == pytest.approx(likely(np.where(reached > 0, shares, found)), rel=2e-3)
+    out = lm.rate(counted, found).where("doc_id % 10 = 0").collect()
+    bigrams = lm.score_texts(df, lm_fold(), order=2).where("doc_id % 10 = 0").collect()
+    words = lm.score_texts(df, lm_fold(), order=1).where("doc_id % 10 = 0").collect()
+    total = lambda rows: sum(r["score"] for r in rows)
+    assert total(out) > 0.7 * sum(r["base_score"] for r in out) and total(bigrams) > total(words) and total(out) > total(words)
     assert lm.score_texts(empty, F.lit(lm.LEARN)).count() == 0
+    assert lm.score_texts(df, F.lit(lm.LEARN)).count() == lm.score_texts(df, F.lit(lm.OUT)).count() == len(LM_ROWS)
 
 
 def test_em_prefers_what_explains():
-    bins = np.zeros((1, lm.BUCKETS, lm.BINS))
-    bins[0, 5, 30] = 90  # estimates far above the lower mixture
-    bins[0, 5, 0] = 10
-    bins[0, 6, 0] = 100  # estimates always zero
-    w = lm.learn_weights(bins)
-    assert 0.85 < w[0, 5] < 0.95 and w[0, 6] < 0.01
+    level = lambda b, part: b * lm.BINS + part
+    cells = np.array([level(5, 20), level(5, 0), level(6, 0)])
+    w = lm.learn_shares(cells, np.array([90.0, 10.0, 100.0]), np.array([[90 * 15.0, 0.0, 0.0]]), order=1)
+    assert 0.85 < w[0, 5] < 0.95 and w[0, 6] < 0.01 and w[0, 0] == 0 and w[0, 7] == w[0, 6]
 
 
 def test_quality(spark, docs, empty):
