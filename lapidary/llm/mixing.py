@@ -1,18 +1,20 @@
 """Mixing sources to target weights, with built-in functions only.
 
 Each source's words are packed into blocks of ``block`` words, documents laid end to end. The targets fix how many blocks
-each source gives (its slots). All slots together are dealt to output shards of ``shard_slots`` slots by a pseudorandom
-permutation, so that a shard's source counts are multinomial draws given the totals; slot t of a source with n blocks
-takes block P(t mod n), where P is a pseudorandom permutation of 0..n-1, another one for each pass over the source. Blocks
-and slots are joined by (source, block).
+each source gives (its slots). First every output shard of ``shard_slots`` slots draws how many it takes of each source: all
+slots are dealt to shards by a pseudorandom permutation, so that the counts are multinomial draws given the totals. Then
+the shards' counts, laid end to end by source, number the slots: slot t of a source with n blocks takes block P(t mod n),
+where P is a pseudorandom permutation of 0..n-1, another one for each pass over the source. Blocks and slots are joined by
+(source, block).
 
 Permutations are swap-or-not networks (Hoang, Morris and Rogaway, 2012): each round pairs x with key - x modulo n and
 swaps the pair or not by one hash bit, a bijection of any range that needs no sort and no table. Everything follows from
 the documents and ``seed``, so reruns agree.
 
-Scale: a document's place in its source is a two-level sum, over buckets and within one bucket of a source (a
-``BUCKETS``-th of it), so a source with a third of all rows is never in one task; slots are counted by (source, block)
-before they meet the blocks. What is collected by one task is one row a source and bucket.
+Scale: a document's place in its source is a two-level sum, over buckets of about ``BUCKET_ROWS`` rows and within one bucket
+of a source, and so is a shard's place among a source's slots; a source with a third of all rows is never in one task. Slots
+are made by many tasks and counted by (shard, source) and (source, block) before they meet anything. What one task sorts
+whole is one row a source, and one row a source and bucket.
 
 Results by definition: null texts have no words, take none and keep their row; sources are in code point order, a null
 source last, and form one source; equal rows are separate documents; an empty table gives no rows; other columns are
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from lapidary.llm.store import shared_folder
 
-BUCKETS = 512
+BUCKET_ROWS = 4096
+SHARD_SPAN = 4096
 BLOCK = 64
 SHARD_SLOTS = 8192
 ROUNDS = 20
@@ -71,11 +74,38 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: int =
     return rows.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 17, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(documents, slots). Writes one row a document, without its text, under spark.checkpoint.dir.
+def _before(rows: DataFrame, keys: list[str], part: str, order: str, value: str, name: str) -> DataFrame:
+    """Adds, per keys, the sum of ``value`` over the rows before each in (part, order): parts are summed first."""
+    sums = rows.groupBy(*keys, part).agg(F.sum(value).alias("_part_sum"))
+    parts = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, part, F.coalesce(F.sum("_part_sum").over(parts), F.lit(0)).alias("_part_start"))
+    within = Window.partitionBy(*keys, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inner", F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, [*keys, part])
+    return placed.withColumn(name, F.col("_part_start") + F.col("_inner")).drop("_part_start", "_inner")
+
+
+def _runs(first: Column, n: Column, span: int = 4096) -> Column:
+    """0, span, 2 span ... below n, so that a long range is made by many tasks."""
+    return F.explode(F.sequence(first, n - 1, F.lit(span).cast("long")))
+
+
+def draw_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 17, tasks: int = 8) -> DataFrame:
+    """(shard, rank, n): how many slots each output shard takes of each source, multinomial given the sources' totals.
+
+    ``sources``: rows (rank, slots, slots_before, all_slots).
+    """
+    span = 4096
+    runs = sources.where("slots > 0").select("rank", "slots", "slots_before", "all_slots", _runs(F.lit(0).cast("long"), F.col("slots"), span).alias("first")).repartition(tasks, "rank", "first")
+    slots = runs.select("rank", "slots_before", "all_slots", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + span, F.col("slots")) - 1)).alias("t"))
+    dealt = permuted(F.col("slots_before") + F.col("t"), F.col("all_slots"), F.lit(seed))
+    return slots.groupBy(F.floor(dealt / shard_slots).cast("long").alias("shard"), "rank").agg(F.count("*").alias("n"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(documents, mix). Writes one row a document, without its text, and the shards' counts under spark.checkpoint.dir.
 
     Documents: doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted), key (of the
-    row). Slots: the mix itself, as rows (shard, place, source, rank, block): output shard, place in it, and the block.
+    row). Mix: rows (shard, place, source, rank, block): output shard, place in it, and the block.
     """
     named = F.col(source_col).cast("string")
     # a name without nulls that sorts by code point, the null source last
@@ -83,8 +113,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
     # sizes are counted once; what follows reads this small table
     spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "mixing")
-    rows.withColumn("bucket", F.pmod("key", F.lit(buckets))).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows.write.parquet(f"{path}/sizes")
+    rows = spark.read.parquet(f"{path}/sizes")
+    buckets = max(16, -(-rows.count() // bucket_rows))
+    rows = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -95,15 +128,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     running = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     sources = sources.withColumn("slots_before", F.coalesce(F.sum("slots").over(running), F.lit(0))).withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
 
-    # slots come in runs of 4096, so that a large source's are made by many tasks
-    span = 4096
-    runs = sources.where("slots > 0").select("source", "rank", "blocks", "slots", "slots_before", "all_slots", F.explode(F.sequence(F.lit(0), F.col("slots") - 1, F.lit(span).cast("long"))).alias("first")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "rank", "first")
-    slots = runs.select("*", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + span, F.col("slots")) - 1)).alias("t"))
-    dealt = permuted(F.col("slots_before") + F.col("t"), F.col("all_slots"), F.lit(seed))
+    draw_counts(sources, shard_slots, seed, tasks).write.parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts").withColumn("span", F.floor(F.col("shard") / SHARD_SPAN))
+    counts = _before(counts, ["rank"], "span", "shard", "n", "start").join(sources.select("rank", "source", "blocks"), "rank")
+    inner = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("ahead", F.coalesce(F.sum("n").over(inner), F.lit(0))).withColumn("held", F.sum("n").over(Window.partitionBy("shard")))
+    slots = counts.repartition(tasks, "shard", "rank").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).withColumn("t", F.col("start") + F.col("i"))
     chosen = permuted(F.pmod("t", F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("rank"), F.floor(F.col("t") / F.col("blocks")))
-    slots = slots.select("source", "rank", F.col("t").alias("slot"), dealt.alias("dealt"), chosen.alias("block"))
+    place = permuted(F.col("ahead") + F.col("i"), F.col("held"), F.lit(seed), F.col("shard"))
+    slots = slots.select("shard", place.alias("place"), "source", "rank", chosen.alias("block"))
     name = F.when(F.col("source") != "1", F.substring("source", 2, 2**31 - 1))
-    mix = slots.select(F.floor(F.col("dealt") / shard_slots).alias("shard"), F.pmod("dealt", F.lit(shard_slots)).alias("place"), name.alias("source"), "rank", "block")
+    mix = slots.select("shard", "place", name.alias("source"), "rank", "block")
 
     within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner_start", F.coalesce(F.sum("size").over(within), F.lit(0)))

@@ -53,8 +53,36 @@ def test_mixing(spark):
         assert x["taken"] <= 3 * x["size"] and x["target"] == pytest.approx(target[x["source"]]) and x["source_size"] == size[x["source"]]
     for s in names:
         assert abs(taken[s] - target[s]) <= 64
-    places = [(x["shard"], x["place"]) for x in slots.collect()]
+    slots = slots.collect()
+    places = [(x["shard"], x["place"]) for x in slots]
     assert len(set(places)) == len(places)
+    # every word taken is one of a block in a slot of some shard
+    for x in got:
+        own = [y["block"] for y in slots if y["rank"] == x["rank"]]
+        assert x["taken"] == sum(max(0, min(x["start"] + x["size"], 16 * b + 16) - max(x["start"], 16 * b)) for b in own)
+
+
+def test_mixing_draws_counts_per_shard(spark):
+    """Shards are full but the last, their source counts scatter as draws from the totals do, blocks are used evenly."""
+    r = random.Random(5)
+    rows = [(i, "w " * r.randrange(1, 400), "abc"[i % 3]) for i in range(600)]
+    _, mix = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=8, shard_slots=256)
+    got = mix.collect()
+    by_shard = collections.Counter(x["shard"] for x in got)
+    assert all(by_shard[s] == 256 for s in range(max(by_shard))) and sorted(by_shard) == list(range(len(by_shard)))
+    assert all(sorted(x["place"] for x in got if x["shard"] == s) == list(range(by_shard[s])) for s in list(by_shard)[:5])
+    for source in "abc":
+        share = sum(x["source"] == source for x in got) / len(got)
+        counts = [sum(x["source"] == source and x["shard"] == s for x in got) for s in range(max(by_shard))]
+        z = [(c - 256 * share) / (256 * share * (1 - share)) ** 0.5 for c in counts]
+        assert 0.5 < np.mean(np.square(z)) < 1.6 and max(map(abs, z)) < 5
+        uses = collections.Counter(x["block"] for x in got if x["source"] == source)
+        assert max(uses.values()) - min(uses.values()) <= 1
+
+
+def test_mixing_of_nothing(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
+    assert [x["taken"] for x in mixing.mix_sources(df)[0].collect()] == [0, 0]
     none = mixing.mix_sources(df.limit(0))
     assert none[0].count() == 0 and none[1].count() == 0
 
