@@ -2,7 +2,9 @@
 
 A filter has 2**bits buckets of four 16-bit fingerprints; a key's two buckets differ by a hash of its fingerprint, so an
 entry can move, and be deleted, without the key. Inserting the same key twice stores it twice. Keys that find no place
-after ``MAX_KICKS`` rounds are kept beside the table, as (bucket, fingerprint) pairs, so no key is ever lost. A present key is always found; an absent one is found about once in 8000 probes.
+after ``MAX_KICKS`` rounds are kept beside the table, as (bucket, fingerprint) pairs, so no key is ever lost. A present key
+is always found; an absent one is found about once in 8000 probes. A filter does not know whose an entry is: who deletes has
+to know that the key has one in this filter.
 """
 
 from __future__ import annotations
@@ -82,19 +84,22 @@ class CuckooFilter:
         return bool(self.count(np.array([h], _U))[0])
 
     def delete(self, h: np.ndarray) -> None:
-        """Take out one entry of each key. Only keys that were inserted may be deleted."""
-        for mark, one in zip(*self._places(np.asarray(h, _U))):
-            two = self._other(np.array([one]), np.array([mark]))[0]
-            pair = _U(min(one, two)) << _U(16) | _U(mark)
-            at = np.searchsorted(self.over, pair)
-            if at < len(self.over) and self.over[at] == pair:
-                self.over = np.delete(self.over, at)
-                continue
-            for b in (one, two):
-                slot = np.flatnonzero(self.table[b] == mark)
-                if len(slot):
-                    self.table[b, slot[0]] = 0
-                    break
+        """Take out one entry for each time a key is given. Only keys that were inserted so often may be deleted."""
+        mark, one = self._places(np.asarray(h, _U))
+        two = self._other(one, mark)
+        # entries of equal mark and buckets are one kind, whichever key they were made for
+        pair, times = np.unique((np.minimum(one, two).astype(_U) << _U(16)) | mark.astype(_U), return_counts=True)
+        mark, one = (pair & _U(0xFFFF)).astype(np.uint16), (pair >> _U(16)).astype(np.int64)
+        first = np.searchsorted(self.over, pair)
+        beside = np.minimum(np.searchsorted(self.over, pair, side="right") - first, times)
+        self.over = np.delete(self.over, np.repeat(first, beside) + np.arange(beside.sum()) - np.repeat(np.cumsum(beside) - beside, beside))
+        times = times - beside
+        for bucket in (one, self._other(one, mark)):
+            hit = self.table[bucket] == mark[:, None]
+            out = hit & (np.cumsum(hit, axis=1) <= times[:, None])
+            at, slot = np.nonzero(out)
+            self.table[bucket[at], slot] = 0
+            times = times - out.sum(axis=1)
 
     def to_bytes(self) -> bytes:
         return struct.pack("<iq", self.bits, len(self.over)) + self.over.tobytes() + self.table.tobytes()

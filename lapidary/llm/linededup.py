@@ -3,23 +3,27 @@
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased; keys of ``MIN_CHARS`` code points
 or more count. Keys are compared by 128-bit hash. The index is three tables:
 
-* postings (k1, k2, shard, doc, line, first): where each key stands; ``first`` marks its first line in the document;
-* refs (k1, k2, shard, refs, owner): in how many documents, and the smallest id of these;
-* filters (shard, filter): cuckoo filters of the shard's keys, each key twice at most, so that a probe tells "absent",
-  "in one document" and "in several"; a batch that finds no room adds a layer.
+* postings (k1, k2, doc, row, line, first): where each key stands; ``row`` is a hash of the text, which tells apart rows
+  that share an id; ``first`` marks the key's first line in its row;
+* refs (k1, k2, refs, owner, last, layers): in how many rows, the smallest and largest id of these, and the filter layers
+  that hold the key's entries;
+* filters (shard, filter): cuckoo filters of the shard's keys. A key has one entry, or two where it stands in several
+  documents, so that a probe tells "absent", "in one document" and "in several"; a batch that finds no room adds a layer.
 
 ``insert`` probes the filters with a batch's keys: what they don't know is new and goes straight to the refs, the rest is
-merged with them by an exact join. ``dedup`` probes them with each line's key and looks up only lines that may be repeated
-in the exact table of their shard. ``delete`` takes a document's keys out of all three, so that the index is again what it
-was without it.
+merged with them by an exact join. How many entries a key gets, and which are taken out of which layer by ``delete``,
+follows from the exact refs alone, so that a filter's chance hits change nothing and the index is again what it was.
+``dedup`` probes the filters with each line's key and looks up only lines that may be repeated in the exact table of their
+shard.
 
 Scale: postings are counted by key before any key's rows meet (partial aggregation), so a line in a third of all documents
-is one row a task. When lines are probed, keys that hold over 1/``HEAVY`` of all postings (fewer than ``HEAVY`` keys, which
-bounds that broadcast) are spread over ``SALTS`` tasks, the other keys are routed by hash; a task streams its lines past
-its shard's filter and table. Texts are shuffled once, by document, to meet their dropped lines.
+is one row a task. The first insertion fixes the number of shards, about ``SHARD_KEYS`` keys each; an index that has grown
+many times over is built anew. When lines are probed, keys that hold over 1/``HEAVY`` of all postings (fewer than ``HEAVY``
+keys, which bounds that broadcast) are spread over ``SALTS`` tasks, the other keys are routed by hash; a task streams its
+lines past its shard's filter and table. Texts are shuffled once, by document, to meet their dropped lines.
 
 Results by definition: a null or empty text is one empty line; null ids count as one document, before all others; lines of
-one document, or of equal rows with one id, never drop each other; an empty table gives no rows; other columns stay.
+rows with one id never drop each other; an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.llm.cuckoo import LOAD, SLOTS, CuckooFilter
@@ -39,13 +43,16 @@ from lapidary.llm.store import shared_folder
 from lapidary.llm.text import SPACE, Chunk, bounded_batches, chunks
 
 MIN_CHARS = 10
+SHARD_KEYS = 1 << 16
 HEAVY = 2048
 SALTS = 64
+MOST_BROADCAST = 100_000
 NULL_ID = -(2**63)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _U = np.uint64
-POSTING = "doc long, k1 long, k2 long, line int, first boolean, shard int"
+POSTING = "doc long, row long, k1 long, k2 long, line int, first boolean"
+REF = "k1 long, k2 long, refs long, owner long, last long, layers array<int>"
 
 
 @dataclass
@@ -53,7 +60,7 @@ class LineIndex:
     postings: DataFrame
     refs: DataFrame
     filters: DataFrame
-    shards: int
+    shards: int | None  # None: empty, not known yet
 
     def write(self, path: str) -> LineIndex:
         """The index as tables under ``path``, lineage cut."""
@@ -63,23 +70,23 @@ class LineIndex:
         return LineIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "refs", "filters")), self.shards)
 
 
-def shard_count(spark: SparkSession) -> int:
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def empty_index(spark: SparkSession) -> LineIndex:
+    return LineIndex(spark.createDataFrame([], POSTING), spark.createDataFrame([], REF), spark.createDataFrame([], "shard int, filter binary"), None)
 
 
-def empty_index(spark: SparkSession, shards: int | None = None) -> LineIndex:
-    return LineIndex(
-        spark.createDataFrame([], POSTING),
-        spark.createDataFrame([], "k1 long, k2 long, shard int, refs long, owner long"),
-        spark.createDataFrame([], "shard int, filter binary"),
-        shards or shard_count(spark),
-    )
+def row_key(text: Column) -> Column:
+    """A hash that tells apart rows that share an id."""
+    return F.xxhash64(text.cast("string"))
 
 
-def postings(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line whose key counts: doc, k1, k2, line, first, shard."""
+def _shard(shards: int) -> Column:
+    return F.pmod("k1", F.lit(shards)).cast("int").alias("shard")
+
+
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per line whose key counts: doc, row, k1, k2, line, first."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).cast("string").alias("text"), row_key(F.col(text_col)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -97,10 +104,10 @@ def postings(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
             first = np.ones(len(a), bool)
             same = (k1[order][1:] == k1[order][:-1]) & (k2[order][1:] == k2[order][:-1]) & (owner[order][1:] == owner[order][:-1])
             first[order[1:][same]] = False
-            ids = chunk.rows.column("doc").to_numpy(zero_copy_only=False)
+            ids, rows = (chunk.rows.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[owner]), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(line, pa.int32()), pa.array(first), pa.array((k1 % _U(shards)).astype(np.int32))],
-                names=["doc", "k1", "k2", "line", "first", "shard"],
+                [pa.array(ids[owner]), pa.array(rows[owner]), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(line, pa.int32()), pa.array(first)],
+                names=["doc", "row", "k1", "k2", "line", "first"],
             )
 
     return docs.mapInArrow(run, POSTING)
@@ -153,11 +160,28 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
 
 
-ENTRY = "shard int, k1 long, k2 long, refs long, owner long, known boolean, filter binary"
-_ENTRY = pa.schema([("shard", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("refs", pa.int64()), ("owner", pa.int64()), ("known", pa.bool_()), ("filter", pa.binary())])
+_KNOWN = pa.schema([("k1", pa.int64()), ("k2", pa.int64())])
 
 
-def _probe_and_insert():
+def _seen():
+    """Which of a batch's keys the filters may hold."""
+    layers: list[CuckooFilter] = []
+
+    def handle(kind, batch, key):
+        nonlocal layers
+        if kind == 0:
+            layers = _load(batch.column("filter")[0].as_py())
+        elif kind == 1:
+            hit = np.flatnonzero(_count(layers, _column(batch, "k1").view(_U)) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hit)) for c in ("k1", "k2")], schema=_KNOWN)
+        else:
+            layers = []
+
+    return handle
+
+
+def _put_in():
+    """Insert the keys' new entries; a row (shard, filter, layer) says into which layer."""
     layers: list[CuckooFilter] = []
     fresh: list[np.ndarray] = []
 
@@ -166,11 +190,7 @@ def _probe_and_insert():
         if kind == 0:
             layers = _load(batch.column("filter")[0].as_py())
         elif kind == 1:
-            h = _column(batch, "k1").view(_U)
-            refs, seen = _column(batch, "refs"), _count(layers, h)
-            fresh.append(np.repeat(h, np.maximum(np.minimum(refs + np.minimum(seen, 2), 2) - np.minimum(seen, 2), 0)))
-            columns = [batch.column(c) for c in ("shard", "k1", "k2", "refs", "owner")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(seen > 0), pa.nulls(len(h), pa.binary())], schema=_ENTRY)
+            fresh.append(np.repeat(_column(batch, "k1").view(_U), _column(batch, "times")))
         else:
             new = np.concatenate(fresh) if fresh else np.zeros(0, _U)
             room = layers[-1].table.size * LOAD - np.count_nonzero(layers[-1].table) if layers else 0
@@ -178,38 +198,14 @@ def _probe_and_insert():
                 layers.append(CuckooFilter.sized(len(new)))
             if len(new):
                 layers[-1].insert(new)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), *(pa.nulls(1, t) for t in _ENTRY.types[1:6]), pa.array([_dump(layers)], pa.binary())], schema=_ENTRY)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([_dump(layers)], pa.binary()), pa.array([len(layers) - 1], pa.int32())], names=["shard", "filter", "layer"])
             layers, fresh = [], []
 
     return handle
 
 
-def _counted(found: DataFrame) -> DataFrame:
-    return found.where("first").groupBy("k1", "k2").agg(F.first("shard").alias("shard"), F.count("*").alias("refs"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-    """The index with these documents, whose ids it must not hold yet. Texts are read once."""
-    found = _kept(postings(docs, index.shards, id_col, text_col), "postings")
-    # rows that repeat an id are one document
-    counted = _counted(found).select("k1", "k2", "shard", F.when(F.col("owner") == F.col("last"), 1).otherwise(F.col("refs")).alias("refs"), "owner")
-    old = index.filters.select("shard", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "refs", "owner")), "filter")
-    rows = old.unionByName(counted.select("shard", F.lit(1).alias("kind"), "k1", "k2", "refs", "owner", F.lit(None).cast("binary").alias("filter")))
-    entries = _kept(_streamed(rows, ["shard"], ENTRY, _probe_and_insert), "lines")
-    keys = entries.where(F.col("filter").isNull()).select("k1", "k2", "shard", "refs", "owner", "known")
-    new, known = keys.where(~F.col("known")).drop("known"), keys.where("known").drop("known")
-    merged = index.refs.unionByName(known).groupBy("k1", "k2").agg(F.first("shard").alias("shard"), F.sum("refs").alias("refs"), F.min("owner").alias("owner"))
-    # a filter that answers wrongly sends a new key through the merge, which is exact
-    return LineIndex(index.postings.unionByName(found), new.unionByName(merged.select(*new.columns)), entries.where(F.col("filter").isNotNull()).select("shard", "filter"), index.shards)
-
-
 def _take_out():
+    """Delete the entries (k1, layer) that are no longer due."""
     layers: list[CuckooFilter] = []
 
     def handle(kind, batch, key):
@@ -217,12 +213,9 @@ def _take_out():
         if kind == 0:
             layers = _load(batch.column("filter")[0].as_py())
         elif kind == 1:
-            h, less = _column(batch, "k1").view(_U), _column(batch, "refs")
-            for x in np.repeat(h, less):
-                for layer in reversed(layers):
-                    if x in layer:
-                        layer.delete(np.array([x]))
-                        break
+            h, which = _column(batch, "k1").view(_U), _column(batch, "times")
+            for i in np.unique(which):
+                layers[i].delete(h[which == i])
         else:
             yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([_dump(layers)], pa.binary())], names=["shard", "filter"])
             layers = []
@@ -231,21 +224,76 @@ def _take_out():
     return handle
 
 
+def _with_filters(filters: DataFrame, keys: DataFrame) -> DataFrame:
+    """The shards' filters (kind 0) and the keys that go to them (kind 1)."""
+    old = filters.select("shard", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "times")), "filter")
+    return old.unionByName(keys.withColumn("kind", F.lit(1)).withColumn("filter", F.lit(None).cast("binary")), allowMissingColumns=True)
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    return found.where("first").groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
+
+
+def _due(owner: str = "owner", last: str = "last") -> Column:
+    """How many filter entries a key of these ids has."""
+    return F.when(F.col(owner) < F.col(last), 2).otherwise(1).cast("long")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def insert(index: LineIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
+    """The index with these documents, whose ids it must not hold yet. Texts are read once."""
+    return insert_postings(index, postings(docs, id_col, text_col))
+
+
+def insert_postings(index: LineIndex, found: DataFrame) -> LineIndex:
+    found = _kept(found, "postings")
+    counted = _kept(_counted(found), "lines")
+    old = index.shards is not None
+    if not old:
+        index = replace(index, shards=max(1, -(-counted.count() // SHARD_KEYS)))
+    shard = _shard(index.shards)
+    none = F.array().cast("array<int>")
+    if old:
+        # a filter that answers wrongly sends a new key through the join, which is exact
+        maybe = _kept(_streamed(_with_filters(index.filters, counted.select(shard, "k1", "k2")), ["shard"], "k1 long, k2 long", _seen), "known")
+        before = index.refs.join(maybe, ["k1", "k2"], "left_semi").select("k1", "k2", *(F.col(c).alias(f"_{c}") for c in ("refs", "owner", "last", "layers")))
+        merged = counted.join(before, ["k1", "k2"], "left")
+        merged = merged.select("k1", "k2", (F.col("refs") + F.coalesce("_refs", F.lit(0))).alias("refs"), F.least("owner", "_owner").alias("owner"), F.greatest("last", "_last").alias("last"), F.coalesce("_layers", none).alias("layers"))
+        merged = _kept(merged, "merged")
+    else:
+        merged = counted.withColumn("layers", none)
+    merged = merged.withColumn("times", _due() - F.size("layers"))
+    filters = _kept(_streamed(_with_filters(index.filters, merged.where("times > 0").select(shard, "k1", "times")), ["shard"], "shard int, filter binary, layer int", _put_in), "filters")
+    # one small row a shard says into which layer this batch's entries went
+    layer = filters.select("shard", "layer")
+    grown = merged.withColumn("shard", shard).join(F.broadcast(layer) if index.shards <= MOST_BROADCAST else layer, "shard")
+    grown = grown.select("k1", "k2", "refs", "owner", "last", F.concat("layers", F.array_repeat("layer", F.col("times").cast("int"))).alias("layers"))
+    refs = grown if not old else index.refs.join(counted, ["k1", "k2"], "left_anti").unionByName(grown)
+    return LineIndex(index.postings.unionByName(found) if old else found, refs, filters.select("shard", "filter"), index.shards)
+
+
 def delete(index: LineIndex, ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
     """The index without the documents of these ids; ids that it doesn't hold change nothing."""
+    if index.shards is None:
+        return index
     gone = ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc")).distinct()
     kept = index.postings.join(gone, "doc", "left_anti")
     hit = index.postings.join(gone, "doc", "left_semi").select("k1", "k2").distinct()
-    left = _counted(kept.join(hit, ["k1", "k2"], "left_semi")).drop("last")
-    changed = hit.join(index.refs.select("k1", "k2", "shard", F.col("refs").alias("before")), ["k1", "k2"]).join(left.select("k1", "k2", F.col("refs").alias("after")), ["k1", "k2"], "left")
-    less = changed.select("shard", F.lit(1).alias("kind"), "k1", (F.least("before", F.lit(2)) - F.least(F.coalesce("after", F.lit(0)), F.lit(2))).cast("long").alias("refs"), F.lit(None).cast("binary").alias("filter")).where("refs > 0")
-    old = index.filters.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("refs"), "filter")
-    filters = _streamed(old.unionByName(less), ["shard"], "shard int, filter binary", _take_out)
-    refs = index.refs.join(hit, ["k1", "k2"], "left_anti").unionByName(left.select(*index.refs.columns))
-    return LineIndex(kept, refs, filters, index.shards)
+    left = _counted(kept.join(hit, ["k1", "k2"], "left_semi"))
+    changed = index.refs.join(hit, ["k1", "k2"], "left_semi").select("k1", "k2", "layers").join(left, ["k1", "k2"], "left")
+    changed = _kept(changed.withColumn("due", F.when(F.col("refs").isNull(), 0).otherwise(_due())), "changed")
+    less = changed.select(_shard(index.shards), "k1", F.explode(F.expr("transform(slice(layers, cast(due as int) + 1, 2), x -> cast(x as long))")).alias("times"))
+    filters = _streamed(_with_filters(index.filters, less), ["shard"], "shard int, filter binary", _take_out)
+    still = changed.where("refs is not null").select("k1", "k2", "refs", "owner", "last", F.expr("slice(layers, 1, cast(due as int))").alias("layers"))
+    return LineIndex(kept, index.refs.join(hit, ["k1", "k2"], "left_anti").unionByName(still), filters, index.shards)
 
 
-_DROP = pa.schema([("doc", pa.int64()), ("line", pa.int32())])
+_DROP = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("line", pa.int32())])
 
 
 def _probe():
@@ -278,7 +326,7 @@ def _probe():
                 if not (same & ~found).any():
                     break
                 at = at + (same & ~found)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[maybe][drop]), batch.column("line").take(pa.array(maybe[drop]))], schema=_DROP)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(maybe[drop])) for c in ("doc", "row", "line")], schema=_DROP)
         else:
             layers, table, exact = [], [], None
 
@@ -286,19 +334,25 @@ def _probe():
 
 
 def dropped_lines(found: DataFrame, index: LineIndex) -> DataFrame:
-    """Of these postings, the lines (doc, line) that other documents' lines make redundant."""
-    repeated = index.refs.where("refs > 1").select("k1", "k2", "shard", F.col("owner").alias("doc"), "refs")
+    """Of these postings, the lines (doc, row, line) that other documents' lines make redundant."""
+    if index.shards is None:
+        return found.sparkSession.createDataFrame([], "doc long, row long, line int")
+    nothing = {"row": "long", "line": "int", "filter": "binary"}
+    empty = lambda *names: (F.lit(None).cast(nothing[c]).alias(c) for c in names)
+    shard = _shard(index.shards)
+    repeated = index.refs.where("owner < last").select("k1", "k2", F.col("owner").alias("doc"), "refs")
     total = F.broadcast(index.refs.agg(F.sum("refs").alias("total")))
     heavy = F.broadcast(repeated.join(total).where(F.col("refs") * HEAVY > F.col("total")).select("k1", "k2", F.lit(True).alias("heavy")))  # fewer than HEAVY rows
     salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    state = repeated.join(heavy, ["k1", "k2"], "left").select("shard", F.explode(salts).alias("salt"), F.lit(1).alias("kind"), "k1", "k2", "doc", F.lit(None).cast("int").alias("line"), F.lit(None).cast("binary").alias("filter"))
-    lines = found.join(heavy, ["k1", "k2"], "left").select("shard", F.when(F.col("heavy"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), F.lit(2).alias("kind"), "k1", "k2", "doc", "line", F.lit(None).cast("binary").alias("filter"))
+    state = repeated.join(heavy, ["k1", "k2"], "left").select(shard, F.explode(salts).alias("salt"), F.lit(1).alias("kind"), "k1", "k2", "doc", *empty("row", "line", "filter"))
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("doc", "row"), F.lit(SALTS))).otherwise(0).cast("int")
+    lines = found.join(heavy, ["k1", "k2"], "left").select(shard, salt.alias("salt"), F.lit(2).alias("kind"), "k1", "k2", "doc", "row", "line", *empty("filter"))
     # a salted task holds heavy keys only: where it has no filter of its own, its table alone decides
     spread = state.where("salt > 0").select("shard", "salt").distinct()
     own = index.filters.select("shard", F.lit(0).alias("salt"), "filter")
     filters = own.unionByName(index.filters.join(spread, "shard").select("shard", "salt", "filter"))
-    first = filters.select("shard", "salt", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "doc")), F.lit(None).cast("int").alias("line"), "filter")
-    return _streamed(first.unionByName(state).unionByName(lines), ["shard", "salt"], "doc long, line int", _probe)
+    first = filters.select("shard", "salt", F.lit(0).alias("kind"), *(F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "doc")), *empty("row", "line"), "filter")
+    return _streamed(first.unionByName(state).unionByName(lines), ["shard", "salt"], "doc long, row long, line int", _probe)
 
 
 def _without(text: str | None, gone: list[int] | None) -> tuple[str, int]:
@@ -316,11 +370,11 @@ def dedup(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: s
     With ``digest`` the result is doc_id, n_lines, n_dropped and kept_sha256 instead, and no texts.
     """
     spark = docs.sparkSession
-    lines = index.postings if whole else postings(docs, index.shards, id_col, text_col)
-    drops = dropped_lines(lines.select("doc", "k1", "k2", "line", "shard"), index).groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    lines = index.postings if whole else postings(docs, id_col, text_col)
+    drops = dropped_lines(lines.select("doc", "row", "k1", "k2", "line"), index).groupBy("doc", "row").agg(F.collect_set("line").alias("gone"))
     others = [c for c in docs.columns if c != text_col] if not digest else [id_col]
-    left = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_doc"), F.struct(*map(F.col, others)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    met = left.join(drops, left["_doc"] == drops["doc"], "left").select("_row", "_text", "gone")
+    left = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_doc"), row_key(F.col(text_col)).alias("_key"), F.struct(*map(F.col, others)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    met = left.join(drops, (left["_doc"] == drops["doc"]) & (left["_key"] == drops["row"]), "left").select("_row", "_text", "gone")
     bounded_batches(spark)
     kind = met.schema["_row"].dataType.simpleString()
     if digest:

@@ -82,7 +82,7 @@ def result(df):
 
 def test_line_dedup_with_insertions_and_deletions(spark, docs, empty):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    index = linededup.insert(linededup.empty_index(spark, 3), docs)
+    index = linededup.insert(linededup.empty_index(spark), docs)
     assert result(linededup.dedup(docs, index, digest=True, whole=True)) == brute_lines(rows)
     assert result(linededup.dedup(docs, index, digest=True)) == brute_lines(rows)
     more = spark.createDataFrame([(100 + i, f"shared line number {i % 4}\nown line {i}\na line of text") for i in range(12)], "doc_id long, text string")
@@ -91,14 +91,57 @@ def test_line_dedup_with_insertions_and_deletions(spark, docs, empty):
     assert result(linededup.dedup(both, grown, digest=True)) == brute_lines(rows + [tuple(r) for r in more.collect()])
     # taking documents out again gives back the counts and the filters' answers
     back = linededup.delete(grown, more)
-    refs = lambda i: sorted(map(tuple, i.refs.select("k1", "k2", "refs", "owner").collect()))
+    refs = lambda i: sorted(map(tuple, i.refs.select("k1", "k2", "refs", "owner", "last", F.size("layers")).collect()))
     assert refs(back) == refs(index)
     assert result(linededup.dedup(docs, back, digest=True)) == brute_lines(rows)
     first = linededup.delete(index, spark.createDataFrame([(9,)], "doc_id long"))
-    assert refs(first) == refs(linededup.insert(linededup.empty_index(spark, 3), docs.where("doc_id <> 9 OR doc_id IS NULL")))
+    assert refs(first) == refs(linededup.insert(linededup.empty_index(spark), docs.where("doc_id <> 9 OR doc_id IS NULL")))
     whole = linededup.dedup(docs, index)
     assert set(docs.columns) <= set(whole.columns)
-    assert linededup.dedup(empty, linededup.insert(linededup.empty_index(spark, 3), empty), digest=True).count() == 0
+    assert linededup.dedup(empty, linededup.insert(linededup.empty_index(spark), empty), digest=True).count() == 0
+
+
+def test_line_dedup_rows_that_share_an_id(spark):
+    """A line dropped from one row stays in another row of the same id, and deletions count such rows as insertions do."""
+    a, b, own = "a line of two documents", "another such line", "this line is one of its own"
+    rows = [(1, a), (2, f"{own}\n{a}"), (2, f"{a}\n{own}"), (2, f"{a}\n{own}"), (3, f"{b}\n{b}"), (4, b), (4, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = linededup.insert(linededup.empty_index(spark), docs)
+    assert result(linededup.dedup(docs, index, digest=True, whole=True)) == brute_lines(rows)
+    for ids in ([1], [4], [2, 3], [1, 2, 3, 4]):
+        left = docs.where(~F.col("doc_id").isin(ids))
+        index_left = linededup.delete(index, spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+        fresh = linededup.insert(linededup.empty_index(spark), left)
+        see = lambda i: sorted(map(tuple, i.refs.select("k1", "k2", "refs", "owner", "last", F.size("layers")).collect()))
+        assert see(index_left) == see(fresh)
+        assert result(linededup.dedup(left, index_left, digest=True)) == brute_lines([x for x in rows if x[0] not in ids])
+    assert linededup.delete(linededup.empty_index(spark), docs).shards is None
+
+
+def test_line_index_with_colliding_fingerprints(spark):
+    """Keys of equal fingerprint and bucket: deleting some leaves the entries that the others are due."""
+    place = lambda doc, key: (doc, 0, int(key), int(key) * 31, 0, True)
+    low = np.arange(1, 41)  # the upper 16 bits, which make the fingerprint, are alike
+    first = [place(1, k) for k in low[:20]]
+    second = [place(d, k) for k in low[20:] for d in (2, 3)]
+    third = [place(4, k) for k in low]
+    df = lambda rows: spark.createDataFrame(rows, linededup.POSTING)
+    index = linededup.empty_index(spark)
+    for rows in (first, second, third):
+        index = linededup.insert_postings(index, df(rows)).write(f"{spark.conf.get('spark.checkpoint.dir')}/index-{rows[0][0]}")
+    gone = lambda i: spark.createDataFrame([(i,)], "doc_id long")
+    for out, rows in ((1, second + third), (4, second), (2, [x for x in second if x[0] == 3])):
+        index = linededup.delete(index, gone(out)).write(f"{spark.conf.get('spark.checkpoint.dir')}/index-without-{out}")
+        owners = collections.defaultdict(set)
+        for doc, _, k, *_ in rows:
+            owners[k].add(doc)
+        got = {r["k1"]: (r["owner"], len(r["layers"])) for r in index.refs.collect()}
+        assert got == {k: (min(d), 1 + (len(d) > 1)) for k, d in owners.items()}
+        (row,) = index.filters.collect()
+        layers = linededup._load(bytes(row["filter"]))
+        assert sum(np.count_nonzero(x.table) + len(x.over) for x in layers) == sum(n for _, n in got.values())
+        dropped = linededup.dropped_lines(df(rows), index).collect()
+        assert sorted((x["doc"]) for x in dropped) == sorted(d for k, ds in owners.items() for d in ds if d != min(ds))
 
 
 def test_cuckoo_filter():
@@ -113,6 +156,10 @@ def test_cuckoo_filter():
     small.insert(keys[:200])
     small = cuckoo.CuckooFilter.from_bytes(small.to_bytes())
     assert (small.count(keys[:200]) > 0).all() and int(keys[0]) in small
+    twice = np.repeat(keys[:100], 2)
+    small.insert(keys[:100])
+    small.delete(np.concatenate([keys[100:200], twice]))
+    assert not len(small.over) and not small.table.any()
 
 
 def test_ngram_join(spark, docs, empty):
