@@ -87,16 +87,25 @@ def test_mixing_of_nothing(spark):
     assert none[0].count() == 0 and none[1].count() == 0
 
 
+def cosine(v, w):
+    """With exponents taken out, so that nothing overflows."""
+    v, w = (np.ldexp(x, -np.frexp(np.abs(x).max())[1]) for x in (v, w))
+    return (v * w).sum() / (np.sqrt((v * v).sum()) * np.sqrt((w * w).sum()))
+
+
 def test_tree_is_exact_at_factor_one():
     r = np.random.default_rng(1)
     m = r.normal(size=(900, 8))
     m[100:140] = m[100]  # ties
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    q = m[::30]
-    rows, _ = Tree(m, leaf=16).search(q, 5, 1.0)
-    d = np.round(np.sqrt(np.maximum(2 - 2 * q @ m.T, 0)), 8)
-    want = np.array([np.lexsort((np.arange(900), x))[:5] for x in d])
-    assert (rows == want).all()
+    m[200:220] = m[200] * (1 + 1e-9 * r.normal(size=(20, 8)))  # nearer than any rounded distance tells
+    m[300] *= 1e200
+    m[301] *= 1e-200
+    q = np.concatenate([m[::30], m[200:201], m[300:302]])
+    ids = r.permutation(900)
+    rows, score = Tree(m, ids, leaf=16).search(q, 5, 1.0)
+    c = np.array([[cosine(x, y) for y in m] for x in q])
+    want = np.array([np.lexsort((ids, -x))[:5] for x in c])
+    assert (rows == want).all() and (score == np.take_along_axis(c, want, 1)).all()
     tree = Tree(m, leaf=16)
     rough, _ = tree.search(q, 5, 0.5)
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(rough, want)]) > 0.5 and tree.visited < len(q) * 900
@@ -105,16 +114,16 @@ def test_tree_is_exact_at_factor_one():
 def test_nearest(spark):
     r = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in r.normal(size=6)]) for i in range(400)]
-    rows += [(1000 + i, rows[50][1]) for i in range(9)] + [(2000, None), (2050, [0.0] * 6), (2100, [float("nan")] * 6), (2150, [None] * 6), (2200, [1.0, 2.0]), (2250, [1e200] * 6)]
+    rows += [(1000 + i, rows[50][1]) for i in range(9)] + [(2000, None), (2050, [0.0] * 6), (2100, [float("nan")] * 6), (2150, [None] * 6), (2200, [1.0, 2.0])]
+    rows += [(2250, [1e200] * 6), (2300, [1e-200] * 6), (2350, [1.0] * 6), (2350, [1.0] * 6), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).withColumn("score", F.lit(1))
+    good = [(i, np.array(v)) for i, v in rows if i is not None and v and len(v) == 6 and None not in v and np.isfinite(v).all() and any(v)]
     got = collections.defaultdict(list)
-    for x in nearest(df, df.where("vec_id % 50 = 0"), factor=1.0, shard_rows=100, block_rows=5).orderBy("query_id", "rank").collect():
+    for x in nearest(df, df.where("vec_id % 50 = 0"), factor=1.0, shard_rows=100).orderBy("query_id", "rank").collect():
         got[x["query_id"]].append((x["vec_id"], x["score"]))
-    good = [(i, np.array(v)) for i, v in rows if v and len(v) == 6 and None not in v and np.isfinite(v).all() and any(v) and i != 2250]
     for q, v in good:
         if q % 50 == 0:
-            scored = sorted(((-(v @ w) / np.linalg.norm(v) / np.linalg.norm(w), i) for i, w in [*good, (2250, np.ones(6))] if i != q), key=lambda t: (round(t[0], 9), t[1]))[:5]
-            assert [i for i, _ in got[q]] == [i for _, i in scored]
+            assert got[q] == [(i, s) for s, i in sorted(((cosine(v, w), i) for i, w in good if i != q), key=lambda t: (-t[0], t[1]))[:5]]
     assert 2000 not in got and 2050 not in got and 2100 not in got and 2200 not in got
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
 
