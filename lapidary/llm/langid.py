@@ -97,17 +97,62 @@ def train(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text_col: str
     return np.log(found / found.sum(axis=1, keepdims=True))
 
 
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template|head|nav)\b.*?</\1\s*>|<[^>]*>")
 _CODE = re.compile(r"([a-z]{2,3})(?![^-_])")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)""")
+_HTML = re.compile(r"(?i)<html\b")
+_LANG = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]+)""")
+_SILENT = re.compile(r"(?i)<(script|style|noscript|template|head|nav)\b")
+_CLOSE = {name: re.compile(rf"(?i)</{name}\s*>") for name in ("script", "style", "noscript", "template", "head", "nav")}
+
+
+def visible(source: str) -> str:
+    """The text outside tags, comments and elements that show none, a blank for each.
+
+    One pass: what is looked for and not found is not looked for again, so the time is linear in the length.
+    """
+    out, at, missing = [], 0, set()
+    while True:
+        tag = source.find("<", at)
+        if tag < 0:
+            out.append(source[at:])
+            return "".join(out)
+        out.append(source[at:tag])
+        end = -1
+        if source.startswith("<!--", tag) and "--" not in missing:
+            end = source.find("-->", tag + 4) + 3
+            if end == 2:
+                missing.add("--")
+        silent = _SILENT.match(source, tag)
+        if silent and silent[1].lower() not in missing:
+            name = silent[1].lower()
+            close = _CLOSE[name].search(source, silent.end())
+            if close:
+                end = close.end()
+            else:
+                missing.add(name)
+        if end < 3:
+            end = source.find(">", tag) + 1
+            if not end:  # no tag ends any more
+                out.append(source[tag:])
+                return "".join(out)
+        out.append(" ")
+        at = end
+
+
+def declared_language(source: str) -> str | None:
+    """The language that the page's html tag names."""
+    at = 0
+    while found := _HTML.search(source, at):
+        at = source.find(">", found.end())
+        at = len(source) if at < 0 else at
+        lang = _LANG.search(source, found.end(), at)
+        if lang:
+            return lang[1].lower()
+    return None
 
 
 def read_page(source: str | None) -> tuple[str, str | None]:
     """Text and declared language of a page."""
-    if not source:
-        return "", None
-    found = _LANG.search(source)
-    return html.unescape(_DROP.sub(" ", source)), found[1].lower() if found else None
+    return (html.unescape(visible(source)), declared_language(source)) if source else ("", None)
 
 
 def read_address(url: str | None) -> tuple[str | None, str | None, str | None]:
