@@ -6,7 +6,8 @@ the identity. The evidence for label 1 is the difference of the Mahalanobis log
 factors, which are found once on the driver and travel with the function; a logistic curve of the evidence, fitted on the
 same rows' evidence histogram, makes it a score between 0 and 1.
 
-Scale: texts never move. Statistics are a narrow map; only they (``len(FEATURES)`` numbers a row) meet the labels, and the
+Scale: texts never move and are read once: their statistics, ``len(FEATURES)`` numbers a row, are written under
+spark.checkpoint.dir and serve learning, calibration and scoring. Only those of labelled training rows meet the labels; the
 classes are learnt from sums of products, added by Spark: 2 x (p + 1)**2 numbers reach the driver, whatever the corpus. All
 labelled training rows are used.
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapidary.llm.store import shared_folder
 from lapidary.llm.text import Chunk, bounded_batches, chunks, windows
 
 FEATURES = ["log_words", "mean_word", "spread_word", "symbols", "bars", "marks", "upper", "digits", "wide", "stops", "repeats", "windows", "distinct", "log_line"]
@@ -117,8 +119,9 @@ def calibrate(model: Discriminant, bins: np.ndarray) -> None:
 
 
 def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and features (array of double)."""
-    bounded_batches(docs.sparkSession)
+    """doc_id and features (array of double), as a table in the shared folder."""
+    spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "statistics")
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +130,8 @@ def featurise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), lists], names=["doc_id", "features"])
 
-    return docs.mapInArrow(run, "doc_id long, features array<double>")
+    docs.mapInArrow(run, "doc_id long, features array<double>").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -172,20 +176,19 @@ def fit(train: DataFrame) -> Discriminant | None:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+def training_rows(features: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Features and labels of the labelled rows that are not held out. ``held_out``: a Column function of the id."""
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    return featurise(docs, id_col).join(marks.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id")
+    return features.where(~held_out(F.col("doc_id"))).join(marks.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id")
 
 
-def score(docs: DataFrame, model: Discriminant | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score."""
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def score(features: DataFrame, model: Discriminant | None) -> DataFrame:
+    """doc_id, evidence and score of ``featurise``'s rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
-            found = model.score(statistics(chunk)) if model else np.full(len(chunk), 0.5)
-            yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
+        for batch in batches:
+            x = _matrix(batch.column("features"))
+            found = (model.evidence(x), model.score(x)) if model else (np.zeros(len(x)), np.full(len(x), 0.5))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], names=["doc_id", "evidence", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return features.mapInArrow(run, "doc_id long, evidence double, score double")

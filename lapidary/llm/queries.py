@@ -114,10 +114,10 @@ QUERIES["op8_neighbours"] = op8_neighbours
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    features = quality.featurise(_table(spark, sf_dir, "documents"))
     held_out = lambda doc_id: F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    model = quality.fit(quality.training_rows(docs, _table(spark, sf_dir, "labels"), held_out))
-    scored = quality.score(docs, model)
+    model = quality.fit(quality.training_rows(features, _table(spark, sf_dir, "labels"), held_out))
+    scored = quality.score(features, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
