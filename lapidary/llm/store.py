@@ -8,9 +8,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; where that is unset, as in tests, a folder of this machine is set."""
+    """A fresh path under spark.checkpoint.dir.
+
+    Where that is unset, a local session, whose driver and executor are one process, gets a folder of its machine; a cluster
+    has to name one.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

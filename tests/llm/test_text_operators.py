@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapidary.llm import cuckoo, langid, linededup, lm, ngramjoin, quality
-from lapidary.llm.repetition import repetition_rules
+from lapidary.llm.repetition import LIMITS, repetition_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rng = random.Random(1)
@@ -57,7 +57,28 @@ def test_repetition(docs, empty):
         want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit))
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert not (r["kept"] and r["base_failed"])
+        shares = brute_shares(text, words)
+        assert {k: r[k] for k in LIMITS} == pytest.approx(shares)
+        assert r["kept"] == (not r["base_failed"] and all(shares[k] <= v for k, v in LIMITS.items()))
+
+
+def brute_shares(text, words):
+    """The shares by their definitions, with dictionaries of word tuples."""
+    chars = [len(w) for w in words]
+    total = max(sum(chars), 1)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    again = [x for i, x in enumerate(lines) if x in set(lines[:i])] if len(lines) < 1000 else []
+    out = {"dup_lines": len(again) / max(len(lines), 1), "dup_line_chars": sum(len(w) for x in again for w in WORD.findall(x)) / total}
+    for n in range(2, 11):
+        at = collections.defaultdict(list)
+        for i in range(len(words) - n + 1):
+            at[tuple(words[i : i + n])].append(i)
+        many = [x for x in at.values() if len(x) > 1]
+        if n <= 4:
+            out[f"top_{n}gram"] = min(max((len(x) * sum(chars[x[0] : x[0] + n]) for x in many), default=0) / total, 1.0)
+        else:
+            out[f"dup_{n}gram"] = sum(chars[i] for i in {i + j for x in many for i in x for j in range(n)}) / total
+    return out
 
 
 def brute_lines(rows):
@@ -311,13 +332,49 @@ def test_quality(spark, docs, empty):
     df = spark.createDataFrame(good + bad, "doc_id long, text string").withColumn("score", F.lit(1))
     marks = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad] + [(None, 1), (3, None)], "doc_id long, quality int")
     held = lambda c: F.crc32(c.cast("string").cast("binary")) % 4 == 2
-    model = quality.fit(quality.training_rows(df, marks, held))
-    scores = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
+    features = quality.featurise(df)
+    model = quality.fit(quality.training_rows(features, marks, held))
+    got = {r["doc_id"]: r for r in quality.score(features, model).collect()}
+    scores = {i: r["score"] for i, r in got.items()}
     out = [i for i in scores if zlib.crc32(str(i).encode()) % 4 == 2]
     assert len(out) > 20 and np.mean([(scores[i] >= 0.7) == (i < 1000) for i in out]) > 0.95
-    odd = quality.score(docs, model).collect()
+    # the evidence by dense formulas: shrunk covariances, determinants and inverses, no Cholesky factors
+    rows = {r["doc_id"]: np.array(r["features"]) for r in features.collect()}
+    x = {c: np.array([v for i, v in rows.items() if i not in out and (i < 1000) == bool(c)]) for c in (0, 1)}
+    n = {c: len(v) for c, v in x.items()}
+    own = {c: np.cov(v.T, bias=True) for c, v in x.items()}
+    pooled = sum(n[c] * own[c] for c in x) / sum(n.values())
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-8))
+    density = []
+    for c in (0, 1):
+        cov = (0.95 * own[c] + 0.05 * pooled) / np.outer(scale, scale)
+        cov = 0.98 * cov + 0.02 * np.eye(len(scale)) * np.trace(cov) / len(scale)
+        inverse, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
+        z = {i: (v - x[c].mean(axis=0)) / scale for i, v in rows.items()}
+        density.append({i: -0.5 * v @ inverse @ v - 0.5 * logdet + np.log(n[c] / sum(n.values())) for i, v in z.items()})
+    for i in rows:
+        assert got[i]["evidence"] == pytest.approx(np.arcsinh(density[1][i] - density[0][i]), rel=1e-6, abs=1e-6)
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-(model.slope * np.clip(got[i]["evidence"], -quality.REACH, quality.REACH) + model.offset))))
+    odd = quality.score(quality.featurise(docs), model).collect()
     assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 for r in odd)
-    assert quality.fit(quality.training_rows(empty, marks, held)) is None and quality.score(docs, None).first()["score"] == 0.5
+    none = quality.featurise(empty)
+    assert quality.fit(quality.training_rows(none, marks, held)) is None and quality.score(quality.featurise(docs), None).first()["score"] == 0.5
+
+
+def test_quality_statistics_of_a_text(spark):
+    """The statistics of one text, counted by hand."""
+    text = "Aa bb. bb. 12 é#!\nAa bb. bb. x"
+    (row,) = quality.featurise(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    words = WORD.findall(text)
+    chars = [len(w) for w in words]
+    total, n = sum(chars), len(words)
+    mean = total / n
+    share = lambda k: np.sqrt(k / total)
+    want = {
+        "log_words": np.log1p(n), "mean_word": np.log(mean), "spread_word": (sum(c * c for c in chars) / n - mean**2) ** 0.25, "symbols": share(1), "bars": 0, "marks": share(1), "upper": share(2), "digits": share(2),
+        "wide": share(1), "stops": share(4), "repeats": np.sqrt(2 / n), "windows": np.sqrt(1 - 6 / 7), "distinct": np.log1p(5) / np.log1p(n), "log_line": np.log1p(n / 2),
+    }
+    assert dict(zip(quality.FEATURES, row["features"])) == pytest.approx({**want, "distinct": np.log1p(len(set(words))) / np.log1p(n), "windows": np.sqrt(1 - len({tuple(words[i : i + 3]) for i in range(n - 2)}) / (n - 2))})
 
 
 def test_language(spark, docs, empty):
@@ -355,3 +412,48 @@ def test_language_of_none(spark):
     assert all(found[i]["language"] == x for i, _, x in rows) and found[2001]["language"] == "en"
     docs = spark.createDataFrame([(0, None, "en-US"), (1, None, "eng"), (2, None, "it"), (3, None, "und"), (4, rows[0][1], "it")], "doc_id long, text string, lang string").withColumn("source", F.lit(None).cast("string"))
     assert {x["id"]: x["language"] for x in langid.identify(langid.document_evidence(docs, model)).collect()} == {0: "en", 1: "en", 2: None, 3: None, 4: "de"}
+
+
+def test_pages_are_read_in_linear_time():
+    import time
+
+    start = time.time()
+    for piece in ("<nav ", "<html ", "<!-- ", "<script>", "<", "</nav ", "lang = ", "<html lang", "<p>a", "<nav></nav", "&#", "<html lang ="):
+        langid.read_page(piece * 200_000)
+        langid.read_page("<html " + piece * 200_000)
+    assert time.time() - start < 30
+    assert langid.visible("a<b>c</b><!-- <p> -->d<SCRIPT x>no</script >e<nav>f") == "a c  d e f"
+    assert langid.visible("x < y <") == "x < y <" and langid.visible("<style>a<!--b") == " a<!--b"
+    assert langid.read_page("<html\nclass=a LANG = 'De-at'><html lang=en>")[1] == "de" and langid.read_page("<html><html lang=en>")[1] == "en" and langid.read_page("<p lang=en>")[1] is None
+
+
+def test_language_posterior_by_hand(spark):
+    """Every part of the posterior, computed from its definition."""
+    speech = {"de": "der die und nicht zeit haus", "en": "the and house of time with", "es": "el la casa tiempo con sobre", "fr": "le la maison temps avec sur"}
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(speech[x].split()) for _ in range(8)), x) for i, x in enumerate(list(speech) * 12)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    pages = [(i, f"http://h{i % 3}.d{i % 2}.{'de' if i % 4 == 0 else 'net'}/" if i % 11 else None, f"<html{f' lang={x}' if i % 3 else ''}><p>{t}</p>") for i, t, x in rows]
+    evidence = langid.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string"), model)
+    seen, found = evidence.collect(), {x["id"]: x for x in langid.fuse(evidence).collect()}
+    names, k = [*langid.LANGUAGES, langid.OTHER], 5
+    soft = lambda v: np.exp(v - np.max(v)) / np.exp(v - np.max(v)).sum()
+    own, q = {}, {}
+    for x in seen:
+        said = np.array([0.0 if x["code"] is None else np.log(0.9) if n == x["code"] else np.log(0.1 / (k - 1)) for n in names])
+        own[x["id"]] = np.array(x["logs"]) + said
+        q[x["id"]] = soft(own[x["id"]])
+    everything = sum(q.values())
+    for x in seen:
+        me = q[x["id"]]
+        group = lambda c: [q[y["id"]] for y in seen if y[c] is not None and y[c] == x[c]] if x[c] is not None else [me]  # noqa: B023, E731
+        prior = (everything + 1) / (len(seen) + k)
+        for level in ("domain", "host"):
+            others = group(level)
+            prior = (np.maximum(sum(others) - me, 0) + langid.SMOOTH * prior) / (len(others) - 1 + langid.SMOOTH)
+        total = own[x["id"]] + np.log(prior)
+        if x["suffix"] is not None:
+            alike = group("suffix")
+            total = total + np.log((sum(alike) + 1) / (everything + 2) / ((len(alike) + 1) / (len(seen) + 2)))
+        p = soft(total)
+        assert found[x["id"]]["posterior"] == pytest.approx(p.max()) and found[x["id"]]["best"] == names[int(p.argmax())]
