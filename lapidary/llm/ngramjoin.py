@@ -2,19 +2,24 @@
 
 Documents whose sets of word n-grams (five words; a shorter text is one n-gram) have a Jaccard similarity of ``threshold``
 or more are linked. Equal texts form one node first. Each node's signature is cut into bands; band and row counts are
-chosen for the target recall at the threshold (``choose_bands``). Nodes that share a band hash are candidates; components
-of candidates are verified on full n-gram sets, all pairs within them, by counting shared n-grams as matrix products.
+chosen for the target recall at the threshold (``choose_bands``). Nodes that share a band hash (stand in one bucket) are
+candidates and verified on full n-gram sets, by counting shared n-grams as matrix products.
+
+Where pairs meet. Candidates fall into components. A component of up to ``BLOCK`` nodes is verified in one place, all pairs
+at once; small ones share places. A larger one is dealt into blocks, and each pair of blocks has a place, or, where that
+sends fewer copies of texts, each of its buckets has one (in blocks again where the bucket is large): a group of near
+copies shares most of its buckets, so pairs of blocks of the whole are cheaper, while a chain of loosely related texts has
+many small buckets. A pair that shares several buckets counts in the smallest one.
 
 Result: one row per document with ``class_id`` (the smallest id of the documents connected to it by links) and ``n_links``
 (to how many other documents it is linked, copies included). Pairs are counted where they are verified and never become
 rows, so a large group of near copies costs a row for each member and pair of blocks.
 
 Scale: exact copies are pre-aggregated. Band rows are (hash, node); a bucket's smallest node comes from a partial
-aggregate, and the join that brings it back is one that AQE splits where a bucket is large. A candidate component of more
-than ``BLOCK`` nodes is dealt into blocks, and each pair of blocks is one task's group; smaller ones share groups of about
-``BLOCK`` nodes. Texts are shuffled once to meet their components, candidates' texts once more. Components come from
-contraction rounds over (node, node) rows in the shared folder; nothing but counts reaches the driver. All intermediate
-tables stand under spark.checkpoint.dir.
+aggregate. Where rows look up a node or a bucket that holds over 1/``HEAVY`` of them, the answer is broadcast (fewer than
+``HEAVY`` rows); the rest is shuffled. A block has at most ``BLOCK`` texts of ``GRAMS`` n-grams on average. Only candidates'
+texts move: their rows are known by id and text hash. Components come from contraction rounds over (node, node) rows in
+the shared folder; nothing but counts reaches the driver. All intermediate tables stand under spark.checkpoint.dir.
 
 Results by definition: null texts and texts without a word have no n-grams: they are linked to nothing and are their own
 class; null ids count as one id below all others and come back as null; rows that repeat an id are documents of their own;
@@ -28,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.llm.store import shared_folder
@@ -39,6 +44,9 @@ THRESHOLD = 0.8
 RECALL = 0.999
 MAX_HASHES = 256
 BLOCK = 1024
+GRAMS = 1_000_000
+HEAVY = 1024
+MOST_BROADCAST = 1_000_000  # rows of three numbers
 COLUMNS = 4096
 NULL_ID = -(2**63)
 _U = np.uint64
@@ -110,9 +118,10 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             key, doc, whole = shingles(chunk, n)
             band = signatures(key, np.searchsorted(doc, np.arange(len(chunk) + 1)), bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([*(chunk.rows.column(c) for c in others), pa.array(whole.view(np.int64), mask=whole == 0), lists], names=[*others, "node", "bands"])
+            grams = np.bincount(doc, minlength=len(chunk)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(chunk.rows.column(c) for c in others), pa.array(whole.view(np.int64), mask=whole == 0), lists, pa.array(grams)], names=[*others, "node", "bands", "grams"])
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in others) + ", node long, bands array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in others) + ", node long, bands array<long>, grams long")
 
 
 class _Tables:
@@ -127,6 +136,16 @@ class _Tables:
         return self.spark.read.parquet(f"{self.folder}/{self.n}")
 
 
+def _looked_up(rows: DataFrame, column: str, table: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """Left join of stored ``rows`` with ``table`` on ``column``; values of over 1/HEAVY of the rows are answered by broadcast."""
+    if heavy is None:
+        heavy = rows.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") * HEAVY > rows.count()).select(column)
+    heavy = table.join(F.broadcast(heavy), column, "left_semi")  # fewer than HEAVY rows
+    served = rows.join(F.broadcast(heavy), column)
+    rest = rows.join(F.broadcast(heavy.select(column)), column, "left_anti").join(table, column, "left")
+    return served.unionByName(rest)
+
+
 def components(edges: DataFrame, tables: _Tables) -> DataFrame:
     """(node, label): for each node of the edges (a, b) the smallest reachable node, by rounds of contraction.
 
@@ -137,22 +156,23 @@ def components(edges: DataFrame, tables: _Tables) -> DataFrame:
     edges = tables.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while not edges.isEmpty():
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
-        least = ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"))
+        least = tables.keep(ends.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")))
         # two steps at once
-        step = least.alias("x").join(least.alias("y"), F.col("x.label") == F.col("y.node"), "left").select("x.node", F.coalesce("y.label", "x.label").alias("label"))
-        step = tables.keep(step)
+        second = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        step = tables.keep(_looked_up(least, "label", second).select("node", F.coalesce("next", "label").alias("label")))
         rounds.append(step)
         to = lambda c: step.select(F.col("node").alias(c), F.col("label").alias(f"new_{c}"))  # noqa: B023, E731
-        moved = edges.join(to("a"), "a").join(to("b"), "b").where("new_a <> new_b")
+        half = tables.keep(_looked_up(edges, "a", to("a")).select("new_a", "b"))
+        moved = _looked_up(half, "b", to("b")).where("new_a <> new_b")
         edges = tables.keep(moved.select(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).distinct())
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
     def follow(found: DataFrame, step: DataFrame) -> DataFrame:
         step = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        return found.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        return tables.keep(_looked_up(found, "label", step).select("node", F.coalesce("next", "label").alias("label")))
 
-    return tables.keep(reduce(follow, rounds[1:], rounds[0]))
+    return reduce(follow, rounds[1:], rounds[0])
 
 
 _LINKS = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -202,37 +222,44 @@ def _roots(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _counts_here(hit: np.ndarray, left: np.ndarray, right: np.ndarray, place: int) -> None:
+    """Clear linked pairs that share a smaller bucket than this one. ``left``, ``right``: bucket by band, 0 for none."""
+    a, b = np.nonzero(hit)
+    for at in range(0, len(a), 1 << 16):
+        x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        both = (left[x] == right[y]) & (left[x] != 0)
+        elsewhere = np.where(both, left[x], np.iinfo(np.int64).max).min(axis=1) != place
+        hit[x[elsewhere], y[elsewhere]] = False
+
+
 def _verify(n: int, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         nodes, side, group, copies = (table.column(c).to_numpy() for c in ("node", "side", "comp", "copies"))
-        sets: list = [None] * len(nodes)
-        at = 0
+        buckets = table.column("buckets").combine_chunks()
+        by_band = lambda rows: np.array([buckets[int(i)].as_py() for i in rows], np.int64)
+        sets: list = []
         for batch in table.select(["node", "text"]).combine_chunks().to_batches():
             for chunk in chunks(iter([batch])):
-                key, doc, whole = shingles(chunk, n)
+                key, doc, _ = shingles(chunk, n)
                 cut = np.searchsorted(doc, np.arange(len(chunk) + 1))
-                for i, (x, y) in enumerate(zip(cut, cut[1:])):
-                    # rows that only share a document's id with the node have another text
-                    sets[at + i] = np.unique(key[x:y]) if whole[i] == nodes[at + i : at + i + 1].view(_U)[0] else None
-                at += len(chunk)
-        seen, good = set(), []
-        for i in range(len(nodes)):
-            if sets[i] is not None and (nodes[i], side[i]) not in seen:
-                seen.add((nodes[i], side[i]))
-                good.append(i)
-        good = np.array(sorted(good, key=lambda i: (group[i], side[i], nodes[i])), np.int64)
+                sets += [np.unique(key[x:y]) for x, y in zip(cut, cut[1:])]
+        order = np.lexsort((nodes, side, group))
         out = []
-        for lo, hi in _runs(group[good]):
-            own = good[lo:hi]
+        for lo, hi in _runs(group[order]):
+            own = order[lo:hi]
             left, right = own[side[own] < 2], own[side[own] == 2]
             if len(right):
                 hit = _linked([sets[i] for i in left], [sets[i] for i in right], threshold)
+                if buckets[int(own[0])].is_valid:
+                    _counts_here(hit, by_band(left), by_band(right), group[own[0]])
                 links = np.concatenate([hit @ copies[right], hit.T @ copies[left]])
                 both = np.concatenate([left, right])
                 a, b = np.nonzero(hit)
                 roots = _roots(nodes[both], a, b + len(left))
             elif len(left) > 1 and side[left[0]] == 0:
                 hit = _linked([sets[i] for i in left], None, threshold)
+                if buckets[int(own[0])].is_valid:
+                    _counts_here(hit, by_band(left), by_band(left), group[own[0]])
                 links, both = hit @ copies[left], left
                 roots = _roots(nodes[both], *np.nonzero(hit))
             else:
@@ -251,6 +278,53 @@ def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut, cut[1:])) if len(x) else []
 
 
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """For members of a group of ``nb`` blocks a row (g, i, j, side) for each pair of blocks that they are part of.
+
+    A node of block m meets block c in the pair of both, on side 1 or 2, and its own block on side 0.
+    """
+    mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("nb") - 1),
+        lambda c: F.struct(F.least(c, "mine").alias("i"), F.greatest(c, "mine").alias("j"), F.when(c == F.col("mine"), 0).when(F.col("mine") < c, 1).otherwise(2).alias("side")),
+    )
+    return rows.withColumn("mine", mine).select("node", F.col(group).alias("comp"), "copies", "buckets", F.col(group).alias("g"), F.explode(pairs).alias("at")).select("node", "comp", "copies", "buckets", "g", "at.*")
+
+
+def _places(found: DataFrame, nodes: DataFrame, entries: DataFrame, buckets: DataFrame, block: int, tables: _Tables) -> DataFrame:
+    """Rows (node, comp, copies, buckets, g, i, j, side): where each candidate's text has to go to meet the others."""
+    count = lambda size, grams: F.greatest(F.ceil(F.col(size) / F.lit(block)), F.ceil(F.col(grams) / F.lit(GRAMS))).cast("int")
+    members = tables.keep(found.join(nodes.select("node", "copies", "grams"), "node").withColumnRenamed("label", "comp"))
+    sizes = tables.keep(members.groupBy("comp").agg(F.count("*").alias("size"), F.sum("grams").alias("all_grams")).withColumn("nb", count("size", "all_grams")))
+    whole = members.agg(F.count("*"), F.sum("grams")).first()
+    groups = max(1, -(-whole[0] // block), -(-(whole[1] or 0) // GRAMS))
+    large = sizes.where("nb > 1").select("comp", "size", "nb")  # of over a block each
+    members = tables.keep(_looked_up(members, "comp", large, large.where(F.col("size") * HEAVY > whole[0]).select("comp")))
+    no_buckets = F.lit(None).cast("array<long>").alias("buckets")
+    small = members.where("nb is null").select("node", "comp", "copies", no_buckets, F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"))
+    loose = members.where("nb is not null").select("node", "comp", "copies", "grams")
+    if loose.isEmpty():
+        return small
+
+    # the large components' buckets; buckets of the same nodes are one
+    mine = tables.keep(loose.join(entries, "node").select("node", "comp", "copies", "grams", "at", "band"))
+    held = mine.groupBy("band").agg(F.count("*").alias("bucket_size"), F.sum("grams").alias("bucket_grams"), F.first("comp").alias("comp"), F.sum(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 40))).alias("same"), F.sum(F.pmod(F.xxhash64(F.lit(2), "node"), F.lit(1 << 40))).alias("same_too"))
+    held = held.where("bucket_size > 1").withColumn("bucket_nb", count("bucket_size", "bucket_grams"))
+    one = Window.partitionBy("comp", "bucket_size", "same", "same_too")
+    held = tables.keep(held.withColumn("bucket", F.min("band").over(one)))
+    cost = held.where("band = bucket").groupBy("comp").agg(F.sum(F.col("bucket_size") * F.col("bucket_nb")).alias("bucket_cost"))
+    by_bucket = tables.keep(large.join(cost, "comp").where(F.col("bucket_cost") < F.col("size") * F.col("nb")).select("comp", F.lit(True).alias("loose")))
+    members = tables.keep(_looked_up(members.where("nb is not null"), "comp", by_bucket))
+    tight = _dealt(members.where("loose is null").withColumn("buckets", no_buckets), "comp")
+
+    heavy = held.where(F.col("bucket_size") * HEAVY > mine.count()).select("band")
+    known = _looked_up(mine.join(by_bucket, "comp", "left_semi"), "band", held.select("band", "bucket", "bucket_nb"), heavy)
+    by_node = known.groupBy("node").agg(F.first("copies").alias("copies"), F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bucket", F.lit(0)).alias("bucket"), F.coalesce("bucket_nb", F.lit(1)).alias("nb")))), lambda x: F.struct(x["bucket"].alias("bucket"), x["nb"].alias("nb"))).alias("all"))
+    to = by_node.select("node", "copies", F.transform("all", lambda x: x["bucket"]).alias("buckets"), F.explode(F.array_distinct("all")).alias("b")).where("b.bucket <> 0")
+    spread = _dealt(to.select("node", "copies", "buckets", "b.bucket", "b.nb"), "bucket")
+    return small.unionByName(tight).unionByName(spread)
+
+
 def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, keep: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, n_copies (rows with this text).
 
@@ -261,47 +335,37 @@ def ngram_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, re
     bounded_batches(docs.sparkSession)
     tables = _Tables(docs)
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([text_key(F.col(text_col)).alias("row_key")] if keep else []))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"), text_key(F.col(text_col)).alias("row_key"))
     signed = tables.keep(_signed(docs, n, bands, rows))
 
-    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min("bands").alias("bands"), *([F.min(F.struct("doc_id", "row_key")).alias("first_row")] if keep else []))
+    nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "row_key")).alias("first_row"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.min("grams").alias("grams"))
     nodes = tables.keep(nodes)
     # band hashes are mixed with the band's number
-    entries = nodes.select(F.explode("bands").alias("band"), "node")
-    buckets = entries.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").select("band", "least")
-    near = entries.join(buckets, "band").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    entries = nodes.select(F.posexplode("bands").alias("at", "band"), "node")
+    buckets = tables.keep(entries.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1"))
+    heavy = buckets.where(F.col("size") * HEAVY > bands * nodes.count()).select("band")
+    near = _looked_up(entries.select("band", "node"), "band", buckets.select("band", "least"), heavy).where("least is not null").select(F.col("node").alias("a"), F.col("least").alias("b"))
     found = components(near, tables)
+    places = _places(found, nodes, entries, buckets, block, tables)
 
-    members = found.join(nodes.select("node", "first_id", "copies"), "node").withColumnRenamed("label", "comp")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("comp_size"))
-    members = members.join(sizes, "comp")
-    total = members.count()
-    groups = max(1, -(-total // block))
-    nb = F.ceil(F.col("comp_size") / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
-    # small components: a shared group, side 0. Large ones: for each other block the pair of both, side 1 or 2, and the own block, side 0
-    member_rows = members.withColumn("nb", nb).withColumn("mine", mine).select(
-        "node", "comp", "copies", "first_id",
-        F.explode(
-            F.when(F.col("nb") == 1, F.array(F.struct(F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side")))).otherwise(
-                F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda c: F.struct(F.col("comp").alias("g"), F.least(c, "mine").alias("i"), F.greatest(c, "mine").alias("j"), F.when(c == F.col("mine"), 0).when(F.col("mine") < c, 1).otherwise(2).alias("side")))
-            )
-        ).alias("at"),
-    )
-    texts = docs.join(members.select("node", F.col("first_id").alias("doc_id")), "doc_id").select("node", "text")
-    groups_in = texts.join(member_rows.select("node", "comp", "copies", "at.*"), "node")
-    verified = tables.keep(groups_in.groupBy("g", "i", "j").applyInArrow(_verify(n, threshold), "node long, links long, root long"))
+    # one text of each candidate node
+    asked = tables.keep(found.join(nodes.select("node", "first_row"), "node").select("node", "first_row.doc_id", "first_row.row_key"))
+    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked.hint("merge")
+    texts = docs.join(asked, ["doc_id", "row_key"]).groupBy("node").agg(F.first("text").alias("text"))
+    verified = tables.keep(texts.join(places, "node").groupBy("g", "i", "j").applyInArrow(_verify(n, threshold), "node long, links long, root long"))
 
     labels = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")), tables)
-    first = ["first_row"] if keep else []
-    classes = labels.join(nodes.select("node", "first_id", *first), "node").groupBy("label").agg(F.min("first_id").alias("class_id"), *(F.min(c).alias("class_row") for c in first))
-    classed = labels.join(classes, "label").select("node", "class_id", *(["class_row"] if keep else []))
+    classes = tables.keep(labels.join(nodes.select("node", "first_row"), "node").groupBy("label").agg(F.min("first_row").alias("class_row"), F.count("*").alias("size")))
+    classed = _looked_up(labels, "label", classes.drop("size"), classes.where(F.col("size") * HEAVY > labels.count()).select("label")).select("node", "class_row")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "first_id", "copies", *first).join(classed, "node", "left").join(links, "node", "left")
-    known = known.select("node", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies"), *([F.coalesce("class_row", "first_row").alias("class_row")] if keep else []))
-    out = signed.select("doc_id", "node", *(["row_key"] if keep else [])).join(known, "node", "left")
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    out = out.withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    stands = F.col("class_row").isNull() | ((F.col("class_row.doc_id") == F.col("doc_id")) & (F.col("class_row.row_key") == F.col("row_key"))) if keep else None
+    known = nodes.select("node", "first_row", "copies").join(classed, "node", "left").join(links, "node", "left")
+    known = tables.keep(known.select("node", F.coalesce("class_row", "first_row").alias("class_row"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")))
+    # a text of many copies is one node with many rows
+    copied = known.where(F.col("n_copies") * HEAVY > signed.count()).select("node")
+    out = _looked_up(signed.where("node is not null").select("doc_id", "node", "row_key"), "node", known, copied)
+    silent = signed.where("node is null").select("doc_id", "node", "row_key")
+    out = out.unionByName(silent, allowMissingColumns=True)
+    back = lambda c, name: F.when(c != NULL_ID, c).alias(name)
+    stands = F.col("class_row").isNull() | ((F.col("class_row.doc_id") == F.col("doc_id")) & (F.col("class_row.row_key") == F.col("row_key")))
     verdict = ["row_key", stands.alias("kept"), F.col("class_row").isNotNull().alias("worded")] if keep else []
-    return out.select(back("doc_id").alias("doc_id"), back("class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), *verdict)
+    return out.select(back(F.col("doc_id"), "doc_id"), back(F.coalesce("class_row.doc_id", "doc_id"), "class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), *verdict)

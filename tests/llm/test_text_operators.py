@@ -183,29 +183,77 @@ def test_cuckoo_filter():
     assert not len(small.over) and not small.table.any()
 
 
-def test_ngram_join(spark, docs, empty):
-    near = [BASE] + [" ".join(w if rng.random() > 0.01 else "edit" for w in BASE.split()) for _ in range(30)]
-    far = [sentence(90) for _ in range(10)]
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None] + [(200 + i, t) for i, t in enumerate(near + far)]
-    rows = [(i, t) for i, t in rows if not t or len(t) < 100000]
+def brute_join(rows):
+    """(id, class, links) of each row; a null id is the smallest."""
+    low = lambda i: ngramjoin.NULL_ID if i is None else i
     sets = []
     for _, t in rows:
         w = WORD.findall(t or "")
         sets.append({tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set())
-    links = [[j for j in range(len(rows)) if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9] for i in range(len(rows))]
-    label = [r[0] for r in rows]
-    for _ in rows:
-        label = [min([label[i], *(label[j] for j in links[i])]) for i in range(len(rows))]
-    want = sorted((rows[i][0], label[i], len(links[i])) for i in range(len(rows)))
+    where = collections.defaultdict(set)
+    for i, s in enumerate(sets):
+        for g in s:
+            where[g].add(i)
+    links = []
+    for i, s in enumerate(sets):
+        others = set().union(*(where[g] for g in s)) - {i} if s else set()
+        links.append([j for j in others if len(s & sets[j]) >= 0.8 * len(s | sets[j]) - 1e-9])
+    label = [low(r[0]) for r in rows]
+    while True:
+        new = [min([label[i], *(label[j] for j in links[i])]) for i in range(len(rows))]
+        if new == label:
+            break
+        label = new
+    back = lambda i: None if i == ngramjoin.NULL_ID else i
+    return sorted(((rows[i][0], back(label[i]), len(links[i])) for i in range(len(rows))), key=str)
+
+
+def joined(df, **how):
+    return sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in ngramjoin.ngram_join(df, **how).collect()), key=str)
+
+
+def test_ngram_join(spark, docs, empty):
+    """Null and repeated ids, equal rows, texts of all lengths; components of one block and of several."""
+    near = [BASE] + [" ".join(w if rng.random() > 0.01 else "edit" for w in BASE.split()) for _ in range(30)]
+    far = [sentence(90) for _ in range(10)]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(200 + i, t) for i, t in enumerate(near + far)]
+    rows += [(None, BASE), (None, far[0] + " tail"), (None, far[0] + " tail"), (None, None), (200, far[1]), (200, far[1]), (205, near[7]), (300, "word " * 59000 + "end")]
+    want = brute_join(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1024, 8):  # 8: components of several blocks
-        got = ngramjoin.ngram_join(df.withColumn("node", F.lit(1)).withColumn("bands", F.lit("x")), block=block)
-        assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == want
+    for block in (1024, 8):
+        assert joined(df.withColumn("node", F.lit(1)).withColumn("bands", F.lit("x")), block=block) == want
     assert ngramjoin.ngram_join(empty).count() == 0
     bands, width = ngramjoin.choose_bands()
     assert 1 - (1 - 0.8**width) ** bands >= 0.999
 
 
+def test_ngram_join_of_a_chain(spark, monkeypatch):
+    """A chain of loosely related texts is verified by buckets: each pair counts once, none is lost."""
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[12 * i : 12 * i + 180])) for i in range(150)]
+    rows += [(500 + i, " ".join(words[3000:3150] + [f"z{i}"])) for i in range(40)]  # a dense group
+    used = []
+    dealt = ngramjoin._dealt
+    monkeypatch.setattr(ngramjoin, "_dealt", lambda rows, group: (used.append((group, rows.count())), dealt(rows, group))[1])
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), block=8) == brute_join(rows)
+    assert {g for g, n in used if n} == {"comp", "bucket"}
+
+
+def test_ngram_join_recall_at_the_threshold(spark):
+    """Of pairs just over similarity 0.8 nearly all are found, of those just under it none is linked."""
+    r = random.Random(11)
+    rows, want = [], 0
+    for i in range(300):
+        w = [f"{i}x{r.randrange(10**6)}" for _ in range(300)]
+        n = r.randrange(32, 47)  # words cut at one end, half as many others put there: about 0.8 at 42
+        cut = w[:-n] + [f"{i}y{j}" for j in range(n // 2)]
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (w, cut))
+        rows += [(2 * i, " ".join(w), len(a & b) >= 0.8 * len(a | b)), (2 * i + 1, " ".join(cut), None)]
+    want = {i for i, _, hit in rows if hit}
+    got = {r["doc_id"] for r in ngramjoin.ngram_join(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).where("n_links > 0 and doc_id % 2 = 0").collect()}
+    assert 60 < len(want) < 290 and got <= want and len(got) >= 0.98 * len(want)
+
+
 LM_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
