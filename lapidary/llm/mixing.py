@@ -11,10 +11,10 @@ Permutations are swap-or-not networks (Hoang, Morris and Rogaway, 2012): each ro
 swaps the pair or not by one hash bit, a bijection of any range that needs no sort and no table. Everything follows from
 the documents and ``seed``, so reruns agree.
 
-Scale: a document's place in its source is a two-level sum, over buckets of about ``BUCKET_ROWS`` rows and within one bucket
-of a source, and so is a shard's place among a source's slots; a source with a third of all rows is never in one task. Slots
-are made by many tasks and counted by (shard, source) and (source, block) before they meet anything. What one task sorts
-whole is one row a source, and one row a source and bucket.
+Scale: a document's place in its source is a two-level sum, over twice as many buckets as the root of the rows and within
+one bucket of a source, and so is a shard's place among a source's slots; a source with a third of all rows is never in one
+task. Slots are made by many tasks and counted by (shard, source) and (source, block) before they meet anything. What one
+task sorts whole is one row a source, and one row a source and bucket.
 
 Results by definition: null texts have no words, take none and keep their row; sources are in code point order, a null
 source last, and form one source; equal rows are separate documents; an empty table gives no rows; other columns are
@@ -23,12 +23,13 @@ ignored. A source's taken words differ from its target by a block at most.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.llm.store import shared_folder
 
-BUCKET_ROWS = 4096
 SHARD_SPAN = 4096
 BLOCK = 64
 SHARD_SLOTS = 8192
@@ -101,7 +102,7 @@ def draw_counts(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int =
     return slots.groupBy(F.floor(dealt / shard_slots).cast("long").alias("shard"), "rank").agg(F.count("*").alias("n"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """(documents, mix). Writes one row a document, without its text, and the shards' counts under spark.checkpoint.dir.
 
     Documents: doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted), key (of the
@@ -115,7 +116,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark, path = docs.sparkSession, shared_folder(docs.sparkSession, "mixing")
     rows.write.parquet(f"{path}/sizes")
     rows = spark.read.parquet(f"{path}/sizes")
-    buckets = max(16, -(-rows.count() // bucket_rows))
+    buckets = 1 + isqrt(4 * rows.count())  # so that neither the buckets nor the rows of one are many
     rows = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
