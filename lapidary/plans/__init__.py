@@ -2,5 +2,7 @@
 
 from lapidary.plans import colors, designs, distances, records
 
-QUERIES = designs.QUERIES | distances.query.queries | colors.query.queries | records.query.queries
-ORACLES = designs.ORACLES | distances.query.oracles | colors.query.oracles | records.query.oracles
+_MODULES = [distances, colors, records]
+QUERIES = designs.QUERIES | {name: f for m in _MODULES for name, f in m.query.queries.items()}
+# rows in a fixed order, so that a reader of the first rows gets the same ones
+ORACLES = {name: f"{sql}\nORDER BY ALL" for name, sql in (designs.ORACLES | {name: q for m in _MODULES for name, q in m.query.oracles.items()}).items()}

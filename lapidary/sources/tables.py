@@ -77,6 +77,27 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What a segmenter would measure of each stone, over the columns of ``stones``.
+BEAD = {
+    "d_mm": "phys_mm * (CAST(85 + stone_id % 31 AS DOUBLE) / CAST(100 AS DOUBLE))",
+    "lab_l": "CAST((code_id * 37 + stone_id * 11) % 101 AS DOUBLE)",
+    "lab_a": "CAST((code_id * 53 + stone_id * 3) % 121 - 60 AS DOUBLE)",
+    "lab_b": "CAST((code_id * 71 + stone_id * 5) % 121 - 60 AS DOUBLE)",
+    "sat": "CAST((code_id * 13 + stone_id * 7) % 256 AS DOUBLE)",
+    "edge": "CAST(stone_id % 11 AS DOUBLE) / CAST(100 AS DOUBLE)",
+    "solidity": "CAST(80 + stone_id % 20 AS DOUBLE) / CAST(100 AS DOUBLE)",
+    "ell_iou": "CAST(70 + stone_id % 30 AS DOUBLE) / CAST(100 AS DOUBLE)",
+    "filled": "CAST(80 + stone_id % 21 AS DOUBLE) / CAST(100 AS DOUBLE)",
+    "score": "CAST((stone_id * 7919) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE)",
+    "shape": "CASE WHEN stone_id % 13 = 0 THEN 'heart' WHEN stone_id % 17 = 0 THEN 'marquise' WHEN stone_id % 7 = 0 THEN 'oval' ELSE 'round' END",
+}
+
+
+def beads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stones`` with what is measured of each."""
+    return stones(spark, sf_dir).withColumns({c: F.expr(x) for c, x in BEAD.items()})
+
+
 _SIZE_SQL = "CASE {0} WHEN 0 THEN CAST(2.8 AS DOUBLE) WHEN 1 THEN CAST(4 AS DOUBLE) WHEN 2 THEN CAST(5 AS DOUBLE) WHEN 3 THEN CAST(6 AS DOUBLE) WHEN 4 THEN CAST(7 AS DOUBLE) WHEN 5 THEN CAST(8 AS DOUBLE) ELSE CAST(10 AS DOUBLE) END"
 _LAYER_SQL = "CASE {0} WHEN 0 THEN 'bg' WHEN 1 THEN 'costume' ELSE 'pet' END"
 
@@ -99,4 +120,5 @@ SQL = {
     "targets": f"""targets AS (SELECT s_suppkey AS target_id, {_LAYER_SQL.format("s_suppkey % 3")} AS layer,
   CAST((s_suppkey * 37 + 5) % 256 AS INTEGER) AS r, CAST((s_suppkey * 91 + 13) % 256 AS INTEGER) AS g, CAST((s_suppkey * 157 + 29) % 256 AS INTEGER) AS b,
   {_SIZE_SQL.format("s_nationkey % 7")} AS phys_mm, CAST(s_suppkey % 4 + 1 AS BIGINT) AS weight FROM supplier)""",
+    "beads": f"""beads AS (SELECT *, {", ".join(f"{x} AS {c}" for c, x in BEAD.items())} FROM stones)""",
 }
