@@ -72,7 +72,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     """
     both = edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))).distinct().cache()
     labels = nodes.select(*keys, "node", F.col("node").alias("component"))
-    _checkpoint_folder(labels)
+    checkpoint_folder(labels)
     moved = True
     while moved:
         around = both.join(labels.select(*keys, F.col("node").alias("other"), F.col("component").alias("_next")), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("_next").alias("_next"))
@@ -85,10 +85,15 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame
     return labels
 
 
-def _checkpoint_folder(df: DataFrame) -> None:
+def checkpoint_folder(df: DataFrame) -> None:
+    """Where checkpoints go: spark.checkpoint.dir. A local session without one gets a folder of its machine."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    if spark.sparkContext.getCheckpointDir():
+        return
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(root or "/tmp/checkpoints")
 
 
 def mutual_best(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) -> DataFrame:
