@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapidary.functions import color
+from lapidary.functions.numeric import rounded
 from lapidary.operators import design, spatial
 
 RANK = {"pass": 0, "info": 1, "warn": 2, "error": 3}
@@ -66,11 +68,71 @@ def gap(stones: DataFrame, context: dict) -> DataFrame:
     return _found(near.where("gap >= -0.05D AND gap < 0.15D").groupBy("design_id").agg(F.count("*").alias("n")), "warn", "stones too close", F.col("n"))
 
 
+def _every(stones: DataFrame, level: str, message: str) -> DataFrame:
+    """One finding for each design: a check without what it needs, or one that failed."""
+    return _found(stones.groupBy("design_id").agg(F.count("*").alias("n")), level, message, F.col("n"))
+
+
+def at_pixel(v: str, size: float, pixels: int) -> Column:
+    """The pixel that a place falls into, the last one for the far edge."""
+    return F.greatest(F.least(F.floor(F.col(v) / F.lit(float(size)) * pixels), F.lit(pixels - 1)), F.lit(0))
+
+
+def outside_mask(stones: DataFrame, cells: DataFrame, context: dict, keys: list[str]) -> DataFrame:
+    """Stones whose centre lies in none of the cells (keys, px, py) of a mask of ``context["pixels"]`` a side."""
+    at = {"px": at_pixel("x_mm", context["width"], context["pixels"]), "py": at_pixel("y_mm", context["height"], context["pixels"])}
+    return stones.withColumns(at).join(cells.select(*keys, "px", "py").distinct(), [*keys, "px", "py"], "left_anti")
+
+
 @register("outside-region")
 def outside(stones: DataFrame, context: dict) -> DataFrame:
+    """Bodies over the canvas's edge; centres outside the region, and outside their layer's (null layer: any)."""
     r, w, h = F.col("phys_mm") / 2, context["width"], context["height"]
     over = F.greatest(r - F.col("x_mm"), r - F.col("y_mm"), F.col("x_mm") + r - w, F.col("y_mm") + r - h) > 0.05
-    return _found(stones.where(over).groupBy("design_id").agg(F.count("*").alias("n")), "error", "stones over the edge", F.col("n"))
+    out = [_found(stones.where(over).groupBy("design_id").agg(F.count("*").alias("n")), "error", "stones over the edge", F.col("n"))]
+    for name, keys in (("region", ["design_id"]), ("layer_regions", ["design_id", "layer"])):
+        if context.get(name) is not None:
+            out.append(_found(outside_mask(stones, context[name], context, keys).groupBy("design_id").agg(F.count("*").alias("n")), "error", f"centres outside the {name.replace('_', ' ')}", F.col("n")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def free_probes(stones: DataFrame, cells: DataFrame, context: dict, step: float = 1.0, size: float = 2.8, gap: float = 0.15, largest: float = 10.0) -> DataFrame:
+    """Probes (design_id, i, j) in the mask, at every step, where a stone of ``size`` would fit a gap away from all others."""
+    w, h, pixels, need = context["width"], context["height"], context["pixels"], size / 2 + gap
+    # a mask cell makes the probes within it
+    along = lambda p, side: F.sequence(F.greatest(F.ceil(F.col(p) * side / pixels / step - 0.5) - 1, F.lit(0)), F.ceil((F.col(p) + 1) * side / pixels / step - 0.5))
+    probes = cells.select("design_id", "px", "py", F.explode(along("px", w)).alias("i")).select("*", F.explode(along("py", h)).alias("j"))
+    probes = probes.withColumns({"x_mm": (F.col("i") + F.lit(0.5)) * step, "y_mm": (F.col("j") + F.lit(0.5)) * step})
+    inner = F.col("x_mm").between(size / 2, w - size / 2) & F.col("y_mm").between(size / 2, h - size / 2)
+    probes = probes.where(inner & (at_pixel("x_mm", w, pixels) == F.col("px")) & (at_pixel("y_mm", h, pixels) == F.col("py")))
+    near = spatial.within(probes.select("design_id", "i", "j", "x_mm", "y_mm"), stones.select("design_id", "x_mm", "y_mm", "phys_mm"), largest / 2 + need, ["design_id"])
+    covered = near.where(F.col("distance") - F.col("b_phys_mm") / 2 <= need).select("design_id", F.col("a_i").alias("i"), F.col("a_j").alias("j")).distinct()
+    return probes.select("design_id", "i", "j").join(covered, ["design_id", "i", "j"], "left_anti")
+
+
+@register("holes")
+def holes(stones: DataFrame, context: dict) -> DataFrame:
+    if context.get("mask") is None:
+        return _every(stones, "info", "no mask of what to cover")
+    free = free_probes(stones, context["mask"], context, context.get("step_mm", 1.0))
+    return _found(free.groupBy("design_id").agg(F.count("*").alias("n")), "warn", "places for one more stone", F.col("n"))
+
+
+def image_difference(pixels: DataFrame) -> DataFrame:
+    """Mean and largest difference of two images' pixels (design_id, p_r, p_g, p_b, p_alpha, q_r, ...) that both show."""
+    both = pixels.where((F.col("p_alpha") >= 128) & (F.col("q_alpha") >= 128))
+    both = color.add(both, color.lab_steps("p_r", "p_g", "p_b", "x"), ["x_l", "x_a", "x_b"])
+    both = color.add(both, color.lab_steps("q_r", "q_g", "q_b", "y"), ["y_l", "y_a", "y_b"])
+    both = color.add(both, color.de2000_steps("x", "y"), ["de"])
+    return both.groupBy("design_id").agg(rounded(F.avg("de"), 2).alias("mean"), rounded(F.max("de"), 1).alias("most"), F.count("*").alias("n"))
+
+
+@register("delta-e")
+def delta_e(stones: DataFrame, context: dict) -> DataFrame:
+    if context.get("images") is None:
+        return _every(stones, "info", "no images to compare")
+    rows = image_difference(context["images"])
+    return _found(rows, F.when(F.col("mean") > context.get("most_de", 10.0), "warn").otherwise("pass"), "mean difference of the images", F.col("n"))
 
 
 @register("merge-warnings")
@@ -81,9 +143,18 @@ def merges(stones: DataFrame, context: dict) -> DataFrame:
     return _found(rows.where("de > 20").groupBy("design_id").agg(F.count("*").alias("n")), "warn", "merged codes over 20 apart", F.col("n"))
 
 
+def _guarded(name: str, stones: DataFrame, context: dict) -> DataFrame:
+    """A check's findings; one that cannot be planned, for want of its inputs or columns, is an error finding itself."""
+    try:
+        found = CHECKS[name](stones, context).select("design_id", "level", "message", "n")
+    except Exception as e:  # noqa: BLE001  the registry is open: any failure of a check is a finding
+        return _every(stones, "error", f"check failed: {type(e).__name__}")
+    return found
+
+
 def run(stones: DataFrame, context: dict, only: list[str] | None = None) -> DataFrame:
     """Findings of all checks, or of those named: design_id, check_id, level, level_rank, message, n."""
-    parts = [f(stones, context).withColumn("check_id", F.lit(name)) for name, f in sorted(CHECKS.items()) if only is None or name in only]
+    parts = [_guarded(name, stones, context).withColumn("check_id", F.lit(name)) for name in sorted(CHECKS) if only is None or name in only]
     rank = F.element_at(F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv)), F.col("level"))
     return reduce(DataFrame.unionByName, parts).withColumn("level_rank", rank)
 

@@ -12,6 +12,9 @@ from lapidary.operators import qc as Q
 from lapidary.sources import tables as T
 
 QUERIES, ORACLES = {}, {}
+_D = "SQRT((a.x_mm - b.x_mm) * (a.x_mm - b.x_mm) + (a.y_mm - b.y_mm) * (a.y_mm - b.y_mm))"
+_PAIRS = f""", pairs AS (SELECT a.design_id, a.stone_id AS a, b.stone_id AS b, {_D} AS d, {_D} - (a.phys_mm + b.phys_mm) / 2 AS gap FROM stones a JOIN stones b ON a.design_id = b.design_id AND a.stone_id < b.stone_id WHERE abs(a.x_mm - b.x_mm) < 13 AND abs(a.y_mm - b.y_mm) < 13)
+"""
 
 
 def query(sql: str | None, *views: str):
@@ -216,7 +219,28 @@ def compose(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("design_id", "layer", "fate").agg(F.count("*").alias("n"))
 
 
-@query(None)
+_REPORT = (
+    _PAIRS.rstrip()
+    + _SYMBOLS.rstrip()
+    + """, ends AS (SELECT design_id, a AS stone_id, gap FROM pairs WHERE d < CAST(11.5 AS DOUBLE) UNION ALL SELECT design_id, b, gap FROM pairs WHERE d < CAST(11.5 AS DOUBLE)), nearest AS (SELECT design_id, stone_id, MIN(gap) AS gap FROM ends GROUP BY ALL),
+faults AS (SELECT design_id, unnest(CASE WHEN active IS NULL THEN ['unknown'] WHEN NOT active AND abs(c.phys_mm - s.phys_mm) >= 0.000001 THEN ['inactive', 'size'] WHEN NOT active THEN ['inactive'] WHEN abs(c.phys_mm - s.phys_mm) >= 0.000001 THEN ['size'] ELSE [] END) AS fault FROM stones s LEFT JOIN catalog c USING (code_id)),
+signs AS (SELECT design_id, CASE WHEN symbol IS NULL THEN 'missing' WHEN COUNT(symbol) OVER (PARTITION BY design_id, symbol) > 1 THEN 'repeated' WHEN kind = 'stone' AND length(symbol) > 1 THEN 'not_one_letter' WHEN kind = 'stone' AND strpos('ABCEFGJKNPRTUVY', symbol) = 0 THEN 'outside_set' END AS fault FROM symbols),
+codes AS (SELECT design_id, COUNT(DISTINCT code_id) AS n, COUNT(*) AS placed FROM stones GROUP BY ALL)
+SELECT design_id, 'code-count' AS check_id, CASE WHEN n > 15 THEN 'error' WHEN n > 13 THEN 'warn' ELSE 'pass' END AS level, 'codes in use' AS message, n FROM codes UNION ALL
+SELECT design_id, 'catalog', CASE WHEN fault = 'inactive' THEN 'warn' ELSE 'error' END, 'code ' || fault, COUNT(*) FROM faults GROUP BY design_id, fault UNION ALL
+SELECT design_id, 'symbols', CASE WHEN fault = 'outside_set' THEN 'warn' ELSE 'error' END, 'symbol ' || fault, COUNT(*) FROM signs WHERE fault IS NOT NULL GROUP BY design_id, fault UNION ALL
+SELECT design_id, 'layer-total', 'info', 'no bill to compare with', placed FROM codes UNION ALL
+SELECT design_id, 'overlap', 'error', 'overlapping pairs', COUNT(*) FROM pairs WHERE d < 10 AND gap < CAST(-0.05 AS DOUBLE) GROUP BY design_id UNION ALL
+SELECT design_id, 'gap', 'warn', 'stones too close', COUNT(*) FROM nearest WHERE gap >= CAST(-0.05 AS DOUBLE) AND gap < CAST(0.15 AS DOUBLE) GROUP BY design_id UNION ALL
+SELECT design_id, 'outside-region', 'error', 'stones over the edge', COUNT(*) FROM stones WHERE GREATEST(phys_mm / 2 - x_mm, phys_mm / 2 - y_mm, x_mm + phys_mm / 2 - 300, y_mm + phys_mm / 2 - 300) > CAST(0.05 AS DOUBLE) GROUP BY design_id UNION ALL
+SELECT design_id, 'holes', 'info', 'no mask of what to cover', placed FROM codes UNION ALL SELECT design_id, 'delta-e', 'info', 'no images to compare', placed FROM codes UNION ALL SELECT design_id, 'merge-warnings', 'pass', 'no merged codes', 0 FROM codes"""
+)
+
+
+@query("__report__", "stones", "catalog")
 def qc_report(spark: SparkSession, sf: str) -> DataFrame:
     context = {"catalog": T.catalog(spark, sf), "width": T.CANVAS, "height": T.CANVAS}
     return Q.run(T.stones(spark, sf), context).select("design_id", "check_id", "level", "message", "n")
+
+
+ORACLES["qc_report"] = ORACLES["qc_report"].replace("\n__report__", _REPORT)
