@@ -17,8 +17,8 @@ follows from the exact refs alone, so that a filter's chance hits change nothing
 shard.
 
 Scale: postings are counted by key before any key's rows meet (partial aggregation), so a line in a third of all documents
-is one row a task. The first insertion fixes the number of shards, about ``SHARD_KEYS`` keys each; an index that has grown
-many times over is built anew. When lines are probed, keys that hold over 1/``HEAVY`` of all postings (fewer than ``HEAVY``
+is one row a task. The first insertion fixes the number of shards, ``SHARD_KEYS`` keys each at most and two a shuffle partition at least; an index
+that has grown many times over is built anew. When lines are probed, keys that hold over 1/``HEAVY`` of all postings (fewer than ``HEAVY``
 keys, which bounds that broadcast) are spread over ``SALTS`` tasks, the other keys are routed by hash; a task streams its
 lines past its shard's filter and table. Texts are shuffled once, by document, to meet their dropped lines.
 
@@ -255,7 +255,9 @@ def insert_postings(index: LineIndex, found: DataFrame) -> LineIndex:
     counted = _kept(_counted(found), "lines")
     old = index.shards is not None
     if not old:
-        index = replace(index, shards=max(1, -(-counted.count() // SHARD_KEYS)))
+        # never so few that tasks stand idle
+        tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        index = replace(index, shards=max(2 * tasks, -(-counted.count() // SHARD_KEYS)))
     shard = _shard(index.shards)
     none = F.array().cast("array<int>")
     if old:
