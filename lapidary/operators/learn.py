@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapidary.operators import spatial
+
 
 def neighbours(rows: DataFrame, model: DataFrame, distance: Column, k: int, id_col: str, order: str) -> DataFrame:
     """The k model rows nearest to each row, by (distance, order). The model is a dimension of bounded size."""
@@ -13,6 +17,44 @@ def neighbours(rows: DataFrame, model: DataFrame, distance: Column, k: int, id_c
     return pairs.withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy("distance", order))).where(F.col("place") <= k)
 
 
+def nearest_in_space(rows: DataFrame, model: DataFrame, distance: Column, axes: list[tuple[str, str]], k: int, id_col: str, order: str, first: float = 24.0) -> DataFrame:
+    """The k model rows nearest to each row, by (distance, order), without meeting the whole model.
+
+    ``axes`` names the columns of rows and of the model that span the space; ``distance``, the squared straight distance, may
+    add to it but not take away. Rows and model meet by cells of a reach; a row with k model rows nearer than the reach is
+    done, the others go on with twice the reach, until it spans the space.
+    """
+    spatial.checkpoint_folder(rows)
+    span = model.agg(*(F.max(q) - F.min(q) for _, q in axes)).first()
+    offs = rows.agg(*(F.max(p) for p, _ in axes), *(F.min(p) for p, _ in axes)).first()
+    edges = model.agg(*(F.max(q) for _, q in axes), *(F.min(q) for _, q in axes)).first()
+    n = len(axes)
+    if span[0] is None or offs[0] is None:
+        return rows.join(model, F.lit(False)).withColumns({"distance": distance, "place": F.lit(1)})
+    whole = sum(max(offs[i] - edges[n + i], edges[i] - offs[n + i], span[i]) ** 2 for i in range(n)) ** 0.5 + 1.0
+    rest, reach, found = rows.checkpoint(), first, []
+    while True:
+        cell = [f"_c{i}" for i in range(n)]
+        spots = rest.withColumns({c: F.floor(F.col(p) / reach) for c, (p, _) in zip(cell, axes)})
+        for c in cell:
+            spots = spots.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        held = model.withColumns({c: F.floor(F.col(q) / reach) for c, (_, q) in zip(cell, axes)})
+        last = reach >= whole
+        near = spots.join(held, cell).drop(*cell).withColumn("distance", distance)
+        near = near if last else near.where(F.col("distance") < reach * reach)
+        near = near.withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy("distance", order))).where(F.col("place") <= k)
+        near = near.withColumn("_most", F.max("place").over(Window.partitionBy(id_col))).checkpoint()
+        done = near if last else near.where(F.col("_most") == k)
+        found.append(done.drop("_most"))
+        if last:
+            break
+        rest = rest.join(done.select(id_col).distinct(), id_col, "left_anti").checkpoint()
+        if rest.isEmpty():
+            break
+        reach *= 2
+    return reduce(DataFrame.unionByName, found)
+
+
 def closeness(distance: Column) -> Column:
     return 1.0 / (F.sqrt(distance) + 1.0)
 

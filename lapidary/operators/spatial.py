@@ -6,6 +6,8 @@ one cell width meets exactly once. Catalyst would plan a bare distance predicate
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,24 +69,36 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], order: str, firs
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``component``, the smallest node of each node's connected component, to (keys, node).
 
-    ``edges`` are (keys, a, b). Each round takes the smallest label around a node, then that label's own label, which halves
-    the way to the root, until none moves; checkpoints cut the lineage.
+    ``edges`` are (keys, a, b). Each round moves every node to its smallest neighbour, two steps at once, and renames the
+    edges, until none is left; the smallest node of a component never moves. On long paths, too, a round leaves less than
+    half of the nodes. Tables in the shared folder cut the lineage.
     """
-    both = edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))).distinct().cache()
+    ordered = lambda df, a, b: df.where(F.col(a) != F.col(b)).select(*keys, F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    edges, rounds = stored(ordered(edges, "a", "b"), "edges"), []
+    while not edges.isEmpty():
+        ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+        least = edges.select(*keys, F.explode(ends).alias("e")).groupBy(*keys, "e.node").agg(F.min("e.other").alias("other")).select(*keys, "node", F.least("node", "other").alias("label"))
+        least = stored(least, "least")
+        second = least.select(*keys, F.col("node").alias("label"), F.col("label").alias("_next"))
+        step = stored(least.join(second, [*keys, "label"]).select(*keys, "node", F.col("_next").alias("label")), "step")
+        rounds.append(step)
+        to = lambda c: step.select(*keys, F.col("node").alias(c), F.col("label").alias(f"_{c}"))  # noqa: B023, E731
+        edges = stored(ordered(edges.join(to("a"), [*keys, "a"]).join(to("b"), [*keys, "b"]), "_a", "_b"), "edges")
     labels = nodes.select(*keys, "node", F.col("node").alias("component"))
-    checkpoint_folder(labels)
-    moved = True
-    while moved:
-        around = both.join(labels.select(*keys, F.col("node").alias("other"), F.col("component").alias("_next")), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("_next").alias("_next"))
-        step = labels.join(around, [*keys, "node"], "left").select(*keys, "node", "component", F.least("component", F.coalesce("_next", "component")).alias("_new"))
-        jump = step.select(*keys, F.col("node").alias("_new"), F.col("_new").alias("_jump"))
-        step = step.join(jump, [*keys, "_new"], "left").select(*keys, "node", F.col("component").alias("_old"), F.least("_new", F.coalesce("_jump", "_new")).alias("component")).checkpoint()
-        moved = step.where("component <> _old").limit(1).count()
-        labels = step.drop("_old")
-    both.unpersist()
+    for step in rounds:
+        step = step.select(*keys, F.col("node").alias("component"), F.col("label").alias("_next"))
+        labels = stored(labels.join(step, [*keys, "component"], "left").select(*keys, "node", F.coalesce("_next", "component").alias("component")), "labels")
     return labels
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table under the checkpoint folder, read again."""
+    checkpoint_folder(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpoint_folder(df: DataFrame) -> None:
     """Where checkpoints go: spark.checkpoint.dir. A local session without one gets a folder of its machine."""
     spark = df.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import color
@@ -114,7 +114,9 @@ def _near(spark: SparkSession, sf: str) -> DataFrame:
     model = color.add(T.catalog(spark, sf).withColumnRenamed("phys_mm", "code_mm"), color.lab_steps("r", "g", "b", "q"), ["q_l", "q_a", "q_b"]).select("code_id", "kind", "code_mm", "q_l", "q_a", "q_b")
     gaps = [F.col(f"p_{x}") - F.col(f"q_{x}") for x in "lab"]
     size = F.col("want_mm") - F.col("code_mm")
-    return L.neighbours(targets, model, sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) + 36 * size * size, 15, "target_id", "code_id").withColumn("w", L.closeness(F.col("distance")))
+    targets, model = targets.withColumn("p_s", 6 * F.col("want_mm")), model.withColumn("q_s", 6 * F.col("code_mm"))
+    near = L.nearest_in_space(targets, model, sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]) + 36 * size * size, [(f"p_{x}", f"q_{x}") for x in "labs"], 15, "target_id", "code_id")
+    return near.withColumn("w", L.closeness(F.col("distance")))
 
 
 @query("catalog", "targets", sql=_KNN + f"SELECT target_id, {', '.join(half_up(f'ANY_VALUE(p_{x}) + SUM(w * (q_{x} - p_{x})) / SUM(w)', 6) + f' AS {x}' for x in 'lab')} FROM near GROUP BY target_id")
@@ -130,3 +132,29 @@ def knn_vote(spark: SparkSession, sf: str) -> DataFrame:
     """The kind with the heaviest vote among the 15 nearest codes."""
     votes = _near(spark, sf).groupBy("target_id", "kind").agg(F.count("*").alias("n"), F.sum("w").alias("v"))
     return votes.groupBy("target_id").agg(F.min(F.struct((-F.col("v")).alias("_v"), "kind", "n")).alias("m")).select("target_id", "m.kind", "m.n")
+
+
+# The measured colour of each code: its catalogue colour, off by a little that depends on the code.
+_SEEN = {"r": "(r + code_id % 23) % 256", "g": "(g + code_id % 17) % 256", "b": "(b + code_id % 31) % 256"}
+_SEEN_SQL = f"(SELECT code_id, m_l, m_a, m_b, c_l, c_a, c_b FROM {color.nest(color.nest('catalog', _C), color.lab_steps(*(f'({x})' for x in _SEEN.values()), 'm'))})"
+
+
+@query("catalog", sql=f""", seen AS MATERIALIZED {_SEEN_SQL}, near AS (SELECT * FROM (SELECT p.code_id, p.m_l AS p_l, p.m_a AS p_a, p.m_b AS p_b, p.c_l, p.c_a, p.c_b, q.c_l - q.m_l AS r_l, q.c_a - q.m_a AS r_a, q.c_b - q.m_b AS r_b,
+    (p.m_l - q.m_l) * (p.m_l - q.m_l) + (p.m_a - q.m_a) * (p.m_a - q.m_a) + (p.m_b - q.m_b) * (p.m_b - q.m_b) AS dd, ROW_NUMBER() OVER (PARTITION BY p.code_id ORDER BY dd, q.code_id) AS k FROM seen p JOIN seen q ON p.code_id <> q.code_id WHERE p.code_id % 5 = 1) WHERE k <= 12),
+fitted AS (SELECT code_id, ANY_VALUE(c_l) AS c_l, ANY_VALUE(c_a) AS c_a, ANY_VALUE(c_b) AS c_b, {', '.join(f'ANY_VALUE(p_{x}) AS p_{x}, ANY_VALUE(p_{x}) + SUM(EXP(-dd / 100) * r_{x}) / (SUM(EXP(-dd / 100)) + 1) AS f_{x}' for x in 'lab')} FROM near GROUP BY code_id)
+SELECT COUNT(*) AS n, {half_up('AVG(SQRT((p_l - c_l) * (p_l - c_l) + (p_a - c_a) * (p_a - c_a) + (p_b - c_b) * (p_b - c_b)))', 6)} AS as_seen, {half_up('AVG(SQRT((f_l - c_l) * (f_l - c_l) + (f_a - c_a) * (f_a - c_a) + (f_b - c_b) * (f_b - c_b)))', 6)} AS fitted FROM fitted""")
+def colour_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogue colours predicted from the measured one and the residuals of its twelve nearest, each fifth code left out.
+
+    The mean difference of the measured colours themselves and of the predicted ones (a stated test set: every fifth row).
+    """
+    seen = color.add(color.add(T.catalog(spark, sf), _C, ["c_l", "c_a", "c_b"]), color.lab_steps(*(f"({x})" for x in _SEEN.values()), "m"), ["m_l", "m_a", "m_b"])
+    asked = seen.where("code_id % 5 = 1").select("code_id", *(F.col(f"c_{x}") for x in "lab"), *(F.col(f"m_{x}").alias(f"p_{x}") for x in "lab"))
+    model = seen.select(F.col("code_id").alias("model_id"), *(F.col(f"m_{x}").alias(f"q_{x}") for x in "lab"), *((F.col(f"c_{x}") - F.col(f"m_{x}")).alias(f"r_{x}") for x in "lab"))
+    gaps = [F.col(f"p_{x}") - F.col(f"q_{x}") for x in "lab"]
+    # one more than wanted, since each finds itself
+    near = L.nearest_in_space(asked, model, gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2], [(f"p_{x}", f"q_{x}") for x in "lab"], 13, "code_id", "model_id").where("code_id <> model_id")
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy("code_id").orderBy("distance", "model_id"))).where("k <= 12").withColumn("w", F.exp(-F.col("distance") / 100))
+    fitted = near.groupBy("code_id").agg(*(F.first(f"{s}_{x}").alias(f"{s}_{x}") for s in "cp" for x in "lab"), *((F.first(f"p_{x}") + F.sum(F.col("w") * F.col(f"r_{x}")) / (F.sum("w") + 1)).alias(f"f_{x}") for x in "lab"))
+    off = lambda s: F.sqrt(sum(((F.col(f"{s}_{x}") - F.col(f"c_{x}")) * (F.col(f"{s}_{x}") - F.col(f"c_{x}")) for x in "ab"), (F.col(f"{s}_l") - F.col("c_l")) * (F.col(f"{s}_l") - F.col("c_l"))))
+    return fitted.agg(F.count("*").alias("n"), rounded(F.avg(off("p")), 6).alias("as_seen"), rounded(F.avg(off("f")), 6).alias("fitted"))

@@ -140,7 +140,7 @@ query.oracles["touching_components"] = query.oracles["touching_components"].repl
 inner_gaps AS (SELECT l.design_id, l.component, AVG(e.gap) AS gap FROM pairs e JOIN labelled l ON l.design_id = e.design_id AND l.node = e.a WHERE e.sa = e.sb AND e.gap <= CAST(0.6 AS DOUBLE) GROUP BY ALL)
 SELECT design_id, component, n, phys_mm, {half_up('width', 6)} AS width, {half_up('gap', 6)} AS mean_gap FROM sized LEFT JOIN inner_gaps USING (design_id, component) WHERE n >= 3""")
 def fill_stats(spark: SparkSession, sf: str) -> DataFrame:
-    labels = _components(spark, sf).withColumnRenamed("node", "stone_id").cache()
+    labels = _components(spark, sf).withColumnRenamed("node", "stone_id")
     stones = T.stones(spark, sf).select("design_id", "stone_id", "phys_mm", "x_mm")
     sized = labels.join(stones, ["design_id", "stone_id"]).groupBy("design_id", "component").agg(F.count("*").alias("n"), F.min("phys_mm").alias("phys_mm"), (F.max("x_mm") - F.min("x_mm")).alias("width"))
     gaps = touching(spark, sf).select("design_id", F.col("a_stone_id").alias("stone_id"), "gap").join(labels, ["design_id", "stone_id"]).groupBy("design_id", "component").agg(F.avg("gap").alias("gap"))
