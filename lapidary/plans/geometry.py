@@ -134,7 +134,8 @@ def cell_owners(spark: SparkSession, sf: str) -> DataFrame:
     return _owned(spark, sf).groupBy("design_id", "stone_id").agg(F.count("*").alias("cells"))
 
 
-@query("stones", sql=_OWNER_SQL + """, sides AS (SELECT a.design_id, a.stone_id AS p, b.stone_id AS q FROM owned a JOIN owned b ON a.design_id = b.design_id AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)) WHERE a.stone_id <> b.stone_id)
+@query("stones", sql=_OWNER_SQL + """, sides AS (SELECT a.design_id, a.stone_id AS p, b.stone_id AS q FROM owned a JOIN owned b ON a.design_id = b.design_id AND b.x = a.x + 1 AND b.y = a.y WHERE a.stone_id <> b.stone_id
+  UNION ALL SELECT a.design_id, a.stone_id, b.stone_id FROM owned a JOIN owned b ON a.design_id = b.design_id AND b.x = a.x AND b.y = a.y + 1 WHERE a.stone_id <> b.stone_id)
 SELECT DISTINCT design_id, LEAST(p, q) AS a, GREATEST(p, q) AS b FROM sides JOIN (SELECT design_id, stone_id AS p, x_mm AS px, y_mm AS py, phys_mm AS pp FROM stones) USING (design_id, p) JOIN (SELECT design_id, stone_id AS q, x_mm AS qx, y_mm AS qy, phys_mm AS pq FROM stones) USING (design_id, q)
 WHERE SQRT((px - qx) * (px - qx) + (py - qy) * (py - qy)) <= CAST(1.5 AS DOUBLE) * 3 + (pp + pq) / 2 - CAST(2.8 AS DOUBLE)""")
 def adjacency(spark: SparkSession, sf: str) -> DataFrame:
