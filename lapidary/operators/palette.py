@@ -6,8 +6,11 @@ choices are aggregates over it, the driver's loops running over codes chosen, ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import color
@@ -16,38 +19,97 @@ UNCOVERED = 1000.0
 SHRINK, SHRINK_PER_MM, CROSS = 20.0, 2.0, 12.0
 DOWN = 25.0
 MAX_CODES = 11
-_DE = color.de2000_steps("p", "q")
+#: Targets and codes that meet in one task at a time, and targets whose differences are held at once.
+BLOCKS, SLICE = (256, 2048), 64
+Judge = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]
+
+
+def looks(catalog: DataFrame) -> DataFrame:
+    """Codes that look alike (colour, kind and size) as their smallest code_id, with their number ``codes``.
+
+    Such codes cost every target the same, and ties go to the smallest code, so choices may be made among these.
+    """
+    return catalog.groupBy("r", "g", "b", "kind", "phys_mm").agg(F.min("code_id").alias("code_id"), F.count("*").alias("codes"))
 
 
-def paired(targets: DataFrame, catalog: DataFrame, only: Column | None = None) -> DataFrame:
-    """Every target with every code, or those pairs that ``only`` holds for, and their colour difference ``de``.
+def meet(targets: DataFrame, catalog: DataFrame, judge: Judge, schema: str) -> DataFrame:
+    """``judge`` on every block of targets (target_id, r, g, b, phys_mm) with every block of codes (code_id, kind, codes too).
 
-    The catalogue is a dimension of bounded size. A filter on ``de`` or on what follows from it would be pushed below its
-    many steps, each time with all of them written out; hence ``only``, which needs no difference.
+    A judge gets up to ``SLICE`` targets, a block's codes in order of code_id and the matrix of their differences; what it
+    returns has the columns of ``schema``. Targets are copied once a block of codes and codes once a block of targets, so
+    no row for a pair is shuffled, and a task holds two blocks whatever the tables' sizes.
     """
-    left = targets.select("target_id", "layer", "weight", F.col("phys_mm").alias("want_mm"), F.col("r").alias("p_r"), F.col("g").alias("p_g"), F.col("b").alias("p_bl"))
-    right = catalog.select("code_id", "kind", "active", F.col("phys_mm").alias("code_mm"), F.col("r").alias("q_r"), F.col("g").alias("q_g"), F.col("b").alias("q_bl"))
-    left, right = color.add(left, color.lab_steps("p_r", "p_g", "p_bl", "p"), ["p_l", "p_a", "p_b"]), color.add(right, color.lab_steps("q_r", "q_g", "q_bl", "q"), ["q_l", "q_a", "q_b"])
-    pairs = left.crossJoin(right)
-    return color.add(pairs if only is None else pairs.where(only), _DE, ["de"])
-
-
-def allowed() -> Column:
-    """Whether a target may be met with a code at all."""
-    white = (F.col("p_l") >= 70) & (F.sqrt(F.col("p_a") * F.col("p_a") + F.col("p_b") * F.col("p_b")) <= 15)
-    pearl, smaller = F.col("kind") == "pearl", F.col("want_mm") - F.col("code_mm")
-    return (~pearl & (smaller >= -1e-6)) | (pearl & (F.col("want_mm") >= 4) & (smaller >= -1e-6) & white)
-
-
-def stone_cost() -> Column:
-    """Cost of meeting a target with a code, null where it may not: same size plain, smaller with a penalty, white to pearl."""
-    white = (F.col("p_l") >= 70) & (F.sqrt(F.col("p_a") * F.col("p_a") + F.col("p_b") * F.col("p_b")) <= 15)
-    pearl, smaller = F.col("kind") == "pearl", F.col("want_mm") - F.col("code_mm")
-    return (
-        F.when(~pearl & (F.abs(smaller) <= 1e-6), F.col("de"))
-        .when(~pearl & (smaller > 1e-6), F.col("de") + SHRINK + SHRINK_PER_MM * smaller)
-        .when(pearl & (F.col("want_mm") >= 4) & (smaller >= -1e-6) & white, F.col("de") + CROSS)
-    )
+    wide = catalog if "codes" in catalog.columns else catalog.withColumn("codes", F.lit(1))
+    left = color.add(targets, color.lab_steps("r", "g", "b", "p"), ["p_l", "p_a", "p_b"]).select("target_id", F.col("phys_mm").cast("double").alias("want_mm"), "p_l", "p_a", "p_b")
+    right = color.add(wide, color.lab_steps("r", "g", "b", "q"), ["q_l", "q_a", "q_b"]).select("code_id", "kind", "codes", F.col("phys_mm").cast("double").alias("code_mm"), "q_l", "q_a", "q_b")
+    n_left, n_right = (-(-rows.count() // size) or 1 for rows, size in zip((targets, catalog), BLOCKS))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = left.withColumn("_t", block("target_id", n_left)).withColumn("_c", every(n_right))
+    right = right.withColumn("_c", block("code_id", n_right)).withColumn("_t", every(n_left))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def judged(t: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(c):
+            c = c.sort_values("code_id")
+            q = c[["q_l", "q_a", "q_b"]].to_numpy()[None]
+            for i in range(0, len(t), SLICE):
+                part = t.iloc[i : i + SLICE]
+                found.append(judge(part, c, color.de2000_array(part[["p_l", "p_a", "p_b"]].to_numpy()[:, None], q)))
+        return pd.concat(found)[names] if found else pd.DataFrame(columns=names)
+
+    return left.groupBy("_t", "_c").cogroup(right.groupBy("_t", "_c")).applyInPandas(judged, schema)
+
+
+def cost_matrix(t: pd.DataFrame, c: pd.DataFrame, de: np.ndarray) -> np.ndarray:
+    """Cost of meeting targets with codes, NaN where it may not be: same size plain, smaller with a penalty, white to pearl."""
+    want = t["want_mm"].to_numpy()[:, None]
+    smaller, pearl = want - c["code_mm"].to_numpy()[None], (c["kind"] == "pearl").to_numpy()[None]
+    white = ((t["p_l"] >= 70) & (np.hypot(t["p_a"], t["p_b"]) <= 15)).to_numpy()[:, None]
+    plain = np.where(np.abs(smaller) <= 1e-6, de, np.where(smaller > 0, de + SHRINK + SHRINK_PER_MM * smaller, np.nan))
+    return np.where(pearl, np.where(white & (want >= 4) & (smaller >= -1e-6), de + CROSS, np.nan), plain)
+
+
+def _pairs(t: pd.DataFrame, c: pd.DataFrame, de: np.ndarray) -> pd.DataFrame:
+    cost = cost_matrix(t, c, de)
+    i, j = np.nonzero(~np.isnan(cost))
+    same = (c["kind"] != "pearl").to_numpy()[j] & (np.abs(t["want_mm"].to_numpy()[i] - c["code_mm"].to_numpy()[j]) <= 1e-6)
+    return pd.DataFrame({"target_id": t["target_id"].to_numpy()[i], "code_id": c["code_id"].to_numpy()[j], "de": de[i, j], "same": same, "cost": cost[i, j]})
+
+
+def _least(t: pd.DataFrame, c: pd.DataFrame, de: np.ndarray) -> pd.DataFrame:
+    cost = cost_matrix(t, c, de)
+    usable = ~np.isnan(cost)
+    least = np.where(usable, cost, np.inf).min(axis=1)
+    return pd.DataFrame({"target_id": t["target_id"].to_numpy(), "usable": usable @ c["codes"].to_numpy(), "least": np.where(np.isinf(least), np.nan, least)})
+
+
+def _closest(t: pd.DataFrame, c: pd.DataFrame, de: np.ndarray) -> pd.DataFrame:
+    at = de.argmin(axis=1)  # the first, hence the smallest code of equal ones
+    return pd.DataFrame({"target_id": t["target_id"].to_numpy(), "code_id": c["code_id"].to_numpy()[at], "de": de[np.arange(len(de)), at]})
+
+
+def costs(targets: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The cost table: target_id, code_id, de, same (a stone of just that size), cost; a row for each pair that may be."""
+    return meet(targets, catalog, _pairs, "target_id long, code_id long, de double, same boolean, cost double")
+
+
+def usable(targets: DataFrame, catalog: DataFrame) -> DataFrame:
+    """For each target the number of codes that it may be met with and the least cost (null: none)."""
+    found = meet(targets, looks(catalog), _least, "target_id long, usable long, least double")
+    least = F.min(F.when(~F.isnan("least"), F.col("least")))
+    return found.groupBy("target_id").agg(F.sum("usable").alias("usable"), least.alias("least"))
+
+
+def nearest(targets: DataFrame, catalog: DataFrame) -> DataFrame:
+    """For each target the code of the least difference ``de`` (ties: the smallest), each colour looked at once."""
+    key = ["r", "g", "b"]
+    codes = catalog.groupBy(*key).agg(F.min("code_id").alias("code_id"), F.lit("").alias("kind"), F.lit(0.0).alias("phys_mm"))
+    asked = targets.groupBy(*key).agg(F.min("target_id").alias("target_id"), F.lit(0.0).alias("phys_mm"))
+    found = meet(asked, codes, _closest, "target_id long, code_id long, de double").groupBy("target_id").agg(F.min(F.struct("de", "code_id")).alias("m"))
+    by_colour = asked.join(found, "target_id").select(*key, "m.code_id", "m.de")
+    return targets.select("target_id", *key).join(by_colour, key).select("target_id", "code_id", "de")
 
 
 def cheapest(costs: DataFrame, keys: list[str]) -> DataFrame:

@@ -45,19 +45,16 @@ def swatches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("catalog", "targets", sql=f"SELECT target_id, code_id, {half_up('de', 6)} AS de FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_id ORDER BY de, code_id) AS k FROM {_PAIR_SQL} WHERE active) WHERE k = 1")
 def nearest_code(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = P.paired(T.targets(spark, sf), T.catalog(spark, sf).where("active"))
-    return pairs.groupBy("target_id").agg(F.min(F.struct("de", "code_id")).alias("m")).select("target_id", "m.code_id", rounded(F.col("m.de"), 6).alias("de"))
+    return P.nearest(T.targets(spark, sf), T.catalog(spark, sf).where("active")).withColumn("de", rounded(F.col("de"), 6))
 
 
 @query("catalog", "targets", sql=f"SELECT target_id, COUNT(cost) AS usable, {half_up('MIN(cost)', 6)} AS least FROM (SELECT target_id, {_COST} AS cost FROM {_PAIR_SQL}) GROUP BY target_id")
 def stone_cost(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = P.paired(T.targets(spark, sf), T.catalog(spark, sf)).withColumn("cost", P.stone_cost())
-    return pairs.groupBy("target_id").agg(F.count("cost").alias("usable"), rounded(F.min("cost"), 6).alias("least"))
+    return P.usable(T.targets(spark, sf), T.catalog(spark, sf)).withColumn("least", rounded(F.col("least"), 6))
 
 
 def _costs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = P.paired(T.targets(spark, sf), T.catalog(spark, sf), P.allowed())
-    return pairs.select("target_id", "code_id", P.stone_cost().alias("cost"))
+    return P.costs(T.targets(spark, sf), P.looks(T.catalog(spark, sf)))
 
 
 @query("catalog", "targets", sql=f""", codes AS (SELECT p_partkey AS code_id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 11), costs AS (SELECT target_id, code_id, {_COST} AS cost FROM {_PAIR_SQL}),
@@ -66,13 +63,24 @@ SELECT layer, CAST(SUM(weight) AS BIGINT) AS stones, CAST(COALESCE(SUM(weight) F
 def palette_eval(spark: SparkSession, sf: str) -> DataFrame:
     """What the eleven dearest codes cost as a palette (a top-k report)."""
     codes = T.read(spark, sf, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(11).select(F.col("p_partkey").alias("code_id"))
-    return P.evaluate(_costs(spark, sf), T.targets(spark, sf), codes).withColumn("cost", rounded(F.col("cost"), 4))
+    costs = P.costs(T.targets(spark, sf), T.catalog(spark, sf).join(codes, "code_id", "left_semi"))
+    return P.evaluate(costs, T.targets(spark, sf), codes).withColumn("cost", rounded(F.col("cost"), 4))
 
 
-@query()
+def _greedy_sql(rounds: int) -> str:
+    """Greedy choice, a pair of tables a round: the code that saves most, and what each target pays from then on."""
+    steps = [f"costs AS MATERIALIZED (SELECT * FROM (SELECT target_id, weight, code_id, {_COST} AS cost FROM {_PAIR_SQL}) WHERE cost IS NOT NULL)", "now0 AS MATERIALIZED (SELECT target_id, CAST(1000 AS DOUBLE) AS now FROM targets)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"pick{i} AS MATERIALIZED (SELECT code_id, SUM(GREATEST(now - cost, 0) * weight) AS gain FROM costs JOIN now{i - 1} USING (target_id) GROUP BY code_id ORDER BY ROUND(gain, 6) DESC, code_id LIMIT 1)")
+        steps.append(f"now{i} AS MATERIALIZED (SELECT target_id, LEAST(now, COALESCE(cost, now)) AS now FROM now{i - 1} LEFT JOIN (SELECT target_id, cost FROM costs WHERE code_id = (SELECT code_id FROM pick{i})) USING (target_id))")
+    picks = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS place, code_id, {half_up('gain', 4)} AS gain FROM pick{i} WHERE gain > 0" for i in range(1, rounds + 1))
+    return f", {', '.join(steps)} {picks}"
+
+
+@query("catalog", "targets", sql=_greedy_sql(P.MAX_CODES))
 def palette_greedy(spark: SparkSession, sf: str) -> DataFrame:
     found = P.greedy(_costs(spark, sf), T.targets(spark, sf), P.MAX_CODES)
-    return spark.createDataFrame([(i + 1, c, float(g)) for i, (c, g) in enumerate(found)], "place int, code_id long, gain double")
+    return spark.createDataFrame([(i + 1, c, float(g)) for i, (c, g) in enumerate(found)], "place int, code_id long, gain double").withColumn("gain", rounded(F.col("gain"), 4))
 
 
 @query()
@@ -85,9 +93,7 @@ def palette_swaps(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def palette_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Cheapest merges, from each target's best code, of its own size where there is one, down to eleven codes."""
-    pairs = P.paired(T.targets(spark, sf), T.catalog(spark, sf), P.allowed())
-    same = (F.col("kind") != "pearl") & (F.abs(F.col("want_mm") - F.col("code_mm")) <= 1e-6)
-    _, history = P.merge(pairs.select("target_id", "code_id", "de", same.alias("same"), P.stone_cost().alias("cost")), T.targets(spark, sf), P.MAX_CODES, catalog=T.catalog(spark, sf))
+    _, history = P.merge(_costs(spark, sf), T.targets(spark, sf), P.MAX_CODES, catalog=T.catalog(spark, sf))
     return spark.createDataFrame([(i + 1, a, b, float(p)) for i, (a, b, p) in enumerate(history)], "step int, from_code long, to_code long, price double")
 
 

@@ -286,3 +286,28 @@ def test_components_have_no_bound_of_rounds(spark):
     edges = spark.createDataFrame([(0, a, b) for a, b in zip(order, order[1:])] + [(0, 40, 41)], "k long, a long, b long")
     found = {r["node"]: r["component"] for r in spatial.components(nodes, edges, ["k"]).collect()}
     assert found == {i: 0 if i < 40 else 40 for i in range(42)}
+
+
+def test_differences_in_arrays_are_those_of_the_columns(spark):
+    rng = np.random.default_rng(5)
+    labs = np.column_stack([rng.uniform(0, 100, 400), rng.uniform(-90, 90, (400, 2))])
+    labs[::9, 1:] = 0.0
+    p, q = labs[:200], labs[200:]
+    columns = [f"{s}_{x}" for s in "pq" for x in "lab"]
+    rows = color.add(spark.createDataFrame(np.hstack([p, q]).tolist(), columns), color.de2000_steps("p", "q"), ["de"])
+    assert np.allclose(sorted(r["de"] for r in rows.collect()), np.sort(color.de2000_array(p, q)), atol=1e-9)
+
+
+def test_costs_do_not_depend_on_blocks(spark, monkeypatch):
+    targets = spark.createDataFrame([(i, i * 37 % 256, i * 91 % 256, i * 157 % 256, [2.8, 4.0, 5.0][i % 3], i % 4 + 1) for i in range(40)], "target_id long, r int, g int, b int, phys_mm double, weight long")
+    codes = spark.createDataFrame([(i, i % 7 * 30, i % 5 * 50, i % 3 * 90, [2.8, 4.0, 5.0][i % 3], "pearl" if i % 10 == 0 else "stone") for i in range(150)], "code_id long, r int, g int, b int, phys_mm double, kind string")
+    views = {"costs": palette.costs, "usable": palette.usable, "nearest": palette.nearest}
+    whole = {n: sorted(map(tuple, f(targets, codes).collect())) for n, f in views.items()}
+    monkeypatch.setattr(palette, "BLOCKS", (7, 11))
+    monkeypatch.setattr(palette, "SLICE", 3)
+    assert {n: sorted(map(tuple, f(targets, codes).collect())) for n, f in views.items()} == whole
+    usable, least = {}, {}
+    for target, _, _, _, cost in whole["costs"]:
+        usable[target], least[target] = usable.get(target, 0) + 1, min(cost, least.get(target, cost))
+    assert whole["usable"] == sorted((t, usable[t], least[t]) for t in usable)
+    assert palette.costs(targets.limit(0), codes).count() == palette.nearest(targets, codes.limit(0)).count() == 0
