@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import color
+from lapidary.operators import spatial
 
 UNCOVERED = 1000.0
 SHRINK, SHRINK_PER_MM, CROSS = 20.0, 2.0, 12.0
 DOWN = 25.0
+#: What a record costs that no code is left for, when codes are dropped.
+LEFT_OVER = 1e4
 MAX_CODES = 11
 #: Targets and codes that meet in one task at a time, and targets whose differences are held at once.
 BLOCKS, SLICE = (256, 2048), 64
@@ -253,3 +256,37 @@ def merge(costs: DataFrame, records: DataFrame, most: int, lock: tuple[int, ...]
     costs.unpersist()
     home.unpersist()
     return [int(c) for c in codes[live]], history
+
+
+def alike(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Records (target_id, weight) that agree in ``keys`` as one, their smallest target_id: weight summed, ``records`` counted."""
+    return records.groupBy(*keys).agg(F.min("target_id").alias("target_id"), F.sum("weight").alias("weight"), F.count("*").alias("records"))
+
+
+def merge_down(costs: DataFrame, records: DataFrame, codes: DataFrame, most: int, keep: tuple[int, ...] = (), penalty: float = DOWN, left_over: float = LEFT_OVER) -> tuple[list[int], list[tuple[int, int, float]]]:
+    """Drop the code whose loss costs least, its records moving to their next best, until ``most`` are left.
+
+    ``codes`` (code_id, phys_mm) is the start, ``records`` are (target_id, weight, records). Losing a code costs each of
+    its records the squared difference of the next best less that of the code, and ``penalty`` squared if the next best is
+    smaller, by weight; ``left_over`` if there is none. Codes in ``keep`` stay; ties go to the smallest code. Returns the
+    codes left and the history (code, records moved, cost).
+
+    A record is one row with its codes of the start in order of cost, so a round is a filter of that array and an
+    aggregate to a row a code, and moves no record.
+    """
+    options = F.array_sort(F.collect_list(F.struct("cost", "code_id", "de", F.col("phys_mm").cast("double").alias("mm"))))
+    rows = costs.join(F.broadcast(codes.select("code_id", "phys_mm")), "code_id").groupBy("target_id").agg(options.alias("options"))
+    rows = spatial.stored(rows.join(records.select("target_id", "weight", "records"), "target_id"), "options")
+    live, history = sorted(r["code_id"] for r in codes.select("code_id").collect()), []
+    while len(live) > most:
+        left = rows.withColumn("left", F.filter("options", lambda o: o["code_id"].isin(live)))
+        left = left.select("weight", "records", F.get("left", 0).alias("now"), F.get("left", 1).alias("then")).where("now is not null")
+        moved = F.col("then.de") * F.col("then.de") - F.col("now.de") * F.col("now.de") + F.when(F.col("then.mm") < F.col("now.mm") - 1e-6, penalty**2).otherwise(0.0)
+        price = F.sum(F.col("weight") * F.when(F.col("then").isNull(), left_over).otherwise(moved))
+        prices = {r["code"]: (r["price"], r["records"]) for r in left.groupBy(F.col("now.code_id").alias("code")).agg(price.alias("price"), F.sum("records").alias("records")).collect()}
+        found = min(((*prices.get(c, (0.0, 0)), c) for c in live if c not in keep), key=lambda x: (x[0], x[2]), default=None)
+        if found is None:
+            break
+        live.remove(found[2])
+        history.append((found[2], int(found[1]), float(found[0])))
+    return live, history

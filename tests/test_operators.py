@@ -311,3 +311,45 @@ def test_costs_do_not_depend_on_blocks(spark, monkeypatch):
         usable[target], least[target] = usable.get(target, 0) + 1, min(cost, least.get(target, cost))
     assert whole["usable"] == sorted((t, usable[t], least[t]) for t in usable)
     assert palette.costs(targets.limit(0), codes).count() == palette.nearest(targets, codes.limit(0)).count() == 0
+
+
+def test_merge_down(spark):
+    rng = np.random.default_rng(5)
+    cost = {(t, c): (float(rng.integers(1, 60)), float(rng.integers(1, 40))) for t in range(40) for c in range(9) if rng.random() < 0.6}
+    size = {c: 2.0 + c % 3 for c in range(9)}
+    table = spark.createDataFrame([(t, c, de, v) for (t, c), (v, de) in cost.items()], "target_id long, code_id long, de double, cost double")
+    records = spark.createDataFrame([(t, t % 4 + 1, 1) for t in range(40)], "target_id long, weight long, records long")
+    codes = spark.createDataFrame(list(size.items()), "code_id long, phys_mm double")
+    live, want = set(range(9)), []
+    while len(live) > 3:
+        prices = {}
+        for a in live - {4}:
+            price = moved = 0
+            for t in range(40):
+                order = sorted((cost[t, c][0], c) for c in live if (t, c) in cost)
+                if order and order[0][1] == a:
+                    moved += 1
+                    gap = 1e4 if len(order) == 1 else cost[t, order[1][1]][1] ** 2 - cost[t, a][1] ** 2 + 625 * (size[order[1][1]] < size[a])
+                    price += (t % 4 + 1) * gap
+            prices[a] = (price, a, moved)
+        price, a, moved = min(prices.values())
+        live.remove(a)
+        want.append((a, moved, price))
+    left, history = palette.merge_down(table, records, codes, 3, keep=(4,))
+    assert left == sorted(live) and 4 in left
+    assert history == [(a, m, pytest.approx(p)) for a, m, p in want]
+    assert palette.merge_down(table.limit(0), records, codes, 8)[1] == [(0, 0, 0.0)]
+    assert palette.merge_down(table, records, codes, 1, keep=tuple(range(9))) == (list(range(9)), [])
+
+
+def test_admission_of_calls(spark, tmp_path):
+    schema = "k string, call string, state string, at long, usd double"
+    first = [("a", "1", "sent", 1, None), ("a", "2", "sent", 2, None), ("a", "3", "sent", 3, None), ("a", "1", "done", 4, 0.01), ("a", "4", "sent", 5, None), ("b", "1", "done", 1, 9.0), ("b", "1", "sent", 2, None)]
+    second = [("a", "3", "done", 6, 5.0), ("a", "2", "error", 7, None), ("a", "4", "done", 8, None), ("a", "5", "sent", 9, None), ("a", "6", "sent", 10, None), (None, "1", "sent", 1, None), (None, None, "sent", 2, None)]
+    want = {("a", "1", 1, None, 0.0), ("a", "2", 2, None, 0.0), ("a", "3", None, "usd", 0.0), ("a", "4", 3, None, 0.01), ("b", "1", 1, None, 0.0), ("a", "5", 4, None, 0.01), ("a", "6", None, "calls", 0.01), (None, "1", 1, None, 0.0)}
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "calls"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "calls"))
+        q = ledger.admit(stream, "k", 4, 0.08, 0.03).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert set(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
