@@ -62,3 +62,70 @@ def alignment(moving: DataFrame, fixed: DataFrame, shifts: DataFrame, tolerance:
     moved = moving.crossJoin(F.broadcast(shifts)).withColumns({"x_mm": F.col("x_mm") + F.col("dx"), "y_mm": F.col("y_mm") + F.col("dy")})  # a stated grid of shifts
     near = S.within(moved, fixed, 2 * tolerance, keys).where((F.abs(F.col("a_x_mm") - F.col("b_x_mm")) < tolerance) & (F.abs(F.col("a_y_mm") - F.col("b_y_mm")) < tolerance))
     return near.select(*keys, F.col("a_shift").alias("shift"), "a_stone_id").distinct().groupBy(*keys, "shift").agg(F.count("*").alias("hits"))
+
+
+def _differ(a: str, b: str) -> Column:
+    gaps = [F.col(f"{a}lab_{x}") - F.col(f"{b}lab_{x}") for x in "lab"]
+    return F.sqrt(gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2])
+
+
+def _ratio(a: str, b: str) -> Column:
+    return F.greatest(f"{a}d_mm", f"{b}d_mm") / F.least(f"{a}d_mm", f"{b}d_mm")
+
+
+def axis_votes(items: DataFrame, keys: list[str], prior: float, row: float = 1.2, span: float = 30.0, least: float = 3.0, ratio: float = 1.25, differ: float = 15.0) -> DataFrame:
+    """(keys, y, mid): middles of pairs in one row that are alike in size and colour and lie further apart than the upper one is wide.
+
+    A pair whose middle lies within ``span`` of the prior axis is an item near another's image about that axis, so cells
+    of a row's height and twice the span's width hold all that may meet.
+    """
+    seen = items.where(F.col("d_mm") >= least).select(*keys, "stone_id", "x_mm", "y_mm", "d_mm", "lab_l", "lab_a", "lab_b")
+    name = lambda p: seen.select(*keys, *(F.col(c).alias(f"{p}_{c}") for c in seen.columns if c not in keys))
+    near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    a = name("a").withColumns({"_cx": F.floor((2 * prior - F.col("a_x_mm")) / (2 * span)), "_cy": F.floor(F.col("a_y_mm") / row)})
+    a = a.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy")
+    b = name("b").withColumns({"_cx": F.floor(F.col("b_x_mm") / (2 * span)), "_cy": F.floor(F.col("b_y_mm") / row)})
+    pairs = a.join(b, [*keys, "_cx", "_cy"]).withColumn("mid", (F.col("a_x_mm") + F.col("b_x_mm")) / 2)
+    upper = (F.col("a_y_mm") < F.col("b_y_mm")) | ((F.col("a_y_mm") == F.col("b_y_mm")) & (F.col("a_stone_id") < F.col("b_stone_id")))
+    fits = upper & (F.col("b_y_mm") - F.col("a_y_mm") <= row) & (F.abs(F.col("mid") - prior) <= span) & (F.abs(F.col("a_x_mm") - F.col("b_x_mm")) >= F.col("a_d_mm"))
+    return pairs.where(fits & (_ratio("a_", "b_") <= ratio) & (_differ("a_", "b_") <= differ)).select(*keys, ((F.col("a_y_mm") + F.col("b_y_mm")) / 2).alias("y"), "mid")
+
+
+def local_axes(votes: DataFrame, keys: list[str], prior: float, step: float = 2.0, band: float = 15.0, bin_mm: float = 0.5, min_votes: float = 2.0, sigma: float = 6.0, fill: float = 10.0) -> DataFrame:
+    """(keys, k, axis): the axis at heights k * ``step``, from the peak of the middles within ``band`` of them.
+
+    Votes count by their distance to the prior axis, half as much in the bins beside their own. A height whose peak has
+    less than ``min_votes`` takes the nearest one's axis within ``fill`` (ties: the upper one's). Sums are taken to a
+    billionth, so that the order of their rows does not show.
+    """
+    at = F.explode(F.sequence(F.ceil((F.col("y") - band) / step), F.floor((F.col("y") + band) / step)))
+    weight = F.exp(-(F.col("mid") - prior) * (F.col("mid") - prior) / (2 * sigma * sigma))
+    votes = S.stored(votes, "votes")
+    votes = votes.withColumn("k", at).withColumns({"bin": F.floor(F.col("mid") / bin_mm + F.lit(0.5)), "w": weight})
+    spread = F.explode(F.array(*(F.struct((F.col("bin") + i).alias("bin"), (F.col("w") * f).alias("w")) for i, f in ((-1, 0.5), (0, 1.0), (1, 0.5)))))
+    heights = votes.select(*keys, "k", spread.alias("v")).groupBy(*keys, "k", "v.bin").agg(F.floor(F.sum("v.w") * 1e9 + F.lit(0.5)).alias("votes"))
+    peak = heights.groupBy(*keys, "k").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "bin")).alias("p")).where(-F.col("p.votes") >= min_votes * 1e9).select(*keys, "k", F.col("p.bin").alias("_bin"))
+    own = votes.join(peak, [*keys, "k"]).where(F.abs(F.col("mid") - F.col("_bin") * bin_mm) <= 1.5 * bin_mm).groupBy(*keys, "k").agg((F.floor(F.avg("mid") * 1e9 + F.lit(0.5)) / 1e9).alias("axis"))
+    reach = int(fill / 2)
+    near = S.stored(own, "axes").withColumn("d", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
+    return near.groupBy(*keys, (F.col("k") + F.col("d")).alias("k")).agg(F.min(F.struct(F.abs("d").alias("far"), F.col("k").alias("of"), "axis")).alias("n")).select(*keys, "k", F.col("n.axis").alias("axis"))
+
+
+def twins(items: DataFrame, axes: DataFrame, keys: list[str], largest: float, step: float = 2.0, least: float = 4.5, aside: float = 0.5, ratio: float = 1.8, differ: float = 30.0) -> DataFrame:
+    """(keys, a, b, off, axis): items left of their height's axis and those right of it that are each other's nearest image.
+
+    An image may be off by 0.35 of the larger size and 0.8 mm; ``largest`` bounds the sizes. Ties: the smaller stone_id.
+    """
+    big = items.where(F.col("d_mm") >= least).select(*keys, "stone_id", "x_mm", "y_mm", "d_mm", "lab_l", "lab_a", "lab_b")
+    placed = big.withColumn("k", F.floor(F.col("y_mm") / step + F.lit(0.5))).join(axes, [*keys, "k"]).drop("k")
+    placed = S.stored(placed, "placed")
+
+    def image(rows: DataFrame, side: int) -> DataFrame:
+        near = S.within(rows.withColumn("x_mm", 2 * F.col("axis") - F.col("x_mm")), big, 0.35 * largest + 0.81, keys)
+        fits = (F.col("distance") <= 0.35 * F.greatest("a_d_mm", "b_d_mm") + 0.8) & ((F.col("b_x_mm") - F.col("a_axis")) * side > 0)
+        near = near.where(fits & (F.col("a_stone_id") != F.col("b_stone_id")) & (_ratio("a_", "b_") <= ratio) & (_differ("a_", "b_") <= differ))
+        return near.groupBy(*keys, F.col("a_stone_id").alias("me")).agg(F.min(F.struct("distance", F.col("b_stone_id").alias("you"))).alias("n"), F.first("a_axis").alias("axis"))
+
+    there = image(placed.where(F.col("x_mm") < F.col("axis") - aside), 1).select(*keys, F.col("me").alias("a"), F.col("n.you").alias("b"), F.col("n.distance").alias("off"), "axis")
+    back = image(placed, -1).select(*keys, F.col("n.you").alias("a"), F.col("me").alias("b"))
+    return there.join(back, [*keys, "a", "b"])

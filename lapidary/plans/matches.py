@@ -132,6 +132,41 @@ def mirror_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(hit, ["design_id", "stone_id"], "left").groupBy("design_id", (F.col("x_mm") < 150).alias("left_half")).agg(F.count("*").alias("n"), F.count("hit").alias("paired"))
 
 
+_TWINNED = {"x_mm": "CAST(300 AS DOUBLE) + 4 * FLOOR(y_mm / 100) - x_mm + CAST(stone_id % 5 - 2 AS DOUBLE) / 10", "y_mm": "y_mm + CAST(stone_id % 7 - 3 AS DOUBLE) / 10"}
+_BEAD = ["d_mm", "lab_l", "lab_a", "lab_b"]
+_DIFFER = "SQRT((a.lab_l - b.lab_l) * (a.lab_l - b.lab_l) + (a.lab_a - b.lab_a) * (a.lab_a - b.lab_a) + (a.lab_b - b.lab_b) * (a.lab_b - b.lab_b))"
+_LARGER, _UNLIKE = "GREATEST(a.d_mm, b.d_mm)", "GREATEST(a.d_mm, b.d_mm) / LEAST(a.d_mm, b.d_mm)"
+_IMAGE_SQL = f"""SELECT a.design_id, a.stone_id AS me, b.stone_id AS you, a.axis, SQRT((b.x_mm - (2 * a.axis - a.x_mm)) * (b.x_mm - (2 * a.axis - a.x_mm)) + (b.y_mm - a.y_mm) * (b.y_mm - a.y_mm)) AS off FROM {{0}} a JOIN big b ON a.design_id = b.design_id AND a.stone_id <> b.stone_id
+  WHERE {{1}} AND off <= CAST(0.35 AS DOUBLE) * {_LARGER} + CAST(0.8 AS DOUBLE) AND {_UNLIKE} <= CAST(1.8 AS DOUBLE) AND {_DIFFER} <= 30 QUALIFY ROW_NUMBER() OVER (PARTITION BY a.design_id, a.stone_id ORDER BY off, b.stone_id) = 1"""
+
+
+def _twinned(spark: SparkSession, sf: str) -> DataFrame:
+    """The left part of each design and a copy of nine in ten of its stones, mirrored about an axis that moves with the height."""
+    left = T.beads(spark, sf).where("x_mm < 145").select("design_id", "stone_id", "x_mm", "y_mm", *_BEAD)
+    copies = left.where("stone_id % 10 <> 0").select("design_id", (F.col("stone_id") + 1000000).alias("stone_id"), *(F.expr(x).alias(c) for c, x in _TWINNED.items()), *_BEAD)
+    return left.unionByName(copies)
+
+
+@query("stones", "beads", sql=f""", own AS MATERIALIZED (SELECT design_id, stone_id, x_mm, y_mm, {', '.join(_BEAD)} FROM beads WHERE x_mm < 145),
+items AS MATERIALIZED (SELECT * FROM own UNION ALL SELECT design_id, stone_id + 1000000, {', '.join(_TWINNED.values())}, {', '.join(_BEAD)} FROM own WHERE stone_id % 10 <> 0),
+votes AS MATERIALIZED (SELECT a.design_id, (a.y_mm + b.y_mm) / 2 AS y, (a.x_mm + b.x_mm) / 2 AS mid, EXP(-(mid - 150) * (mid - 150) / 72) AS w FROM items a JOIN items b ON a.design_id = b.design_id AND (a.y_mm < b.y_mm OR (a.y_mm = b.y_mm AND a.stone_id < b.stone_id)) AND b.y_mm - a.y_mm <= CAST(1.2 AS DOUBLE)
+  WHERE a.d_mm >= 3 AND b.d_mm >= 3 AND abs((a.x_mm + b.x_mm) / 2 - 150) <= 30 AND abs(a.x_mm - b.x_mm) >= a.d_mm AND {_UNLIKE} <= CAST(1.25 AS DOUBLE) AND {_DIFFER} <= 15),
+banded AS MATERIALIZED (SELECT *, CAST(FLOOR(mid / CAST(0.5 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS bin FROM (SELECT *, unnest(range(CAST(CEIL((y - 15) / 2) AS BIGINT), CAST(FLOOR((y + 15) / 2) AS BIGINT) + 1)) AS k FROM votes)),
+heights AS (SELECT design_id, k, bin + s.i AS bin, FLOOR(SUM(w * s.f) * 1000000000 + CAST(0.5 AS DOUBLE)) AS n FROM banded CROSS JOIN (VALUES (-1, CAST(0.5 AS DOUBLE)), (0, CAST(1 AS DOUBLE)), (1, CAST(0.5 AS DOUBLE))) s(i, f) GROUP BY ALL),
+peaks AS (SELECT * FROM heights QUALIFY ROW_NUMBER() OVER (PARTITION BY design_id, k ORDER BY n DESC, bin) = 1 AND n >= 2000000000),
+found AS MATERIALIZED (SELECT design_id, k, FLOOR(AVG(mid) * 1000000000 + CAST(0.5 AS DOUBLE)) / CAST(1000000000 AS DOUBLE) AS axis FROM banded v JOIN peaks p USING (design_id, k) WHERE abs(mid - p.bin * CAST(0.5 AS DOUBLE)) <= CAST(0.75 AS DOUBLE) GROUP BY ALL),
+axes AS MATERIALIZED (SELECT design_id, k + d.i AS k, axis FROM found CROSS JOIN (SELECT unnest(range(-5, 6)) AS i) d QUALIFY ROW_NUMBER() OVER (PARTITION BY design_id, k + d.i ORDER BY abs(d.i), found.k) = 1),
+big AS MATERIALIZED (SELECT * FROM items WHERE d_mm >= CAST(4.5 AS DOUBLE)), placed AS MATERIALIZED (SELECT b.*, axis FROM big b JOIN axes x ON x.design_id = b.design_id AND x.k = CAST(FLOOR(y_mm / 2 + CAST(0.5 AS DOUBLE)) AS BIGINT)),
+there AS ({_IMAGE_SQL.format('placed', 'a.x_mm < a.axis - CAST(0.5 AS DOUBLE) AND b.x_mm > a.axis')}), back AS ({_IMAGE_SQL.format('placed', 'b.x_mm < a.axis')})
+SELECT t.design_id, t.me AS a, t.you AS b, {half_up('t.off', 2)} AS off_mm, {half_up('t.axis', 2)} AS axis FROM there t JOIN back r ON r.design_id = t.design_id AND r.me = t.you AND r.you = t.me""")
+def twin_stones(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of stones that are each other's image about an axis found by height, with how far they are off."""
+    items = S.stored(_twinned(spark, sf), "items")
+    axes = M.local_axes(M.axis_votes(items, KEY, T.CANVAS / 2), KEY, T.CANVAS / 2)
+    pairs = M.twins(items, axes, KEY, 12.0)
+    return pairs.select("design_id", "a", "b", rounded(F.col("off"), 2).alias("off_mm"), rounded(F.col("axis"), 2).alias("axis"))
+
+
 # Graphs of beads ------------------------------------------------------------------------------------------------------
 
 _DE76 = "SQRT((a_lab_l - b_lab_l) * (a_lab_l - b_lab_l) + (a_lab_a - b_lab_a) * (a_lab_a - b_lab_a) + (a_lab_b - b_lab_b) * (a_lab_b - b_lab_b))"
