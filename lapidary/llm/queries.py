@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import langid, linededup, lm, quality
+from lapidary.llm import langid, linededup, lm, quality, whitening
 from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
 from lapidary.llm.mixing import mix_sources
 from lapidary.llm.ngramjoin import ngram_join
@@ -150,3 +150,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_ngram_join"] = op4_ngram_join
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whole_numbers(_table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
+QUERIES["op13_whitening"] = op13_whitening
