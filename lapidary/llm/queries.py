@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lapidary.llm import langid, linededup, lm, quality, whitening
 from lapidary.llm.chat import format_chat, loss_text, read_back, text_part
+from lapidary.llm.filteraudit import audit_orders, mask_cells
 from lapidary.llm.mixing import mix_sources
 from lapidary.llm.ngramjoin import ngram_join
 from lapidary.llm.packing import pack
@@ -158,3 +159,55 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_whitening"] = op13_whitening
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_orders(mask_cells(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+OP11_SQL = r"""
+WITH firsts AS (
+  SELECT coalesce(text, '') AS t, min(doc_id) AS first_id FROM documents GROUP BY 1),
+told AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY 1),
+worded AS (
+  SELECT d.doc_id, coalesce(d.source, '') AS part, coalesce(d.text, '') AS t,
+    regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents d),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+    'A': len(w) < 200,
+    'B': 100 * len(list_distinct(w)) < 50 * len(w),
+    'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+    'D': regexp_matches(t, '[#$%&*|]'),
+    'E': coalesce(worded.doc_id > first_id, false)} AS f
+  FROM worded JOIN firsts USING (t) LEFT JOIN told ON worded.doc_id = told.doc_id),
+failed AS (
+  SELECT part, good, toxic, count(*) AS n, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END)
+    || (CASE WHEN f.C THEN 'C' ELSE '' END) || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS m
+  FROM failing GROUP BY part, good, toxic, m),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS own, left(filter_order, step - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+seen AS (
+  SELECT part, filter_order, step, own, n, good, toxic, m, contains(m, own) AS fails,
+    before <> '' AND regexp_matches(m, '[' || before || 'z]') AS gone FROM failed, steps),
+counted AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE m = own), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE fails AND NOT gone AND good = 1), 0) AS good_lost,
+    coalesce(sum(n) FILTER (WHERE fails AND NOT gone AND toxic = 1), 0) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+QUERIES["op11_filter_audit"] = op11_filter_audit
+ORACLES["op11_filter_audit"] = OP11_SQL
