@@ -88,17 +88,23 @@ def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def signatures(key: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band hashes (text x band) from each text's n-gram hashes ``key[bounds[i]:bounds[i + 1]]``."""
-    a, b = _factors(bands * rows)
+def minima(key: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
+    """The least of each of ``count`` 32-bit hashes (text x hash) over each text's n-grams ``key[bounds[i]:bounds[i + 1]]``."""
+    a, b = _factors(count)
     a, b = a[:, None], b[:, None]
     small = (key >> _U(32)).astype(np.uint32)
-    least = np.empty((len(bounds) - 1, bands * rows), np.uint32)
+    least = np.empty((len(bounds) - 1, count), np.uint32)
     for i, (x, y) in enumerate(zip(bounds, bounds[1:])):
-        out = np.full(bands * rows, np.iinfo(np.uint32).max, np.uint32)
+        out = np.full(count, np.iinfo(np.uint32).max, np.uint32)
         for at in range(x, y, 2048):
             np.minimum(out, (small[None, at : min(at + 2048, y)] * a + b).min(axis=1), out=out)
         least[i] = out
+    return least
+
+
+def signatures(key: np.ndarray, bounds: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band hashes (text x band) from each text's n-gram hashes ``key[bounds[i]:bounds[i + 1]]``."""
+    least = minima(key, bounds, bands * rows)
     band = np.full((len(least), bands), 0, _U) + np.arange(1, bands + 1, dtype=_U)
     for r in range(rows):
         band = mix(band * _U(0x9E3779B97F4A7C15) + least.reshape(len(least), bands, rows)[:, :, r])
@@ -232,14 +238,14 @@ def _counts_here(hit: np.ndarray, left: np.ndarray, right: np.ndarray, place: in
         hit[x[elsewhere], y[elsewhere]] = False
 
 
-def _verify(n: int, threshold: float):
+def _verify(n: int, threshold: float, fold: np.ndarray | None = None):
     def run(table: pa.Table) -> pa.Table:
         nodes, side, group, copies = (table.column(c).to_numpy() for c in ("node", "side", "comp", "copies"))
         buckets = table.column("buckets").combine_chunks()
         by_band = lambda rows: np.array([buckets[int(i)].as_py() for i in rows], np.int64)
         sets: list = []
         for batch in table.select(["node", "text"]).combine_chunks().to_batches():
-            for chunk in chunks(iter([batch])):
+            for chunk in chunks(iter([batch]), fold=fold):
                 key, doc, _ = shingles(chunk, n)
                 cut = np.searchsorted(doc, np.arange(len(chunk) + 1))
                 sets += [np.unique(key[x:y]) for x, y in zip(cut, cut[1:])]

@@ -14,6 +14,7 @@ from lapidary.llm.mixing import mix_sources
 from lapidary.llm.ngramjoin import ngram_join
 from lapidary.llm.packing import pack
 from lapidary.llm.repetition import repetition_rules
+from lapidary.llm.setsketch import near_duplicates
 from lapidary.llm.vptree import nearest
 
 
@@ -211,3 +212,33 @@ FROM counted
 """
 QUERIES["op11_filter_audit"] = op11_filter_audit
 ORACLES["op11_filter_audit"] = OP11_SQL
+
+
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], chr(32))))) AS s
+  FROM worded WHERE len(w) > 0),
+texts AS (SELECT min(doc_id) AS node, s FROM sets GROUP BY s),
+grams AS (SELECT node, len(s) AS size, unnest(s) AS g FROM texts),
+pairs AS (
+  SELECT a.node AS a, b.node AS b, any_value(a.size) + any_value(b.size) AS total, count(*) AS shared
+  FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (total - shared)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT node, node FROM texts UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+classes AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY 1),
+members AS (
+  SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN texts USING (s) JOIN classes USING (node)
+  UNION ALL SELECT doc_id, 0, doc_id FROM worded WHERE len(w) = 0)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM members
+"""
+QUERIES["op12_setsketch"] = op12_setsketch
+ORACLES["op12_setsketch"] = OP12_SQL

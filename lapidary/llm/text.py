@@ -27,6 +27,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=_U, endpoint=False)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)  # A-Z as a-z
+LOWER[0x41:0x5B] += 32
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -123,8 +125,8 @@ class Chunk:
         return start, end, np.repeat(np.arange(len(self)), count)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """The batches' rows, in order, a null text as an empty one."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES, fold: np.ndarray | None = None) -> Iterator[Chunk]:
+    """The batches' rows, in order, a null text as an empty one; ``fold``: what each byte is read as."""
     for batch in batches:
         texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
@@ -133,7 +135,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
             bounds = offsets[at : to + 1] - offsets[at]
-            yield Chunk(batch.slice(at, to - at), data[offsets[at] : offsets[to]], bounds)
+            part = data[offsets[at] : offsets[to]]
+            yield Chunk(batch.slice(at, to - at), part if fold is None else fold[part], bounds)
             at = to
 
 
