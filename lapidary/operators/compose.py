@@ -32,10 +32,10 @@ def fold(rows: list[tuple], clashes: dict) -> dict:
     return state
 
 
-def layered(stones: DataFrame, clearance: float = 0.0, largest: float = 10.0, key: str = "design_id") -> DataFrame:
+def layered(stones: DataFrame, clearance: float = 0.0, key: str = "design_id") -> DataFrame:
     """Adds ``fate`` to stones (design_id, stone_id, layer_rank, x_mm, y_mm, phys_mm, locked)."""
-    pairs = spatial.neighbour_pairs(stones.select(key, "stone_id", "x_mm", "y_mm", "phys_mm", "layer_rank"), largest + max(clearance, 0.0) + 1e-6, [key])
-    clash = pairs.where((F.col("a_layer_rank") != F.col("b_layer_rank")) & (spatial.gap() < clearance)).select(key, F.col("a_stone_id").alias("a"), F.col("b_stone_id").alias("b"))
+    pairs = spatial.close_pairs(stones.select(key, "stone_id", "x_mm", "y_mm", "phys_mm", "layer_rank"), clearance, [key])
+    clash = pairs.where(F.col("a_layer_rank") != F.col("b_layer_rank")).select(key, F.col("a_stone_id").alias("a"), F.col("b_stone_id").alias("b"))
     nodes = clash.select(key, F.col("a").alias("node")).union(clash.select(key, F.col("b").alias("node"))).distinct()
     comp = spatial.components(nodes, clash, [key])
     members = stones.select(key, F.col("stone_id").alias("node"), "layer_rank", "locked").join(comp, [key, "node"]).groupBy(key, "component").agg(F.collect_list(F.struct("node", "layer_rank", "locked")).alias("stones"))

@@ -58,7 +58,7 @@ def layer_total(stones: DataFrame, context: dict) -> DataFrame:
 
 @register("overlap")
 def overlap(stones: DataFrame, context: dict) -> DataFrame:
-    pairs = spatial.neighbour_pairs(stones.select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), 10.0, ["design_id"]).where(spatial.gap() < -0.05)
+    pairs = spatial.close_pairs(stones.select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), -0.05, ["design_id"])
     return _found(pairs.groupBy("design_id").agg(F.count("*").alias("n")), "error", "overlapping pairs", F.col("n"))
 
 
@@ -96,7 +96,7 @@ def outside(stones: DataFrame, context: dict) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def free_probes(stones: DataFrame, cells: DataFrame, context: dict, step: float = 1.0, size: float = 2.8, gap: float = 0.15, largest: float = 10.0) -> DataFrame:
+def free_probes(stones: DataFrame, cells: DataFrame, context: dict, step: float = 1.0, size: float = 2.8, gap: float = 0.15) -> DataFrame:
     """Probes (design_id, i, j) in the mask, at every step, where a stone of ``size`` would fit a gap away from all others."""
     w, h, pixels, need = context["width"], context["height"], context["pixels"], size / 2 + gap
     # a mask cell makes the probes within it
@@ -105,7 +105,10 @@ def free_probes(stones: DataFrame, cells: DataFrame, context: dict, step: float
     probes = probes.withColumns({"x_mm": (F.col("i") + F.lit(0.5)) * step, "y_mm": (F.col("j") + F.lit(0.5)) * step})
     inner = F.col("x_mm").between(size / 2, w - size / 2) & F.col("y_mm").between(size / 2, h - size / 2)
     probes = probes.where(inner & (at_pixel("x_mm", w, pixels) == F.col("px")) & (at_pixel("y_mm", h, pixels) == F.col("py")))
-    near = spatial.within(probes.select("design_id", "i", "j", "x_mm", "y_mm"), stones.select("design_id", "x_mm", "y_mm", "phys_mm"), largest / 2 + need, ["design_id"])
+    # a probe is near what is nearer than half the largest size of the design and its own need
+    bodies = spatial.with_largest(stones.select("design_id", "x_mm", "y_mm", "phys_mm"), ["design_id"], need + 1e-6, factor=0.5)
+    reach = bodies.groupBy("design_id").agg(F.first("_reach").alias("_reach"))
+    near = spatial.within(probes.select("design_id", "i", "j", "x_mm", "y_mm").join(reach, "design_id"), bodies, "_reach", ["design_id"])
     covered = near.where(F.col("distance") - F.col("b_phys_mm") / 2 <= need).select("design_id", F.col("a_i").alias("i"), F.col("a_j").alias("j")).distinct()
     return probes.select("design_id", "i", "j").join(covered, ["design_id", "i", "j"], "left_anti")
 

@@ -7,12 +7,13 @@ one cell width meets exactly once. Catalyst would plan a bare distance predicate
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _cells(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
+def _cells(df: DataFrame, x: str, y: str, width: float | Column) -> DataFrame:
     return df.withColumns({"_cx": F.floor(F.col(x) / width), "_cy": F.floor(F.col(y) / width)})
 
 
@@ -22,13 +23,45 @@ def _nine(df: DataFrame) -> DataFrame:
     return df.withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy")
 
 
-def within(left: DataFrame, right: DataFrame, reach: float, keys: list[str], x: str = "x_mm", y: str = "y_mm") -> DataFrame:
-    """All pairs of rows with equal keys closer than ``reach``; columns are prefixed a_ and b_, with their distance."""
+def within(left: DataFrame, right: DataFrame, reach: float | str, keys: list[str], x: str = "x_mm", y: str = "y_mm") -> DataFrame:
+    """All pairs of rows with equal keys closer than ``reach``; columns are prefixed a_ and b_, with their distance.
+
+    ``reach`` may be the name of a column of both sides that is one of the keys or the same in all rows of a key.
+    """
+    width = F.col(reach) if isinstance(reach, str) else reach
     name = lambda df, p: df.select(*(F.col(c).alias(c if c in keys or c in ("_cx", "_cy") else f"{p}_{c}") for c in df.columns))
-    a, b = name(_cells(left, x, y, reach), "a"), name(_nine(_cells(right, x, y, reach)), "b")
+    a, b = name(_cells(left, x, y, width), "a"), name(_nine(_cells(right, x, y, width)), "b")
     dx, dy = F.col(f"a_{x}") - F.col(f"b_{x}"), F.col(f"a_{y}") - F.col(f"b_{y}")
     pairs = a.join(b, [*keys, "_cx", "_cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
-    return pairs.where(F.col("distance") < reach).drop("_cx", "_cy")
+    near = F.col("distance") < (F.col(reach if reach in keys else f"a_{reach}") if isinstance(reach, str) else reach)
+    return pairs.where(near).drop("_cx", "_cy")
+
+
+def close_pairs(stones: DataFrame, clearance: float, keys: list[str], order: str = "stone_id", x: str = "x_mm", y: str = "y_mm", size: str = "phys_mm") -> DataFrame:
+    """Unordered pairs of one table whose round bodies are less than ``clearance`` apart, as ``neighbour_pairs`` gives them.
+
+    Bodies fall into classes by powers of two of their size. Each class has a grid of its own, as wide as its largest body
+    needs; a pair meets on the grid of the larger one, so small bodies are not compared at the reach of large ones. A body
+    is on the grid of its class and of those above, which one aggregate finds.
+    """
+    class_of = F.ceil(F.log2(F.greatest(F.col(size), F.lit(1e-6)))).cast("int")
+    widths = {r[0]: max(r[1] + clearance, 1e-6) for r in stones.groupBy(class_of.alias("c")).agg(F.max(size)).collect() if r[0] is not None}
+    if not widths:
+        return neighbour_pairs(stones, 1.0, keys, order, x, y)
+    wide = F.create_map(*(F.lit(v) for c, w in sorted(widths.items()) for v in (c, w)))
+    rows = stones.withColumn("_class", class_of)
+    a = _nine(_cells(rows.withColumn("_grid", F.col("_class")), x, y, wide[F.col("_grid")]))
+    above = F.filter(F.array(*map(F.lit, sorted(widths))), lambda c: c >= F.col("_class"))
+    b = _cells(rows.withColumn("_grid", F.explode(above)), x, y, wide[F.col("_grid")])
+    name = lambda df, p: df.select(*(F.col(c).alias(c if c in (*keys, "_cx", "_cy", "_grid") else f"{p}_{c}") for c in df.columns))
+    dx, dy = F.col(f"a_{x}") - F.col(f"b_{x}"), F.col(f"a_{y}") - F.col(f"b_{y}")
+    met = name(a, "a").join(name(b, "b"), [*keys, "_grid", "_cx", "_cy"]).withColumn("distance", F.sqrt(dx * dx + dy * dy))
+    # of one class each pair meets from both ends
+    met = met.where((F.col("distance") - (F.col(f"a_{size}") + F.col(f"b_{size}")) / 2 < clearance) & ((F.col("a__class") > F.col("b__class")) | (F.col(f"a_{order}") < F.col(f"b_{order}"))))
+    turned = F.col(f"a_{order}") > F.col(f"b_{order}")
+    own = [c for c in stones.columns if c not in keys]
+    ends = [F.when(turned, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"{p}_{c}") for p, q in (("a", "b"), ("b", "a")) for c in own]
+    return met.select(*keys, *ends, "distance")
 
 
 def neighbour_pairs(stones: DataFrame, reach: float, keys: list[str], order: str = "stone_id", x: str = "x_mm", y: str = "y_mm") -> DataFrame:
@@ -47,22 +80,36 @@ def both_ends(pairs: DataFrame, keys: list[str], columns: list[str], order: str
     return pairs.select(*keys, *columns, F.explode(ends).alias("_end")).select(*keys, "_end.*", *columns)
 
 
-def nearest_gap(stones: DataFrame, keys: list[str], reach: float = 1.5, largest: float = 10.0) -> DataFrame:
-    """Every stone with its smallest gap to another, null where none lies within reach."""
-    pairs = neighbour_pairs(stones.select(*keys, "stone_id", "x_mm", "y_mm", "phys_mm"), largest + reach, keys).withColumn("gap", gap())
+def with_largest(stones: DataFrame, keys: list[str], extra: float, name: str = "_reach", factor: float = 1.0) -> DataFrame:
+    """Adds ``name``: the largest size of the row's design, times ``factor``, and ``extra``."""
+    largest = stones.groupBy(*keys).agg((F.max("phys_mm") * factor + extra).alias(name))
+    return stones.join(largest, keys)
+
+
+def nearest_gap(stones: DataFrame, keys: list[str], reach: float = 1.5) -> DataFrame:
+    """Every stone with its smallest gap to another whose centre is nearer than the design's largest size and ``reach``; else null."""
+    rows = with_largest(stones.select(*keys, "stone_id", "x_mm", "y_mm", "phys_mm"), keys, reach)
+    pairs = within(rows, rows, "_reach", keys).where("a_stone_id < b_stone_id").withColumn("gap", gap())
     least = both_ends(pairs, keys, ["gap"]).groupBy(*keys, "stone_id").agg(F.min("gap").alias("gap"), F.count("*").alias("near"))
     return stones.join(least, [*keys, "stone_id"], "left")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], order: str, first: float, largest: float) -> DataFrame:
-    """The true nearest right row of each left row, by rings of doubling reach: exact once a hit lies within the reach."""
-    found, reach, rest = None, first, left
-    while reach <= largest * 2:
-        pairs = within(rest, right, reach, keys)
-        best = pairs.groupBy(*keys, f"a_{order}").agg(F.min(F.struct("distance", f"b_{order}")).alias("_best"))
-        hit = best.select(*keys, F.col(f"a_{order}").alias(order), F.col(f"_best.b_{order}").alias("nearest"), F.col("_best.distance").alias("distance"))
-        found = hit if found is None else found.unionByName(hit)
-        rest, reach = rest.join(hit.select(*keys, order), [*keys, order], "left_anti"), reach * 2
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], order: str, first: float, largest: float | None = None) -> DataFrame:
+    """The true nearest right row of each left row, by rings of doubling reach: exact once a hit lies within the reach.
+
+    Rings go on to the distance that the places can have at most, or to ``largest``.
+    """
+    if largest is None:
+        ends = left.select("x_mm", "y_mm").unionByName(right.select("x_mm", "y_mm")).agg(*(f(c) for c in ("x_mm", "y_mm") for f in (F.max, F.min))).first()
+        largest = 0.0 if ends[0] is None else ((ends[0] - ends[1]) ** 2 + (ends[2] - ends[3]) ** 2) ** 0.5
+    hits, reach, rest = [], first, left
+    while not hits or reach <= largest * 2:
+        best = within(rest, right, reach, keys).groupBy(*keys, f"a_{order}").agg(F.min(F.struct("distance", f"b_{order}")).alias("_best"))
+        hits.append(stored(best.select(*keys, F.col(f"a_{order}").alias(order), F.col(f"_best.b_{order}").alias("nearest"), F.col("_best.distance").alias("distance")), "nearest"))
+        rest, reach = stored(rest.join(hits[-1].select(*keys, order), [*keys, order], "left_anti"), "rest"), reach * 2
+        if rest.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, hits)
     return left.join(found, [*keys, order], "left")
 
 

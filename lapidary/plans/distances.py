@@ -34,7 +34,7 @@ def neighbour_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stones", sql=_PAIRS + f"SELECT design_id, a, b, {half_up('-gap', 4)} AS depth_mm FROM pairs WHERE d < 10 AND gap < CAST(-0.05 AS DOUBLE)")
 def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = S.neighbour_pairs(_stones(spark, sf), 10.0, KEY).where(S.gap() < OVERLAP)
+    pairs = S.close_pairs(_stones(spark, sf), OVERLAP, KEY)
     return pairs.select("design_id", F.col("a_stone_id").alias("a"), F.col("b_stone_id").alias("b"), rounded(-S.gap(), 4).alias("depth_mm"))
 
 
@@ -74,7 +74,9 @@ def neighbour_counts(spark: SparkSession, sf: str) -> DataFrame:
 def touching(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of equal size at most 0.6 mm apart."""
     same = T.stones(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm", "size_class", "code_id")
-    pairs = S.neighbour_pairs(same, 10.7, ["design_id", "size_class"]).withColumn("gap", F.col("distance") - (F.col("a_phys_mm") + F.col("b_phys_mm")) / 2)
+    # of one class, sizes are equal, and so is the reach
+    same = same.withColumn("_reach", F.col("phys_mm") + 0.7)
+    pairs = S.within(same, same, "_reach", ["design_id", "size_class"]).where("a_stone_id < b_stone_id").withColumn("gap", S.gap())
     return pairs.where(F.col("gap") <= 0.6)
 
 
@@ -157,8 +159,10 @@ FROM stones s LEFT JOIN (SELECT design_id, stone_id, MIN(room) AS room FROM hits
 def keep_out(spark: SparkSession, sf: str) -> DataFrame:
     """Lower layers against the pet layer: a stone nearer than 0.15 mm shrinks to the smallest size, or goes."""
     rows = _stones(spark, sf, "layer", "layer_rank")
-    lower, pet = rows.where("layer_rank < 2"), rows.where("layer_rank = 2")
-    room = S.within(lower, pet, 10.15, KEY).groupBy("design_id", F.col("a_stone_id").alias("stone_id")).agg(F.min(F.col("distance") - F.col("b_phys_mm") / 2).alias("room"))
+    lower = rows.where("layer_rank < 2")
+    met = S.close_pairs(rows.select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm", "layer_rank"), TIGHT, KEY)
+    hits = [met.where((F.col(f"{a}_layer_rank") < 2) & (F.col(f"{b}_layer_rank") == 2)).select("design_id", F.col(f"{a}_stone_id").alias("stone_id"), (F.col("distance") - F.col(f"{b}_phys_mm") / 2).alias("room")) for a, b in ("ab", "ba")]
+    room = hits[0].unionByName(hits[1]).groupBy("design_id", "stone_id").agg(F.min("room").alias("room"))
     met = lower.join(room, ["design_id", "stone_id"], "left")
     clash = F.coalesce(F.col("room") - F.col("phys_mm") / 2 < TIGHT, F.lit(False))
     fits = F.col("room") - F.lit(1.4) >= TIGHT

@@ -225,7 +225,7 @@ def palette_curve(spark: SparkSession, sf: str) -> DataFrame:
 @query("stones", sql=_P + ", found AS (SELECT design_id, a FROM pairs WHERE d < 10 AND gap < CAST(-0.05 AS DOUBLE)) SELECT design_id, COUNT(*) AS n_ids, list(a ORDER BY a)[1:50] AS ids FROM (SELECT DISTINCT design_id, a FROM found) GROUP BY design_id".replace("list(a ORDER BY a)[1:50] AS ids", "array_to_string(list(a ORDER BY a)[1:50], ',') AS ids"))
 def finding_ids(spark: SparkSession, sf: str) -> DataFrame:
     """A finding's stones: how many, and the first fifty ids."""
-    rows = S.neighbour_pairs(T.stones(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), 10.0, KEY).where(S.gap() < -0.05).select("design_id", F.col("a_stone_id").alias("id")).distinct()
+    rows = S.close_pairs(T.stones(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), -0.05, KEY).select("design_id", F.col("a_stone_id").alias("id")).distinct()
     return first_ids(rows, KEY, "id", 50).withColumn("ids", F.array_join("ids", ","))
 
 

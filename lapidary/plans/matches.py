@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -221,7 +223,8 @@ def over_background(spark: SparkSession, sf: str) -> DataFrame:
     """Stones of the upper layers that overlap one of the background."""
     rows = T.stones(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm", "layer", "layer_rank")
     upper = rows.where("layer_rank > 0")
-    hit = S.within(upper, rows.where("layer_rank = 0"), 10.0, KEY).where(S.gap() < 0).select("design_id", F.col("a_stone_id").alias("stone_id")).distinct().withColumn("hit", F.lit(1))
+    met = S.close_pairs(rows.drop("layer"), 0.0, KEY)
+    hit = reduce(DataFrame.unionByName, (met.where((F.col(f"{a}_layer_rank") > 0) & (F.col(f"{b}_layer_rank") == 0)).select("design_id", F.col(f"{a}_stone_id").alias("stone_id")) for a, b in ("ab", "ba"))).distinct().withColumn("hit", F.lit(1))
     return upper.join(hit, ["design_id", "stone_id"], "left").groupBy("design_id", "layer").agg(F.count("*").alias("n"), F.count("hit").alias("over_background"))
 
 

@@ -73,6 +73,36 @@ def test_nearest_by_rings(spark):
         assert r["nearest"] == min(b, key=lambda q: ((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2, q[1]))[1]
 
 
+def test_nearest_far_away(spark):
+    schema = "g int, i int, x_mm double, y_mm double"
+    a, b = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, 1, 5.0, 5.0)], schema), spark.createDataFrame([(0, 7, 3000.0, 4000.0)], schema)
+    got = {r["i"]: (r["nearest"], r["distance"]) for r in spatial.nearest(a, b, ["g"], "i", 2.0).collect()}
+    assert got == {0: (7, 5000.0), 1: (None, None)}
+
+
+def test_close_pairs_of_all_sizes(spark):
+    """Sizes from a tenth to sixty millimetres, each pair once, with both rows' columns at the right ends."""
+    from lapidary.operators import qc
+
+    rng = random.Random(12)
+    rows = [(d, i, rng.uniform(-50, 150), rng.uniform(0, 200), rng.choice([0.1, 0.5, 2.8, 4.0, 10.0, 10.5, 20.0, 60.0])) for d in (1, 2) for i in range(150)]
+    rows += [(3, 0, 0.0, 0.0, 20.0), (3, 1, 12.0, 0.0, 20.0), (4, 0, 0.0, 0.0, 20.0), (4, 1, 20.1, 0.0, 20.0), (5, 0, 1.0, 1.0, 4.0), (5, 1, 1.0, 1.0, 4.0)]
+    df = spark.createDataFrame(rows, "design_id int, stone_id long, x_mm double, y_mm double, phys_mm double")
+    gap = lambda p, q: ((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2) ** 0.5 - (p[4] + q[4]) / 2
+    for clearance in (-0.05, 0.15, 3.0):
+        want = sorted((p[0], p[1], q[1], p[4], q[4]) for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and gap(p, q) < clearance)
+        got = sorted((r["design_id"], r["a_stone_id"], r["b_stone_id"], r["a_phys_mm"], r["b_phys_mm"]) for r in spatial.close_pairs(df, clearance, ["design_id"]).collect())
+        assert got == want
+    assert spatial.close_pairs(df.limit(0), 0.1, ["design_id"]).count() == 0
+    found = {(r["design_id"], r["check_id"]): r["n"] for r in qc.run(df, {}, ["overlap", "gap"]).collect()}
+    assert found[3, "overlap"] == 1 and found[4, "gap"] == 2 and (4, "overlap") not in found
+    near = {(r["design_id"], r["stone_id"]): r["gap"] for r in spatial.nearest_gap(df, ["design_id"]).collect()}
+    for p in rows:
+        largest = max(q[4] for q in rows if q[0] == p[0])
+        gaps = [gap(p, q) for q in rows if q[0] == p[0] and q[1] != p[1] and gap(p, q) + (p[4] + q[4]) / 2 < largest + 1.5]
+        assert near[p[0], p[1]] == (pytest.approx(min(gaps)) if gaps else None)
+
+
 def test_assignment_against_all_permutations():
     rng = np.random.default_rng(1)
     assert learn.assignment(np.array([[4, 1, 3], [2, 0, 5]])) == [1, 0]
