@@ -9,6 +9,7 @@ from lapidary.functions.numeric import half_up, rounded
 from lapidary.operators import spatial as S
 from lapidary.plans.registry import Registry
 from lapidary.sources import kit as K
+from lapidary.sources import markup as M
 from lapidary.sources import tables as T
 
 query = Registry()
@@ -171,3 +172,30 @@ def map_lines(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.stones(spark, sf)
     line = F.to_json(F.struct(F.concat(F.lit("P"), F.col("stone_id").cast("string")).alias("id"), "layer", F.floor(F.col("x_mm") * 10 + F.lit(0.5)).alias("x"), "locked"))
     return rows.select("design_id", "stone_id", line.alias("line"))
+
+
+@query("stones", "catalog", sql=f"""SELECT design_id, stone_id, s.layer, code, c.shape, {half_up('x_mm', 5)} AS x_mm, {half_up('y_mm', 5)} AS y_mm, s.phys_mm, {_DRAWN_SQL.format('s.phys_mm')} AS ref_mm, locked, stone_id % 4 + 2 AS level
+FROM stones s JOIN (SELECT code_id, code, shape FROM catalog) c USING (code_id)""")
+def nested_svg(spark: SparkSession, sf: str) -> DataFrame:
+    """Designs written as editable SVG and read again: layers, sheets within them, and turned rows within those.
+
+    A stone stands directly in its layer or up to three groups deeper, each of which moves, turns or scales what it holds;
+    what is written is the stone's place before that.
+    """
+    rows = T.stones(spark, sf).select("design_id", "stone_id", "layer", "layer_rank", "code_id", "x_mm", "y_mm", "phys_mm", "locked").join(T.catalog(spark, sf).select("code_id", "code", "shape"), "code_id")
+    depth = F.col("stone_id") % 4
+    # the groups, outermost first, and the way back through them
+    moves = ["translate(10 -20)", "rotate(90 150 150)", "scale(2)"]
+    x1, y1 = F.col("x_mm") - 10, F.col("y_mm") + 20
+    x2, y2 = y1, 300 - x1  # a quarter turn back about (150, 150)
+    x = F.when(depth == 0, F.col("x_mm")).when(depth == 1, x1).when(depth == 2, x2).otherwise(x2 / 2)
+    y = F.when(depth == 0, F.col("y_mm")).when(depth == 1, y1).when(depth == 2, y2).otherwise(y2 / 2)
+    text = M.stone_group(F.col("stone_id").cast("string"), F.col("code"), F.col("shape"), x, y, F.when(depth >= 2, -90.0).otherwise(0.0), F.col("phys_mm"), drawn_size(F.col("phys_mm")), F.col("locked"))
+    lists = rows.groupBy("design_id", "layer_rank", "layer").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(depth == d, F.struct("stone_id", text.alias("text"))))), lambda s: s["text"]), "").alias(f"_{d}") for d in range(4)))
+    body = F.col("_3")
+    for d in (2, 1, 0):
+        body = F.concat(F.col(f"_{d}"), M.group_text("class", F.lit(f"sheet {d}"), F.lit(moves[d]), body))
+    layers = lists.groupBy("design_id").agg(F.array_sort(F.collect_list(F.struct("layer_rank", M.group_text("data-layer", F.col("layer"), None, body).alias("body")))).alias("all"))
+    files = layers.select("design_id", F.concat(F.lit('<svg viewBox="0 0 300 300">\n'), F.array_join(F.transform("all", lambda g: g["body"]), ""), F.lit("</svg>\n")).alias("svg"))
+    read = M.read_groups(files, KEY).where("fault is null and abs(rot_deg) < 0.001")
+    return read.select("design_id", F.col("id").cast("long").alias("stone_id"), "layer", "code", "shape", rounded(F.col("x_mm"), 5).alias("x_mm"), rounded(F.col("y_mm"), 5).alias("y_mm"), "phys_mm", "ref_mm", "locked", "level")

@@ -1,7 +1,7 @@
 """Symbol maps as SVG text: a writer, a strict reader with a fault for each broken rule, and layers by the mark before.
 
-A stone is a group with two ellipses, followed by its symbol as text; stones follow the mark of their layer. Reading is
-regular expressions over whole files, so files are read by as many tasks as there are files, and nothing is collected.
+A stone is a group with two ellipses, followed by its symbol as text; stones follow the mark of their layer. A file's tags
+are found once, in its own row; after that a tag is a row, and what belongs together is told by place.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The format's scale, canvas and element order.
+from lapidary.sources import markup
+
+# The format's scale and canvas.
 PX_PER_MM, CANVAS_PX = 11.81, 3543
-STONE = r'<g transform="matrix\(([^)]*)\)"><ellipse ([^>]*?)/><ellipse ([^>]*?)/></g>\s*<text ([^>]*)>([^<]*)</text>'
-MARK = r'<g data-layer="([^"]*)">'
 
 
 def _number(x: Column, digits: int) -> Column:
@@ -36,45 +36,54 @@ def file_text(stones: Column) -> Column:
     return F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="300mm" viewBox="0 0 {CANVAS_PX} {CANVAS_PX}">\n'), stones, F.lit("</svg>\n"))
 
 
-def _attribute(text: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(text, rf'(?:^|\s){name}="([^"]*)"', 1), F.lit(""))
+def _marked(files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Marked ellipses with what stands around them: keys, place, layer, attribute lists, and the tags before and behind."""
+    rows = markup.tags(files, keys, text)
+    own = Window.partitionBy(*keys).orderBy("place")
+    near = {f"_{name}": F.lag(tag, -n).over(own) for name, n, tag in (("group", -1, F.struct("name", "opens", "names", "values")), ("text", 3, F.struct("name", "opens", "names", "values", "after")))}
+    layer = F.when(F.col("opens"), markup.attribute("data-layer"))
+    rows = rows.withColumns({**near, "layer": F.last(layer, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    return rows.where((F.col("name") == "ellipse") & markup.attribute("data-position-id").isNotNull())
 
 
 def read(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
-    """One row a stone, in order: keys, place, layer, id, symbol, code, x, y (pixels), d_mm, group, size_mm, fault.
+    """One row a stone, in order: keys, place, layer, id, symbol, code, x, y (pixels), d_mm, group, size_mm, fault, faults.
 
-    ``layer`` is that of the last mark before the stone. ``fault`` names the first rule that a stone breaks, or is null.
+    A stone is known by its marked ellipse; the tags around it are read by their place. ``layer`` is that of the last mark
+    before the stone. ``faults`` are all rules that a stone breaks, or null; ``fault`` is the first of them by name.
     """
-    parts = F.regexp_extract_all(text, F.lit(f"(?s)({MARK}|{STONE})"), F.lit(0))
-    rows = files.select(*keys, F.posexplode(parts).alias("place", "part"))
-    rows = rows.withColumn("_mark", F.nullif(F.regexp_extract("part", MARK, 1), F.lit("")))
-    before = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("layer", F.last("_mark", ignorenulls=True).over(before)).where("_mark IS NULL")
-    group = lambda i: F.regexp_extract("part", f"(?s){STONE}", i)
-    rows = rows.select(*keys, "place", "layer", group(1).alias("_m"), group(2).alias("_o"), group(4).alias("_t"), group(5).alias("_s"))
-    o, at = lambda n: _attribute(F.col("_o"), n), lambda i: F.get(F.split(F.trim("_m"), r"\s+"), F.lit(i)).cast("double")
-    rows = rows.select(
-        *keys, "place", "layer", o("data-position-id").alias("id"), o("data-symbol").alias("symbol"), o("data-stone-code").alias("code"),
-        o("data-center-x-source-px").cast("double").alias("x"), o("data-center-y-source-px").cast("double").alias("y"), o("data-width-mm").cast("double").alias("d_mm"), o("data-group").alias("group"),
-        size_of_group(o("data-group")).alias("size_mm"), at(4).alias("_e"), at(5).alias("_f"), F.hypot(at(0), at(1)).alias("_k"), o("data-shape").alias("_shape"), o("data-height-mm").cast("double").alias("_h"), o("rx").cast("double").alias("_rx"), _attribute(F.col("_t"), "data-position-id").alias("_tid"), "_s",
+    own = lambda name: markup.attribute(name)
+    number = lambda c: c.try_cast("double")
+    rows = _marked(files, keys, text).select(
+        *keys, "place", "layer", own("data-position-id").alias("id"), own("data-symbol").alias("symbol"), own("data-stone-code").alias("code"), own("data-group").alias("group"), own("data-shape").alias("_shape"),
+        *(number(own(f"data-{a}")).alias(c) for a, c in (("center-x-source-px", "x"), ("center-y-source-px", "y"), ("width-mm", "d_mm"), ("height-mm", "_height"))), number(own("rx")).alias("_rx"),
+        markup.parse_transform(markup.attribute("transform", "_group")).alias("_m"), (F.coalesce(F.col("_group.opens") & (F.col("_group.name") == "g"), F.lit(False))).alias("_in_group"),
+        (F.coalesce(F.col("_text.opens") & (F.col("_text.name") == "text"), F.lit(False))).alias("_has_text"), markup.attribute("data-position-id", "_text").alias("_text_id"), F.col("_text.after").alias("_said"),
     )
-    fault = (
-        F.when((F.abs(F.col("_e") - F.col("x")) > 0.01) | (F.abs(F.col("_f") - F.col("y")) > 0.01), "off_centre")
-        .when((F.col("_shape") != "round") | (F.col("d_mm") != F.col("_h")), "not_round")
-        .when((F.col("_tid") != F.col("id")) | (F.col("_s") != F.col("symbol")), "text_differs")
-        .when((F.abs(F.col("_k") - PX_PER_MM) > 1e-3) | (F.abs(F.col("_rx") * 2 - F.col("d_mm")) > 1e-4), "odd_scale")
-    )
-    return rows.select(*keys, "place", "layer", "id", "symbol", "code", "x", "y", "d_mm", "group", "size_mm", fault.alias("fault"))
+    off = lambda a, b, most: F.coalesce(F.abs(a - b) > most, F.lit(True))
+    scale = F.hypot(F.get("_m", F.lit(0)), F.get("_m", F.lit(1)))
+    rules = {
+        "no_group": ~F.col("_in_group"),
+        "no_text": ~F.col("_has_text"),
+        "not_round": ~F.col("_shape").eqNullSafe("round") | ~F.col("d_mm").eqNullSafe(F.col("_height")),
+        "odd_scale": F.col("_in_group") & off(scale, F.lit(PX_PER_MM), 1e-3) | off(F.col("_rx") * 2, F.col("d_mm"), 1e-4),
+        "off_centre": F.col("_in_group") & (off(F.get("_m", F.lit(4)), F.col("x"), 0.01) | off(F.get("_m", F.lit(5)), F.col("y"), 0.01)),
+        "text_differs": F.col("_has_text") & (~F.col("_text_id").eqNullSafe(F.col("id")) | ~F.col("_said").eqNullSafe(F.col("symbol"))),
+    }
+    broken = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    rows = rows.withColumn("faults", broken).withColumn("faults", F.when(F.size("faults") > 0, F.col("faults")))
+    return rows.select(*keys, "place", "layer", "id", "symbol", "code", "x", "y", "d_mm", "group", size_of_group(F.col("group")).alias("size_mm"), F.get("faults", F.lit(0)).alias("fault"), "faults")
 
 
 def size_of_group(group: Column) -> Column:
-    """Millimetres of a group's name ``..._S<w>`` or ``..._S<w>x<h>`` (the geometric mean)."""
-    w, h = (F.regexp_extract(group, r"_S([\d.]+)(?:x([\d.]+))?$", i) for i in (1, 2))
-    return F.when(h != "", F.sqrt(F.try_to_number(w, F.lit("9999.999999")).cast("double") * F.try_to_number(h, F.lit("9999.999999")).cast("double"))).when(w != "", F.try_to_number(w, F.lit("9999.999999")).cast("double"))
+    """Millimetres named at the end of a group: ``_S`` and a size, or a width and a height with an x (their geometric mean)."""
+    sides = F.when(F.contains(group, F.lit("_S")), F.split(F.substring_index(group, "_S", -1), "x"))
+    side = lambda i: F.get(sides, F.lit(i)).try_cast("double")
+    return F.when(F.size(sides) == 1, side(0)).when(F.size(sides) == 2, F.sqrt(side(0) * side(1)))
 
 
 def file_faults(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
-    """Files with another canvas, or in which not every marked ellipse belongs to a stone: keys, fault."""
-    canvas = ~F.col(text).contains(f'viewBox="0 0 {CANVAS_PX} {CANVAS_PX}"')
-    whole = F.regexp_count(text, F.lit(r"<ellipse [^>]*data-position-id")) != F.regexp_count(text, F.lit(f"(?s){STONE}"))
-    return files.select(*keys, F.when(canvas, "canvas").when(whole, "unread_stones").alias("fault")).where("fault IS NOT NULL")
+    """Files with another canvas, or with a marked ellipse that has no group before it or no text behind: keys, fault."""
+    canvas = files.where(~F.col(text).contains(f'viewBox="0 0 {CANVAS_PX} {CANVAS_PX}"')).select(*keys, F.lit("canvas").alias("fault"))
+    alone = read(files, keys, text).where(F.arrays_overlap("faults", F.array(F.lit("no_group"), F.lit("no_text")))).select(*keys, F.lit("unread_stones").alias("fault"))
+    return canvas.unionByName(alone).groupBy(*keys).agg(F.min("fault").alias("fault"))

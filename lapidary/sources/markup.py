@@ -1,10 +1,13 @@
-"""Markup as a source and a sink: attributes, and designs as SVG text."""
+"""Markup as a source and a sink: tags and attributes, and designs as SVG text, flat or in nested groups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapidary.functions.numeric import rounded
+from lapidary.operators.spatial import stored
+
 
 def escape(text: Column) -> Column:
     for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -62,7 +65,8 @@ def read_svg(files: DataFrame, key: str) -> DataFrame:
 
 def parse_transform(text: Column) -> Column:
     """A transform attribute (translate, scale, rotate, matrix) as one matrix a..f, an array of six numbers."""
-    calls = F.regexp_extract_all(text, F.lit(r"(translate|scale|rotate|matrix)\s*\([^)]*\)"), F.lit(0))
+    # no attribute: no change
+    calls = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(translate|scale|rotate|matrix)\s*\([^)]*\)"), F.lit(0))
 
     def step(m: Column, call: Column) -> Column:
         name = F.regexp_extract(call, r"^(\w+)", 1)
@@ -74,10 +78,94 @@ def parse_transform(text: Column) -> Column:
         n = F.when(name == "translate", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), at(0), at(1)))
         n = n.when(name == "scale", F.array(at(0), F.lit(0.0), F.lit(0.0), at(1, at(0)), F.lit(0.0), F.lit(0.0)))
         n = n.when(name == "rotate", F.array(c, s, -s, c, x - c * x + s * y, y - s * x - c * y)).otherwise(v)
-        return F.array(
-            m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3],
-            m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5],
-        )
+        return composed(m, n)
 
     one = F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)))
     return F.aggregate(calls, one, step)
+
+
+def tags(files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row a tag: keys, place, name, opens, closes (both: it closes itself), names and values of its attributes, the text behind."""
+    whole = F.regexp_extract_all(F.col(text), F.lit(r"</?[A-Za-z][^<>]*>[^<]*"), F.lit(0))
+    rows = files.select(*keys, F.posexplode(whole).alias("place", "_tag")).withColumn("_in", F.substring_index("_tag", ">", 1))
+    ends = F.startswith("_in", F.lit("</"))
+    listed = lambda group: F.when(ends, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("_in", F.lit(r'([\w:-]+)\s*=\s*"([^"]*)"'), F.lit(group)))
+    return rows.select(
+        *keys, "place", F.regexp_extract("_in", r"^</?([\w:-]+)", 1).alias("name"), (~ends).alias("opens"), (ends | F.endswith("_in", F.lit("/"))).alias("closes"),
+        listed(1).alias("names"), listed(2).alias("values"), F.substring_index("_tag", ">", -1).alias("after"),
+    )
+
+
+def attribute(name: str, tag: str | None = None) -> Column:
+    """The value of an attribute of a row of ``tags``, or of a struct with its lists; null where it has none."""
+    of = lambda c: F.col(f"{tag}.{c}" if tag else c)
+    return F.get(of("values"), F.array_position(of("names"), name).cast("int") - 1)
+
+
+def composed(m: Column, n: Column) -> Column:
+    """The matrix (a..f) that applies n, then m."""
+    return F.array(
+        m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3],
+        m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5],
+    )
+
+
+def groups(files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The groups of each file: keys, place, level, layer, m (matrix to the canvas), names, values, broken.
+
+    A group's level is a running sum over opening and closing tags. Its parent is the last group that opened one level
+    above: children and possible parents are put in one window by level. Matrices and layers go down by doubling: each
+    round a group takes what its ancestor has and that one's ancestor, so that the rounds are the logarithm of the depth.
+    The layer is that of the outermost group that names one. ``broken``: a file whose groups do not close as they open.
+    """
+    marks = tags(files, keys, text).where("name = 'g'")
+    own = Window.partitionBy(*keys).orderBy("place")
+    step = F.col("opens").cast("int") - F.col("closes").cast("int")
+    # a group that closes itself holds nothing, and stands a level below what is open
+    level = F.sum(step).over(own) + (F.col("opens") & F.col("closes")).cast("int")
+    rows = marks.withColumns({"level": level, "_open": F.sum(step).over(own)})
+    file = Window.partitionBy(*keys)
+    broken = (F.min("_open").over(file) < 0) | (F.sum(step).over(file) != 0)
+    rows = rows.withColumn("broken", broken).where("opens").drop("opens", "_open", "name", "after")
+    roles = F.array(F.struct(F.col("level").alias("at"), F.lit(True).alias("child")), F.struct((F.col("level") + 1).alias("at"), F.lit(False).alias("child")))
+    met = rows.withColumn("_r", F.explode(roles)).where("_r.child or not closes")
+    before = Window.partitionBy(*keys, "_r.at").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("up", F.last(F.when(~F.col("_r.child"), F.col("place")), ignorenulls=True).over(before)).where("_r.child").drop("_r", "closes")
+    known = stored(met.withColumns({"m": parse_transform(attribute("transform")), "layer": unescape(attribute("data-layer"))}), "groups")
+    while not known.where("up is not null").isEmpty():
+        above = known.select(*keys, F.col("place").alias("up"), F.col("up").alias("_up"), F.col("m").alias("_m"), F.col("layer").alias("_layer"))
+        higher = known.join(above, [*keys, "up"], "left")
+        known = stored(higher.withColumns({"m": F.when(F.col("_m").isNull(), F.col("m")).otherwise(composed(F.col("_m"), F.col("m"))), "layer": F.coalesce("_layer", "layer"), "up": F.col("_up")}).drop("_up", "_m", "_layer"), "groups")
+    return known.drop("up")
+
+
+def read_groups(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
+    """The stones (groups with data-id) of files with nested groups, in order of place, on the canvas:
+
+    keys, place, level, layer, id, code, shape, x_mm, y_mm, rot_deg, phys_mm, ref_mm, locked, source, fault (outside_layer,
+    broken_file, or null). Numbers are to a millionth.
+    """
+    rows = groups(files, keys, text).withColumn("id", unescape(attribute("data-id"))).where("id is not null")
+    get = lambda name: unescape(attribute(name))
+    m = lambda i: F.col("m")[i]
+    # the layer's own mark is on its group; a stone that names one says so itself
+    return rows.select(
+        *keys, "place", "level", "layer", "id", get("data-code").alias("code"), F.coalesce(get("data-shape"), F.lit("round")).alias("shape"),
+        rounded(m(4), 6).alias("x_mm"), rounded(m(5), 6).alias("y_mm"), rounded(F.degrees(F.atan2(m(1), m(0))), 6).alias("rot_deg"),
+        get("data-phys").try_cast("double").alias("phys_mm"), get("data-ref").try_cast("double").alias("ref_mm"), F.coalesce(get("data-locked") == "true", F.lit(False)).alias("locked"), F.coalesce(get("data-source"), F.lit("")).alias("source"),
+        F.when(F.col("broken"), "broken_file").when(F.col("layer").isNull(), "outside_layer").alias("fault"),
+    )
+
+
+def group_text(name: str, value: Column, transform: Column | None, body: Column) -> Column:
+    """A group with one attribute and, where given, a transform."""
+    moved = F.lit("") if transform is None else F.concat(F.lit(' transform="'), transform, F.lit('"'))
+    return F.concat(F.lit(f'<g {name}="'), escape(value), F.lit('"'), moved, F.lit(">\n"), body, F.lit("</g>\n"))
+
+
+def stone_group(id_: Column, code: Column, shape: Column, x: Column, y: Column, rot: Column, phys: Column, ref: Column, locked: Column) -> Column:
+    """A stone as a group that can be edited: what it is as attributes, where it is as a transform."""
+    fields = {"id": id_, "code": code, "shape": shape, "phys": phys.cast("string"), "ref": ref.cast("string"), "locked": locked.cast("string")}
+    head = F.concat(*(F.concat(F.lit(f' data-{k}="'), escape(v), F.lit('"')) for k, v in fields.items()))
+    at = F.concat(F.lit(' transform="translate('), x.cast("string"), F.lit(" "), y.cast("string"), F.lit(") rotate("), rot.cast("string"), F.lit(')">'))
+    return F.concat(F.lit("<g"), head, at, F.lit('<circle r="'), (ref / 2).cast("string"), F.lit('"/></g>\n'))

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lapidary.operators import design, learn, matching, qc, spatial
-from lapidary.sources import kit
+from lapidary.sources import kit, markup
 
 
 def test_greedy_is_the_sequential_rule(spark):
@@ -71,6 +72,61 @@ def test_kit_reader(spark):
     assert got == [("P0", None, None, 2.8), ("P1", "bg", None, 2.8), ("P2", "bg", "text_differs", 2.8), ("P3", "pet", "not_round", 2.8), ("P4", "pet", "off_centre", 2.8), ("P5", "pet", None, 6.0), ("P6", "pet", None, None)]
     faults = {x["f"]: x["fault"] for x in kit.file_faults(files, ["f"]).collect()}
     assert faults == {3: "canvas", 4: "canvas"}
+    odd = stone("Q1", said="B", shape="heart", at=103.0) + '<ellipse data-position-id="Q2" rx="x"/>' + stone("Q3").replace("11.81 0 -0 11.81", "2 0 0 2")
+    files = spark.createDataFrame([(1, f'<svg viewBox="0 0 3543 3543">{odd}</svg>')], "f long, svg string")
+    assert {x["id"]: x["faults"] for x in kit.read(files, ["f"]).collect()} == {"Q1": ["not_round", "off_centre", "text_differs"], "Q2": ["no_group", "no_text", "not_round", "odd_scale"], "Q3": ["odd_scale"]}
+    assert [x["fault"] for x in kit.file_faults(files, ["f"]).collect()] == ["unread_stones"]
+
+
+def test_nested_groups(spark):
+    """Transforms of all groups around a stone apply, outermost first; against matrices multiplied by numpy."""
+    r = random.Random(3)
+    want, names = {}, iter(range(1000))
+
+    def turn(kind):
+        if kind == 0:
+            x, y = r.uniform(-9, 9), r.uniform(-9, 9)
+            return f"translate({x},{y})", np.array([[1, 0, x], [0, 1, y], [0, 0, 1]])
+        if kind == 1:
+            a, x, y = r.uniform(-90, 90), r.uniform(0, 9), r.uniform(0, 9)
+            c, s = math.cos(math.radians(a)), math.sin(math.radians(a))
+            move = lambda p, q: np.array([[1, 0, p], [0, 1, q], [0, 0, 1]])
+            return f"rotate({a} {x} {y})", move(x, y) @ np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]]) @ move(-x, -y)
+        if kind == 2:
+            k = r.uniform(0.5, 2)
+            return f"scale({k})", np.diag([k, k, 1])
+        v = [r.uniform(0.5, 1), r.uniform(-0.5, 0.5), r.uniform(-0.5, 0.5), r.uniform(0.5, 1), r.uniform(-5, 5), r.uniform(-5, 5)]
+        return "matrix(" + " ".join(map(str, v)) + ")", np.array([[v[0], v[2], v[4]], [v[1], v[3], v[5]], [0, 0, 1]])
+
+    def inside(depth, m, layer):
+        out = ""
+        for _ in range(r.choice([1, 2, 3])):
+            text, n = turn(r.randrange(4))
+            pair = r.random() < 0.3
+            if pair:
+                more, n2 = turn(r.randrange(4))
+                text, n = f"{text} {more}", n @ n2
+            if depth == 0 or r.random() < 0.3:
+                i = f"s{next(names)}"
+                want[i] = (layer, m @ n)
+                end = "/>" if r.random() < 0.3 else "><circle r='1'/></g>"
+                out += f'<g data-id="{i}" data-code="A&amp;B" data-phys="4" data-locked="true" transform="{text}"{end}\n<g class="empty"/>'
+            else:
+                named = r.random() < 0.3
+                out += f'<g class="c"{f" data-layer=\"in{depth}\"" if named else ""} transform="{text}">{inside(depth - 1, m @ n, layer or (f"in{depth}" if named else None))}</g>'
+        return out
+
+    page = "<svg>" + "".join(f'<g data-layer="l{k}"><!-- x -->{inside(4, np.eye(3), f"l{k}")}</g>' for k in range(4)) + inside(3, np.eye(3), None) + "</svg>"
+    files = spark.createDataFrame([(1, page), (2, '<svg><g data-layer="a"><g data-id="z"></g></svg>'), (3, None), (4, "")], "f long, svg string")
+    got = markup.read_groups(files, ["f"]).orderBy("f", "place").collect()
+    assert [x["id"] for x in got if x["f"] == 1] == sorted(want, key=lambda i: int(i[1:])) and len(want) > 20
+    assert {x["level"] for x in got} >= {3, 4, 5}
+    for x in got:
+        if x["f"] == 1:
+            layer, m = want[x["id"]]
+            assert x["layer"] == layer and x["fault"] == (None if layer else "outside_layer") and x["code"] == "A&B" and x["locked"] and x["phys_mm"] == 4
+            assert abs(x["x_mm"] - m[0, 2]) < 2e-6 and abs(x["y_mm"] - m[1, 2]) < 2e-6 and abs(x["rot_deg"] - math.degrees(math.atan2(m[1, 0], m[0, 0]))) < 1e-5
+    assert [(x["id"], x["fault"]) for x in got if x["f"] == 2] == [("z", "broken_file")]
 
 
 def test_a_failing_check_is_a_finding(spark):
