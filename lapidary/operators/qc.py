@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lapidary.functions import color
 from lapidary.functions.numeric import rounded
-from lapidary.operators import design, spatial
+from lapidary.operators import design, shaped, spatial
 
 RANK = {"pass": 0, "info": 1, "warn": 2, "error": 3}
 CHECKS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
@@ -56,16 +56,24 @@ def layer_total(stones: DataFrame, context: dict) -> DataFrame:
     return _found(design.against_bill(stones, context["expected"]).groupBy("design_id").agg(F.count("*").alias("n")), "error", "codes that differ from the bill", F.col("n"))
 
 
+def _near(stones: DataFrame, clearance: float) -> DataFrame:
+    """Pairs closer than that, by their outlines where the stones have shapes and boxes, else as round ones."""
+    if set(shaped.COLUMNS) <= set(stones.columns):
+        return shaped.shaped_pairs(stones, clearance, ["design_id"])
+    return spatial.close_pairs(stones.select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), clearance, ["design_id"]).withColumn("gap", spatial.gap())
+
+
 @register("overlap")
 def overlap(stones: DataFrame, context: dict) -> DataFrame:
-    pairs = spatial.close_pairs(stones.select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), -0.05, ["design_id"])
+    pairs = _near(stones, -0.05)
     return _found(pairs.groupBy("design_id").agg(F.count("*").alias("n")), "error", "overlapping pairs", F.col("n"))
 
 
 @register("gap")
 def gap(stones: DataFrame, context: dict) -> DataFrame:
-    near = spatial.nearest_gap(stones.select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), ["design_id"])
-    return _found(near.where("gap >= -0.05D AND gap < 0.15D").groupBy("design_id").agg(F.count("*").alias("n")), "warn", "stones too close", F.col("n"))
+    # of a stone that is too close, the smallest gap is among these
+    near = spatial.both_ends(_near(stones, 0.15), ["design_id"], ["gap"]).groupBy("design_id", "stone_id").agg(F.min("gap").alias("gap"))
+    return _found(near.where("gap >= -0.05D").groupBy("design_id").agg(F.count("*").alias("n")), "warn", "stones too close", F.col("n"))
 
 
 def _every(stones: DataFrame, level: str, message: str) -> DataFrame:

@@ -11,6 +11,7 @@ from lapidary.functions import beads as B
 from lapidary.functions import color
 from lapidary.functions.numeric import half_up, quantile_outer, rounded, sorted_values
 from lapidary.operators import spatial as S
+from lapidary.operators.shaped import shaped_pairs
 from lapidary.plans.distances import _DE, _PAIRS, _TOUCH, _touch_colors
 from lapidary.plans.registry import Registry
 from lapidary.sources import tables as T
@@ -233,3 +234,44 @@ def first_ids(rows: DataFrame, keys: list[str], value: str, most: int) -> DataFr
     """How many values each group has and the smallest of them, no more than ``most`` of which are gathered."""
     ranked = rows.withColumns({"_k": F.row_number().over(Window.partitionBy(*keys).orderBy(value)), "_n": F.count("*").over(Window.partitionBy(*keys))})
     return ranked.where(F.col("_k") <= most).groupBy(*keys).agg(F.max("_n").alias("n_ids"), F.array_sort(F.collect_list(value)).alias("ids"))
+
+
+_AB = "SQRT((a.x_mm - b.x_mm) * (a.x_mm - b.x_mm) + (a.y_mm - b.y_mm) * (a.y_mm - b.y_mm))"
+_TURN = "CAST(stone_id * 37 % 360 AS DOUBLE)"
+_PI = "CAST(3.141592653589793 AS DOUBLE)"
+_SHAPED = f""", shaped AS MATERIALIZED (SELECT design_id, stone_id, x_mm, y_mm, s.phys_mm, c.shape, radians({_TURN}) AS t, s.phys_mm AS h, s.phys_mm * CASE c.shape WHEN 'marquise' THEN CAST(0.5 AS DOUBLE) WHEN 'teardrop' THEN CAST(0.6 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS w
+  FROM stones s JOIN (SELECT code_id, shape FROM catalog) c USING (code_id)),
+bounded AS (SELECT *, CASE WHEN shape = 'round' THEN phys_mm ELSE SQRT(w * w + h * h) END AS bound FROM shaped),
+near AS MATERIALIZED (SELECT a.design_id, a.stone_id AS a, b.stone_id AS b, a.shape = 'round' AND b.shape = 'round' AS plain, {_AB} - (a.phys_mm + b.phys_mm) / 2 AS exact FROM bounded a JOIN bounded b ON a.design_id = b.design_id AND a.stone_id < b.stone_id
+  AND abs(a.x_mm - b.x_mm) < 17 AND abs(a.y_mm - b.y_mm) < 17 WHERE {_AB} - (a.bound + b.bound) / 2 < CAST(0.15 AS DOUBLE)),
+steps AS (SELECT CAST(range AS DOUBLE) AS i FROM range(64)),
+curve AS (SELECT i, CAST(16 AS DOUBLE) * sin(2 * {_PI} * i / 64) ^ 3 AS u, -(13 * cos(2 * {_PI} * i / 64) - 5 * cos(4 * {_PI} * i / 64) - 2 * cos(6 * {_PI} * i / 64) - cos(8 * {_PI} * i / 64)) AS v FROM steps),
+unit AS (SELECT i, (u - MIN(u) OVER ()) / (MAX(u) OVER () - MIN(u) OVER ()) - CAST(0.5 AS DOUBLE) AS u, (v - MIN(v) OVER ()) / (MAX(v) OVER () - MIN(v) OVER ()) - CAST(0.5 AS DOUBLE) AS v FROM curve),
+kinds AS (SELECT DISTINCT shape, w, h FROM shaped),
+points AS (
+  SELECT shape, w, h, i, w / 2 * cos(2 * {_PI} * i / 32) AS u, h / 2 * sin(2 * {_PI} * i / 32) AS v FROM kinds, steps WHERE shape = 'round' AND i < 32
+  UNION ALL SELECT shape, w, h, i, unit.u * w, unit.v * h FROM kinds, unit WHERE shape = 'heart'
+  UNION ALL SELECT shape, w, h, i, CASE WHEN i <= 32 THEN 1 ELSE -1 END * GREATEST(SQRT(GREATEST(r * r - v * v, CAST(0 AS DOUBLE))) - (r - w / 2), CAST(0 AS DOUBLE)), v FROM (SELECT *, (w * w + h * h) / (4 * w) AS r, CASE WHEN i <= 32 THEN h * (i / 32 - CAST(0.5 AS DOUBLE)) ELSE h * ((64 - i) / 32 - CAST(0.5 AS DOUBLE)) END AS v FROM kinds, steps WHERE shape = 'marquise')
+  UNION ALL SELECT shape, w, h, i, CASE WHEN i = 63 THEN CAST(0 AS DOUBLE) ELSE w / 2 * cos(ang) END, CASE WHEN i = 63 THEN h / 2 ELSE w / 2 - h / 2 + w / 2 * sin(ang) END FROM (SELECT *, {_PI} / 2 + touch + (2 * {_PI} - 2 * touch) * i / 62 AS ang FROM (SELECT *, acos(LEAST(CAST(1 AS DOUBLE), w / 2 / (h - w / 2))) AS touch FROM kinds, steps WHERE shape = 'teardrop'))),
+sides AS (SELECT shape, w, h, i, u, v, COALESCE(LEAD(u) OVER o, FIRST_VALUE(u) OVER o) AS u2, COALESCE(LEAD(v) OVER o, FIRST_VALUE(v) OVER o) AS v2 FROM points WINDOW o AS (PARTITION BY shape, w, h ORDER BY i)),
+lines AS MATERIALIZED (SELECT design_id, stone_id, i, x_mm + u * cos(t) - v * sin(t) AS x, y_mm + u * sin(t) + v * cos(t) AS y, x_mm + u2 * cos(t) - v2 * sin(t) AS x2, y_mm + u2 * sin(t) + v2 * cos(t) AS y2 FROM shaped JOIN sides USING (shape, w, h)
+  WHERE (design_id, stone_id) IN (SELECT (design_id, a) FROM near WHERE NOT plain UNION SELECT (design_id, b) FROM near WHERE NOT plain)),
+ways AS (SELECT design_id, a, b, a AS p, b AS q FROM near WHERE NOT plain UNION ALL SELECT design_id, a, b, b, a FROM near WHERE NOT plain),
+met AS (SELECT w.design_id, w.a, w.b, w.p, p.i, p.x, p.y, s.x AS x1, s.y AS y1, s.x2 - s.x AS dx, s.y2 - s.y AS dy, s.y2 FROM ways w JOIN lines p ON p.design_id = w.design_id AND p.stone_id = w.p JOIN lines s ON s.design_id = w.design_id AND s.stone_id = w.q),
+along AS (SELECT *, GREATEST(CAST(0 AS DOUBLE), LEAST(CAST(1 AS DOUBLE), ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy))) AS k FROM met),
+each AS (SELECT design_id, a, b, p, i, MIN(SQRT((x - x1 - k * dx) ^ 2 + (y - y1 - k * dy) ^ 2)) AS d, COUNT(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < dx * (y - y1) / dy + x1) % 2 = 1 AS inside FROM along GROUP BY ALL),
+measured AS (SELECT design_id, a, b, CASE WHEN bool_or(inside) THEN -MAX(d) FILTER (WHERE inside) ELSE MIN(d) END AS gap FROM each GROUP BY ALL UNION ALL SELECT design_id, a, b, exact FROM near WHERE plain)
+"""
+
+
+def shaped_stones(spark: SparkSession, sf: str) -> DataFrame:
+    """Stones with the shape of their code, its box and a turn."""
+    rows = T.stones(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm", "code_id").join(T.catalog(spark, sf).select("code_id", "shape"), "code_id")
+    width = F.when(F.col("shape") == "marquise", 0.5).when(F.col("shape") == "teardrop", 0.6).otherwise(1.0)
+    return rows.select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm", "shape", (F.col("phys_mm") * width).alias("w_mm"), F.col("phys_mm").alias("h_mm"), F.expr(_TURN).alias("rot_deg"))
+
+
+@query("stones", "catalog", sql=_SHAPED + f"SELECT design_id, a, b, {half_up('gap', 4)} AS gap FROM measured WHERE gap < CAST(0.15 AS DOUBLE)")
+def shaped_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of stones of any shape that overlap or are less than 0.15 mm apart, by their outlines."""
+    return shaped_pairs(shaped_stones(spark, sf), 0.15, KEY).select("design_id", F.col("a_stone_id").alias("a"), F.col("b_stone_id").alias("b"), rounded(F.col("gap"), 4).alias("gap"))
