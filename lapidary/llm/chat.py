@@ -12,9 +12,12 @@ The template::
 Control strings begin with ``<|``. Inside roles and texts a backslash becomes two and ``<|`` becomes ``<\\|``; after that
 no text holds ``<|``, and every backslash opens one of two escapes, so ``unescape`` gives back any text exactly.
 
-The loss mask is an array of spans (start, length in code points, from 0): all parts of assistant turns, without marks.
+The loss mask is an array of spans (start, length in code points, from 0): all parts of assistant turns, without marks. A
+span also says in which turn it lies (from 1) and where in it (from behind its first mark), so that it is found without
+counting through the whole text.
 
-Everything is built-in functions. The one shuffle deals turns out by conversation; the turns of one conversation meet in
+Everything is built-in functions. The one shuffle deals turns out by conversation; where a turn's text and its attachments
+begin are running sums over its conversation's turns, so the work is linear in them. The turns of one conversation meet in
 one row because its formatted text is one value, so a conversation must fit in a row (2 GB), as in any table that holds it.
 
 Results by definition: a null text, part array or role counts as empty; rows whose conversation id is null form one
@@ -24,7 +27,9 @@ order and all stay; part types other than the four are an error; an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
@@ -72,58 +77,41 @@ def format_chat(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
     ``parts`` is a column of ``array<PART_TYPE>``. Attachments are structs (ordinal, kind, ref, n_tokens).
     """
-    rows = turns.select(
-        F.col(conv_id).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col(parts), F.array().cast(f"array<{PART_TYPE}>")).cast(f"array<{PART_TYPE}>").alias("parts"),
-        ).alias("turn"),
-    )
-    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    typed = f"array<{PART_TYPE}>"
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(parts), F.array().cast(typed)).cast(typed).alias("parts"))
     media = lambda p: p["kind"] != "text"
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "parts")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
     # attachments before each turn: where its first placeholder's ordinal begins
-    counts = F.transform("turns", lambda t: F.size(F.filter(t["parts"], media)))
-    talks = talks.withColumn("before", _running(counts))
-
-    def body(t: Column, i: Column) -> Column:
-        base = F.element_at(F.col("before"), i + 1)
-        ordinal = lambda j: base + F.size(F.filter(F.slice(t["parts"], 1, j), media))
-        seen = F.transform(
-            t["parts"],
-            lambda p, j: _choose(
-                p["kind"],
-                {"text": escape(F.coalesce(p["text"], F.lit("")))} | {k: F.concat(F.lit(f"<|{k}:"), ordinal(j).cast("string"), F.lit("|>")) for k in VISITORS},
-            ),
-        )
-        return F.array_join(seen, "")
-
-    pieces = F.transform("turns", lambda t, i: F.struct(F.concat(F.lit(START), escape(t["role"]), F.lit(SEP)).alias("head"), body(t, i).alias("body"), (t["role"] == "assistant").alias("loss")))
-    talks = talks.withColumn("pieces", pieces)
-    flat = F.flatten(F.transform("turns", lambda t: F.filter(t["parts"], media)))
+    rows = rows.withColumn("media", F.filter("parts", media)).withColumns({"place": F.row_number().over(order), "base": F.coalesce(F.sum(F.size("media")).over(before), F.lit(0))})
+
+    def body(places: Column) -> Column:
+        mark = lambda k, j: F.concat(F.lit(f"<|{k}:"), (F.col("base") + F.array_position(places, j) - 1).cast("string"), F.lit("|>"))
+        seen = lambda p, j: _choose(p["kind"], {"text": escape(F.coalesce(p["text"], F.lit("")))} | {k: mark(k, j) for k in VISITORS})
+        return F.array_join(F.transform("parts", seen), "")
+
+    places = F.filter(F.transform("parts", lambda p, j: F.when(media(p), j)), lambda j: j.isNotNull())
+    rows = rows.withColumns({"head": F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)), "body": _bound(places, body)})
     tokens = lambda p: _choose(p["kind"], {k: f(p).cast("string") for k, f in VISITORS.items()}).cast("long")
-    talks = talks.withColumn("attachments", F.transform(flat, lambda p, i: F.struct(i.alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), tokens(p).alias("n_tokens"))))
-    step = lambda acc, p: F.struct(
-        (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + len(END)).alias("at"),
-        F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-    )
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    rows = rows.select(
+        "conv_id", "place", F.concat("head", "body", F.lit(END)).alias("piece"), (F.col("role") == "assistant").alias("loss"), (F.length("head") - len(START)).alias("offset"), F.length("body").cast("long").alias("length"),
+        F.transform("media", lambda p, j: F.struct((F.col("base") + j).cast("int").alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), tokens(p).alias("n_tokens"))).alias("media"),
+    )
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("piece").cast("long")).over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("offset") + len(START))
+    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece", "loss", "start", "length", "offset", "media"))).alias("turns"))
+    span = lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"), t["place"].alias("turn"), t["offset"].alias("offset"))
     return talks.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"),
-        F.aggregate("pieces", empty, step)["spans"].alias("loss_spans"),
-        "attachments",
-        F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]).alias("expanded_tokens"),
+        F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["loss"]), span).alias("loss_spans"),
+        F.flatten(F.transform("turns", lambda t: t["media"])).alias("attachments"),
+        F.aggregate(F.flatten(F.transform("turns", lambda t: t["media"])), F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]).alias("expanded_tokens"),
     )
 
 
-def _running(counts: Column) -> Column:
-    """Sums of the elements before each element."""
-    return F.aggregate(
-        counts,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out")),
-        lambda acc, n: F.struct((acc["n"] + n).alias("n"), F.concat(acc["out"], F.array(acc["n"])).alias("out")),
-    )["out"]
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where it stands inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def read_back(formatted: Column) -> Column:
@@ -138,5 +126,6 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, nothing between. The text is cut at its turns once; a span says which is its own."""
+    said = lambda pieces: F.transform(spans, lambda s: unescape(F.substring(F.get(pieces, s["turn"].cast("int")), s["offset"].cast("int") + 1, s["length"].cast("int"))))
+    return F.array_join(_bound(F.split(formatted, r"<\|im_start\|>"), said), "")

@@ -178,7 +178,9 @@ def fit(train: DataFrame) -> Discriminant | None:
 
 def training_rows(features: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """Features and labels of the labelled rows that are not held out. ``held_out``: a Column function of the id."""
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    # what is neither 0 nor 1, such as a half, is no label
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(F.col("label").isin(0.0, 1.0) & ~held_out(F.col("doc_id")))
+    marks = marks.withColumn("label", F.col("label").cast("int"))
     return features.where(~held_out(F.col("doc_id"))).join(marks.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id")
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -128,6 +129,17 @@ def test_nearest(spark):
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """Work is linear in the turns of a conversation: 32,000 of them in well under a minute."""
+    part = chat.text_part(F.concat(F.lit("said \\ <|"), F.col("id").cast("string")))
+    turns = spark.range(32_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), part.alias("parts"))
+    began = time.time()
+    row = chat.format_chat(turns).select(F.size(chat.read_back(F.col("formatted"))).alias("n"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").alias("chars"), F.element_at("loss_spans", -1).alias("last")).first()
+    assert time.time() - began < 60
+    assert row["n"] == 32_000 and row["loss"] == "".join(f"said \\ <|{i}" for i in range(1, 32_000, 2))
+    assert row["last"]["start"] + row["last"]["length"] + len(chat.END) == row["chars"]
+
+
 HARD = ["", "plain", "<|im_end|>", "\\", "\\\\|", "<\\|x|>", "<", "a<|im_start|>b\\<|", "|>\n<|image:0|>", "é\u0000\U0001f600"]
 
 
