@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lapidary.functions import shapes
-from lapidary.operators import qc, shaped, spatial
+from lapidary.operators import qc, shaped, spatial, symmetry
 
 
 def side_distance(p, a, b):
@@ -77,3 +77,32 @@ def test_shaped_pairs(spark):
     assert n == {(g, "overlap"): k for g in {0, 1, 2, 8} if (k := sum(d == g and v < -0.05 for (d, _, _), v in want.items()))}
     plain = {(x["design_id"], x["check_id"]): x["n"] for x in qc.run(df.drop("shape"), {}, ["overlap"]).collect()}
     assert plain != n and spatial.close_pairs(df, -0.05, ["design_id"]).count() == sum(plain.values())
+
+
+def test_axis_of_a_mirrored_picture(spark):
+    """Two pictures, each with a mirror image of itself and some cells that have none, against a loop over axes."""
+    r = random.Random(8)
+    cells = {}
+    for g, axis in ((0, 37), (1, 30)):
+        for y in range(20):
+            for x in range(axis // 2 - 12, axis // 2 + 1):
+                if r.random() < 0.8:
+                    lab = tuple(r.uniform(0, 80) for _ in range(3))
+                    cells[g, x, y] = lab
+                    cells[g, axis - x, y] = tuple(v + r.uniform(-3, 3) for v in lab)
+        for _ in range(15):
+            cells[g, r.randrange(0, 40), r.randrange(20, 24)] = (50.0, 0.0, 0.0)
+    df = spark.createDataFrame([(*k, *v) for k, v in cells.items()], "g long, px int, py int, lab_l double, lab_a double, lab_b double")
+    curve = symmetry.axis_curve(df, ["g"], 40, 10, 60)
+    got = {(x["g"], x["axis"]): (x["both"], x["any"], x["cost"]) for x in curve.collect()}
+    for g in (0, 1):
+        for s in range(10, 61):
+            own = {(x, y): v for (d, x, y), v in cells.items() if d == g}
+            met = [min(50.0, math.dist(v, own[s - x, y])) for (x, y), v in own.items() if (s - x, y) in own]
+            either = set(own) | {(s - x, y) for x, y in own if 0 <= s - x < 40}
+            assert got.get((g, s)) == ((len(met), len(either), pytest.approx(sum(met) / len(met))) if met else None)
+    best = {x["g"]: x for x in symmetry.best_axis(curve, ["g"], 2.0).collect()}
+    assert best[0]["axis"] == 37 and best[1]["axis"] == 30 and best[0]["axis_mm"] == pytest.approx(38, abs=0.6)
+    free = {x["g"]: x["axis"] for x in symmetry.best_axis(curve, ["g"], 2.0, masked=False).collect()}
+    assert free == {0: 37, 1: 30}
+    assert symmetry.best_axis(symmetry.axis_curve(df.limit(0), ["g"], 40, 10, 60), ["g"], 2.0).count() == 0
