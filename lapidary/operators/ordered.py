@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import color
@@ -270,3 +270,56 @@ def diffuse(items: DataFrame, edges: DataFrame, keys: list[str], strength: float
         new = ways.join(done[-1].where("_after is not null").select(*keys, F.col("item").alias("first"), "l", "a", "b"), [*keys, "first"]).select(*keys, F.col("then").alias("item"), "first", "l", "a", "b")
         passed = stored(new if passed is None else new.unionByName(passed.join(done[-1], [*keys, "item"], "left_anti")), "passed")
     return _union([d.select(*keys, "item", "code") for d in done]) if done else items.select(*keys, "item", F.lit(None).cast("long").alias("code"))
+
+
+# A part is smaller than this much of its whole and lies this far within; a cluster has so many parts and area.
+PART, WITHIN, CLUSTER, CLUSTER_AREA = 0.62, 0.85, 3, 0.45
+#: Two masks of one bead are nearer, and differ less in size, than this much of it.
+TWIN = 0.35
+
+
+def absorb(beads: DataFrame, keys: list[str]) -> DataFrame:
+    """What becomes of each bead (keys, stone_id, x_mm, y_mm, d_mm, score): keys, stone_id, fate.
+
+    Largest first (ties: stone_id), a bead that still stands looks at the smaller ones that still stand within it: if they
+    are a cluster it is no bead (``cluster``), else they are its parts (``part``). Of those left, surest first (ties: larger,
+    stone_id), one that nearly coincides with a kept one is its ``twin``; the others are ``kept``. A bead waits only for
+    those that hold it or a part of it, in a chain for each part, so a round takes all that wait for nothing.
+    """
+    rows = stored(beads.select(*keys, F.col("stone_id").alias("item"), "x_mm", "y_mm", "d_mm", "score"), "beads")
+    near = stored(close_pairs(rows, 1e-9, keys, order="item", size="d_mm"), "near")
+    turned = F.col("b_d_mm") > F.col("a_d_mm")
+    end = lambda p, q, c: F.when(turned, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}"))
+    held = near.select(*keys, end("a", "b", "item").alias("whole"), end("b", "a", "item").alias("part"), end("a", "b", "d_mm").alias("wide"), end("b", "a", "d_mm").alias("small"), "distance")
+    held = stored(held.where((F.col("small") < PART * F.col("wide")) & (F.col("distance") < 0.5 * F.col("wide") * WITHIN)), "held")
+    chain = held.withColumn("_next", F.lead("whole").over(Window.partitionBy(*keys, "part").orderBy(F.desc("wide"), "whole")))
+    order = chain.select(*keys, F.col("whole").alias("first"), F.coalesce("_next", "part").alias("then"))
+    level = stored(waves(held.select(*keys, F.col("whole").alias("node")).unionByName(held.select(*keys, F.col("part").alias("node"))), order, keys), "waves")
+    most = level.agg(F.max("wave")).first()[0]
+    gone = rows.select(*keys, "item").limit(0).withColumn("fate", F.lit(""))
+    of_wave = held.join(level.select(*keys, F.col("node").alias("whole"), "wave"), [*keys, "whole"])
+    for wave in range(0 if most is None else most + 1):
+        dead = lambda c: gone.select(*keys, F.col("item").alias(c))  # noqa: B023, E731
+        live = stored(of_wave.where(F.col("wave") == wave).join(dead("whole"), [*keys, "whole"], "left_anti").join(dead("part"), [*keys, "part"], "left_anti"), "live")
+        sums = live.groupBy(*keys, "whole").agg(F.count("*").alias("n"), (F.sum(F.col("small") * F.col("small")) / F.max(F.col("wide") * F.col("wide"))).alias("area"))
+        clusters = stored(sums.where((F.col("n") >= CLUSTER) & (F.col("area") >= CLUSTER_AREA)).select(*keys, "whole"), "clusters")
+        parts = live.join(clusters, [*keys, "whole"], "left_anti").select(*keys, F.col("part").alias("item")).distinct()
+        gone = stored(gone.unionByName(clusters.select(*keys, F.col("whole").alias("item"), F.lit("cluster").alias("fate"))).unionByName(parts.withColumn("fate", F.lit("part"))), "gone")
+    left = near.where((F.col("distance") < TWIN * F.least("a_d_mm", "b_d_mm")) & (F.abs(F.col("a_d_mm") - F.col("b_d_mm")) < TWIN * F.greatest("a_d_mm", "b_d_mm")))
+    for c in "ab":
+        left = left.join(gone.select(*keys, F.col("item").alias(f"{c}_item")), [*keys, f"{c}_item"], "left_anti")
+    rank = lambda p: F.struct(-F.col(f"{p}_score"), -F.col(f"{p}_d_mm"), F.col(f"{p}_item"))
+    ahead = rank("a") < rank("b")
+    edges = stored(left.select(*keys, F.when(ahead, F.col("a_item")).otherwise(F.col("b_item")).alias("first"), F.when(ahead, F.col("b_item")).otherwise(F.col("a_item")).alias("then")), "twins")
+    twins = gone.select(*keys, "item").limit(0)
+    while not edges.isEmpty():
+        # what nothing stands before is kept, and all that it strikes falls
+        kept = edges.select(*keys, "first").distinct().join(edges.select(*keys, F.col("then").alias("first")), [*keys, "first"], "left_anti")
+        struck = stored(edges.join(kept, [*keys, "first"], "left_semi").select(*keys, F.col("then").alias("item")).distinct(), "struck")
+        twins = stored(twins.unionByName(struck), "fallen")
+        # a kept one's edges are all done; a fallen one strikes nothing
+        for c in ("first", "then"):
+            edges = edges.join(struck.select(*keys, F.col("item").alias(c)), [*keys, c], "left_anti")
+        edges = stored(edges, "twins")
+    fates = gone.unionByName(twins.withColumn("fate", F.lit("twin")))
+    return rows.join(fates, [*keys, "item"], "left").select(*keys, F.col("item").alias("stone_id"), F.coalesce("fate", F.lit("kept")).alias("fate"))
