@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lapidary.functions import beads as B
 from lapidary.functions import color
 from lapidary.functions.numeric import half_up, rounded
+from lapidary.operators import fit
 from lapidary.operators import learn as L
 from lapidary.operators import palette as P
 from lapidary.plans.registry import Registry
@@ -189,3 +191,88 @@ def palette_drops(spark: SparkSession, sf: str) -> DataFrame:
     costs = P.costs(T.targets(spark, sf).join(kinds, "target_id", "left_semi"), start.select("code_id", "r", "g", "b", "kind", "phys_mm"))
     _, history = P.merge_down(costs, kinds, start, _LEFT)
     return spark.createDataFrame([(i + 1, *h) for i, h in enumerate(history)], "step int, removed long, records long, price double").withColumn("price", rounded(F.col("price"), 4))
+
+
+_DRAWN = {c: f"({c} + target_id % {n}) % 256" for c, n in zip("rgb", (19, 29, 13))}
+#: Codes of the product that a palette starts from, and codes that may be added.
+_BASE, _MORE = 5, 3
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets with the colour wanted and, off by a little that depends on the target, the one drawn."""
+    rows = color.add(T.targets(spark, sf), color.lab_steps("r", "g", "b", "t"), ["t_l", "t_a", "t_b"])
+    rows = color.add(rows, color.lab_steps(*(f"({x})" for x in _DRAWN.values()), "i"), ["i_l", "i_a", "i_b"])
+    return rows.select(F.col("target_id").alias("item"), F.col("phys_mm").alias("mm"), F.col("weight").cast("double").alias("weight"), *(f"{p}_{x}" for p in "ti" for x in "lab"))
+
+
+def _offered(spark: SparkSession, sf: str) -> tuple[DataFrame, list[int]]:
+    """Active codes with their colours, and the dearest ones among them."""
+    codes = color.add(T.catalog(spark, sf).where("active"), _C, ["c_l", "c_a", "c_b"]).select("code_id", F.col("phys_mm").alias("mm"), "c_l", "c_a", "c_b")
+    dear = codes.join(T.read(spark, sf, "part").select(F.col("p_partkey").alias("code_id"), "p_retailprice"), "code_id").orderBy(F.desc("p_retailprice"), "code_id").limit(_BASE)
+    return codes, [r["code_id"] for r in dear.select("code_id").collect()]
+
+
+_FIT_SQL = f""", codes AS MATERIALIZED (SELECT code_id, phys_mm AS code_mm, c_l, c_a, c_b FROM {color.nest('catalog', _C)} WHERE active),
+items AS MATERIALIZED (SELECT target_id AS item, phys_mm AS mm, weight, t_l, t_a, t_b, i_l, i_a, i_b FROM {color.nest(color.nest('targets', color.lab_steps('r', 'g', 'b', 't')), color.lab_steps(*(f'({x})' for x in _DRAWN.values()), 'i'))}),
+base AS MATERIALIZED (SELECT c.code_id, ROW_NUMBER() OVER (ORDER BY p_retailprice DESC, c.code_id) AS place FROM codes c JOIN part ON p_partkey = c.code_id QUALIFY place <= {_BASE}),
+"""
+_FITS_SQL = f"code_mm <= mm + {color.d(1e-6)}"
+
+
+def _target_sql() -> str:
+    steps = [
+        f"pairs AS MATERIALIZED (SELECT item, code_id, {color.de76('t', 'c')} AS de, {_FITS_SQL} AS fits, {color.de76('t', 'c')} + 2 * (mm - code_mm) AS cost FROM items CROSS JOIN codes)",
+        "now0 AS MATERIALIZED (SELECT item, LEAST(COALESCE(MIN(cost) FILTER (WHERE fits AND code_id IN (SELECT code_id FROM base)), 1000), 1000) AS now FROM pairs GROUP BY item)",
+        "palette0 AS MATERIALIZED (SELECT * FROM base)",
+    ]
+    for i in range(1, _MORE + 1):
+        steps += [
+            f"pick{i} AS MATERIALIZED (SELECT code_id, SUM(now - cost) AS gain FROM pairs JOIN now{i - 1} USING (item) WHERE fits AND cost < now GROUP BY code_id ORDER BY {half_up('gain', 9)} DESC, code_id LIMIT 1)",
+            f"now{i} AS MATERIALIZED (SELECT item, LEAST(now, COALESCE(cost, now)) AS now FROM now{i - 1} LEFT JOIN (SELECT item, cost FROM pairs SEMI JOIN pick{i} USING (code_id) WHERE fits) USING (item))",
+            f"palette{i} AS MATERIALIZED (SELECT * FROM palette{i - 1} UNION ALL SELECT code_id, {_BASE + i} FROM pick{i})",
+        ]
+    picked = f"(SELECT item, code_id, CASE WHEN fits THEN cost ELSE de END AS price, ROW_NUMBER() OVER (PARTITION BY item ORDER BY fits DESC, price, place) AS k FROM pairs JOIN palette{_MORE} USING (code_id))"
+    return _FIT_SQL + ", ".join(steps) + f" SELECT item AS target_id, code_id, {half_up('price', 6)} AS price FROM {picked} WHERE k = 1"
+
+
+@query("catalog", "targets", sql=_target_sql())
+def fitted_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of targets out of a palette of five that was given three more, whatever saves most on the colours wanted."""
+    (codes, base), items = _offered(spark, sf), _items(spark, sf)
+    found = fit.fit_targets(items, codes, base, _MORE)[1].join(items, "item").join(codes.select("code_id", F.struct("mm", "c_l", "c_a", "c_b").alias("c")), "code_id")
+    price = F.when(F.expr(fit.FITS), F.expr(fit.COST)).otherwise(F.expr(fit.WANTED))
+    return found.select(F.col("item").alias("target_id"), "code_id", rounded(price, 6).alias("price"))
+
+
+def _image_sql() -> str:
+    dark = f"i_l < {color.d(fit.DARK)}"
+    steps = [
+        f"pairs AS MATERIALIZED (SELECT item, code_id, i_l, weight * CASE WHEN {dark} THEN 3 ELSE 1 END AS w, {color.de76('i', 'c')} AS apart, {color.de76('t', 'c')} + 2 * (mm - code_mm) AS cost, {_FITS_SQL} AS fits, {B.hue_fits('i', 'c')} AS hue FROM items CROSS JOIN codes)",
+        "nearest AS MATERIALIZED (SELECT item, MIN(apart) AS nearest FROM pairs WHERE fits GROUP BY item)",
+        f"suited AS MATERIALIZED (SELECT p.item, code_id, w, apart, cost FROM pairs p JOIN nearest USING (item) WHERE fits AND hue AND apart <= nearest + {color.d(fit.GATE)})",
+        f"total AS MATERIALIZED (SELECT SUM(weight * CASE WHEN {dark} THEN 3 ELSE 1 END) AS total FROM items)",
+        f"support AS MATERIALIZED (SELECT code_id FROM suited GROUP BY code_id HAVING SUM(w) / (SELECT CAST(total AS DOUBLE) FROM total) >= {color.d(fit.SUPPORT)})",
+        "palette0 AS MATERIALIZED (SELECT * FROM base)",
+    ]
+    for i in range(_MORE + 1):
+        if i:
+            only = f"(NOT (SELECT reserve FROM dark_ones) OR {dark})" if i == 1 else "TRUE"
+            steps += [
+                f"pick{i} AS MATERIALIZED (SELECT code_id, SUM(CASE WHEN apart < now AND {only} THEN w * (now - apart) ELSE 0 END) AS gain FROM suited JOIN now{i - 1} USING (item) SEMI JOIN support USING (code_id) ANTI JOIN palette{i - 1} USING (code_id) GROUP BY code_id HAVING gain > 0 ORDER BY {half_up('gain', 9)} DESC, code_id LIMIT 1)",
+                f"palette{i} AS MATERIALIZED (SELECT * FROM palette{i - 1} UNION ALL SELECT code_id, {_BASE + i} FROM pick{i})",
+            ]
+        steps.append(f"now{i} AS MATERIALIZED (SELECT item, i_l, LEAST(COALESCE(MIN(s.apart), 100), 100) AS now FROM items LEFT JOIN (SELECT item, apart FROM suited SEMI JOIN palette{i} USING (code_id)) s USING (item) GROUP BY ALL)")
+        if not i:
+            steps.append(f"dark_ones AS MATERIALIZED (SELECT COUNT(*) FILTER (WHERE {dark} AND now >= 100) >= {fit.DARK_ITEMS} AS reserve FROM now0)")
+    steps += [
+        f"pool AS (SELECT item, ARG_MIN(code_id, (cost, place)) AS code_id FROM suited JOIN palette{_MORE} USING (code_id) JOIN (SELECT item, now FROM now{_MORE}) USING (item) WHERE apart <= now + {color.d(fit.GATE)} GROUP BY item)",
+        f"others AS (SELECT item, ARG_MIN(code_id, (NOT fits, cost, place)) AS free, ARG_MIN(code_id, (NOT fits, apart, place)) AS near FROM pairs JOIN palette{_MORE} USING (code_id) GROUP BY item)",
+    ]
+    return _FIT_SQL + ", ".join(steps) + " SELECT item AS target_id, COALESCE(p.code_id, near) AS code_id, CASE WHEN p.code_id IS NULL THEN 'unsuited' WHEN p.code_id <> free THEN 'gated' ELSE 'suited' END AS how FROM others LEFT JOIN pool p USING (item)"
+
+
+@query("catalog", "targets", sql=_image_sql())
+def fitted_image(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the colours drawn: codes have to suit in hue and size, dark items count more and may call for one of their own."""
+    codes, base = _offered(spark, sf)
+    return fit.fit_image(_items(spark, sf), codes, base, _MORE)[1].withColumnRenamed("item", "target_id")
