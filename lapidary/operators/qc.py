@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import color
@@ -37,8 +37,77 @@ def code_count(stones: DataFrame, context: dict) -> DataFrame:
     return _found(design.code_count(stones), F.col("level"), "codes in use", F.col("codes"))
 
 
+#: Findings of one kind name so many of their stones.
+MOST_IDS = 50
+_ENTRY_LEVELS = {"unknown": "error", "inactive": "warn", "shape": "error", "size": "error", "drawn size": "warn"}
+
+
+def entry_faults(stones: DataFrame, catalog: DataFrame, size_map: DataFrame | None = None) -> DataFrame:
+    """Where stones differ from their catalogue entry: design_id, code_id, fault, stated, n, ids (the first ``MOST_IDS``).
+
+    Looked at is what both sides have: whether the code is known and made, ``shape``, ``phys_mm``, and ``ref_mm``, which for a
+    round entry has to be what ``size_map`` (phys_mm, ref_mm) draws its size as, and for others the entry's own, scaled as
+    the stone is. ``stated`` is what the stone says, null for a code's own faults.
+    """
+    known = catalog.select("code_id", F.col("active").alias("_active"), F.col("phys_mm").alias("_mm"), *(F.col(c).alias(f"_{c}") for c in ("shape", "ref_mm") if c in catalog.columns))
+    rows = stones.join(known, "code_id", "left")
+    if size_map is not None:
+        rows = rows.join(F.broadcast(size_map.select(F.col("phys_mm"), F.col("ref_mm").alias("_map"))), "phys_mm", "left")
+    text, none = (lambda c: F.col(c).cast("string")), F.lit(None).cast("string")
+    fault = lambda when, name, stated: F.when(when, F.struct(F.lit(name).alias("fault"), stated.alias("stated")))
+    faults = [fault(~F.col("_active"), "inactive", none), fault(F.abs(F.col("_mm") - F.col("phys_mm")) >= 1e-6, "size", text("phys_mm"))]
+    if "shape" in stones.columns and "_shape" in rows.columns:
+        faults.append(fault(F.col("_shape") != F.col("shape"), "shape", F.col("shape")))
+    if "ref_mm" in stones.columns and "_ref_mm" in rows.columns:
+        scaled = F.col("_ref_mm") * (F.col("phys_mm") / F.col("_mm"))
+        due = F.when(F.col("_shape") == "round", F.col("_map")).otherwise(scaled) if size_map is not None and "_shape" in rows.columns else scaled
+        faults.append(fault(F.coalesce(F.abs(due - F.col("ref_mm")) >= 1e-6, F.lit(True)), "drawn size", text("ref_mm")))
+    found = F.when(F.col("_active").isNull(), F.array(F.struct(F.lit("unknown").alias("fault"), none.alias("stated")))).otherwise(F.array_compact(F.array(*faults)))
+    each = rows.select("design_id", "code_id", "stone_id", F.explode(found).alias("f")).select("design_id", "code_id", "stone_id", "f.*")
+    key = ["design_id", "code_id", "fault", "stated"]
+    # of a kind, only the first stones are ever gathered
+    numbered = each.withColumn("_k", F.row_number().over(Window.partitionBy(*key).orderBy("stone_id")))
+    return numbered.groupBy(*key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_k") <= MOST_IDS, F.col("stone_id")))).alias("ids"))
+
+
+def _entries(stones: DataFrame, context: dict) -> DataFrame:
+    """A finding for each code and fault; designs without one pass, with the number of their codes."""
+    out = []
+    if context.get("pinned") is not None:
+        # pinned: (design_id, version) that each design was made with
+        out.append(_found(context["pinned"].where(~F.col("version").eqNullSafe(F.lit(context.get("version")))).withColumn("n", F.lit(1)), "warn", "another version of the catalogue", F.col("n")))
+    faults = entry_faults(stones, context["catalog"], context.get("size_map"))
+    level = F.element_at(F.create_map(*(F.lit(x) for kv in _ENTRY_LEVELS.items() for x in kv)), F.col("fault"))
+    stated = F.when(F.col("stated").isNull(), F.lit("")).otherwise(F.concat(F.lit(" "), "stated"))
+    out.append(faults.select("design_id", level.alias("level"), F.concat(F.lit("code "), F.col("code_id").cast("string"), F.lit(" "), "fault", stated).alias("message"), "n"))
+    failed = reduce(DataFrame.unionByName, out)
+    fine = stones.join(failed.select("design_id").distinct(), "design_id", "left_anti").groupBy("design_id").agg(F.count_distinct("code_id").alias("n"))
+    return failed.unionByName(_found(fine, "pass", "all codes as in the catalogue", F.col("n")))
+
+
+def _layers(stones: DataFrame, context: dict) -> DataFrame:
+    """Stones in another layer than they name, totals and codes that differ from the bill (design_id, code_id, expected)."""
+    out = []
+    if "in_layer" in stones.columns:
+        out.append(_found(stones.where("layer <> in_layer").groupBy("design_id").agg(F.count("*").alias("n")), "error", "stones name another layer", F.col("n")))
+    sums = stones.groupBy("design_id").agg(F.count("*").alias("n"))
+    bill = context.get("expected")
+    if bill is None:
+        return reduce(DataFrame.unionByName, [*out, _found(sums, "info", "no bill to compare with", F.col("n"))])
+    differ = design.against_bill(stones, bill).join(bill.select("design_id").distinct(), "design_id", "left_semi")
+    totals = sums.join(bill.groupBy("design_id").agg(F.sum("expected").alias("expected")), "design_id", "full_outer").select("design_id", F.coalesce("n", F.lit(0)).alias("n"), "expected")
+    out.append(_found(totals.where("expected is null"), "info", "no bill to compare with", F.col("n")))
+    out.append(_found(totals.where("n <> expected"), "error", "total differs from the bill", F.col("n") - F.col("expected")))
+    out.append(differ.select("design_id", F.lit("error").alias("level"), F.concat(F.lit("code "), F.col("code_id").cast("string"), F.lit(" differs from the bill")).alias("message"), (F.col("placed") - F.col("expected")).cast("long").alias("n")))
+    failed = reduce(DataFrame.unionByName, out)
+    fine = sums.join(failed.select("design_id").distinct(), "design_id", "left_anti")
+    return failed.unionByName(_found(fine, "pass", "layers, total and codes as in the bill", F.col("n")))
+
+
 @register("catalog")
 def in_catalog(stones: DataFrame, context: dict) -> DataFrame:
+    if context.get("by_code"):
+        return _entries(stones, context)
     rows = design.catalog_faults(stones, context["catalog"]).groupBy("design_id", "fault").agg(F.sum("n").alias("n"))
     return rows.select("design_id", F.when(F.col("fault") == "inactive", "warn").otherwise("error").alias("level"), F.concat(F.lit("code "), F.col("fault")).alias("message"), "n")
 
@@ -51,6 +120,8 @@ def symbols(stones: DataFrame, context: dict) -> DataFrame:
 
 @register("layer-total")
 def layer_total(stones: DataFrame, context: dict) -> DataFrame:
+    if context.get("by_code"):
+        return _layers(stones, context)
     if context.get("expected") is None:
         return _found(stones.groupBy("design_id").agg(F.count("*").alias("n")), "info", "no bill to compare with", F.col("n"))
     return _found(design.against_bill(stones, context["expected"]).groupBy("design_id").agg(F.count("*").alias("n")), "error", "codes that differ from the bill", F.col("n"))
@@ -155,9 +226,9 @@ def merges(stones: DataFrame, context: dict) -> DataFrame:
 
 
 def _guarded(name: str, stones: DataFrame, context: dict) -> DataFrame:
-    """A check's findings; one that cannot be planned, for want of its inputs or columns, is an error finding itself."""
+    """A check's findings, as a table; one that cannot be planned or fails when it runs is an error finding itself."""
     try:
-        found = CHECKS[name](stones, context).select("design_id", "level", "message", "n")
+        found = spatial.stored(CHECKS[name](stones, context).select("design_id", "level", "message", "n"), "findings")
     except Exception as e:  # noqa: BLE001  the registry is open: any failure of a check is a finding
         return _every(stones, "error", f"check failed: {type(e).__name__}")
     return found

@@ -113,3 +113,78 @@ def audit_totals(spark: SparkSession, sf: str) -> DataFrame:
     edges = T.stones(spark, sf).where("x_mm < phys_mm / 2 OR y_mm < phys_mm / 2")
     found = [("label_differs", 1, unlike), ("large_missed", 3, missed), ("outside", 2, edges)]
     return reduce(DataFrame.unionByName, (df.groupBy("design_id").agg(F.count("*").alias("n")).select("design_id", F.lit(kind).alias("kind"), F.lit(s).alias("severity"), "n") for kind, s, df in found))
+
+
+# What designs state of their stones and were billed for, with planted faults in some of the designs.
+_CLAIMS = {
+    "claimed_shape": "CASE WHEN design_id % 4 = 1 AND stone_id % 41 = 0 THEN 'heart' ELSE shape END",
+    "claimed_mm": "CASE WHEN design_id % 4 = 1 AND stone_id % 53 = 0 THEN entry_mm + 1 ELSE entry_mm END",
+    "drawn_mm": "CASE WHEN design_id % 4 = 2 AND stone_id % 37 = 0 THEN entry_mm ELSE entry_mm * CAST(0.875 AS DOUBLE) END",
+    "in_layer": "CASE WHEN design_id % 4 = 3 AND stone_id % 61 = 0 THEN 'bg' ELSE layer END",
+}
+#: Designs are made of codes that are made, but for some.
+_MADE = "(active OR design_id % 4 = 3)"
+_DESIGNED = f"""designed AS MATERIALIZED (SELECT *, {', '.join(f'{x} AS {c}' for c, x in _CLAIMS.items())} FROM (SELECT s.design_id, s.stone_id, s.layer, s.code_id, c.shape, c.active, c.phys_mm AS entry_mm FROM stones s JOIN catalog c USING (code_id)) WHERE {_MADE})"""
+
+
+def _designed(spark: SparkSession, sf: str) -> DataFrame:
+    """Stones as their designs state them; code_id is not known to the catalogue in every seventh design's 101st stones."""
+    dims = T.catalog(spark, sf).select("code_id", "shape", "active", F.col("phys_mm").alias("entry_mm"))
+    rows = T.stones(spark, sf).select("design_id", "stone_id", "layer", "code_id").join(dims, "code_id").where(F.expr(_MADE)).withColumns({c: F.expr(x) for c, x in _CLAIMS.items()})
+    code = F.when((F.col("design_id") % 7 == 4) & (F.col("stone_id") % 101 == 0), -F.col("code_id") - 1).otherwise(F.col("code_id"))
+    return rows.select("design_id", "stone_id", "layer", "in_layer", code.alias("code_id"), F.col("claimed_shape").alias("shape"), F.col("claimed_mm").alias("phys_mm"), F.col("drawn_mm").alias("ref_mm"))
+
+
+def _entry_catalog(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The catalogue with the sizes that entries are drawn in, and those of round ones by size."""
+    entries = T.catalog(spark, sf).select("code_id", "active", "shape", "phys_mm", (F.col("phys_mm") * F.lit(0.875)).alias("ref_mm"))
+    return entries, spark.createDataFrame([(v, v * 0.875) for v in T.SIZES], "phys_mm double, ref_mm double")
+
+
+_FAULTS = f""", {_DESIGNED}, coded AS (SELECT * REPLACE (CASE WHEN design_id % 7 = 4 AND stone_id % 101 = 0 THEN -code_id - 1 ELSE code_id END AS code_id) FROM designed),
+sized AS (SELECT *, CASE WHEN shape = 'round' THEN CASE WHEN claimed_mm IN ({', '.join(color.d(v) for v in T.SIZES)}) THEN claimed_mm * {color.d(0.875)} END ELSE entry_mm * {color.d(0.875)} * (claimed_mm / entry_mm) END AS due FROM coded),
+faults AS MATERIALIZED (SELECT design_id, code_id, stone_id, 'unknown' AS fault, NULL AS stated FROM sized WHERE code_id < 0 UNION ALL SELECT design_id, code_id, stone_id, 'inactive', NULL FROM sized WHERE code_id >= 0 AND NOT active
+  UNION ALL SELECT design_id, code_id, stone_id, 'size', CAST(claimed_mm AS VARCHAR) FROM sized WHERE code_id >= 0 AND abs(entry_mm - claimed_mm) >= {color.d(1e-6)} UNION ALL SELECT design_id, code_id, stone_id, 'shape', claimed_shape FROM sized WHERE code_id >= 0 AND shape <> claimed_shape
+  UNION ALL SELECT design_id, code_id, stone_id, 'drawn size', CAST(drawn_mm AS VARCHAR) FROM sized WHERE code_id >= 0 AND COALESCE(abs(due - drawn_mm) >= {color.d(1e-6)}, TRUE))
+"""
+
+
+@query("stones", "catalog", sql=_FAULTS + """SELECT design_id, code_id, fault, COUNT(*) AS n, array_to_string(list(stone_id ORDER BY stone_id)[1:50], ',') AS ids FROM faults GROUP BY design_id, code_id, fault, stated""")
+def entry_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """Stones that are not as their catalogue entry: unknown, no longer made, of another shape, size or drawn size."""
+    entries, sizes = _entry_catalog(spark, sf)
+    rows = Q.entry_faults(_designed(spark, sf), entries, sizes)
+    return rows.select("design_id", "code_id", "fault", "n", F.array_join("ids", ",").alias("ids"))
+
+
+_OLD = "design_id % 5 = 0"
+
+
+@query("stones", "catalog", sql=_FAULTS.rstrip() + f""", failed AS (SELECT design_id, CASE WHEN fault IN ('inactive', 'drawn size') THEN 'warn' ELSE 'error' END AS level, 'code ' || fault AS message, COUNT(*) AS kinds, SUM(n) AS n FROM (SELECT design_id, fault, COUNT(*) AS n FROM faults GROUP BY design_id, code_id, fault, stated) GROUP BY ALL
+  UNION ALL SELECT DISTINCT design_id, 'warn', 'another version of the catalogue', 1, 1 FROM coded WHERE {_OLD})
+SELECT design_id, level, message, kinds, CAST(n AS BIGINT) AS n FROM failed UNION ALL SELECT design_id, 'pass', 'all codes as in the catalogue', 1, COUNT(DISTINCT code_id) FROM coded ANTI JOIN failed USING (design_id) GROUP BY design_id""")
+def catalog_check(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue check code by code, here its findings by kind; designs without one pass."""
+    stones = _designed(spark, sf)
+    entries, sizes = _entry_catalog(spark, sf)
+    pinned = stones.select("design_id").distinct().withColumn("version", F.when(F.expr(_OLD), "v1").otherwise("v2"))
+    found = Q.run(stones, {"by_code": True, "catalog": entries, "size_map": sizes, "pinned": pinned, "version": "v2"}, ["catalog"])
+    kind = F.regexp_replace("message", "^code -?[0-9]+ (unknown|inactive|shape|size|drawn size).*$", "code $1")
+    return found.groupBy("design_id", "level", kind.alias("message")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n"))
+
+
+_BILLED = "COUNT(*) + CASE WHEN design_id % 6 = 1 AND code_id % 11 = 0 THEN 1 WHEN design_id % 6 = 2 AND code_id % 13 = 0 THEN -1 ELSE 0 END"
+
+
+@query("stones", "catalog", sql=f""", {_DESIGNED}, coded AS (SELECT * REPLACE (CASE WHEN design_id % 7 = 4 AND stone_id % 101 = 0 THEN -code_id - 1 ELSE code_id END AS code_id) FROM designed),
+have AS (SELECT design_id, code_id, COUNT(*) AS placed FROM coded GROUP BY ALL), bill AS (SELECT design_id, code_id, {_BILLED} AS expected FROM coded WHERE design_id % 6 <> 5 GROUP BY design_id, code_id),
+sums AS (SELECT design_id, SUM(placed) AS n FROM have GROUP BY ALL), wanted AS (SELECT design_id, SUM(expected) AS expected FROM bill GROUP BY ALL),
+failed AS MATERIALIZED (SELECT design_id, 'error' AS level, 'stones name another layer' AS message, COUNT(*) AS n FROM coded WHERE layer <> in_layer GROUP BY design_id
+  UNION ALL SELECT design_id, 'info', 'no bill to compare with', n FROM sums ANTI JOIN wanted USING (design_id) UNION ALL SELECT design_id, 'error', 'total differs from the bill', n - expected FROM sums JOIN wanted USING (design_id) WHERE n <> expected
+  UNION ALL SELECT design_id, 'error', 'code ' || CAST(code_id AS VARCHAR) || ' differs from the bill', placed - expected FROM have JOIN bill USING (design_id, code_id) WHERE placed <> expected)
+SELECT design_id, level, message, CAST(n AS BIGINT) AS n FROM failed UNION ALL SELECT design_id, 'pass', 'layers, total and codes as in the bill', CAST(n AS BIGINT) FROM sums ANTI JOIN failed USING (design_id)""")
+def layer_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers and totals against the bill, code by code; some designs have none."""
+    stones = _designed(spark, sf)
+    bill = stones.where("design_id % 6 <> 5").groupBy("design_id", "code_id").agg(F.expr(_BILLED).alias("expected"))
+    return Q.run(stones, {"by_code": True, "expected": bill}, ["layer-total"]).select("design_id", "level", "message", "n")
