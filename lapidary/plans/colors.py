@@ -69,14 +69,18 @@ def palette_eval(spark: SparkSession, sf: str) -> DataFrame:
     return P.evaluate(costs, T.targets(spark, sf), codes).withColumn("cost", rounded(F.col("cost"), 4))
 
 
-def _greedy_sql(rounds: int) -> str:
+def _greedy_steps(rounds: int) -> list[str]:
     """Greedy choice, a pair of tables a round: the code that saves most, and what each target pays from then on."""
     steps = [f"costs AS MATERIALIZED (SELECT * FROM (SELECT target_id, weight, code_id, {_COST} AS cost FROM {_PAIR_SQL}) WHERE cost IS NOT NULL)", "now0 AS MATERIALIZED (SELECT target_id, CAST(1000 AS DOUBLE) AS now FROM targets)"]
     for i in range(1, rounds + 1):
         steps.append(f"pick{i} AS MATERIALIZED (SELECT code_id, SUM(GREATEST(now - cost, 0) * weight) AS gain FROM costs JOIN now{i - 1} USING (target_id) GROUP BY code_id ORDER BY ROUND(gain, 6) DESC, code_id LIMIT 1)")
         steps.append(f"now{i} AS MATERIALIZED (SELECT target_id, LEAST(now, COALESCE(cost, now)) AS now FROM now{i - 1} LEFT JOIN (SELECT target_id, cost FROM costs WHERE code_id = (SELECT code_id FROM pick{i})) USING (target_id))")
+    return steps
+
+
+def _greedy_sql(rounds: int) -> str:
     picks = " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS place, code_id, {half_up('gain', 4)} AS gain FROM pick{i} WHERE gain > 0" for i in range(1, rounds + 1))
-    return f", {', '.join(steps)} {picks}"
+    return f", {', '.join(_greedy_steps(rounds))} {picks}"
 
 
 @query("catalog", "targets", sql=_greedy_sql(P.MAX_CODES))
@@ -173,21 +177,22 @@ _DROPS = [
     f"""ranked_{k} AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_id ORDER BY cost, code_id) AS j FROM cost WHERE code_id IN (SELECT code_id FROM set_{k})),
 price_{k} AS MATERIALIZED (SELECT s.code_id, COALESCE(SUM(a.records), 0) AS records, COALESCE(SUM(a.weight * CASE WHEN b.code_id IS NULL THEN CAST(10000 AS DOUBLE) ELSE b.de * b.de - a.de * a.de + CASE WHEN b.code_mm < a.code_mm - CAST(0.000001 AS DOUBLE) THEN 625 ELSE 0 END END), 0) AS price
   FROM set_{k} s LEFT JOIN ranked_{k} a ON a.j = 1 AND a.code_id = s.code_id LEFT JOIN ranked_{k} b ON b.j = 2 AND b.target_id = a.target_id GROUP BY s.code_id),
-gone_{k} AS MATERIALIZED (SELECT * FROM price_{k} ORDER BY price, code_id LIMIT 1),
+gone_{k} AS MATERIALIZED (SELECT * FROM price_{k} WHERE (SELECT COUNT(*) FROM set_{k}) > {_LEFT} ORDER BY price, code_id LIMIT 1),
 set_{k + 1} AS MATERIALIZED (SELECT code_id FROM set_{k} WHERE code_id NOT IN (SELECT code_id FROM gone_{k}))"""
     for k in range(_START - _LEFT)
 ]
 _ALIKE = ["layer", "want_mm", "FLOOR(p_l + CAST(0.5 AS DOUBLE))", "FLOOR(p_a + CAST(0.5 AS DOUBLE))", "FLOOR(p_b + CAST(0.5 AS DOUBLE))"]
 
 
-@query("catalog", "targets", sql=f""", set_0 AS MATERIALIZED (SELECT p_partkey AS code_id FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT {_START}), kinds AS MATERIALIZED (SELECT MIN(target_id) AS target_id, SUM(weight) AS weight, COUNT(*) AS records FROM {_TARGET_SQL} GROUP BY {', '.join(_ALIKE)}),
+@query("catalog", "targets", sql=f""", {', '.join(_greedy_steps(_START))}, set_0 AS MATERIALIZED ({' UNION ALL '.join(f'SELECT code_id FROM pick{i} WHERE gain > 0' for i in range(1, _START + 1))}), kinds AS MATERIALIZED (SELECT MIN(target_id) AS target_id, SUM(weight) AS weight, COUNT(*) AS records FROM {_TARGET_SQL} GROUP BY {', '.join(_ALIKE)}),
 cost AS MATERIALIZED (SELECT * FROM (SELECT target_id, code_id, code_mm, de, {_COST} AS cost FROM {_PAIR_SQL.replace('CROSS JOIN', 'SEMI JOIN kinds USING (target_id) CROSS JOIN')} WHERE code_id IN (SELECT code_id FROM set_0)) JOIN kinds k USING (target_id) WHERE cost IS NOT NULL), {', '.join(_DROPS)}
 {' UNION ALL '.join(f"SELECT CAST({k + 1} AS INTEGER) AS step, code_id AS removed, CAST(records AS BIGINT) AS records, {half_up('price', 4)} AS price FROM gone_{k}" for k in range(_START - _LEFT))}""")
 def palette_drops(spark: SparkSession, sf: str) -> DataFrame:
-    """A palette of the 20 dearest codes brought down to 11, each step with the code dropped and the records it moves."""
+    """A palette of 20 codes, chosen one by one as each saves most, brought down to 11: each step with the code dropped and the records it moves."""
     targets = color.add(T.targets(spark, sf).withColumn("want_mm", F.col("phys_mm")), color.lab_steps("r", "g", "b", "p"), ["p_l", "p_a", "p_b"])
     kinds = P.alike(targets.select("target_id", "layer", "weight", "want_mm", *(F.floor(F.col(f"p_{x}") + F.lit(0.5)).alias(x) for x in "lab")), ["layer", "want_mm", "l", "a", "b"])
-    start = T.catalog(spark, sf).join(T.read(spark, sf, "part").select(F.col("p_partkey").alias("code_id"), "p_retailprice"), "code_id").orderBy(F.desc("p_retailprice"), "code_id").limit(_START)
+    chosen = [c for c, _ in P.greedy(_costs(spark, sf), T.targets(spark, sf), _START)]
+    start = T.catalog(spark, sf).where(F.col("code_id").isin(chosen))
     costs = P.costs(T.targets(spark, sf).join(kinds, "target_id", "left_semi"), start.select("code_id", "r", "g", "b", "kind", "phys_mm"))
     _, history = P.merge_down(costs, kinds, start, _LEFT)
     return spark.createDataFrame([(i + 1, *h) for i, h in enumerate(history)], "step int, removed long, records long, price double").withColumn("price", rounded(F.col("price"), 4))
