@@ -90,20 +90,54 @@ def nudged_options(sizes: Column, nudges: tuple[float, ...] = NUDGES) -> Column:
     return F.flatten(F.transform(sizes, lambda s: F.transform(at, lambda m: F.struct(m["dx"].alias("dx"), m["dy"].alias("dy"), s.cast("double").alias("size")))))
 
 
-def repair(stones: DataFrame, keys: list[str], catalogue: list[float], clearance: float = 0.15, steps: int = 1, nudges: tuple[float, ...] = NUDGES) -> DataFrame:
+def repair(stones: DataFrame, keys: list[str], catalogue: list[float], clearance: float = 0.15, steps: int = 1, nudges: tuple[float, ...] = NUDGES, start: str = "phys_mm") -> DataFrame:
     """Collisions resolved: larger and surer stones first; one in the way is nudged, then made smaller by up to ``steps`` sizes, or goes.
 
-    ``stones``: keys, stone_id, x_mm, y_mm, phys_mm, score. Result: the stones with fate (kept, nudged, shrunk, dropped) and
-    new x_mm, y_mm, phys_mm (null where dropped).
+    ``stones``: keys, stone_id, x_mm, y_mm, phys_mm, score, and ``start``, the size that a stone has at first. Result: the
+    stones with fate (kept, nudged, shrunk, dropped) and new x_mm, y_mm, phys_mm (null where dropped).
     """
-    lower = F.filter(F.array(*(F.lit(float(s)) for s in sorted(catalogue, reverse=True))), lambda s: s < F.col("phys_mm") - 1e-6)
-    options = nudged_options(F.concat(F.array(F.col("phys_mm").cast("double")), F.slice(lower, 1, steps)), nudges)
+    lower = F.filter(F.array(*(F.lit(float(s)) for s in sorted(catalogue, reverse=True))), lambda s: s < F.col(start) - 1e-6)
+    options = nudged_options(F.concat(F.array(F.col(start).cast("double")), F.slice(lower, 1, steps)), nudges)
     items = stones.select(*keys, F.col("stone_id").alias("item"), F.struct(-F.col("phys_mm"), -F.col("score")).alias("rank"), "x_mm", "y_mm", options.alias("options"))
     each = 1 + len(nudges) * DIRECTIONS
     fate = F.when(F.col("chosen").isNull(), "dropped").when(F.col("chosen") >= each, "shrunk").when(F.col("chosen") > 0, "nudged").otherwise("kept")
     return place(items, keys, clearance).select(*keys, F.col("item").alias("stone_id"), fate.alias("fate"), "x_mm", "y_mm", "phys_mm")
 
 
+def rescue(stones: DataFrame, keys: list[str], catalogue: list[float], clearance: float = 0.15, steps: int = 1, nudges: tuple[float, ...] = NUDGES, large: float = 4.0, rounds: int = 2) -> DataFrame:
+    """``repair`` that looks again at the large stones that it drops, and has a placed one start smaller where this frees more.
+
+    A placed stone that keeps out two dropped ones or more is made smaller, to the largest size at which those of them that
+    it no longer keeps out have more area than it loses; stones of its own kind and size do not count, being drawn over each
+    other. Then all are placed anew, since what was freed comes before others that took its room. ``stones`` have a ``kind``
+    too: stones of one kind and size bear one code. Adds ``forced``, the size that a stone had to start with (null: its own).
+    """
+    rows = stored(stones.select(*keys, "stone_id", "x_mm", "y_mm", "phys_mm", "score", "kind"), "stones")
+    big = rows.where(F.col("phys_mm") >= large)
+    forced = stored(rows.select(*keys, "stone_id", F.col("phys_mm").cast("double").alias("forced")).limit(0), "forced")
+    started = lambda df: df.join(forced, [*keys, "stone_id"], "left").withColumn("_start", F.coalesce("forced", "phys_mm"))
+    sizes = F.array(*(F.lit(float(s)) for s in catalogue))
+    area = lambda size: F.col(size) * F.col(size)
+    for _ in range(rounds):
+        fates = stored(repair(started(big), keys, catalogue, clearance, steps, nudges, "_start").withColumnRenamed("phys_mm", "_size"), "fates")
+        own = big.select(*keys, "stone_id", "kind", F.col("x_mm").alias("_x"), F.col("y_mm").alias("_y"), F.col("phys_mm").alias("_own"))
+        lost = F.col("fate") == "dropped"
+        # the dropped as they were drawn, the placed as they stand
+        both = fates.join(own, [*keys, "stone_id"]).select(*keys, "stone_id", "kind", lost.alias("lost"), F.coalesce("x_mm", "_x").alias("x_mm"), F.coalesce("y_mm", "_y").alias("y_mm"), F.coalesce("_size", "_own").cast("double").alias("phys_mm"))
+        met = close_pairs(both, clearance - _EPS, keys).where(F.col("a_lost") != F.col("b_lost"))
+        end = lambda is_lost, c: F.when(F.col("a_lost") == is_lost, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}"))
+        kept_out = met.select(*keys, end(False, "stone_id").alias("stone_id"), end(False, "phys_mm").alias("size"), end(True, "phys_mm").alias("lost_size"), "distance", ((F.col("a_kind") == F.col("b_kind")) & (F.col("a_phys_mm") == F.col("b_phys_mm"))).alias("same"))
+        tried = kept_out.join(forced, [*keys, "stone_id"], "left_anti").withColumn("smaller", F.explode(F.filter(sizes, lambda s: s < F.col("size") - 1e-6)))
+        frees = ~F.col("same") & (F.col("distance") - (F.col("smaller") + F.col("lost_size")) / 2 >= clearance - _EPS)
+        sums = tried.where(frees).groupBy(*keys, "stone_id", "size", "smaller").agg(F.count("*").alias("n"), F.sum(area("lost_size")).alias("gain"))
+        worth = sums.where((F.col("n") >= 2) & (F.round(F.col("gain") - area("size") + area("smaller"), 9) > 0))
+        new = stored(worth.groupBy(*keys, "stone_id").agg(F.max("smaller").alias("forced")), "forced")
+        if new.isEmpty():
+            break
+        forced = stored(forced.unionByName(new), "forced")
+    return repair(started(rows), keys, catalogue, clearance, steps, nudges, "_start").join(forced, [*keys, "stone_id"], "left")
+
+
 def resolve_overlap(stones: DataFrame, keys: list[str], clearance: float = -0.05, large: float = 5.0, small: float = 2.8) -> DataFrame:
     """Stones that keep clear: large ones first by size, small ones at size ``small``, surer ones first; then in the same
     order small ones get their own size back where there is room. Those for which there is none are left out.
@@ -272,6 +306,65 @@ def diffuse(items: DataFrame, edges: DataFrame, keys: list[str], strength: float
     return _union([d.select(*keys, "item", "code") for d in done]) if done else items.select(*keys, "item", F.lit(None).cast("long").alias("code"))
 
 
+def despeckle(items: DataFrame, edges: DataFrame, codes: DataFrame, keys: list[str], least: int = 2, farthest: float = 20.0, passes: int = 2) -> DataFrame:
+    """Stray colours that give way, in place: passes in the order of the items over clusters of neighbours of one code.
+
+    A cluster of fewer than ``least`` items, none of them ``fixed``, takes the code that most links to its neighbours bear
+    (ties: nearest by CIEDE2000 to the cluster's mean colour, to nine digits; smaller code), unless it is more than
+    ``farthest`` from that colour. A cluster is looked at once a pass, when its first item comes up that was not looked at.
+
+    ``items``: keys, item, code, lab_l, lab_a, lab_b, fixed. ``edges``: keys, a, b. ``codes``: code, lab_l, lab_a, lab_b.
+    Result: keys, item, code, was. Clusters only grow, so what is large at the start of a pass or holds a fixed item never
+    changes in it, and only items of small clusters wait for each other: those that a step can reach, 2 * least - 3 links
+    away through small clusters.
+    """
+    state = stored(items.select(*keys, "item", "code", F.col("code").alias("was"), "fixed", "lab_l", "lab_a", "lab_b"), "codes")
+    ends = F.array(F.struct(F.col("a").alias("item"), F.col("b").alias("other")), F.struct(F.col("b").alias("item"), F.col("a").alias("other")))
+    links = stored(edges.where("a <> b").select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*").distinct(), "links")
+    of = lambda df, c: df.select(*keys, F.col("item").alias(c))
+    known = codes.select(F.col("code").alias("to"), *(F.col(f"lab_{c}").alias(f"q_{c}") for c in "lab"))
+
+    def clusters(starts: DataFrame) -> DataFrame:
+        """(keys, start, item, code, colour) of the whole clusters of those starts that lie in small ones without a fixed item."""
+        own = Window.partitionBy(*keys, "start")
+        found = starts.join(state.drop("was"), [*keys, "item"]).where("not fixed").withColumn("start", F.col("item"))
+        for _ in range(least - 1):
+            same = state.drop("was").withColumnRenamed("item", "other")
+            more = found.select(*keys, "start", "item", "code").join(links, [*keys, "item"]).drop("item").join(same, [*keys, "other", "code"]).withColumnRenamed("other", "item")
+            found = found.unionByName(more).dropDuplicates([*keys, "start", "item"]).withColumns({"_n": F.count("*").over(own), "_bad": F.max("fixed").over(own)})
+            found = found.where((F.col("_n") < least) & ~F.col("_bad")).drop("_n", "_bad")
+        return stored(found.drop("fixed"), "clusters")
+
+    for _ in range(passes):
+        soft = clusters(of(state, "item"))
+        pending = stored(soft.select(*keys, "item").distinct(), "pending")
+        inner = stored(links.join(pending, [*keys, "item"], "left_semi").join(of(pending, "other"), [*keys, "other"], "left_semi"), "inner")
+        reach = inner.select(*keys, F.col("item").alias("first"), F.col("other").alias("then"))
+        for _ in range(2 * least - 4):
+            onward = reach.join(inner.select(*keys, F.col("item").alias("then"), "other"), [*keys, "then"]).select(*keys, "first", F.col("other").alias("then"))
+            reach = stored(reach.unionByName(onward).distinct(), "reach")
+        waits, changed = stored(reach.where("first < then"), "waits"), False
+        while not pending.isEmpty():
+            ready = pending.join(waits.select(*keys, F.col("then").alias("item")), [*keys, "item"], "left_anti")
+            held = clusters(ready)
+            beside = held.select(*keys, "start", "item", "code").join(links, [*keys, "item"]).join(state.select(*keys, F.col("item").alias("other"), F.col("code").alias("to")), [*keys, "other"]).where("to <> code")
+            votes = beside.groupBy(*keys, "start", "to").agg(F.count("*").alias("n"))
+            top = votes.withColumn("_most", F.max("n").over(Window.partitionBy(*keys, "start"))).where("n = _most").select(*keys, "start", "to")
+            mean = held.groupBy(*keys, "start").agg(*(F.round(F.sum(f"lab_{c}") / F.count("*"), 9).alias(f"p_{c}") for c in "lab"))
+            near = color.add(top.join(mean, [*keys, "start"]).join(known, "to"), color.de2000_steps("p", "q"), ["de"])
+            pick = near.groupBy(*keys, "start").agg(F.min(F.struct(F.round("de", 9).alias("de"), "to")).alias("m")).where(F.col("m.de") <= farthest).select(*keys, "start", "m.to")
+            new = stored(held.select(*keys, "start", "item").join(pick, [*keys, "start"]).select(*keys, "item", "to"), "changed")
+            if not new.isEmpty():
+                changed = True
+                state = stored(state.join(new, [*keys, "item"], "left").withColumn("code", F.coalesce("to", "code")).drop("to"), "codes")
+            seen = of(held, "item").unionByName(ready)
+            pending = stored(pending.join(seen, [*keys, "item"], "left_anti"), "pending")
+            waits = stored(waits.join(of(pending, "first"), [*keys, "first"], "left_semi").join(of(pending, "then"), [*keys, "then"], "left_semi"), "waits")
+        if not changed:
+            break
+    return state.select(*keys, "item", "code", "was")
+
+
 # A part is smaller than this much of its whole and lies this far within; a cluster has so many parts and area.
 PART, WITHIN, CLUSTER, CLUSTER_AREA = 0.62, 0.85, 3, 0.45
 #: Two masks of one bead are nearer, and differ less in size, than this much of it.

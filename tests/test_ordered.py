@@ -75,6 +75,61 @@ def test_resolve_overlap_is_the_loop(spark, designs):
     assert got == want and len({v for v in want.values() if v[0] == 2.8 < v[1]}) == 1
 
 
+def test_rescue_is_the_loop(spark):
+    r = random.Random(22)
+    kinds, rows = {}, {}
+    for g in range(300):
+        # a large one in the middle of rings of smaller ones
+        at = [(r.uniform(7, 9), r.uniform(7, 9), r.choice([8.0, 10.0]))]
+        for _ in range(r.randrange(3, 12)):
+            far, turn = r.uniform(4, 8), r.uniform(0, 6.3)
+            at.append((8 + far * math.cos(turn), 8 + far * math.sin(turn), r.choice([2.8, 4.0, 5.0, 6.0])))
+        rows[g] = [(i, *p, r.choice([0.1, 0.5, 0.9])) for i, p in enumerate(at)]
+        kinds |= {(g, i): r.choice("xy") for i in range(len(at))}
+    sizes = [2.8, 4.0, 5.0, 6.0, 8.0, 10.0]
+
+    def passed(stones, forced):
+        placed = {}
+        for i, x, y, size, _ in sorted(stones, key=lambda s: (-s[3], -s[4], s[0])):
+            own = forced.get(i, size)
+            for s in [own] + [s for s in sorted(sizes, reverse=True) if s < own - 1e-6][:1]:
+                places = [(x, y, s)] + [(x + math.cos(k * math.pi / 6) * d, y + math.sin(k * math.pi / 6) * d, s) for d in (0.1, 0.2) for k in range(12)]
+                fit = [p for p in places if all(gap(p, t) >= 0.15 - 1e-9 for t in placed.values())]
+                if fit:
+                    placed[i] = fit[0]
+                    break
+        return placed
+
+    want = {}
+    for g, stones in rows.items():
+        big, forced = [s for s in stones if s[3] >= 4], {}
+        for _ in range(2):
+            placed = passed(big, forced)
+            lost, new = [s for s in big if s[0] not in placed], {}
+            for i, t in placed.items():
+                out = [s for s in lost if gap(t, s[1:4]) < 0.15 - 1e-9]
+                for e in sorted((e for e in sizes if e < t[2] - 1e-6), reverse=True):
+                    freed = [s for s in out if gap((t[0], t[1], e), s[1:4]) >= 0.15 - 1e-9 and (kinds[g, s[0]], s[3]) != (kinds[g, i], t[2])]
+                    if i not in forced and len(freed) >= 2 and round(sum(s[3] ** 2 for s in freed) - t[2] ** 2 + e**2, 9) > 0:
+                        new[i] = e
+                        break
+            if not new:
+                break
+            forced |= new
+        placed = passed(stones, forced)
+        want |= {(g, s[0]): (forced.get(s[0]), *placed.get(s[0], (None,) * 3)) for s in stones}
+    data = spark.createDataFrame([(g, *s, kinds[g, s[0]]) for g, stones in rows.items() for s in stones], STONES + ", kind string")
+    got = {(x["g"], x["stone_id"]): x for x in ordered.rescue(data, KEY, sizes).collect()}
+    assert got.keys() == want.keys() and sum(v[0] is not None for v in want.values()) > 10
+    for k, (size, *at) in want.items():
+        x = got[k]
+        assert x["forced"] == size and (x["fate"] == "dropped") == (at[0] is None), k
+        assert at[0] is None or (x["x_mm"], x["y_mm"], x["phys_mm"]) == pytest.approx(tuple(at)), k
+    saved = lambda rows: sum(x["fate"] != "dropped" for x in rows if x["stone_id"])
+    assert saved(got.values()) > saved(ordered.repair(data, KEY, sizes).collect())
+    assert ordered.rescue(data.limit(0), KEY, sizes).count() == 0
+
+
 def test_nothing_to_place(spark):
     assert ordered.repair(spark.createDataFrame([], STONES), KEY, SIZES).count() == 0
     assert ordered.resolve_overlap(spark.createDataFrame([], STONES), KEY).count() == 0
@@ -207,3 +262,45 @@ def test_diffusion_is_the_loop(spark):
     assert got == want
     assert got != {(x["g"], x["item"]): x["code"] for x in ordered.diffuse(a, b, KEY, 0.0).collect()}
     assert ordered.diffuse(a.limit(0), b, KEY).count() == 0
+
+
+@pytest.mark.parametrize("least", [2, 3])
+def test_despeckle_is_the_loop(spark, least):
+    r = random.Random(8)
+    palette = [(k, r.uniform(30, 70), r.uniform(-20, 20), r.uniform(-20, 20)) for k in range(5)]
+    items, edges, want, n = [], [], {}, 10
+    for g in range(60):
+        own = [(g, i, r.choice([0, 0, 1, 1, 2, 3, 4]), r.uniform(30, 70), r.uniform(-20, 20), r.uniform(-20, 20), r.random() < 0.08) for i in range(n)]
+        pairs = [(a, b, c) for a, b, c, d in graph(r, g, n) if b < c and d < 3.9]
+        items += own
+        edges += pairs
+        near = collections.defaultdict(set)
+        for _, i, j in pairs:
+            near[i].add(j)
+            near[j].add(i)
+        code = [x[2] for x in own]
+        for _ in range(2):
+            seen = set()
+            for i in range(n):
+                if i in seen or own[i][6]:
+                    continue
+                comp = [i]
+                for m in comp:
+                    comp += [j for j in sorted(near[m]) if code[j] == code[i] and j not in comp]
+                seen |= set(comp)
+                votes = collections.Counter(code[j] for m in comp for j in near[m] if j not in comp)
+                if len(comp) >= least or any(own[m][6] for m in comp) or not votes:
+                    continue
+                mean = np.round(np.mean([own[m][3:6] for m in comp], axis=0), 9)
+                de = {c: round(float(color.de2000_array(mean[None], np.array([palette[c][1:]]))[0]), 9) for c in votes}
+                to = min((c for c in votes if votes[c] == max(votes.values())), key=lambda c: (de[c], c))
+                if de[to] <= 20:
+                    for m in comp:
+                        code[m] = to
+        want |= {(g, i): (code[i], own[i][2]) for i in range(n)}
+    a = spark.createDataFrame(items, "g long, item long, code long, lab_l double, lab_a double, lab_b double, fixed boolean")
+    b = spark.createDataFrame(edges, "g long, a long, b long")
+    c = spark.createDataFrame(palette, "code long, lab_l double, lab_a double, lab_b double")
+    got = {(x["g"], x["item"]): (x["code"], x["was"]) for x in ordered.despeckle(a, b, c, KEY, least).collect()}
+    assert got == want and sum(x != y for x, y in want.values()) > 40
+    assert ordered.despeckle(a.limit(0), b, c, KEY, least).count() == 0
