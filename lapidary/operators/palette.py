@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import color
@@ -258,6 +258,60 @@ def merge(costs: DataFrame, records: DataFrame, most: int, lock: tuple[int, ...]
     return [int(c) for c in codes[live]], history
 
 
+# Fixed values of shaped stones: the longest side of a small one, a round one in its place (price, least size, how much wider), sizes by logarithms.
+SMALL_SHAPE, TO_ROUND, ROUND_LEAST, WIDER, SHAPE_SIZE = 8.0, 40.0, 4.0, 1.0, 100.0
+# Fixed values of white: lightness at least, chroma at most.
+WHITE_L, WHITE_C = 70.0, 15.0
+
+
+def class_cost(gold_weight: float = 1.0) -> tuple[Column, Column]:
+    """What a code costs in a stone's place (null: not allowed) and the colour's part of it, over columns of a pair.
+
+    ``want_`` and ``code_`` material, shape (round or not), mm, w_mm, h_mm; Lab colours p and q; ``de``. Gold may not be
+    darker than wanted: what it lacks in lightness counts ``gold_weight`` times beside the difference. A shaped stone
+    keeps its shape at its size or smaller; a small one may become a round one of about its width. A round stone has the
+    code of its size and material, a smaller one of its kind (pearl or not), or, if white and not small, a white pearl.
+    """
+    want, code, c = (lambda n: F.col(f"want_{n}")), (lambda n: F.col(f"code_{n}")), F.col
+    darker = gold_weight * F.greatest(c("p_l") - c("q_l"), F.lit(0.0))
+    de = F.when(want("material") == "gold", F.sqrt(c("de") * c("de") + darker * darker)).otherwise(c("de"))
+    kind = (want("material") == "pearl") == (code("material") == "pearl")
+    eps = 1e-6
+    narrow, long = F.least(want("w_mm"), want("h_mm")), F.greatest(want("w_mm"), want("h_mm"))
+    to_round = (code("shape") == "round") & kind & (long <= SMALL_SHAPE) & (code("mm") >= ROUND_LEAST) & (code("mm") <= narrow + WIDER)
+    fits = (code("shape") == want("shape")) & (code("w_mm") <= want("w_mm") + eps) & (code("h_mm") <= want("h_mm") + eps)
+    exact = (F.abs(code("w_mm") - want("w_mm")) < eps) & (F.abs(code("h_mm") - want("h_mm")) < eps)
+    off = (F.abs(F.ln(code("w_mm") / want("w_mm"))) + F.abs(F.ln(code("h_mm") / want("h_mm")))) * (SHAPE_SIZE / 2)
+    shaped = F.when(to_round, de + TO_ROUND).when(fits & exact, de).when(fits, de + off)
+    white = (c("p_l") >= WHITE_L) & (F.sqrt(c("p_a") * c("p_a") + c("p_b") * c("p_b")) <= WHITE_C)
+    own = (F.abs(code("mm") - want("mm")) < eps) & (code("material") == want("material"))
+    pearl = (code("material") == "pearl") & (want("material") != "gold") & (want("mm") >= ROUND_LEAST) & (code("mm") <= want("mm") + eps) & white
+    smaller = kind & (code("mm") < want("mm") - eps)
+    plain = F.when(own, de).when(smaller, de + SHRINK + SHRINK_PER_MM * (want("mm") - code("mm"))).when(pearl, de + CROSS)
+    return F.when(want("shape") != "round", shaped).when(code("shape") == "round", plain), de
+
+
+def remap(entries: DataFrame, pool: DataFrame, keys: list[str], least: float = 4.0, farthest: float = 20.0) -> DataFrame:
+    """Codes of large stones brought into a pool: a code that is in it stays, another one takes the cheapest by ``class_cost``
+    (ties: the smallest code), round ones ``least`` mm or more, no farther than ``farthest`` in colour; else it goes.
+
+    Both: keys, code_id, material, shape, mm, w_mm, h_mm, lab_l, lab_a, lab_b, a row a code. Result: keys, code_id, to_code
+    (null: none fits), why (kept, shape-size, smaller, no-class), cost.
+    """
+    side = lambda df, name, lab, code: df.select(*keys, F.col("code_id").alias(code), *(F.col(c).alias(f"{name}_{c}") for c in ("material", "shape", "mm", "w_mm", "h_mm")), *(F.col(f"lab_{c}").alias(f"{lab}_{c}") for c in "lab"))
+    inside = pool.select(*keys, "code_id", F.lit(True).alias("_inside"))
+    rows = entries.join(inside, [*keys, "code_id"], "left")
+    met = side(rows.where("_inside is null"), "want", "p", "code_id").join(side(pool, "code", "q", "to_code"), keys)
+    cost, de = class_cost(0.0)
+    priced = color.add(met, color.de2000_steps("p", "q"), ["de"]).withColumns({"cost": cost, "off": de})
+    # judged within the aggregate: a filter on a difference would be pushed below it and write its formula out many times
+    fits = (F.col("off") <= farthest) & F.col("cost").isNotNull() & ((F.col("code_shape") != "round") | (F.col("code_mm") >= least))
+    best = priced.groupBy(*keys, "code_id").agg(F.min(F.when(fits, F.struct("cost", "to_code"))).alias("_b")).select(*keys, "code_id", F.col("_b.to_code").alias("_to"), F.col("_b.cost").alias("_cost"))
+    why = F.when(F.col("_inside"), "kept").when(F.col("_to").isNull(), "no-class").when(F.col("shape") != "round", "shape-size").otherwise("smaller")
+    kept = lambda own, c: F.when(F.col("_inside"), own).otherwise(F.col(c))
+    return rows.join(best, [*keys, "code_id"], "left").select(*keys, "code_id", kept(F.col("code_id"), "_to").alias("to_code"), why.alias("why"), kept(F.lit(0.0), "_cost").alias("cost"))
+
+
 def alike(records: DataFrame, keys: list[str]) -> DataFrame:
     """Records (target_id, weight) that agree in ``keys`` as one, their smallest target_id: weight summed, ``records`` counted."""
     return records.groupBy(*keys).agg(F.min("target_id").alias("target_id"), F.sum("weight").alias("weight"), F.count("*").alias("records"))

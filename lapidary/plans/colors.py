@@ -281,3 +281,29 @@ def fitted_image(spark: SparkSession, sf: str) -> DataFrame:
     """The same by the colours drawn: codes have to suit in hue and size, dark items count more and may call for one of their own."""
     codes, base = _offered(spark, sf)
     return fit.fit_image(_items(spark, sf), codes, base, _MORE)[1].withColumnRenamed("item", "target_id")
+
+
+# A code's material, and the sides of its outline by shape.
+_WIDTH = "phys_mm * CASE shape WHEN 'marquise' THEN CAST(0.5 AS DOUBLE) WHEN 'teardrop' THEN CAST(0.75 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END"
+_MATERIAL = "CASE WHEN kind = 'pearl' THEN 'pearl' WHEN lower(series) LIKE '%brass%' OR lower(series) LIKE '%copper%' THEN 'gold' WHEN code_id % 9 = 0 THEN 'facet' ELSE 'base' END"
+_MET = color.nest("(SELECT w.design_id, w.code_id, w.shape AS ws, w.mm AS wm, w.w_mm AS ww, w.material AS wk, w.l AS p_l, w.a AS p_a, w.b AS p_b, c.code_id AS to_code, c.shape AS cs, c.mm AS cm, c.w_mm AS cw, c.material AS ck, c.l AS q_l, c.a AS q_a, c.b AS q_b FROM asked w JOIN pool c USING (design_id) WHERE NOT w.inside)", color.de2000_steps("p", "q"))
+
+
+@query("catalog", "stones", sql=f""", entry AS MATERIALIZED (SELECT code_id, shape, phys_mm AS mm, {_WIDTH} AS w_mm, {_MATERIAL} AS material, c_l AS l, c_a AS a, c_b AS b FROM {color.nest('catalog', _C)}),
+used AS MATERIALIZED (SELECT design_id, code_id, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY design_id ORDER BY COUNT(*) DESC, code_id) AS k FROM stones GROUP BY design_id, code_id),
+pool AS MATERIALIZED (SELECT design_id, e.* FROM used JOIN entry e USING (code_id) WHERE k <= 12),
+asked AS MATERIALIZED (SELECT design_id, n, k <= 12 AS inside, e.* FROM used JOIN entry e USING (code_id) WHERE e.mm >= 4),
+priced AS (SELECT *, CASE WHEN ws = 'round' THEN CASE WHEN cs <> 'round' THEN NULL WHEN cm = wm AND ck = wk THEN de WHEN cm < wm AND (ck = 'pearl') = (wk = 'pearl') THEN de + 20 + 2 * (wm - cm)
+    WHEN ck = 'pearl' AND wk <> 'gold' AND cm <= wm AND p_l >= 70 AND p_a * p_a + p_b * p_b <= 225 THEN de + 12 END
+  WHEN cs = 'round' THEN CASE WHEN wm <= 8 AND cm >= 4 AND cm <= ww + 1 AND (ck = 'pearl') = (wk = 'pearl') THEN de + 40 END
+  WHEN cs = ws AND cm <= wm THEN de + 100 * ABS(LN(cm / wm)) END AS cost FROM {_MET}),
+best AS (SELECT design_id, code_id, to_code, cost FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY design_id, code_id ORDER BY cost, to_code) AS j FROM priced WHERE cost IS NOT NULL AND de <= 20 AND (cs <> 'round' OR cm >= 4)) WHERE j = 1)
+SELECT a.design_id, a.code_id, a.n AS stones, CASE WHEN inside THEN a.code_id ELSE to_code END AS to_code, CASE WHEN inside THEN 'kept' WHEN to_code IS NULL THEN 'no-class' WHEN shape = 'round' THEN 'smaller' ELSE 'shape-size' END AS why,
+  CASE WHEN inside THEN 0 ELSE {half_up('cost', 6)} END AS cost FROM asked a LEFT JOIN best USING (design_id, code_id)""")
+def remapped_large(spark: SparkSession, sf: str) -> DataFrame:
+    """The codes of a design's large stones brought into its twelve commonest codes: kept, replaced or without one of their class."""
+    entry = color.add(T.catalog(spark, sf), _C, ["c_l", "c_a", "c_b"]).select("code_id", "shape", F.col("phys_mm").alias("mm"), F.expr(_WIDTH).alias("w_mm"), F.col("phys_mm").alias("h_mm"), F.expr(_MATERIAL).alias("material"), *(F.col(f"c_{c}").alias(f"lab_{c}") for c in "lab"))
+    used = T.stones(spark, sf).groupBy("design_id", "code_id").agg(F.count("*").alias("stones"))
+    used = used.withColumn("k", F.row_number().over(Window.partitionBy("design_id").orderBy(F.desc("stones"), "code_id"))).join(entry, "code_id")
+    found = P.remap(used.where("mm >= 4").drop("k", "stones"), used.where("k <= 12").drop("k", "stones"), ["design_id"])
+    return found.join(used.select("design_id", "code_id", "stones"), ["design_id", "code_id"]).withColumn("cost", rounded(F.col("cost"), 6))

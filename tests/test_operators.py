@@ -1,5 +1,6 @@
 import inspect
 import itertools
+import math
 import os
 import random
 
@@ -383,3 +384,38 @@ def test_admission_of_calls(spark, tmp_path):
         q = ledger.admit(stream, "k", 4, 0.08, 0.03).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         assert q.awaitTermination(120)
     assert set(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == want
+
+
+def test_remap_by_class(spark):
+    from lapidary.operators import palette
+
+    entry = lambda code, material, shape, w, h, lab=(50.0, 10.0, 10.0): (0, code, material, shape, max(w, h), w, h, *lab)
+    schema = "g long, code_id long, material string, shape string, mm double, w_mm double, h_mm double, lab_l double, lab_a double, lab_b double"
+    white = (95.0, 0.0, 0.0)
+    pool = [
+        entry(1, "base", "round", 5.0, 5.0), entry(2, "base", "round", 2.8, 2.8), entry(3, "pearl", "round", 5.0, 5.0, white),
+        entry(4, "base", "heart", 6.0, 6.0), entry(5, "gold", "round", 8.0, 8.0, (50.0, 11.0, 10.0)), entry(6, "base", "round", 5.0, 5.0),
+    ]
+    asked = [
+        entry(1, "base", "round", 5.0, 5.0), entry(10, "base", "round", 8.0, 8.0), entry(11, "base", "round", 4.0, 4.0), entry(12, "facet", "round", 6.0, 6.0, white),
+        entry(13, "base", "heart", 8.0, 8.0), entry(14, "base", "marquise", 4.0, 8.0), entry(15, "base", "marquise", 5.0, 10.0), entry(16, "pearl", "heart", 5.0, 5.0),
+        entry(17, "gold", "round", 8.0, 8.0), entry(18, "base", "round", 8.0, 8.0, (20.0, 60.0, -60.0)), entry(19, "gold", "round", 6.0, 6.0, white),
+    ]
+    got = {x["code_id"]: (x["to_code"], x["why"], x["cost"]) for x in palette.remap(spark.createDataFrame(asked, schema), spark.createDataFrame(pool, schema), ["g"]).collect()}
+    # the smaller of two equal codes; the small round stays out; a white one becomes a pearl, unless gold
+    assert {k: v[:2] for k, v in got.items()} == {
+        1: (1, "kept"), 10: (1, "smaller"), 11: (None, "no-class"), 12: (3, "smaller"), 13: (4, "shape-size"), 14: (1, "shape-size"), 15: (None, "no-class"),
+        16: (None, "no-class"), 17: (5, "smaller"), 18: (None, "no-class"), 19: (None, "no-class"),
+    }
+    want = {1: 0.0, 10: 26.0, 12: 12.0, 13: 100 * math.log(8 / 6), 14: 40.0}
+    assert {k: got[k][2] for k in want} == pytest.approx(want)
+    assert palette.remap(spark.createDataFrame([], schema), spark.createDataFrame(pool, schema), ["g"]).count() == 0
+
+
+def test_gold_may_not_be_darker(spark):
+    from lapidary.operators import palette
+
+    row = lambda material, p, q: (material, "round", 5.0, 5.0, 5.0, material, "round", 5.0, 5.0, 5.0, p, 0.0, 0.0, q, 0.0, 0.0, 3.0)
+    sides = ", ".join(f"{s}_material string, {s}_shape string, {s}_mm double, {s}_w_mm double, {s}_h_mm double" for s in ("want", "code"))
+    rows = spark.createDataFrame([row("gold", 60.0, 56.0), row("gold", 56.0, 60.0), row("base", 60.0, 56.0)], f"{sides}, p_l double, p_a double, p_b double, q_l double, q_a double, q_b double, de double")
+    assert [x["cost"] for x in rows.select(palette.class_cost()[0].alias("cost")).collect()] == pytest.approx([5.0, 3.0, 3.0])
