@@ -52,8 +52,12 @@ _IN = "SQRT((t.x_mm - c.x_mm) * (t.x_mm - c.x_mm) + (t.y_mm - c.y_mm) * (t.y_mm
   AND t.d_mm >= {d(1.6)} * c.d_mm AND {_IN} < {d(0.85)} * t.d_mm / 2 AND t.score >= {d(0.5)} * c.score GROUP BY t.design_id, t.stone_id, t.score""")
 def highlight_priority(spark: SparkSession, sf: str) -> DataFrame:
     """What a spot is worth: a small bright spot within one 1.6 times as large is its highlight, and lends it its score."""
-    rows = T.beads(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "d_mm", "score")
+    rows = S.stored(T.beads(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "d_mm", "score"), "spots")
     near = S.close_pairs(rows.withColumn("_body", F.col("d_mm") * 0.85), 1e-9, KEY, size="_body")
-    lent = lambda t, c: near.where((F.col(f"{t}_d_mm") >= F.lit(1.6) * F.col(f"{c}_d_mm")) & (F.col("distance") < F.lit(0.85) * F.col(f"{t}_d_mm") / 2) & (F.col(f"{t}_score") >= F.lit(0.5) * F.col(f"{c}_score"))).select("design_id", F.col(f"{t}_stone_id").alias("stone_id"), F.col(f"{c}_score").alias("_lent"))
-    most = lent("a", "b").unionByName(lent("b", "a")).groupBy("design_id", "stone_id").agg(F.max("_lent").alias("_lent"), F.count("*").alias("n"))
+    # of a pair only the larger one can be the spot, so one pass over the pairs is enough
+    turned = F.col("b_d_mm") > F.col("a_d_mm")
+    end = lambda p, q, c: F.when(turned, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"{p}_{c}")
+    pairs = near.select("design_id", "distance", *(end(p, q, c) for p, q in ("ab", "ba") for c in ("stone_id", "d_mm", "score")))
+    lent = pairs.where((F.col("a_d_mm") >= F.lit(1.6) * F.col("b_d_mm")) & (F.col("distance") < F.lit(0.85) * F.col("a_d_mm") / 2) & (F.col("a_score") >= F.lit(0.5) * F.col("b_score")))
+    most = lent.groupBy("design_id", F.col("a_stone_id").alias("stone_id")).agg(F.max("b_score").alias("_lent"), F.count("*").alias("n"))
     return rows.join(most, ["design_id", "stone_id"], "left").select("design_id", "stone_id", rounded(F.greatest("score", F.coalesce("_lent", "score")), 6).alias("priority"), F.coalesce("n", F.lit(0)).alias("highlights"))
