@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions.numeric import rounded
@@ -92,24 +92,22 @@ def cover(places: DataFrame, beads: DataFrame, keys: list[str], cell: float) ->
     """
     cx, cy, r = F.col("x_mm") / cell, F.col("y_mm") / cell, F.col("d_mm") / 2 / cell
     half = F.sqrt(F.greatest(r * r - (F.col("row") - cy) * (F.col("row") - cy), F.lit(0.0)))
-    spans = beads.where("d_mm > 0").withColumn("row", F.explode(F.sequence(F.ceil(cy - r), F.floor(cy + r)))).select(*keys, "row", F.ceil(cx - half).alias("first"), F.floor(cx + half).alias("last"))
+    spans = beads.where("d_mm > 0").withColumn("row", F.explode(F.sequence(F.ceil(cy - r), F.floor(cy + r)))).select(*keys, "row", F.ceil(cx - half).alias("first"), F.floor(cx + half).alias("last")).where("last >= first")
+    # runs of one row that share no cell: of each what those before it leave
+    before = F.max("last").over(Window.partitionBy(*keys, "row").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.withColumn("first", F.greatest("first", before + 1)).where("last >= first")
     side = F.col("r") / cell * F.sqrt(F.lit(3.141592653589793)) / 2
     edge = lambda v: F.floor(v + F.lit(0.5)).cast("long")
     boxes = places.select(*keys, "stone_id", edge(cx - side).alias("x0"), edge(cx + side).alias("x1"), edge(cy - side).alias("y0"), edge(cy + side).alias("y1")).where("x1 > x0 and y1 > y0")
     lines = boxes.withColumn("row", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1)))
-    # bands of cells along a row keep beads and places apart that are far from each other
+    # bands of cells along a row keep beads and places apart that are far from each other; both sides are many rows a bead
     wide = 64
     bands = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / wide), F.floor(F.col(b) / wide)))
-    met = lines.withColumn("band", bands("x0", "x1")).join(spans.where("last >= first").withColumn("band", bands("first", "last")), [*keys, "row", "band"])
-    clipped = met.select(*keys, "stone_id", "row", F.greatest("first", "x0").alias("first"), F.least("last", F.col("x1") - 1).alias("last")).where("last >= first")
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
-
-    def longer(seen: Column, run: Column) -> Column:
-        fresh = F.greatest(run["last"] - F.greatest(run["first"] - 1, seen["end"]), F.lit(0).cast("long"))
-        return F.struct(F.greatest(seen["end"], run["last"]).alias("end"), (seen["n"] + fresh).alias("n"))
-
-    runs = F.array_sort(F.collect_set(F.struct("first", "last")))  # of one row of one square
-    union = clipped.groupBy(*keys, "stone_id", "row").agg(F.aggregate(runs, start, longer)["n"].alias("n")).groupBy(*keys, "stone_id").agg(F.sum("n").alias("held"))
+    band = F.col("band") * wide
+    parts = apart.withColumn("band", bands("first", "last")).withColumns({"first": F.greatest("first", band), "last": F.least("last", band + wide - 1)})
+    met = lines.withColumn("band", bands("x0", "x1")).join(parts.hint("merge"), [*keys, "row", "band"])
+    cells = F.least("last", F.col("x1") - 1) - F.greatest("first", "x0") + 1
+    union = met.where(cells > 0).groupBy(*keys, "stone_id").agg(F.sum(cells).alias("held"))
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return boxes.join(union, [*keys, "stone_id"], "left").select(*keys, "stone_id", rounded(F.coalesce("held", F.lit(0)) / area, 6).alias("cover"))
 
@@ -121,7 +119,7 @@ def regions(beads: DataFrame, dense: DataFrame, keys: list[str], smallest: Colum
     have three linked ones), ``tidy`` (drawn evenly, so each bead stands for itself) or ``fill``.
     """
     own = [*keys, "material"]
-    rows = beads.select(*own, "stone_id", "x_mm", "y_mm", "d_mm", "lab_l", "lab_a", "lab_b", "solidity").join(dense.select(*keys, "stone_id"), [*keys, "stone_id"], "left_semi")
+    rows = beads.select(*own, "stone_id", "x_mm", "y_mm", "d_mm", "lab_l", "lab_a", "lab_b", "solidity").join(dense.select(*keys, "stone_id").hint("merge"), [*keys, "stone_id"], "left_semi")
     rows = stored(rows, "dense")
     met = within(rows, rows, rule.link * rule.largest + 1e-6, own).where((F.col("a_stone_id") < F.col("b_stone_id")) & (F.col("distance") <= rule.link * (F.col("a_d_mm") + F.col("b_d_mm")) / 2))
     met = stored(met.withColumn("alike", difference("a_", "b_", rule.l_weight) <= rule.de), "links")

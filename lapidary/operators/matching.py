@@ -85,7 +85,8 @@ def axis_votes(items: DataFrame, keys: list[str], prior: float, row: float = 1.2
     a = name("a").withColumns({"_cx": F.floor((2 * prior - F.col("a_x_mm")) / (2 * span)), "_cy": F.floor(F.col("a_y_mm") / row)})
     a = a.withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"_cx": F.col("_cx") + F.col("_dx"), "_cy": F.col("_cy") + F.col("_dy")}).drop("_dx", "_dy")
     b = name("b").withColumns({"_cx": F.floor(F.col("b_x_mm") / (2 * span)), "_cy": F.floor(F.col("b_y_mm") / row)})
-    pairs = a.join(b, [*keys, "_cx", "_cy"]).withColumn("mid", (F.col("a_x_mm") + F.col("b_x_mm")) / 2)
+    # what was exploded is more than its file's size tells, here and below
+    pairs = a.join(b.hint("merge"), [*keys, "_cx", "_cy"]).withColumn("mid", (F.col("a_x_mm") + F.col("b_x_mm")) / 2)
     upper = (F.col("a_y_mm") < F.col("b_y_mm")) | ((F.col("a_y_mm") == F.col("b_y_mm")) & (F.col("a_stone_id") < F.col("b_stone_id")))
     fits = upper & (F.col("b_y_mm") - F.col("a_y_mm") <= row) & (F.abs(F.col("mid") - prior) <= span) & (F.abs(F.col("a_x_mm") - F.col("b_x_mm")) >= F.col("a_d_mm"))
     return pairs.where(fits & (_ratio("a_", "b_") <= ratio) & (_differ("a_", "b_") <= differ)).select(*keys, ((F.col("a_y_mm") + F.col("b_y_mm")) / 2).alias("y"), "mid")
@@ -105,7 +106,7 @@ def local_axes(votes: DataFrame, keys: list[str], prior: float, step: float = 2.
     spread = F.explode(F.array(*(F.struct((F.col("bin") + i).alias("bin"), (F.col("w") * f).alias("w")) for i, f in ((-1, 0.5), (0, 1.0), (1, 0.5)))))
     heights = votes.select(*keys, "k", spread.alias("v")).groupBy(*keys, "k", "v.bin").agg(F.floor(F.sum("v.w") * 1e9 + F.lit(0.5)).alias("votes"))
     peak = heights.groupBy(*keys, "k").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "bin")).alias("p")).where(-F.col("p.votes") >= min_votes * 1e9).select(*keys, "k", F.col("p.bin").alias("_bin"))
-    own = votes.join(peak, [*keys, "k"]).where(F.abs(F.col("mid") - F.col("_bin") * bin_mm) <= 1.5 * bin_mm).groupBy(*keys, "k").agg((F.floor(F.avg("mid") * 1e9 + F.lit(0.5)) / 1e9).alias("axis"))
+    own = votes.join(peak.hint("merge"), [*keys, "k"]).where(F.abs(F.col("mid") - F.col("_bin") * bin_mm) <= 1.5 * bin_mm).groupBy(*keys, "k").agg((F.floor(F.avg("mid") * 1e9 + F.lit(0.5)) / 1e9).alias("axis"))
     reach = int(fill / 2)
     near = S.stored(own, "axes").withColumn("d", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
     return near.groupBy(*keys, (F.col("k") + F.col("d")).alias("k")).agg(F.min(F.struct(F.abs("d").alias("far"), F.col("k").alias("of"), "axis")).alias("n")).select(*keys, "k", F.col("n.axis").alias("axis"))
@@ -117,7 +118,7 @@ def twins(items: DataFrame, axes: DataFrame, keys: list[str], largest: float, st
     An image may be off by 0.35 of the larger size and 0.8 mm; ``largest`` bounds the sizes. Ties: the smaller stone_id.
     """
     big = items.where(F.col("d_mm") >= least).select(*keys, "stone_id", "x_mm", "y_mm", "d_mm", "lab_l", "lab_a", "lab_b")
-    placed = big.withColumn("k", F.floor(F.col("y_mm") / step + F.lit(0.5))).join(axes, [*keys, "k"]).drop("k")
+    placed = big.withColumn("k", F.floor(F.col("y_mm") / step + F.lit(0.5))).join(axes.hint("merge"), [*keys, "k"]).drop("k")
     placed = S.stored(placed, "placed")
 
     def image(rows: DataFrame, side: int) -> DataFrame:

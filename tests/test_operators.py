@@ -419,3 +419,42 @@ def test_gold_may_not_be_darker(spark):
     sides = ", ".join(f"{s}_material string, {s}_shape string, {s}_mm double, {s}_w_mm double, {s}_h_mm double" for s in ("want", "code"))
     rows = spark.createDataFrame([row("gold", 60.0, 56.0), row("gold", 56.0, 60.0), row("base", 60.0, 56.0)], f"{sides}, p_l double, p_a double, p_b double, q_l double, q_a double, q_b double, de double")
     assert [x["cost"] for x in rows.select(palette.class_cost()[0].alias("cost")).collect()] == pytest.approx([5.0, 3.0, 3.0])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_tables_are_not_broadcast(spark, tmp_path):
+    # cells of a mask, copies of a row on its cells and rows of cells under a bead are many more than a file's size tells
+    from lapidary.operators import fill
+    from lapidary.plans import imports
+
+    spark.range(20).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    cells = spark.range(5).selectExpr("id AS design_id", "0 AS px", "0 AS py")
+    assert "Broadcast" not in plan_of(cells.join(imports.mask(spark, str(tmp_path)), ["design_id", "px", "py"]))
+    spark.range(30).selectExpr("0 AS design_id", "id AS stone_id", "CAST(id AS DOUBLE) AS x_mm", "CAST(id % 7 AS DOUBLE) AS y_mm", "2.0D AS d_mm", "4.0D AS r").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    assert "BroadcastHashJoin" not in plan_of(spatial.within(rows, rows, 3.0, ["design_id"]))
+    assert "BroadcastHashJoin" not in plan_of(spatial.close_pairs(rows, 0.5, ["design_id"], size="d_mm"))
+    held = fill.cover(rows, rows, ["design_id"], 0.5).collect()
+    want = {}
+    spots = {(x, y) for i in range(30) for y in range(int(i % 7 * 2) - 2, int(i % 7 * 2) + 3) for x in range(2 * i - 2, 2 * i + 3) if (x - 2 * i) ** 2 + (y - i % 7 * 2) ** 2 <= 4}
+    for i in range(30):
+        side = 8 * math.pi**0.5 / 2
+        x0, x1, y0, y1 = (math.floor(v + 0.5) for v in (2 * i - side, 2 * i + side, i % 7 * 2 - side, i % 7 * 2 + side))
+        want[i] = sum(x0 <= x < x1 and y0 <= y < y1 for x, y in spots) / ((x1 - x0) * (y1 - y0))
+    assert {r.stone_id: r.cover for r in held} == pytest.approx(want, abs=1e-6)
+
+
+def test_pairs_stand_in_few_cells(spark):
+    # a row is copied to the cells that its reach touches, not to nine and once more for each class of size
+    rows = spark.range(2000).selectExpr("0 AS design_id", "id AS stone_id", "(id * 7919 % 3000) / 10.0D AS x_mm", "(id * 104729 % 3000) / 10.0D AS y_mm", "CAST(element_at(array(2.8, 4, 5, 6, 7, 8, 10), CAST(id % 7 AS INT) + 1) AS DOUBLE) AS phys_mm")
+    assert spatial._touched(rows, "x_mm", "y_mm", 30.0, F.lit(1 / 3)).count() < 3.2 * rows.count()
+    at = [(r.stone_id, r.x_mm, r.y_mm, r.phys_mm) for r in rows.collect()]
+    far = lambda p, q: math.sqrt((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2)
+    want = {(p[0], q[0]) for p in at for q in at if p[0] < q[0] and far(p, q) - (p[3] + q[3]) / 2 < 0.15}
+    found = [(r.a_stone_id, r.b_stone_id) for r in spatial.close_pairs(rows, 0.15, ["design_id"]).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    near = [(r.a_stone_id, r.b_stone_id) for r in spatial.neighbour_pairs(rows, 9.0, ["design_id"]).collect()]
+    assert len(near) == len(set(near)) and set(near) == {(p[0], q[0]) for p in at for q in at if p[0] < q[0] and far(p, q) < 9.0}
