@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -20,19 +21,27 @@ def neighbours(rows: DataFrame, model: DataFrame, distance: Column, k: int, id_c
 def nearest_in_space(rows: DataFrame, model: DataFrame, distance: Column, axes: list[tuple[str, str]], k: int, id_col: str, order: str, first: float = 24.0) -> DataFrame:
     """The k model rows nearest to each row, by (distance, order), without meeting the whole model.
 
-    ``axes`` names the columns of rows and of the model that span the space; ``distance``, the squared straight distance, may
-    add to it but not take away. Rows and model meet by cells of a reach; a row with k model rows nearer than the reach is
-    done, the others go on with twice the reach, until it spans the space.
+    ``axes`` names the columns of rows and of the model that span the space; ``distance``, the squared straight distance, follows
+    from them and from what else rows of one ``id_col`` hold. Of model rows in one place, only the first k by ``order`` can be
+    near. Rows and model meet by cells of a reach; a row with k model rows nearer than the reach is done, the others go on
+    with twice the reach, until it spans the space. The first reach is at most ``first``, less where the model is dense: a
+    ball of it would hold about k model rows if they were spread evenly.
     """
-    spatial.checkpoint_folder(rows)
-    span = model.agg(*(F.max(q) - F.min(q) for _, q in axes)).first()
+    places = [q for _, q in axes]
+    model = model.withColumn("_nth", F.row_number().over(Window.partitionBy(*places).orderBy(order))).where(F.col("_nth") <= k).drop("_nth")
+    model = spatial.stored(model, "model")
+    span = model.agg(*(F.max(q) - F.min(q) for _, q in axes), F.count("*")).first()
     offs = rows.agg(*(F.max(p) for p, _ in axes), *(F.min(p) for p, _ in axes)).first()
     edges = model.agg(*(F.max(q) for _, q in axes), *(F.min(q) for _, q in axes)).first()
     n = len(axes)
     if span[0] is None or offs[0] is None:
         return rows.join(model, F.lit(False)).withColumns({"distance": distance, "place": F.lit(1)})
     whole = sum(max(offs[i] - edges[n + i], edges[i] - offs[n + i], span[i]) ** 2 for i in range(n)) ** 0.5 + 1.0
-    rest, reach, found = rows.checkpoint(), first, []
+    wide = [x for x in span[:n] if x > 0]
+    if wide:
+        ball = math.pi ** (len(wide) / 2) / math.gamma(len(wide) / 2 + 1)
+        first = min(first, max((math.prod(wide) * k / span[n] / ball) ** (1 / len(wide)), whole / 1024))
+    rest, reach, found = spatial.stored(rows, "rows"), first, []
     while True:
         cell = [f"_c{i}" for i in range(n)]
         spots = rest.withColumns({c: F.floor(F.col(p) / reach) for c, (p, _) in zip(cell, axes)})
@@ -40,15 +49,16 @@ def nearest_in_space(rows: DataFrame, model: DataFrame, distance: Column, axes:
             spots = spots.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
         held = model.withColumns({c: F.floor(F.col(q) / reach) for c, (_, q) in zip(cell, axes)})
         last = reach >= whole
-        near = spots.join(held, cell).drop(*cell).withColumn("distance", distance)
+        # 3 ** n cells a row, which no estimate sees
+        near = spots.hint("merge").join(held, cell).drop(*cell).withColumn("distance", distance)
         near = near if last else near.where(F.col("distance") < reach * reach)
         near = near.withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy("distance", order))).where(F.col("place") <= k)
-        near = near.withColumn("_most", F.max("place").over(Window.partitionBy(id_col))).checkpoint()
+        near = spatial.stored(near.withColumn("_most", F.max("place").over(Window.partitionBy(id_col))), "near")
         done = near if last else near.where(F.col("_most") == k)
         found.append(done.drop("_most"))
         if last:
             break
-        rest = rest.join(done.select(id_col).distinct(), id_col, "left_anti").checkpoint()
+        rest = spatial.stored(rest.join(done.select(id_col).distinct(), id_col, "left_anti"), "rest")
         if rest.isEmpty():
             break
         reach *= 2

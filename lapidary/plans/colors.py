@@ -122,7 +122,7 @@ near AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY target_id ORDE
 
 
 def _near(spark: SparkSession, sf: str) -> DataFrame:
-    targets = color.add(T.targets(spark, sf).withColumnRenamed("phys_mm", "want_mm"), color.lab_steps("r", "g", "b", "p"), ["p_l", "p_a", "p_b"]).drop("r", "g", "b")
+    targets = color.add(T.targets(spark, sf).withColumnRenamed("phys_mm", "want_mm"), color.lab_steps("r", "g", "b", "p"), ["p_l", "p_a", "p_b"]).select("target_id", "want_mm", "p_l", "p_a", "p_b")
     model = color.add(T.catalog(spark, sf).withColumnRenamed("phys_mm", "code_mm"), color.lab_steps("r", "g", "b", "q"), ["q_l", "q_a", "q_b"]).select("code_id", "kind", "code_mm", "q_l", "q_a", "q_b")
     gaps = [F.col(f"p_{x}") - F.col(f"q_{x}") for x in "lab"]
     size = F.col("want_mm") - F.col("code_mm")

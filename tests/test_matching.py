@@ -161,3 +161,20 @@ def test_free_probes(spark, rows):
     got = {(x["i"], x["j"]) for x in qc.free_probes(stones, cells, {"width": 20.0, "height": 20.0, "pixels": 2}).collect()}
     want = {(i, j) for i in range(10) for j in range(10) if all(1.4 <= v + 0.5 <= 18.6 for v in (i, j)) and not (rows and math.hypot(i + 0.5 - 5, j + 0.5 - 5) - 1.4 <= 1.55)}
     assert got == want
+
+
+def test_nearest_in_space_of_crowded_places(spark):
+    # of 300 model rows in one place only the first five can be near
+    p = spark.range(6).selectExpr("id AS i", "CAST(id * 7 % 40 AS DOUBLE) AS px", "CAST(id * 3 AS DOUBLE) AS py")
+    q = spark.range(6000).selectExpr("id AS j", "CAST(id % 20 * 2 AS DOUBLE) AS qx", "0.0D AS qy")
+    d = (F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy"))
+    stored, kept = learn.spatial.stored, {}
+    learn.spatial.stored = lambda df, name: kept.setdefault(name, stored(df, name)) if name == "model" else stored(df, name)
+    try:
+        rows = learn.nearest_in_space(p, q, d, [("px", "qx"), ("py", "qy")], 5, "i", "j").collect()
+    finally:
+        learn.spatial.stored = stored
+    assert kept["model"].count() == 20 * 5
+    for a in p.collect():
+        want = sorted(((a.px - j % 20 * 2) ** 2 + a.py**2, j) for j in range(6000))[:5]
+        assert [r.j for r in sorted((r for r in rows if r.i == a.i), key=lambda r: r.place)] == [j for _, j in want]
