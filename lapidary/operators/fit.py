@@ -41,6 +41,11 @@ def _palette(codes: DataFrame, chosen: list[int]) -> Column:
     return F.array(*(F.struct(F.lit(i).alias("place"), F.lit(r["code_id"]).cast("long").alias("code_id"), *(F.lit(float(r[c])).alias(c) for c in ("mm", "c_l", "c_a", "c_b"))) for i, r in enumerate(items)))
 
 
+def _offers(codes: DataFrame) -> DataFrame:
+    """The smallest of the codes that are alike in size and colour: the others suit the same items, and lose the tie."""
+    return stored(codes.groupBy("mm", "c_l", "c_a", "c_b").agg(F.min("code_id").alias("code_id")), "offers")
+
+
 def near_codes(items: DataFrame, codes: DataFrame, prefix: str, reach: Column) -> DataFrame:
     """Pairs of an item and a code that fits it (item's columns, ``c``) whose colours are at most ``reach`` apart.
 
@@ -55,7 +60,8 @@ def near_codes(items: DataFrame, codes: DataFrame, prefix: str, reach: Column) -
         asked = asked.withColumn("_step", F.explode(around)).withColumn(f"_{x}", F.floor(F.col(c) / wide) + F.col("_step")).drop("_step")
     offered = codes.select(F.struct("code_id", F.col("mm").cast("double").alias("mm"), "c_l", "c_a", "c_b").alias("c")).withColumn("_grid", F.explode(F.array(*map(F.lit, grids)).cast("array<int>")))
     offered = offered.withColumns({f"_{x}": F.floor(F.col(f"c.c_{x}") / wide) for x in "lab"})
-    met = asked.join(offered, ["_grid", "_l", "_a", "_b"]).where(F.expr(FITS) & (F.expr(color.de76(prefix, "c.c")) <= F.col("_reach")))
+    # 27 cells an item, which no estimate sees
+    met = asked.hint("merge").join(offered, ["_grid", "_l", "_a", "_b"]).where(F.expr(FITS) & (F.expr(color.de76(prefix, "c.c")) <= F.col("_reach")))
     return met.select(*items.columns, "c")
 
 
@@ -98,7 +104,7 @@ def fit_targets(items: DataFrame, codes: DataFrame, base: Iterable[int], most: i
     now = F.expr(f"array_min(transform(filter(palette, c -> {FITS}), c -> {COST}))")
     priced = rows.withColumn("palette", _palette(codes, base)).withColumn("now", F.least(F.coalesce(now, F.lit(UNMET)), F.lit(UNMET))).drop("palette") if known else rows.withColumn("now", F.lit(UNMET))
     # what costs no less than now can save nothing
-    pairs = near_codes(stored(priced, "priced"), codes, "t", F.col("now")).withColumn("cost", F.expr(COST)).where("cost < now").select("item", "now", "c", "cost")
+    pairs = near_codes(stored(priced, "priced"), _offers(codes), "t", F.col("now")).withColumn("cost", F.expr(COST)).where("cost < now").select("item", "now", "c", "cost")
     pairs = stored(pairs, "pairs")
     for _ in range(most):
         best = _chosen(pairs, F.col("now") - F.col("cost"), [], F.lit(True))
@@ -123,14 +129,15 @@ def fit_image(items: DataFrame, codes: DataFrame, base: Iterable[int], most: int
     """
     base, added = list(base), []
     dark = F.col("i_l") < DARK
-    rows = with_nearest(items, codes).withColumn("weighed", F.col("weight") * F.when(dark, DARK_TIMES).otherwise(1.0))
+    offers = _offers(codes)
+    rows = with_nearest(items, offers).withColumn("weighed", F.col("weight") * F.when(dark, DARK_TIMES).otherwise(1.0))
     known = [r[0] for r in codes.where(F.col("code_id").isin(base)).select("code_id").collect()]
     near = F.expr(f"array_min(transform(filter(palette, c -> {SUITS}), c -> {ALIKE}))")
     now = lambda t: t.withColumn("now", F.least(F.coalesce(near, F.lit(MISSING)), F.lit(MISSING)))
     rows = stored(now(rows.withColumn("palette", _palette(codes, base))).drop("palette") if known else rows.withColumn("now", F.lit(MISSING)), "items")
     total, missing = rows.agg(F.sum("weighed"), F.count_if(dark & (F.col("now") >= MISSING))).first()
     reserve = missing >= DARK_ITEMS and most >= 2
-    pairs = near_codes(rows, codes, "i", F.col("nearest") + F.lit(GATE)).where(F.expr(SUITS)).withColumn("apart", F.expr(ALIKE)).where(~F.col("c.code_id").isin(base))
+    pairs = near_codes(rows, offers, "i", F.col("nearest") + F.lit(GATE)).where(F.expr(SUITS)).withColumn("apart", F.expr(ALIKE)).where(~F.col("c.code_id").isin(base))
     pairs = stored(pairs.select("item", "i_l", "weighed", "now", "c", "apart"), "pairs")
     for n in range(most):
         gain = F.when((F.col("apart") < F.col("now")) & (dark if reserve and n == 0 else F.lit(True)), F.col("weighed") * (F.col("now") - F.col("apart"))).otherwise(0.0)

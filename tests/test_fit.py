@@ -101,3 +101,12 @@ def test_a_palette_without_codes_is_an_error(spark):
     items, codes = make(9, 3, 2)
     with pytest.raises(ValueError):
         fit.fit_targets(*frames(spark, items, codes), [77], 0)
+
+
+def test_alike_codes_meet_items_once(spark):
+    codes = spark.range(600).selectExpr("id AS code_id", "CAST(id % 2 AS DOUBLE) + 1 AS mm", "CAST(id % 5 AS DOUBLE) AS c_l", "0.0D AS c_a", "0.0D AS c_b")
+    assert sorted(r["code_id"] for r in fit._offers(codes).collect()) == list(range(10))
+    items = spark.range(8).selectExpr("id AS item", "2.0D AS mm", "1.0D AS weight", *(f"CAST(id % 5 AS DOUBLE) AS {p}_l" for p in "ti"), *(f"0.0D AS {p}_{x}" for p in "ti" for x in "ab"))
+    added, found = fit.fit_targets(items, codes, [0], 2)
+    again, same = fit.fit_targets(items, codes.where("code_id < 10"), [0], 2)
+    assert added == again and sorted(found.collect()) == sorted(same.collect())
