@@ -68,32 +68,50 @@ def parse_transform(text: Column) -> Column:
     # no attribute: no change
     calls = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(translate|scale|rotate|matrix)\s*\([^)]*\)"), F.lit(0))
 
-    def step(m: Column, call: Column) -> Column:
-        name = F.regexp_extract(call, r"^(\w+)", 1)
-        v = F.transform(F.regexp_extract_all(call, F.lit(r"(-?[0-9.]+(?:[eE][-+]?\d+)?)"), F.lit(1)), lambda x: x.try_cast("double"))
+    # each call is read once: what a lambda is given is a value, what it computes would be computed wherever it is named
+    read = F.transform(calls, lambda call: F.struct(
+        F.regexp_extract(call, r"^(\w+)", 1).alias("name"), F.transform(F.regexp_extract_all(call, F.lit(r"(-?[0-9.]+(?:[eE][-+]?\d+)?)"), F.lit(1)), lambda x: x.try_cast("double")).alias("v"),
+    ))
+
+    def matrix(call: Column) -> Column:
+        name, v = call["name"], call["v"]
         at = lambda i, other=0.0: F.coalesce(F.get(v, F.lit(i)), other if isinstance(other, Column) else F.lit(other))
         turn = F.radians(at(0))
         c, s = F.cos(turn), F.sin(turn)
         x, y = at(1), at(2)
         n = F.when(name == "translate", F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0), at(0), at(1)))
         n = n.when(name == "scale", F.array(at(0), F.lit(0.0), F.lit(0.0), at(1, at(0)), F.lit(0.0), F.lit(0.0)))
-        n = n.when(name == "rotate", F.array(c, s, -s, c, x - c * x + s * y, y - s * x - c * y)).otherwise(v)
-        return composed(m, n)
+        return n.when(name == "rotate", F.array(c, s, -s, c, x - c * x + s * y, y - s * x - c * y)).otherwise(v)
 
     one = F.array(*map(F.lit, (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)))
-    return F.aggregate(calls, one, step)
+    return F.aggregate(F.transform(read, matrix), one, composed)
 
 
-def tags(files: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row a tag: keys, place, name, opens, closes (both: it closes itself), names and values of its attributes, the text behind."""
-    whole = F.regexp_extract_all(F.col(text), F.lit(r"</?[A-Za-z][^<>]*>[^<]*"), F.lit(0))
-    rows = files.select(*keys, F.posexplode(whole).alias("place", "_tag")).withColumn("_in", F.substring_index("_tag", ">", 1))
-    ends = F.startswith("_in", F.lit("</"))
-    listed = lambda group: F.when(ends, F.array().cast("array<string>")).otherwise(F.regexp_extract_all("_in", F.lit(r'([\w:-]+)\s*=\s*"([^"]*)"'), F.lit(group)))
-    return rows.select(
-        *keys, "place", F.regexp_extract("_in", r"^</?([\w:-]+)", 1).alias("name"), (~ends).alias("opens"), (ends | F.endswith("_in", F.lit("/"))).alias("closes"),
-        listed(1).alias("names"), listed(2).alias("values"), F.substring_index("_tag", ">", -1).alias("after"),
+TAG = r"</?[A-Za-z][^<>]*>[^<]*"
+
+
+def lists(tag: str, ends: Column) -> list[Column]:
+    """Names and values of the attributes of what stands between a tag's brackets; closing tags have none."""
+    listed = lambda group: F.when(ends, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(tag, F.lit(r'([\w:-]+)\s*=\s*"([^"]*)"'), F.lit(group)))
+    return [listed(1).alias("names"), listed(2).alias("values")]
+
+
+def parts(tag: str) -> Column:
+    """A tag's text as a struct, null for none: name, opens, closes (both: it closes itself), names and values of its attributes, the text behind."""
+    inside = F.substring_index(tag, ">", 1)
+    ends = F.startswith(F.col(tag), F.lit("</"))
+    listed = lambda group: F.when(ends, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(inside, F.lit(r'([\w:-]+)\s*=\s*"([^"]*)"'), F.lit(group)))
+    read = F.struct(
+        F.regexp_extract(tag, r"^</?([\w:-]+)", 1).alias("name"), (~ends).alias("opens"), (ends | F.endswith(inside, F.lit("/"))).alias("closes"),
+        listed(1).alias("names"), listed(2).alias("values"), F.substring_index(tag, ">", -1).alias("after"),
     )
+    return F.when(F.col(tag).isNotNull(), read)
+
+
+def tags(files: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row a tag: keys, place and its ``parts``."""
+    found = F.regexp_extract_all(F.col(text), F.lit(TAG), F.lit(0))
+    return files.select(*keys, F.posexplode(found).alias("place", "_tag")).select(*keys, "place", parts("_tag").alias("_p")).select(*keys, "place", "_p.*")
 
 
 def attribute(name: str, tag: str | None = None) -> Column:
@@ -114,29 +132,39 @@ def groups(files: DataFrame, keys: list[str], text: str) -> DataFrame:
     """The groups of each file: keys, place, level, layer, m (matrix to the canvas), names, values, broken.
 
     A group's level is a running sum over opening and closing tags. Its parent is the last group that opened one level
-    above: children and possible parents are put in one window by level. Matrices and layers go down by doubling: each
-    round a group takes what its ancestor has and that one's ancestor, so that the rounds are the logarithm of the depth.
-    The layer is that of the outermost group that names one. ``broken``: a file whose groups do not close as they open.
+    above: children and possible parents, which are few, are put in one window by level. Matrices and layers go down by
+    doubling over the groups that hold others: each round a group takes what its ancestor has and that one's ancestor, so
+    that the rounds are the logarithm of the depth; all others take theirs from their parent in one join. What is sorted is
+    a group's text; its attributes are read behind that. The layer is that of the outermost group that names one.
+    ``broken``: a file whose groups do not close as they open.
     """
-    marks = tags(files, keys, text).where("name = 'g'")
+    rows = files.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TAG), F.lit(0))).alias("place", "_tag")).withColumn("_in", F.substring_index("_tag", ">", 1)).drop("_tag")
+    ends = F.startswith("_in", F.lit("</"))
+    marks = rows.where(F.rlike("_in", F.lit(r"^</?g(?![\w:-])"))).select(*keys, "place", (~ends).alias("opens"), (ends | F.endswith("_in", F.lit("/"))).alias("closes"), F.when(~ends, F.col("_in")).alias("_in"))
     own = Window.partitionBy(*keys).orderBy("place")
     step = F.col("opens").cast("int") - F.col("closes").cast("int")
     # a group that closes itself holds nothing, and stands a level below what is open
     level = F.sum(step).over(own) + (F.col("opens") & F.col("closes")).cast("int")
-    rows = marks.withColumns({"level": level, "_open": F.sum(step).over(own)})
+    rows = marks.withColumns({"level": level, "_open": F.sum(step).over(own), "_holds": ~F.col("closes") & F.lead("opens").over(own)})
     file = Window.partitionBy(*keys)
     broken = (F.min("_open").over(file) < 0) | (F.sum(step).over(file) != 0)
-    rows = rows.withColumn("broken", broken).where("opens").drop("opens", "_open", "name", "after")
-    roles = F.array(F.struct(F.col("level").alias("at"), F.lit(True).alias("child")), F.struct((F.col("level") + 1).alias("at"), F.lit(False).alias("child")))
-    met = rows.withColumn("_r", F.explode(roles)).where("_r.child or not closes")
+    rows = rows.withColumn("broken", broken).where("opens").withColumn("_holds", F.coalesce("_holds", F.lit(False))).drop("opens", "closes", "_open")
+    roles = F.when(F.col("_holds"), F.array(F.struct(F.col("level").alias("at"), F.lit(True).alias("child")), F.struct((F.col("level") + 1).alias("at"), F.lit(False).alias("child")))).otherwise(F.array(F.struct(F.col("level").alias("at"), F.lit(True).alias("child"))))
+    met = rows.withColumn("_r", F.explode(roles))
     before = Window.partitionBy(*keys, "_r.at").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    met = met.withColumn("up", F.last(F.when(~F.col("_r.child"), F.col("place")), ignorenulls=True).over(before)).where("_r.child").drop("_r", "closes")
-    known = stored(met.withColumns({"m": parse_transform(attribute("transform")), "layer": unescape(attribute("data-layer"))}), "groups")
+    met = met.withColumn("up", F.last(F.when(~F.col("_r.child"), F.col("place")), ignorenulls=True).over(before)).where("_r.child").drop("_r")
+    # written with its attributes read: what stands behind a filter that is pushed down would be read again for it
+    met = met.select("*", *lists("_in", F.lit(False))).drop("_in")
+    met = stored(met.withColumns({"m": parse_transform(attribute("transform")), "layer": unescape(attribute("data-layer"))}), "groups")
+
+    def above(holders: DataFrame) -> DataFrame:
+        return holders.select(*keys, F.col("place").alias("up"), F.col("up").alias("_up"), F.col("m").alias("_m"), F.col("layer").alias("_layer"))
+
+    down = {"m": F.when(F.col("_m").isNull(), F.col("m")).otherwise(composed(F.col("_m"), F.col("m"))), "layer": F.coalesce("_layer", "layer"), "up": F.col("_up")}
+    known = stored(met.where("_holds").select(*keys, "place", "up", "m", "layer"), "holders")
     while not known.where("up is not null").isEmpty():
-        above = known.select(*keys, F.col("place").alias("up"), F.col("up").alias("_up"), F.col("m").alias("_m"), F.col("layer").alias("_layer"))
-        higher = known.join(above, [*keys, "up"], "left")
-        known = stored(higher.withColumns({"m": F.when(F.col("_m").isNull(), F.col("m")).otherwise(composed(F.col("_m"), F.col("m"))), "layer": F.coalesce("_layer", "layer"), "up": F.col("_up")}).drop("_up", "_m", "_layer"), "groups")
-    return known.drop("up")
+        known = stored(known.join(above(known), [*keys, "up"], "left").withColumns(down).drop("_up", "_m", "_layer"), "holders")
+    return met.join(above(known), [*keys, "up"], "left").withColumns(down).drop("up", "_up", "_m", "_layer", "_holds")
 
 
 def read_groups(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:

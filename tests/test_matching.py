@@ -1,12 +1,14 @@
 """Matching, nearest neighbours in space, symbol maps and checks against brute force."""
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lapidary import plans
 from lapidary.operators import design, learn, matching, qc, spatial
 from lapidary.sources import kit, markup
 
@@ -178,3 +180,18 @@ def test_nearest_in_space_of_crowded_places(spark):
     for a in p.collect():
         want = sorted(((a.px - j % 20 * 2) ** 2 + a.py**2, j) for j in range(6000))[:5]
         assert [r.j for r in sorted((r for r in rows if r.i == a.i), key=lambda r: r.place)] == [j for _, j in want]
+
+
+def test_transform_is_read_once(spark):
+    # named again in each of a product's twelve places, a call would be read as often
+    plan = spark.createDataFrame([("scale(2)",)], "t string").select(markup.parse_transform(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("regexp_extract(") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["symbol_map_read", "symbol_map_faults"])
+def test_no_text_of_a_map_is_dealt_or_sorted(spark, name):
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and not [line for line in dealt if "layer" in line] and "values" not in "".join(line for line in plan.splitlines() if "Window" in line)
+    assert not [line for line in plan.splitlines() if "Window [" in line and "lag(" in line]
