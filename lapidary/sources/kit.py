@@ -37,13 +37,16 @@ def file_text(stones: Column) -> Column:
 
 
 def _marked(files: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Marked ellipses with what stands around them: keys, place, layer, attribute lists, and the tags before and behind."""
-    rows = markup.tags(files, keys, text)
-    own = Window.partitionBy(*keys).orderBy("place")
-    near = {f"_{name}": F.lag(tag, -n).over(own) for name, n, tag in (("group", -1, F.struct("name", "opens", "names", "values")), ("text", 3, F.struct("name", "opens", "names", "values", "after")))}
-    layer = F.when(F.col("opens"), markup.attribute("data-layer"))
-    rows = rows.withColumns({**near, "layer": F.last(layer, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))})
-    return rows.where((F.col("name") == "ellipse") & markup.attribute("data-position-id").isNotNull())
+    """Tags that may be layers' marks or marked ellipses: keys, place, mark (a layer, or null), stone (is one), attribute lists, and the tags before and behind.
+
+    What stands around a tag is taken from the file's list of tags, so no other tag becomes a row.
+    """
+    all_ = files.select(*keys, F.regexp_extract_all(F.col(text), F.lit(markup.TAG), F.lit(0)).alias("_all"))
+    near = F.transform("_all", lambda t, i: F.struct(i.alias("place"), t.alias("tag"), F.get("_all", i - 1).alias("before"), F.get("_all", i + 3).alias("behind")))
+    near = F.filter(near, lambda s: F.contains(s["tag"], F.lit("data-layer")) | (F.startswith(s["tag"], F.lit("<ellipse")) & F.contains(s["tag"], F.lit("data-position-id"))))
+    rows = all_.select(*keys, F.explode(near).alias("_s")).select(*keys, "_s.place", *(markup.parts(f"_s.{c}").alias(n) for c, n in (("tag", "_own"), ("before", "_group"), ("behind", "_text"))))
+    rows = rows.select(*keys, "place", "_own.*", "_group", "_text")
+    return rows.withColumns({"mark": markup.attribute("data-layer"), "stone": (F.col("name") == "ellipse") & markup.attribute("data-position-id").isNotNull()})
 
 
 def read(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
@@ -55,7 +58,7 @@ def read(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
     own = lambda name: markup.attribute(name)
     number = lambda c: c.try_cast("double")
     rows = _marked(files, keys, text).select(
-        *keys, "place", "layer", own("data-position-id").alias("id"), own("data-symbol").alias("symbol"), own("data-stone-code").alias("code"), own("data-group").alias("group"), own("data-shape").alias("_shape"),
+        *keys, "place", "mark", "stone", own("data-position-id").alias("id"), own("data-symbol").alias("symbol"), own("data-stone-code").alias("code"), own("data-group").alias("group"), own("data-shape").alias("_shape"),
         *(number(own(f"data-{a}")).alias(c) for a, c in (("center-x-source-px", "x"), ("center-y-source-px", "y"), ("width-mm", "d_mm"), ("height-mm", "_height"))), number(own("rx")).alias("_rx"),
         markup.parse_transform(markup.attribute("transform", "_group")).alias("_m"), (F.coalesce(F.col("_group.opens") & (F.col("_group.name") == "g"), F.lit(False))).alias("_in_group"),
         (F.coalesce(F.col("_text.opens") & (F.col("_text.name") == "text"), F.lit(False))).alias("_has_text"), markup.attribute("data-position-id", "_text").alias("_text_id"), F.col("_text.after").alias("_said"),
@@ -72,7 +75,11 @@ def read(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
     }
     broken = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
     rows = rows.withColumn("faults", broken).withColumn("faults", F.when(F.size("faults") > 0, F.col("faults")))
-    return rows.select(*keys, "place", "layer", "id", "symbol", "code", "x", "y", "d_mm", "group", size_of_group(F.col("group")).alias("size_mm"), F.get("faults", F.lit(0)).alias("fault"), "faults")
+    rows = rows.select(*keys, "place", "mark", "stone", "id", "symbol", "code", "x", "y", "d_mm", "group", size_of_group(F.col("group")).alias("size_mm"), F.get("faults", F.lit(0)).alias("fault"), "faults")
+    # sorted by place are what was read, not texts
+    before = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("layer", F.last("mark", ignorenulls=True).over(before)).where("stone")
+    return rows.select(*keys, "place", "layer", "id", "symbol", "code", "x", "y", "d_mm", "group", "size_mm", "fault", "faults")
 
 
 def size_of_group(group: Column) -> Column:
@@ -85,5 +92,7 @@ def size_of_group(group: Column) -> Column:
 def file_faults(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
     """Files with another canvas, or with a marked ellipse that has no group before it or no text behind: keys, fault."""
     canvas = files.where(~F.col(text).contains(f'viewBox="0 0 {CANVAS_PX} {CANVAS_PX}"')).select(*keys, F.lit("canvas").alias("fault"))
-    alone = read(files, keys, text).where(F.arrays_overlap("faults", F.array(F.lit("no_group"), F.lit("no_text")))).select(*keys, F.lit("unread_stones").alias("fault"))
+    # an aggregate, since a filter would be pushed down and read each stone again
+    alone = read(files, keys, text).groupBy(*keys).agg(F.bool_or(F.arrays_overlap("faults", F.array(F.lit("no_group"), F.lit("no_text")))).alias("_alone"))
+    alone = alone.where("_alone").select(*keys, F.lit("unread_stones").alias("fault"))
     return canvas.unionByName(alone).groupBy(*keys).agg(F.min("fault").alias("fault"))
