@@ -56,13 +56,16 @@ SELECT design_id, {', '.join(half_up(_q(p, c), 4) + f' AS {c}_{name}' for c in (
 def neighbour_stats(spark: SparkSession, sf: str) -> DataFrame:
     ends = _ends(spark, sf, 12.0, "code_id")
     near = F.col("gap") < 1.5
-    each = ends.groupBy("design_id", "stone_id").agg(F.min("distance").alias("nn"), F.min("gap").alias("gap"), F.count_if(near).alias("nb"), F.count_if(near & (F.col("a_code_id") == F.col("b_code_id"))).alias("same"))
-    rows = each.groupBy("design_id").agg(sorted_values(F.col("nn")).alias("nn"), sorted_values(F.col("gap")).alias("gaps"), F.count_if(F.col("gap") < -0.3).alias("n_overlaps"), F.count_if(F.col("nb") > 0).alias("with_nb"), F.count_if((F.col("nb") > 0) & (F.col("same") == 0)).alias("alone"))
-    once = ends.where("stone_id < other").groupBy("design_id").agg(F.count_if(F.col("gap") < -0.05).alias("pair_overlap"), F.count_if((F.col("gap") >= -0.05) & (F.col("gap") < 0.1)).alias("pair_close"))
+    each = ends.groupBy("design_id", "stone_id").agg(
+        F.min("distance").alias("nn"), F.min("gap").alias("gap"), F.count_if(near).alias("nb"), F.count_if(near & (F.col("a_code_id") == F.col("b_code_id"))).alias("same"),
+        # a pair counts at its smaller end
+        F.count_if((F.col("stone_id") < F.col("other")) & (F.col("gap") < -0.05)).alias("_overlap"), F.count_if((F.col("stone_id") < F.col("other")) & (F.col("gap") >= -0.05) & (F.col("gap") < 0.1)).alias("_close"),
+    )
+    rows = each.groupBy("design_id").agg(sorted_values(F.col("nn")).alias("nn"), sorted_values(F.col("gap")).alias("gaps"), F.count_if(F.col("gap") < -0.3).alias("n_overlaps"), F.count_if(F.col("nb") > 0).alias("with_nb"), F.count_if((F.col("nb") > 0) & (F.col("same") == 0)).alias("alone"), F.sum("_overlap").alias("pair_overlap"), F.sum("_close").alias("pair_close"))
     at = lambda c, p, name: rounded(quantile_outer(F.col(c), p), 4).alias(f"{c}_{name}")
     cuts = [at(c, p, name) for c in ("nn", "gaps") for p, name in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"))]
     alone = rounded(F.when(F.col("with_nb") > 0, 100.0 * F.col("alone") / F.col("with_nb")).otherwise(0.0), 4)
-    return rows.join(once, "design_id").select("design_id", *cuts, "n_overlaps", "pair_overlap", "pair_close", alone.alias("isolated_pct"))
+    return rows.select("design_id", *cuts, "n_overlaps", "pair_overlap", "pair_close", alone.alias("isolated_pct"))
 
 
 @query("stones", "beads", sql=f"SELECT design_id, {half_up('SUM(CASE WHEN shape = ' + chr(39) + 'round' + chr(39) + ' THEN CAST(3.141592653589793 AS DOUBLE) * d_mm * d_mm / 4 ELSE CAST(0.7 AS DOUBLE) * d_mm * d_mm END) / 90000', 6)} AS coverage FROM beads GROUP BY design_id")
