@@ -14,18 +14,21 @@ def greedy(pairs: DataFrame, keys: list[str], a: str, b: str, cost: str) -> Data
     """Candidate pairs taken cheapest first, each side at most once; ties by (a, b).
 
     The cheapest pair of all is its two ends' cheapest, so each round takes all pairs that are that and strikes their ends
-    out; what is left has a cheapest pair again. Rounds are few, since a chain of ever cheaper neighbours is short.
+    out; what is left has a cheapest pair again. Rounds are few, since a chain of ever cheaper neighbours is short. All
+    columns go through the rounds, so give those alone that are needed. A round deals its pairs out by a, by b, where a
+    taken pair strikes the others of its b, and by a again.
     """
-    S.checkpoint_folder(pairs)
-    rest, taken = pairs.checkpoint(), []
-    while not rest.isEmpty():
+    rest, taken = pairs, []
+    while True:
         first = lambda side: F.row_number().over(Window.partitionBy(*keys, side).orderBy(cost, a, b))
-        ranked = rest.withColumn("_ka", first(a)).withColumn("_kb", first(b)).withColumn("_m", (F.col("_ka") == 1) & (F.col("_kb") == 1))
         over = lambda side: F.max("_m").over(Window.partitionBy(*keys, side))
-        ranked = ranked.withColumn("_ua", over(a)).withColumn("_ub", over(b)).where(F.col("_m") | ~(F.col("_ua") | F.col("_ub"))).checkpoint()
-        taken.append(ranked.where("_m").select(*pairs.columns))
-        rest = ranked.where("not _m").select(*pairs.columns)
-    return reduce(DataFrame.unionByName, taken) if taken else rest
+        ranked = rest.withColumn("_m", first(a) == 1).withColumn("_m", F.col("_m") & (first(b) == 1))
+        ranked = ranked.withColumn("_u", over(b)).where("_m or not _u").withColumn("_u", over(a)).where("_m or not _u").drop("_u")
+        ranked = S.stored(ranked, "matched")
+        taken.append(ranked.where("_m").drop("_m"))
+        rest = ranked.where("not _m").drop("_m")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
 
 
 def scores(matched: DataFrame, predicted: DataFrame, truth: DataFrame, keys: list[str], same: dict[str, Column]) -> DataFrame:

@@ -195,3 +195,19 @@ def test_no_text_of_a_map_is_dealt_or_sorted(spark, name):
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert dealt and not [line for line in dealt if "layer" in line] and "values" not in "".join(line for line in plan.splitlines() if "Window" in line)
     assert not [line for line in plan.splitlines() if "Window [" in line and "lag(" in line]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["neighbour_stats", "over_background", "keep_out"])
+def test_pairs_are_joined_once(spark, name):
+    # each read of the pairs would join and deal them anew
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Join Inner" in line and "_cx" in line]) == 1
+
+
+def test_greedy_deals_a_round_three_times(spark, monkeypatch):
+    rounds, stored = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda df, name: rounds.append(df) or stored(df, name))
+    pairs = spark.createDataFrame([(1, 1, 1, 1.0), (1, 1, 2, 2.0), (1, 2, 1, 3.0)], "g long, a long, b long, d double")
+    assert [(r["a"], r["b"]) for r in matching.greedy(pairs, ["g"], "a", "b", "d").collect()] == [(1, 1)]
+    assert [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in rounds] == [3]
