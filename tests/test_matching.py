@@ -211,3 +211,10 @@ def test_greedy_deals_a_round_three_times(spark, monkeypatch):
     pairs = spark.createDataFrame([(1, 1, 1, 1.0), (1, 1, 2, 2.0), (1, 2, 1, 3.0)], "g long, a long, b long, d double")
     assert [(r["a"], r["b"]) for r in matching.greedy(pairs, ["g"], "a", "b", "d").collect()] == [(1, 1)]
     assert [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in rounds] == [3]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", ["audit_totals", "fill_stats"])
+def test_stones_are_numbered_once(spark, name):
+    # what stays of the plan reads tables that were written; each view of the stones would number them anew
+    assert "row_number" not in plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
