@@ -214,7 +214,7 @@ def test_greedy_deals_a_round_three_times(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
-@pytest.mark.parametrize("name", ["audit_totals", "fill_stats"])
+@pytest.mark.parametrize("name", ["audit_totals", "fill_stats", "qc_report"])
 def test_stones_are_numbered_once(spark, name):
     # what stays of the plan reads tables that were written; each view of the stones would number them anew
     assert "row_number" not in plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
