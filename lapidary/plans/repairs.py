@@ -10,6 +10,7 @@ from lapidary.functions import color
 from lapidary.functions.color import d
 from lapidary.functions.numeric import half_up, rounded
 from lapidary.operators import ordered as O
+from lapidary.operators import passes as P
 from lapidary.operators import spatial as S
 from lapidary.plans.registry import Registry
 from lapidary.sources import tables as T
@@ -34,7 +35,7 @@ def collision_repair(spark: SparkSession, sf: str) -> DataFrame:
 def collision_rescue(spark: SparkSession, sf: str) -> DataFrame:
     """As ``collision_repair``, but large stones start smaller where this frees more large ones than it costs."""
     kinds = _judged(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm", "score", F.col("material").alias("kind"))
-    rows = O.rescue(kinds, KEY, list(T.SIZES))
+    rows = P.rescue(kinds, KEY, list(T.SIZES))
     return rows.select("design_id", "stone_id", "fate", rounded(F.col("x_mm"), 6).alias("x_mm"), rounded(F.col("y_mm"), 6).alias("y_mm"), "phys_mm", "forced")
 
 
