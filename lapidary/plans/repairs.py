@@ -27,7 +27,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def collision_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Stones 0.15 mm apart, larger and surer ones first: kept, nudged by up to 0.2 mm, one size smaller, or dropped."""
-    rows = O.repair(_scored(spark, sf), KEY, list(T.SIZES))
+    rows = P.repair(_scored(spark, sf), KEY, list(T.SIZES))
     return rows.select("design_id", "stone_id", "fate", rounded(F.col("x_mm"), 6).alias("x_mm"), rounded(F.col("y_mm"), 6).alias("y_mm"), "phys_mm")
 
 
