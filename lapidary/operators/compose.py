@@ -1,7 +1,7 @@
 """Laying layers over each other: collisions between layers, shared codes.
 
 Which stone gives way depends on the order of all before it, but only on those it clashes with, directly or by others: the
-fold runs per component of the clash graph, components in parallel.
+fold runs per design; in designs too large for one task per component of the clash graph, components in parallel.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.operators import spatial
+from lapidary.operators import passes, spatial
 
 
 def fold(rows: list[tuple], clashes: dict) -> dict:
@@ -34,6 +34,28 @@ def fold(rows: list[tuple], clashes: dict) -> dict:
 
 def layered(stones: DataFrame, clearance: float = 0.0, key: str = "design_id") -> DataFrame:
     """Adds ``fate`` to stones (design_id, stone_id, layer_rank, x_mm, y_mm, phys_mm, locked)."""
+    kinds = {c: stones.schema[c].dataType.simpleString() for c in ("stone_id", *(c for c in stones.columns if c not in (key, "stone_id")))}
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, size, rank = (pdf[c].to_numpy(float) for c in ("x_mm", "y_mm", "phys_mm", "layer_rank"))
+        ids, locked = pdf["stone_id"].tolist(), pdf["locked"].fillna(False).astype(bool).tolist()
+        i, j, _ = passes.near_pairs(x, y, size, clearance)
+        clash = abs(rank[i] - rank[j]) > 0
+        near: dict = {"locked": dict(zip(ids, locked))}
+        for a, b in zip(i[clash].tolist(), j[clash].tolist()):
+            near.setdefault(ids[a], []).append(ids[b])
+            near.setdefault(ids[b], []).append(ids[a])
+        fates = fold([(n, r, own) for n, r, own in zip(ids, rank.tolist(), locked) if n in near], near)
+        return pdf[list(kinds)].assign(fate=[fates.get(n, "kept") for n in ids])
+
+    columns = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", fate string"
+    found = passes.by_group(stones, [key], one, columns, lambda df: by_components(df, clearance, key).select(key, *kinds, "fate"))
+    # what belongs to no design clashes with nothing
+    return found.unionByName(stones.where(F.col(key).isNull()).select(key, *kinds, F.lit("kept").alias("fate")))
+
+
+def by_components(stones: DataFrame, clearance: float = 0.0, key: str = "design_id") -> DataFrame:
+    """``layered`` with a fold per component of the clash graph."""
     pairs = spatial.close_pairs(stones.select(key, "stone_id", "x_mm", "y_mm", "phys_mm", "layer_rank"), clearance, [key])
     clash = pairs.where(F.col("a_layer_rank") != F.col("b_layer_rank")).select(key, F.col("a_stone_id").alias("a"), F.col("b_stone_id").alias("b"))
     nodes = clash.select(key, F.col("a").alias("node")).union(clash.select(key, F.col("b").alias("node"))).distinct()
