@@ -42,7 +42,7 @@ def collision_rescue(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def overlap_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Stones that keep clear of those before, small ones at the smallest size until all have a place."""
-    return O.resolve_overlap(_scored(spark, sf), KEY)
+    return P.resolve_overlap(_scored(spark, sf), KEY)
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
