@@ -98,9 +98,8 @@ def label_votes(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
     """Materials of unsure round beads that follow their neighbours', three passes in place: those that changed."""
-    rows = S.stored(_judged(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "d_mm", "material", "conf", (F.col("shape") != "round").alias("fixed")), "beads")
-    items = rows.select("design_id", F.col("stone_id").alias("item"), F.col("material").alias("label"), "conf", "fixed")
-    found = O.propagate(items, O.label_votes(rows, KEY), KEY)
+    rows = _judged(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "d_mm", F.col("material").alias("label"), "conf", (F.col("shape") != "round").alias("fixed"))
+    found = P.propagate(rows, KEY)
     return found.where("label <> was").select("design_id", F.col("item").alias("stone_id"), "was", F.col("label").alias("material"))
 
 
