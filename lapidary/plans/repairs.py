@@ -62,21 +62,24 @@ SELECT e.design_id, e.a, e.b, {half_up('e.d', 6)} AS d, {half_up(half_up(f'(even
 LEFT JOIN onward x ON x.design_id = e.design_id AND x.s = e.a AND x.e = e.b LEFT JOIN onward y ON y.design_id = e.design_id AND y.s = e.b AND y.e = e.a"""
 
 
-def _chain_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return O.chain_candidates(_judged(spark, sf).where("shape = 'round'").select("design_id", "stone_id", "x_mm", "y_mm", "d_mm", "material", "lab_l", "lab_a", "lab_b"), KEY)
+def _round_beads(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged(spark, sf).where("shape = 'round'").select("design_id", "stone_id", "x_mm", "y_mm", "d_mm", "material", "lab_l", "lab_a", "lab_b")
 
 
 @query("stones", "beads", sql=_EDGES)
 def chain_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of round beads that a chain may join, and how well."""
-    return _chain_edges(spark, sf).select("design_id", "a", "b", rounded(F.col("d"), 6).alias("d"), rounded(F.col("q"), 6).alias("q"))
+    return O.chain_candidates(_round_beads(spark, sf), KEY).select("design_id", "a", "b", rounded(F.col("d"), 6).alias("d"), rounded(F.col("q"), 6).alias("q"))
 
 
 @query()
 def bead_chains(spark: SparkSession, sf: str) -> DataFrame:
     """Chains of three beads or more: how many, the upper medians of their steps and sizes."""
-    edges = S.stored(O.chains(_chain_edges(spark, sf), KEY), "chains")
-    sizes = edges.select("design_id", "chain", F.explode(F.array("a", "b")).alias("stone_id")).distinct().join(T.beads(spark, sf).select("design_id", "stone_id", "d_mm"), ["design_id", "stone_id"])
+    # one without a size is in no chain; left in, it needs no place in its design to be counted
+    beads = _judged(spark, sf).withColumn("d_mm", F.when(F.col("shape") == "round", F.col("d_mm")))
+    edges = S.stored(P.chains(beads, KEY), "chains")
+    ends = F.array(*(F.struct(F.col(n).alias("stone_id"), F.col(f"{n}_mm").alias("d_mm")) for n in "ab"))
+    sizes = edges.select("design_id", "chain", F.explode(ends).alias("e")).distinct().select("design_id", "chain", "e.*")
 
     def middle(rows: DataFrame, value: str) -> DataFrame:
         own = Window.partitionBy("design_id", "chain")
