@@ -106,38 +106,48 @@ def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return found.where("label <> was").select("design_id", F.col("item").alias("stone_id"), "was", F.col("label").alias("material"))
 
 
-def _read(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Beads with ``item``, their place in a design's reading order; links up to 1 mm apart; each design's twelve commonest codes."""
-    rows = S.stored(T.beads(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm", "code_id", "shape", "lab_l", "lab_a", "lab_b"), "beads")
+def _coded(spark: SparkSession, sf: str) -> DataFrame:
+    """Beads, and in the first row of each design its twelve commonest codes."""
+    rows = T.beads(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm", "code_id", "shape", "lab_l", "lab_a", "lab_b")
     labs = color.add(T.catalog(spark, sf), color.lab_steps("r", "g", "b", "c"), ["c_l", "c_a", "c_b"]).select("code_id", "c_l", "c_a", "c_b")
     counts = rows.groupBy("design_id", "code_id").agg(F.count("*").alias("n"))
     top = counts.withColumn("k", F.row_number().over(Window.partitionBy("design_id").orderBy(F.desc("n"), "code_id"))).where("k <= 12").join(labs, "code_id")
+    palettes = top.groupBy("design_id").agg(F.array_sort(F.collect_list(F.struct("code_id", "c_l", "c_a", "c_b"))).alias("p"))
+    kept = [F.when(F.col("stone_id") == 1, F.col(f"p.{c}")).alias(name) for c, name in zip(("code_id", "c_l", "c_a", "c_b"), P.PALETTE)]
+    # all rows of a design or none
+    return rows.drop("code_id").join(palettes.hint("merge"), "design_id").select(*(c for c in rows.columns if c != "code_id"), *kept)
+
+
+def _read(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of designs too large for a task: beads with ``item``, their place in reading order; links up to 1 mm apart; palettes."""
+    rows = S.stored(rows, "beads")
+    codes = F.explode(F.arrays_zip(*P.PALETTE)).alias("c")
+    top = rows.where("codes is not null").select("design_id", codes).select("design_id", F.col("c.codes").alias("code"), *(F.col(f"c.code_{c}").alias(c) for c in "lab"))
     # the place in reading order: by design, a window no larger than what one design holds
-    read = S.stored(rows.withColumn("item", F.row_number().over(Window.partitionBy("design_id").orderBy("y_mm", "x_mm", "stone_id")).cast("long")), "read")
+    read = S.stored(rows.drop(*P.PALETTE).withColumn("item", F.row_number().over(Window.partitionBy("design_id").orderBy("y_mm", "x_mm", "stone_id")).cast("long")), "read")
     near = S.close_pairs(read.select("design_id", "item", "x_mm", "y_mm", "phys_mm"), 1.0, KEY, order="item").select("design_id", F.col("a_item").alias("a"), F.col("b_item").alias("b"))
-    return read, near, top.select("design_id", F.col("code_id").alias("code"), F.col("c_l").alias("l"), F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    return read, near, top
+
+
+def _diffused(rows: DataFrame) -> DataFrame:
+    read, near, top = _read(rows)
+    palettes = top.groupBy("design_id").agg(F.array_sort(F.collect_list(F.struct("code", "l", "a", "b"))).alias("palette"))
+    found = O.diffuse(read.select("design_id", "item", "lab_l", "lab_a", "lab_b").join(palettes, "design_id"), near, KEY)
+    return found.join(read.select("design_id", "item", "stone_id"), ["design_id", "item"]).select("design_id", "stone_id", "code")
 
 
 @query()
 def diffused_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Codes of a design's beads out of its twelve commonest, with errors passed on to neighbours up to 1 mm apart, in reading order."""
-    read, near, top = _read(spark, sf)
-    palettes = top.groupBy("design_id").agg(F.array_sort(F.collect_list(F.struct("code", "l", "a", "b"))).alias("palette"))
-    found = O.diffuse(read.select("design_id", "item", "lab_l", "lab_a", "lab_b").join(palettes, "design_id"), near, KEY)
-    return found.join(read.select("design_id", "item", "stone_id"), ["design_id", "item"]).select("design_id", "stone_id", F.col("code").alias("code_id"))
+    return P.diffuse(_coded(spark, sf).drop("shape"), KEY, _diffused).select("design_id", "stone_id", F.col("code").alias("code_id"))
 
 
 #: How near to the edge of a shaped stone, the accent of a design, beads keep their codes, in mm.
 PROTECTED = 1.5
 
 
-@query()
-def despeckled_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """Round beads in the nearest of their design's twelve commonest codes, and what single ones among others change to.
-
-    Shaped stones take no part, and beads near them keep their code.
-    """
-    read, near, top = _read(spark, sf)
+def _despeckled(rows: DataFrame) -> DataFrame:
+    read, near, top = _read(rows)
     met = read.where("shape = 'round'").join(top.select("design_id", "code", *(F.col(c).alias(f"q_{c}") for c in "lab")), "design_id").withColumns({f"p_{c}": F.col(f"lab_{c}") for c in "lab"})
     nearest = color.add(met, color.de2000_steps("p", "q"), ["de"]).groupBy("design_id", "item", "stone_id", "lab_l", "lab_a", "lab_b").agg(F.min(F.struct(F.round("de", 9).alias("de"), "code")).alias("m"))
     shaped = S.close_pairs(read.select("design_id", "item", "x_mm", "y_mm", "phys_mm", "shape"), PROTECTED, KEY, order="item").where("(a_shape = 'round') <> (b_shape = 'round')")
@@ -145,4 +155,14 @@ def despeckled_codes(spark: SparkSession, sf: str) -> DataFrame:
     items = S.stored(nearest.join(guarded, ["design_id", "item"], "left").select("design_id", "item", "stone_id", F.col("m.code").alias("code"), F.coalesce("fixed", F.lit(False)).alias("fixed"), "lab_l", "lab_a", "lab_b"), "items")
     codes = top.groupBy("code").agg(*(F.min(c).alias(f"lab_{c}") for c in "lab"))
     found = O.despeckle(items, near, codes, KEY)
-    return found.join(items.select("design_id", "item", "stone_id"), ["design_id", "item"]).select("design_id", "stone_id", F.col("was").alias("nearest_code"), F.col("code").alias("code_id"))
+    return found.join(items.select("design_id", "item", "stone_id"), ["design_id", "item"]).select("design_id", "stone_id", "code", "was")
+
+
+@query()
+def despeckled_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Round beads in the nearest of their design's twelve commonest codes, and what single ones among others change to.
+
+    Shaped stones take no part, and beads near them keep their code.
+    """
+    found = P.despeckle(_coded(spark, sf), KEY, _despeckled, guard=PROTECTED)
+    return found.select("design_id", "stone_id", F.col("was").alias("nearest_code"), F.col("code").alias("code_id"))
