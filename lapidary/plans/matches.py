@@ -286,8 +286,14 @@ def remap_uncovered(spark: SparkSession, sf: str) -> DataFrame:
 
     chosen = D.commonest(T.stones(spark, sf), 13).select("design_id", "code_id")
     dims = lab_catalog(spark, sf).select("code_id", "c_l", "c_a", "c_b", F.col("phys_mm").alias("code_mm"), "kind")
-    pool = chosen.join(dims, "code_id")
-    rows = T.beads(spark, sf).join(chosen, ["design_id", "code_id"], "left_anti").select("design_id", "stone_id", "phys_mm", "lab_l", "lab_a", "lab_b")
-    # at most thirteen codes a design
-    priced = rows.join(pool.where("kind <> 'pearl'"), "design_id").where(F.col("code_mm") <= F.col("phys_mm") + F.lit(0.000001)).withColumn("price", F.expr(_REMAP_DE) + 25 * F.abs(F.log(F.col("code_mm") / F.col("phys_mm"))))
-    return priced.groupBy("design_id", "stone_id").agg(F.min(F.struct("price", "code_id")).alias("m")).select("design_id", "stone_id", F.col("m.code_id").alias("to_code"), rounded(F.col("m.price"), 6).alias("price"))
+    # at most thirteen codes a design, beside its stones: no row a pair
+    codes = chosen.join(dims, "code_id", "left").groupBy("design_id").agg(F.collect_list("code_id").alias("_own"), F.collect_list(F.when(F.col("kind") != "pearl", F.struct("code_id", "c_l", "c_a", "c_b", "code_mm"))).alias("_pool"))
+    rows = T.beads(spark, sf).select("design_id", "stone_id", "code_id", "phys_mm", "lab_l", "lab_a", "lab_b").join(codes.hint("merge"), "design_id")
+    rows = rows.where(~F.coalesce(F.array_contains("_own", F.col("code_id")), F.lit(False)))
+    apart = lambda p: F.sqrt(sum(((F.col(f"lab_{c}") - p[f"c_{c}"]) * (F.col(f"lab_{c}") - p[f"c_{c}"]) for c in "ab"), (F.col("lab_l") - p["c_l"]) * (F.col("lab_l") - p["c_l"])))
+    price = lambda p: F.struct((apart(p) + 25 * F.abs(F.log(p["code_mm"] / F.col("phys_mm")))).alias("price"), p["code_id"].alias("code_id"))
+    fits = F.filter("_pool", lambda p: p["code_mm"] <= F.col("phys_mm") + F.lit(0.000001))
+    # a filter on the least would be pushed down and work it out twice
+    least = F.filter(F.array(F.array_min(F.transform(fits, price))), lambda m: m.isNotNull())
+    priced = rows.select("design_id", "stone_id", F.explode(least).alias("m"))
+    return priced.select("design_id", "stone_id", F.col("m.code_id").alias("to_code"), rounded(F.col("m.price"), 6).alias("price"))
