@@ -6,12 +6,15 @@ choices are aggregates over it, the driver's loops running over codes chosen, ne
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lapidary.functions import color
 from lapidary.operators import spatial
@@ -24,6 +27,8 @@ LEFT_OVER = 1e4
 MAX_CODES = 11
 #: Targets and codes that meet in one task at a time, and targets whose differences are held at once.
 BLOCKS, SLICE = (256, 2048), 64
+#: Pairs of a code and one of its pool that are priced at once.
+PAIRS = 1 << 16
 Judge = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame]
 
 
@@ -291,25 +296,100 @@ def class_cost(gold_weight: float = 1.0) -> tuple[Column, Column]:
     return F.when(want("shape") != "round", shaped).when(code("shape") == "round", plain), de
 
 
+def class_cost_array(want: dict[str, np.ndarray], code: dict[str, np.ndarray], gold_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """``class_cost`` of pairs held as arrays, NaN where it is null; colours are compared only where a code is allowed.
+
+    Both sides: mm, w_mm, h_mm, lab (a row a pair), pearl, gold, round, and material and shape as whole numbers (negative: null).
+    """
+    eps, known = 1e-6, (want["material"] >= 0) & (code["material"] >= 0)
+    kind = known & (want["pearl"] == code["pearl"])
+    narrow, long = np.minimum(want["w_mm"], want["h_mm"]), np.maximum(want["w_mm"], want["h_mm"])
+    to_round = code["round"] & kind & (long <= SMALL_SHAPE) & (code["mm"] >= ROUND_LEAST) & (code["mm"] <= narrow + WIDER)
+    fits = (code["shape"] == want["shape"]) & (code["w_mm"] <= want["w_mm"] + eps) & (code["h_mm"] <= want["h_mm"] + eps)
+    exact = (np.abs(code["w_mm"] - want["w_mm"]) < eps) & (np.abs(code["h_mm"] - want["h_mm"]) < eps)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        off = (np.abs(np.log(code["w_mm"] / want["w_mm"])) + np.abs(np.log(code["h_mm"] / want["h_mm"]))) * (SHAPE_SIZE / 2)
+    shaped = np.where(to_round, TO_ROUND, np.where(fits & exact, 0.0, np.where(fits, off, np.nan)))
+    p_l, p_a, p_b = want["lab"].T
+    white = (p_l >= WHITE_L) & (np.sqrt(p_a * p_a + p_b * p_b) <= WHITE_C)
+    own = known & (np.abs(code["mm"] - want["mm"]) < eps) & (code["material"] == want["material"])
+    pearl = known & code["pearl"] & ~want["gold"] & (want["mm"] >= ROUND_LEAST) & (code["mm"] <= want["mm"] + eps) & white
+    smaller = kind & (code["mm"] < want["mm"] - eps)
+    plain = np.where(own, 0.0, np.where(smaller, SHRINK + SHRINK_PER_MM * (want["mm"] - code["mm"]), np.where(pearl, CROSS, np.nan)))
+    more = np.where((want["shape"] >= 0) & ~want["round"], shaped, np.where(code["round"], plain, np.nan))
+    at = np.flatnonzero(~np.isnan(more))
+    de = color.de2000_array(want["lab"][at], code["lab"][at])
+    darker = gold_weight * np.maximum(want["lab"][at, 0] - code["lab"][at, 0], 0.0)
+    apart = np.full(len(more), np.nan)
+    apart[at] = np.where(want["gold"][at], np.sqrt(de * de + darker * darker), de)
+    return apart + more, apart
+
+
+def _remapped(rows: pa.RecordBatch, least: float, farthest: float) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """For each row (a code with ``_pool``, the codes it may become, in order of code_id): the code it becomes, whether it is in its pool, whether it is shaped, the cost."""
+    own, pools = {n: rows.column(n) for n in rows.schema.names}, rows.column("_pool")
+    flat = pools.flatten()
+    codes = dict(zip((f.name for f in flat.type), flat.flatten()))
+    n = pc.list_value_length(pools).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.repeat(np.arange(len(n)), n)
+    numbers = lambda side, c: side[c].to_numpy(zero_copy_only=False).astype(float)
+    want = {c: numbers(own, c)[at] for c in ("mm", "w_mm", "h_mm")} | {"lab": np.stack([numbers(own, f"lab_{c}") for c in "lab"], axis=1)[at]}
+    code = {c: numbers(codes, c) for c in ("mm", "w_mm", "h_mm")} | {"lab": np.stack([numbers(codes, f"lab_{c}") for c in "lab"], axis=1)}
+    for c, marked in (("material", ("pearl", "gold")), ("shape", ("round",))):
+        both = pa.concat_arrays([own[c], codes[c]]).dictionary_encode()
+        places, names = both.indices.fill_null(-1).to_numpy(zero_copy_only=False), both.dictionary.to_pylist()
+        want[c], code[c] = places[: len(n)][at], places[len(n) :]
+        for name in marked:
+            place = names.index(name) if name in names else -2
+            want[name], code[name] = want[c] == place, code[c] == place
+    shaped = pc.not_equal(own["shape"], "round").fill_null(False).to_numpy(zero_copy_only=False)
+    same = pc.equal(pc.take(own["code_id"], pa.array(at)), codes["code_id"]).fill_null(False).to_numpy(zero_copy_only=False)
+    inside = np.zeros(len(n), bool)
+    inside[at[same]] = True
+    cost, off = class_cost_array(want, code, 0.0)
+    known = own["code_id"].is_valid().to_numpy(zero_copy_only=False)
+    fits = known[at] & (off <= farthest) & ~np.isnan(cost) & (~code["round"] | (code["mm"] >= least))
+    cost = np.where(inside[at], np.where(same, 0.0, np.inf), np.where(fits, cost, np.inf))
+    best = np.full(len(n), np.inf)
+    np.minimum.at(best, at, cost)
+    hits = np.flatnonzero(np.isfinite(cost) & (cost == best[at]))[::-1]
+    place = np.full(len(n), -1)
+    place[at[hits]] = hits  # the first, hence the smallest code of equal ones
+    return pc.take(codes["code_id"], pa.array(place, mask=place < 0)), inside, shaped, best
+
+
 def remap(entries: DataFrame, pool: DataFrame, keys: list[str], least: float = 4.0, farthest: float = 20.0) -> DataFrame:
     """Codes of large stones brought into a pool: a code that is in it stays, another one takes the cheapest by ``class_cost``
     (ties: the smallest code), round ones ``least`` mm or more, no farther than ``farthest`` in colour; else it goes.
 
-    Both: keys, code_id, material, shape, mm, w_mm, h_mm, lab_l, lab_a, lab_b, a row a code. Result: keys, code_id, to_code
-    (null: none fits), why (kept, shape-size, smaller, no-class), cost.
+    Both: keys, code_id, material, shape, mm, w_mm, h_mm, lab_l, lab_a, lab_b, a row a code. Result: keys, code_id, further
+    columns of the entries, to_code (null: none fits), why (kept, shape-size, smaller, no-class), cost.
+
+    A pool stands as one array beside each of its entries, so no row for a pair is made or sorted, and entries are dealt
+    once and not sorted; a task holds its pools, and ``PAIRS`` pairs at a time or one entry's.
     """
-    side = lambda df, name, lab, code: df.select(*keys, F.col("code_id").alias(code), *(F.col(c).alias(f"{name}_{c}") for c in ("material", "shape", "mm", "w_mm", "h_mm")), *(F.col(f"lab_{c}").alias(f"{lab}_{c}") for c in "lab"))
-    inside = pool.select(*keys, "code_id", F.lit(True).alias("_inside"))
-    rows = entries.join(inside, [*keys, "code_id"], "left")
-    met = side(rows.where("_inside is null"), "want", "p", "code_id").join(side(pool, "code", "q", "to_code"), keys)
-    cost, de = class_cost(0.0)
-    priced = color.add(met, color.de2000_steps("p", "q"), ["de"]).withColumns({"cost": cost, "off": de})
-    # judged within the aggregate: a filter on a difference would be pushed below it and write its formula out many times
-    fits = (F.col("off") <= farthest) & F.col("cost").isNotNull() & ((F.col("code_shape") != "round") | (F.col("code_mm") >= least))
-    best = priced.groupBy(*keys, "code_id").agg(F.min(F.when(fits, F.struct("cost", "to_code"))).alias("_b")).select(*keys, "code_id", F.col("_b.to_code").alias("_to"), F.col("_b.cost").alias("_cost"))
-    why = F.when(F.col("_inside"), "kept").when(F.col("_to").isNull(), "no-class").when(F.col("shape") != "round", "shape-size").otherwise("smaller")
-    kept = lambda own, c: F.when(F.col("_inside"), own).otherwise(F.col(c))
-    return rows.join(best, [*keys, "code_id"], "left").select(*keys, "code_id", kept(F.col("code_id"), "_to").alias("to_code"), why.alias("why"), kept(F.lit(0.0), "_cost").alias("cost"))
+    text, numbers = ["material", "shape"], ["mm", "w_mm", "h_mm", "lab_l", "lab_a", "lab_b"]
+    as_double = [F.col(c).cast("double").alias(c) for c in numbers]
+    more = [c for c in entries.columns if c not in (*keys, "code_id", *text, *numbers)]
+    codes = pool.dropna(subset=["code_id"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("code_id", *text, *as_double))).alias("_pool"))
+    rows = entries.select(*keys, "code_id", *more, *text, *as_double).join(codes.hint("shuffle_hash"), keys, "left")
+    kept = [*keys, "code_id", *more]
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("to_code", pool.schema["code_id"].dataType), StructField("why", StringType()), StructField("cost", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column("_pool")).fill_null(0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < batch.num_rows:
+                done = ends[start - 1] if start else 0
+                end = max(int(np.searchsorted(ends, done + PAIRS, side="right")), start + 1)
+                part = batch.slice(start, end - start)
+                to_code, inside, shaped, cost = _remapped(part, least, farthest)
+                why = np.where(inside, "kept", np.where(np.isinf(cost), "no-class", np.where(shaped, "shape-size", "smaller")))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), to_code, pa.array(why, pa.string()), pa.array(cost, mask=np.isinf(cost))], names=schema.names)
+                start = end
+
+    return rows.mapInArrow(run, schema)
 
 
 def alike(records: DataFrame, keys: list[str]) -> DataFrame:

@@ -283,6 +283,8 @@ def fitted_image(spark: SparkSession, sf: str) -> DataFrame:
     return fit.fit_image(_items(spark, sf), codes, base, _MORE)[1].withColumnRenamed("item", "target_id")
 
 
+# Stones that a task counts at a time, about (a design is not split).
+_DEALT = 1 << 18
 # A code's material, and the sides of its outline by shape.
 _WIDTH = "phys_mm * CASE shape WHEN 'marquise' THEN CAST(0.5 AS DOUBLE) WHEN 'teardrop' THEN CAST(0.75 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END"
 _MATERIAL = "CASE WHEN kind = 'pearl' THEN 'pearl' WHEN lower(series) LIKE '%brass%' OR lower(series) LIKE '%copper%' THEN 'gold' WHEN code_id % 9 = 0 THEN 'facet' ELSE 'base' END"
@@ -303,7 +305,10 @@ SELECT a.design_id, a.code_id, a.n AS stones, CASE WHEN inside THEN a.code_id EL
 def remapped_large(spark: SparkSession, sf: str) -> DataFrame:
     """The codes of a design's large stones brought into its twelve commonest codes: kept, replaced or without one of their class."""
     entry = color.add(T.catalog(spark, sf), _C, ["c_l", "c_a", "c_b"]).select("code_id", "shape", F.col("phys_mm").alias("mm"), F.expr(_WIDTH).alias("w_mm"), F.col("phys_mm").alias("h_mm"), F.expr(_MATERIAL).alias("material"), *(F.col(f"c_{c}").alias(f"lab_{c}") for c in "lab"))
-    used = T.stones(spark, sf).groupBy("design_id", "code_id").agg(F.count("*").alias("stones"))
-    used = used.withColumn("k", F.row_number().over(Window.partitionBy("design_id").orderBy(F.desc("stones"), "code_id"))).join(entry, "code_id")
-    found = P.remap(used.where("mm >= 4").drop("k", "stones"), used.where("k <= 12").drop("k", "stones"), ["design_id"])
-    return found.join(used.select("design_id", "code_id", "stones"), ["design_id", "code_id"]).withColumn("cost", rounded(F.col("cost"), 6))
+    # few codes occur twice in a design, so stones are dealt before they are counted: a task counts and ranks _DEALT of them, however many there are
+    stones = T.stones(spark, sf).select("design_id", "code_id")
+    dealt = stones.repartition(-(-stones.count() // _DEALT) or 1, "design_id")
+    used = dealt.groupBy("design_id", "code_id").agg(F.count("*").alias("stones"))
+    used = used.withColumn("k", F.row_number().over(Window.partitionBy("design_id").orderBy(F.desc("stones"), "code_id"))).join(entry.hint("shuffle_hash"), "code_id")
+    found = P.remap(used.where("mm >= 4").drop("k"), used.where("k <= 12").drop("k", "stones"), ["design_id"])
+    return found.select("design_id", "code_id", "to_code", "why", rounded(F.col("cost"), 6).alias("cost"), "stones")

@@ -458,3 +458,77 @@ def test_pairs_stand_in_few_cells(spark):
     assert len(found) == len(set(found)) and set(found) == want
     near = [(r.a_stone_id, r.b_stone_id) for r in spatial.neighbour_pairs(rows, 9.0, ["design_id"]).collect()]
     assert len(near) == len(set(near)) and set(near) == {(p[0], q[0]) for p in at for q in at if p[0] < q[0] and far(p, q) < 9.0}
+
+
+_CODE = "code_id long, material string, shape string, mm double, w_mm double, h_mm double, lab_l double, lab_a double, lab_b double"
+
+
+def _some_code(rng, code_id):
+    mm = rng.choice([2.8, 4.0, 5.0, 6.0, 8.0, 10.0])
+    lab = rng.choice([(95.0, 0.0, 0.0), (50.0, 10.0, 10.0), (rng.uniform(40, 60), rng.uniform(0, 20), rng.uniform(0, 20))])
+    return (code_id, rng.choice(["base", "base", "gold", "pearl", None]), rng.choice(["round", "round", "heart", "marquise", None]), mm, mm * rng.choice([0.5, 1.0]), mm, *lab)
+
+
+def _priced_pairs(asked, pool, gold_weight):
+    """Every pair of a group with its cost by the rule on columns."""
+    names = [c.split()[0] for c in _CODE.split(", ")]
+    side = lambda df, name, lab: df.select("g", *(F.col(c).alias(f"{lab}_{c[-1]}" if c.startswith("lab_") else f"{name}_{c}") for c in names))
+    met = color.add(side(asked, "want", "p").join(side(pool, "code", "q"), "g"), color.de2000_steps("p", "q"), ["de"])
+    cost, de = palette.class_cost(gold_weight)
+    return met.withColumns({"cost": cost, "off": de}).collect()
+
+
+@pytest.mark.parametrize("gold_weight", [0.0, 1.5])
+def test_class_cost_of_arrays(spark, gold_weight):
+    rng = random.Random(5)
+    asked, pool = (spark.createDataFrame([(0, *_some_code(rng, c)) for c in range(40)], f"g long, {_CODE}") for _ in range(2))
+    pairs = _priced_pairs(asked, pool, gold_weight)
+
+    def arrays(name, lab):
+        number = {None: -1, "base": 0, "gold": 1, "pearl": 2, "round": 3, "heart": 4, "marquise": 5}
+        out = {c: np.array([r[f"{name}_{c}"] for r in pairs]) for c in ("mm", "w_mm", "h_mm")}
+        out |= {c: np.array([number[r[f"{name}_{c}"]] for r in pairs]) for c in ("material", "shape")}
+        return out | {"lab": np.array([[r[f"{lab}_{c}"] for c in "lab"] for r in pairs]), "pearl": out["material"] == 2, "gold": out["material"] == 1, "round": out["shape"] == 3}
+
+    cost, de = palette.class_cost_array(arrays("want", "p"), arrays("code", "q"), gold_weight)
+    want = np.array([np.nan if r["cost"] is None else r["cost"] for r in pairs])
+    assert 100 < np.isfinite(want).sum() < len(pairs) - 100
+    assert cost == pytest.approx(want, abs=1e-9, nan_ok=True)
+    allowed = np.isfinite(want)
+    assert de[allowed] == pytest.approx(np.array([r["off"] for r in pairs])[allowed], abs=1e-9)
+
+
+def test_remap_against_pairs(spark, monkeypatch):
+    # pools of none to nine codes and a third of them twice, fewer pairs at once than a batch has, no code or group, a further column
+    rng = random.Random(28)
+    pool = [(g, *_some_code(rng, c)) for g in (1, 2, 3) for c in rng.sample(range(40), 3 * g)]
+    pool += [(p[0], p[1] + 100, *p[2:]) for p in pool[::3]]
+    asked = [(g, *_some_code(rng, c), (c or 0) * 7) for g in (0, 1, 2, 3, None) for c in [*range(60), None]]
+    pool, asked = spark.createDataFrame(pool, f"g long, {_CODE}"), spark.createDataFrame(asked, f"g long, {_CODE}, stones long")
+    monkeypatch.setattr(palette, "PAIRS", 20)
+    got = {(r.g, r.code_id): r for r in palette.remap(asked, pool, ["g"]).collect()}
+    inside, best = {(r.g, r.code_id) for r in pool.collect()}, {}
+    for r in _priced_pairs(asked, pool, 0.0):
+        if r.want_code_id is not None and r.cost is not None and r.off <= 20 and (r.code_shape != "round" or r.code_mm >= 4):
+            best[r.g, r.want_code_id] = min(best.get((r.g, r.want_code_id), (math.inf, 0)), (r.cost, r.code_code_id))
+    rows = asked.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        found, key = got[r.g, r.code_id], (r.g, r.code_id)
+        cost, code = (0.0, r.code_id) if key in inside else best.get(key, (None, None))
+        why = "kept" if key in inside else "no-class" if code is None else "shape-size" if r["shape"] not in ("round", None) else "smaller"
+        assert (found.to_code, found.stones) == (code, r.stones) and found.cost == (None if cost is None else pytest.approx(cost))
+        assert found.why == why
+    assert {r.why for r in got.values()} == {"kept", "no-class", "shape-size", "smaller"}
+
+
+def test_remap_sorts_no_row_a_pair(spark, monkeypatch):
+    from lapidary.plans import colors
+    from lapidary.sources import tables
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(colors, "_DEALT", 512)
+    plan = plan_of(colors.query.queries["remapped_large"](spark, folder))
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    # what a task counts and ranks follows from the stones, not from the session's partitions
+    assert f", {math.ceil(tables.stones(spark, folder).count() / 512)}), REPARTITION_BY_NUM" in plan
