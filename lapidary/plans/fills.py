@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lapidary.functions import beads as B
 from lapidary.functions.color import d
 from lapidary.functions.numeric import half_up, rounded
-from lapidary.operators import fill
+from lapidary.operators import fill, filled
 from lapidary.operators import ordered as O
 from lapidary.operators import spatial as S
 from lapidary.plans.registry import Registry
@@ -98,10 +98,8 @@ def fill_regions(spark: SparkSession, sf: str) -> DataFrame:
 query.oracles["fill_regions"] = query.oracles["fill_regions"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query()
-def grown_regions(spark: SparkSession, sf: str) -> DataFrame:
-    """Filled regions grown over a design's 5 mm cells, the one of most beads first; large beads stand in the way."""
-    beads, members, found = _regions(spark, sf)
+def _grown(beads: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
+    """Designs too large for a task: their cells as a table, their regions by turns."""
     at = {"px": F.floor(F.col("x_mm") / CELL_MM), "py": F.floor(F.col("y_mm") / CELL_MM)}
     detail = (F.col("shape") != "round") | (F.col("d_mm") > SPARSE.largest)
     cells = beads.withColumns(at).groupBy("design_id", "px", "py").agg(*(F.avg(f"lab_{c}").alias(f"lab_{c}") for c in "lab"), F.max(F.when(detail, "detail")).alias("big"), F.count_distinct("material").alias("kinds"), F.first("material").alias("one"))
@@ -110,7 +108,14 @@ def grown_regions(spark: SparkSession, sf: str) -> DataFrame:
     turns = found.where("verdict = 'fill'").withColumn("turn", F.row_number().over(Window.partitionBy("design_id").orderBy(F.desc("beads"), "region")))
     seeds = members.join(turns.select("design_id", "region", "turn", "material"), ["design_id", "region"]).join(beads.select("design_id", "stone_id", "x_mm", "y_mm"), ["design_id", "stone_id"]).withColumns(at)
     grown = fill.grow(cells, seeds, KEY, SPARSE.de, SPARSE.l_weight)[1]
-    return grown.join(turns.select("design_id", "turn", "region"), ["design_id", "turn"]).select("design_id", "region", "turn", "material", *(rounded(F.col(f"lab_{c}"), 6).alias(f"lab_{c}") for c in "lab"), "cells", "merged")
+    return grown.join(turns.select("design_id", "turn", "region"), ["design_id", "turn"])
+
+
+@query()
+def grown_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Filled regions grown over a design's 5 mm cells, the one of most beads first; large beads stand in the way."""
+    grown = filled.grown(_beads(spark, sf), KEY, _smallest(), CELL_MM, _grown, SPARSE)
+    return grown.select("design_id", "region", "turn", "material", *(rounded(F.col(f"lab_{c}"), 6).alias(f"lab_{c}") for c in "lab"), "cells", "merged")
 
 
 @query()
