@@ -80,18 +80,13 @@ SELECT design_id, region, material, CASE WHEN swap THEN 'white' ELSE material EN
   CASE WHEN swap THEN COALESCE(list_max(fit_white), white[1]) ELSE COALESCE(list_max(fit), sizes[1]) END AS phys_mm FROM (SELECT *, material = 'pearl' AND COALESCE(len(fit), 0) = 0 AND COALESCE(len(white), 0) > 0 AS swap FROM fitted)"""
 
 
-def _regions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    beads, around = _surrounded(spark, sf)
-    return (beads, *fill.regions(beads, around.where("dense"), KEY, _smallest(), SPARSE))
-
-
 @query("stones", "beads", "catalog", sql=_REGIONS)
 def fill_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Regions of dense beads: what speaks for filling them, and the size of stone that does."""
     code = F.col("code_id")
     material = F.when(F.col("kind") == "pearl", "pearl").when(code % 9 == 0, "gold").when(code % 4 == 0, "white").otherwise("color")
     sizes = T.catalog(spark, sf).where("shape = 'round'").select(material.alias("material"), "phys_mm").distinct().groupBy("material").agg(F.array_sort(F.collect_list("phys_mm")).alias("sizes"))
-    rows = fill.filling(_regions(spark, sf)[2], sizes, SPARSE)
+    rows = fill.filling(filled.regions(_beads(spark, sf), KEY, _smallest(), SPARSE), sizes, SPARSE)
     return rows.select("design_id", "region", "material", "with", "beads", "drawn_mm", "lab_l", "lab_a", "lab_b", *(rounded(F.col(c), 6).alias(c) for c in ("inner", "cv", "frag", "sub")), "verdict", rounded(F.col("pitch_mm"), 6).alias("pitch_mm"), "phys_mm")
 
 
