@@ -51,15 +51,10 @@ surrounded AS MATERIALIZED (SELECT design_id, stone_id, n, two_d, cv, frag, sub,
 """
 
 
-def _surrounded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    beads = S.stored(_beads(spark, sf), "beads")
-    return beads, S.stored(fill.surroundings(beads, KEY, _smallest(), SPARSE), "surroundings")
-
-
 @query("stones", "beads", sql=_AROUND + f"SELECT design_id, stone_id, n, two_d, cv, {half_up('frag', 6)} AS frag, {half_up('sub', 6)} AS sub, cover, dense FROM surrounded")
 def fill_signs(spark: SparkSession, sf: str) -> DataFrame:
     """What lies around each small round bead: neighbours of its kind, their spread, the area under beads."""
-    rows = _surrounded(spark, sf)[1]
+    rows = filled.surroundings(_beads(spark, sf), KEY, _smallest(), SPARSE)
     return rows.select("design_id", "stone_id", "n", "two_d", "cv", rounded(F.col("frag"), 6).alias("frag"), rounded(F.col("sub"), 6).alias("sub"), "cover", "dense")
 
 

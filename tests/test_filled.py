@@ -76,7 +76,7 @@ def test_grown(spark, strewn, monkeypatch):
     assert len(got) > 5
 
 
-@pytest.mark.parametrize("name", ["fill_regions", "grown_regions"])
+@pytest.mark.parametrize("name", ["fill_signs", "fill_regions", "grown_regions"])
 def test_queries_deal_designs_out_once(spark, monkeypatch, name):
     for step in ("within", "components", "cover", "grow"):
         monkeypatch.setattr(fill, step, no_joins)
