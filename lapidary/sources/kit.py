@@ -1,12 +1,14 @@
 """Symbol maps as SVG text: a writer, a strict reader with a fault for each broken rule, and layers by the mark before.
 
 A stone is a group with two ellipses, followed by its symbol as text; stones follow the mark of their layer. A file's tags
-are found once, in its own row; after that a tag is a row, and what belongs together is told by place.
+are found once, where the file is, and what belongs together is told by place; a stone is a row, whose rules are columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapidary.sources import markup
@@ -36,17 +38,37 @@ def file_text(stones: Column) -> Column:
     return F.concat(F.lit(f'<svg xmlns="http://www.w3.org/2000/svg" width="300mm" viewBox="0 0 {CANVAS_PX} {CANVAS_PX}">\n'), stones, F.lit("</svg>\n"))
 
 
-def _marked(files: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Tags that may be layers' marks or marked ellipses: keys, place, mark (a layer, or null), stone (is one), attribute lists, and the tags before and behind.
+#: What is read of a marked ellipse: columns and attributes.
+_OWN = {"id": "position-id", "symbol": "symbol", "code": "stone-code", "group": "group", "_shape": "shape", "x": "center-x-source-px", "y": "center-y-source-px", "d_mm": "width-mm", "_height": "height-mm"}
+_READ = ["place", "layer", *_OWN, "_rx", "_in_group", "_transform", "_has_text", "_text_id", "_said"]
+_NAMES = [f"data-{a}" for a in _OWN.values()]
+_TYPES = {"place": "int", "_in_group": "boolean", "_has_text": "boolean"}
 
-    What stands around a tag is taken from the file's list of tags, so no other tag becomes a row.
-    """
-    all_ = files.select(*keys, F.regexp_extract_all(F.col(text), F.lit(markup.TAG), F.lit(0)).alias("_all"))
-    near = F.transform("_all", lambda t, i: F.struct(i.alias("place"), t.alias("tag"), F.get("_all", i - 1).alias("before"), F.get("_all", i + 3).alias("behind")))
-    near = F.filter(near, lambda s: F.contains(s["tag"], F.lit("data-layer")) | (F.startswith(s["tag"], F.lit("<ellipse")) & F.contains(s["tag"], F.lit("data-position-id"))))
-    rows = all_.select(*keys, F.explode(near).alias("_s")).select(*keys, "_s.place", *(markup.parts(f"_s.{c}").alias(n) for c, n in (("tag", "_own"), ("before", "_group"), ("behind", "_text"))))
-    rows = rows.select(*keys, "place", "_own.*", "_group", "_text")
-    return rows.withColumns({"mark": markup.attribute("data-layer"), "stone": (F.col("name") == "ellipse") & markup.attribute("data-position-id").isNotNull()})
+
+def _is(tag: str | None, name: str) -> bool:
+    """Whether it is there and opens an element of that name."""
+    return tag is not None and tag.startswith(f"<{name}") and markup.tag_name(tag) == name
+
+
+def _stones(text: str) -> Iterator[tuple]:
+    """The marked ellipses of a file, in order: place, layer by the last mark, attributes, and the tags before and behind."""
+    tags, layer = markup.tag_list(text), None
+    for place, tag in enumerate(tags):
+        ellipse = tag.startswith("<ellipse") and "data-position-id" in tag
+        if ellipse or "data-layer" in tag:
+            own = markup.attribute_map(tag)
+            layer = own.get("data-layer", layer)
+            if ellipse and "data-position-id" in own and _is(tag, "ellipse"):
+                yield place, layer, own, tags[place - 1] if place else None, tags[place + 3] if place + 3 < len(tags) else None
+
+
+def _row(place: int, layer: str | None, own: dict[str, str], group: str | None, text: str | None) -> tuple:
+    """The values of ``_READ``, numbers as they are written."""
+    behind = {} if text is None else markup.attribute_map(text)
+    return (
+        place, layer, *map(own.get, _NAMES), own.get("rx"), _is(group, "g"), None if group is None else markup.attribute_map(group).get("transform"),
+        _is(text, "text"), behind.get("data-position-id"), None if text is None else text.rpartition(">")[2],
+    )
 
 
 def read(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
@@ -55,14 +77,9 @@ def read(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
     A stone is known by its marked ellipse; the tags around it are read by their place. ``layer`` is that of the last mark
     before the stone. ``faults`` are all rules that a stone breaks, or null; ``fault`` is the first of them by name.
     """
-    own = lambda name: markup.attribute(name)
-    number = lambda c: c.try_cast("double")
-    rows = _marked(files, keys, text).select(
-        *keys, "place", "mark", "stone", own("data-position-id").alias("id"), own("data-symbol").alias("symbol"), own("data-stone-code").alias("code"), own("data-group").alias("group"), own("data-shape").alias("_shape"),
-        *(number(own(f"data-{a}")).alias(c) for a, c in (("center-x-source-px", "x"), ("center-y-source-px", "y"), ("width-mm", "d_mm"), ("height-mm", "_height"))), number(own("rx")).alias("_rx"),
-        markup.parse_transform(markup.attribute("transform", "_group")).alias("_m"), (F.coalesce(F.col("_group.opens") & (F.col("_group.name") == "g"), F.lit(False))).alias("_in_group"),
-        (F.coalesce(F.col("_text.opens") & (F.col("_text.name") == "text"), F.lit(False))).alias("_has_text"), markup.attribute("data-position-id", "_text").alias("_text_id"), F.col("_text.after").alias("_said"),
-    )
+    number = lambda c: F.col(c).try_cast("double").alias(c)
+    rows = markup.file_rows(files, keys, text, lambda svg: (_row(*stone) for stone in _stones(svg)), ", ".join(f"{c} {_TYPES.get(c, 'string')}" for c in _READ))
+    rows = rows.select(*keys, "place", "layer", "id", "symbol", "code", "group", "_shape", *map(number, ("x", "y", "d_mm", "_height", "_rx")), markup.parse_transform(F.col("_transform")).alias("_m"), "_in_group", "_has_text", "_text_id", "_said")
     off = lambda a, b, most: F.coalesce(F.abs(a - b) > most, F.lit(True))
     scale = F.hypot(F.get("_m", F.lit(0)), F.get("_m", F.lit(1)))
     rules = {
@@ -75,11 +92,7 @@ def read(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
     }
     broken = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
     rows = rows.withColumn("faults", broken).withColumn("faults", F.when(F.size("faults") > 0, F.col("faults")))
-    rows = rows.select(*keys, "place", "mark", "stone", "id", "symbol", "code", "x", "y", "d_mm", "group", size_of_group(F.col("group")).alias("size_mm"), F.get("faults", F.lit(0)).alias("fault"), "faults")
-    # sorted by place are what was read, not texts
-    before = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("layer", F.last("mark", ignorenulls=True).over(before)).where("stone")
-    return rows.select(*keys, "place", "layer", "id", "symbol", "code", "x", "y", "d_mm", "group", "size_mm", "fault", "faults")
+    return rows.select(*keys, "place", "layer", "id", "symbol", "code", "x", "y", "d_mm", "group", size_of_group(F.col("group")).alias("size_mm"), F.get("faults", F.lit(0)).alias("fault"), "faults")
 
 
 def size_of_group(group: Column) -> Column:
@@ -91,8 +104,7 @@ def size_of_group(group: Column) -> Column:
 
 def file_faults(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
     """Files with another canvas, or with a marked ellipse that has no group before it or no text behind: keys, fault."""
-    canvas = files.where(~F.col(text).contains(f'viewBox="0 0 {CANVAS_PX} {CANVAS_PX}"')).select(*keys, F.lit("canvas").alias("fault"))
-    # an aggregate, since a filter would be pushed down and read each stone again
-    alone = read(files, keys, text).groupBy(*keys).agg(F.bool_or(F.arrays_overlap("faults", F.array(F.lit("no_group"), F.lit("no_text")))).alias("_alone"))
-    alone = alone.where("_alone").select(*keys, F.lit("unread_stones").alias("fault"))
-    return canvas.unionByName(alone).groupBy(*keys).agg(F.min("fault").alias("fault"))
+    # a file is read once, for both
+    seen = lambda svg: [(f'viewBox="0 0 {CANVAS_PX} {CANVAS_PX}"' not in svg, not all(_is(group, "g") and _is(behind, "text") for *_, group, behind in _stones(svg)))]
+    rows = markup.file_rows(files, keys, text, seen, "_canvas boolean, _alone boolean")
+    return rows.where("_canvas or _alone").groupBy(*keys).agg(F.min(F.when(F.col("_canvas"), "canvas").otherwise("unread_stones")).alias("fault"))

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from lapidary.functions.numeric import rounded
 from lapidary.operators.spatial import stored
 
+#: Files whose rows are written at once.
+_FILES = 64
+
 
 def escape(text: Column) -> Column:
     for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -88,6 +97,61 @@ def parse_transform(text: Column) -> Column:
 
 
 TAG = r"</?[A-Za-z][^<>]*>[^<]*"
+_TAG, _NAME = re.compile(TAG), re.compile(r"</?([\w:-]+)", re.ASCII)
+_ATTRIBUTE, _GAP = re.compile(r'([\w:-]+)\s*=\s*"([^"]*)"', re.ASCII), re.compile(r"([\w:-]+)\s*=\s*\Z", re.ASCII)
+
+
+def tag_list(text: str) -> list[str]:
+    """All tags of a text, each with the text behind it."""
+    return _TAG.findall(text)
+
+
+def tag_name(tag: str) -> str:
+    return _NAME.match(tag)[1]
+
+
+class _Gaps(dict):
+    """What stands between a value and the next one's quotes -> that one's name, or None; files have few of them."""
+
+    def __missing__(self, gap: str) -> str | None:
+        if len(self) > 4096:
+            self.clear()
+        found = _GAP.search(gap)
+        self[gap] = found and found[1]
+        return self[gap]
+
+
+_GAPS = _Gaps()
+
+
+def attribute_map(tag: str) -> dict[str, str]:
+    """The attributes of a tag, the first of each name; a closing tag has none."""
+    if tag.startswith("</"):
+        return {}
+    inside = tag.partition(">")[0]
+    parts = inside.split('"')
+    names = [_GAPS[gap] for gap in parts[:-1:2]]
+    if len(parts) % 2 == 0 or None in names:
+        # quotes that open no value
+        return dict(reversed(_ATTRIBUTE.findall(inside)))
+    return dict(zip(names[::-1], parts[-2::-2]))
+
+
+def file_rows(files: DataFrame, keys: list[str], text: str, rows: Callable[[str], Iterable[tuple]], columns: str) -> DataFrame:
+    """(keys, ``columns``): what ``rows`` reads from each text, in its order; from no text nothing."""
+    schema = StructType([f for f in files.select(*keys).schema] + StructType.fromDDL(columns).fields)
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), _FILES):
+                part = batch.slice(start, _FILES)
+                found = [(at, *row) for at, svg in enumerate(part.column(len(keys)).to_pylist()) if svg is not None for row in rows(svg)]
+                if found:
+                    at, *values = zip(*found)
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(at)).cast(types.field(k).type) for k in range(len(keys))), *(pa.array(v, f.type) for v, f in zip(values, list(types)[len(keys):]))], schema=types)
+
+    return files.select(*keys, text).mapInArrow(run, schema)
 
 
 def lists(tag: str, ends: Column) -> list[Column]:
