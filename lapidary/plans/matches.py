@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lapidary.functions import beads as B
 from lapidary.functions import color
 from lapidary.functions.numeric import half_up, rounded
+from lapidary.operators import images
 from lapidary.operators import matching as M
 from lapidary.operators import spatial as S
 from lapidary.plans.distances import lab_catalog
@@ -153,8 +154,10 @@ _IMAGE_SQL = f"""SELECT a.design_id, a.stone_id AS me, b.stone_id AS you, a.axis
 def _twinned(spark: SparkSession, sf: str) -> DataFrame:
     """The left part of each design and a copy of nine in ten of its stones, mirrored about an axis that moves with the height."""
     left = T.beads(spark, sf).where("x_mm < 145").select("design_id", "stone_id", "x_mm", "y_mm", *_BEAD)
-    copies = left.where("stone_id % 10 <> 0").select("design_id", (F.col("stone_id") + 1000000).alias("stone_id"), *(F.expr(x).alias(c) for c, x in _TWINNED.items()), *_BEAD)
-    return left.unionByName(copies)
+    # a stone and its copy in one pass, since each read of the stones would number them anew
+    own = F.struct("stone_id", "x_mm", "y_mm", *_BEAD)
+    copy = F.struct((F.col("stone_id") + 1000000).alias("stone_id"), *(F.expr(x).alias(c) for c, x in _TWINNED.items()), *_BEAD)
+    return left.select("design_id", F.explode(F.when(F.col("stone_id") % 10 != 0, F.array(own, copy)).otherwise(F.array(own))).alias("_i")).select("design_id", "_i.*")
 
 
 @query("stones", "beads", sql=f""", own AS MATERIALIZED (SELECT design_id, stone_id, x_mm, y_mm, {', '.join(_BEAD)} FROM beads WHERE x_mm < 145),
@@ -171,9 +174,7 @@ there AS ({_IMAGE_SQL.format('placed', 'a.x_mm < a.axis - CAST(0.5 AS DOUBLE) AN
 SELECT t.design_id, t.me AS a, t.you AS b, {half_up('t.off', 2)} AS off_mm, {half_up('t.axis', 2)} AS axis FROM there t JOIN back r ON r.design_id = t.design_id AND r.me = t.you AND r.you = t.me""")
 def twin_stones(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of stones that are each other's image about an axis found by height, with how far they are off."""
-    items = S.stored(_twinned(spark, sf), "items")
-    axes = M.local_axes(M.axis_votes(items, KEY, T.CANVAS / 2), KEY, T.CANVAS / 2)
-    pairs = M.twins(items, axes, KEY, 12.0)
+    pairs = images.twins(S.stored(_twinned(spark, sf), "items"), KEY, T.CANVAS / 2, 12.0)
     return pairs.select("design_id", "a", "b", rounded(F.col("off"), 2).alias("off_mm"), rounded(F.col("axis"), 2).alias("axis"))
 
 
