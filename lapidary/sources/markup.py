@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from lapidary.functions.numeric import rounded
-from lapidary.operators.spatial import stored
 
 #: Files whose rows are written at once.
 _FILES = 64
@@ -154,81 +155,90 @@ def file_rows(files: DataFrame, keys: list[str], text: str, rows: Callable[[str]
     return files.select(*keys, text).mapInArrow(run, schema)
 
 
-def lists(tag: str, ends: Column) -> list[Column]:
-    """Names and values of the attributes of what stands between a tag's brackets; closing tags have none."""
-    listed = lambda group: F.when(ends, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(tag, F.lit(r'([\w:-]+)\s*=\s*"([^"]*)"'), F.lit(group)))
-    return [listed(1).alias("names"), listed(2).alias("values")]
+def composed(m: Column, n: Column) -> Column:
+    """The matrix (a..f) that applies n, then m."""
+    return F.array(
+        m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3],
+        m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5],
+    )
 
 
-def parts(tag: str) -> Column:
-    """A tag's text as a struct, null for none: name, opens, closes (both: it closes itself), names and values of its attributes, the text behind."""
-    inside = F.substring_index(tag, ">", 1)
-    ends = F.startswith(F.col(tag), F.lit("</"))
-    listed = lambda group: F.when(ends, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(inside, F.lit(r'([\w:-]+)\s*=\s*"([^"]*)"'), F.lit(group)))
-    read = F.struct(
-        F.regexp_extract(tag, r"^</?([\w:-]+)", 1).alias("name"), (~ends).alias("opens"), (ends | F.endswith(inside, F.lit("/"))).alias("closes"),
-        listed(1).alias("names"), listed(2).alias("values"), F.substring_index(tag, ">", -1).alias("after"),
-    )
-    return F.when(F.col(tag).isNotNull(), read)
+_GROUP, _CALL = re.compile(r"</?g(?![\w:-])", re.ASCII), re.compile(r"(?:translate|scale|rotate|matrix)\s*\([^)]*\)", re.ASCII)
+_VALUE = re.compile(r"-?[0-9.]+(?:[eE][-+]?\d+)?", re.ASCII)
+_ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def tags(files: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """One row a tag: keys, place and its ``parts``."""
-    found = F.regexp_extract_all(F.col(text), F.lit(TAG), F.lit(0))
-    return files.select(*keys, F.posexplode(found).alias("place", "_tag")).select(*keys, "place", parts("_tag").alias("_p")).select(*keys, "place", "_p.*")
+def _value(text: str) -> float:
+    try:
+        return float(text)
+    except ValueError:
+        return math.nan
 
 
-def attribute(name: str, tag: str | None = None) -> Column:
-    """The value of an attribute of a row of ``tags``, or of a struct with its lists; null where it has none."""
-    of = lambda c: F.col(f"{tag}.{c}" if tag else c)
-    return F.get(of("values"), F.array_position(of("names"), name).cast("int") - 1)
+def _matrix(call: str) -> tuple[float, ...]:
+    v = [_value(x) for x in _VALUE.findall(call)]
+    if call.startswith("matrix"):
+        return tuple(v[:6]) + (math.nan,) * (6 - len(v))
+    at = lambda i, other=0.0: v[i] if i < len(v) and v[i] == v[i] else other
+    if call.startswith("translate"):
+        return (1.0, 0.0, 0.0, 1.0, at(0), at(1))
+    if call.startswith("scale"):
+        return (at(0), 0.0, 0.0, at(1, at(0)), 0.0, 0.0)
+    turn, x, y = math.radians(at(0)), at(1), at(2)
+    c, s = math.cos(turn), math.sin(turn)
+    return (c, s, -s, c, x - c * x + s * y, y - s * x - c * y)
 
 
-def composed(m: Column, n: Column) -> Column:
-    """The matrix (a..f) that applies n, then m."""
-    return F.array(
-        m[0] * n[0] + m[2] * n[1], m[1] * n[0] + m[3] * n[1], m[0] * n[2] + m[2] * n[3], m[1] * n[2] + m[3] * n[3],
-        m[0] * n[4] + m[2] * n[5] + m[4], m[1] * n[4] + m[3] * n[5] + m[5],
-    )
+def _product(m: tuple[float, ...], n: tuple[float, ...]) -> tuple[float, ...]:
+    """As ``composed``."""
+    a, b, c, d, e, f = m
+    g, h, i, j, k, l = n  # noqa: E741
+    return (a * g + c * h, b * g + d * h, a * i + c * j, b * i + d * j, a * k + c * l + e, b * k + d * l + f)
+
+
+def transform_matrix(text: str | None) -> tuple[float, ...]:
+    """As ``parse_transform``; what is missing in a matrix is no number."""
+    calls = _CALL.findall(text) if text else ()
+    return reduce(_product, map(_matrix, calls)) if calls else _ONE
 
 
-def groups(files: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The groups of each file: keys, place, level, layer, m (matrix to the canvas), names, values, broken.
+def groups(text: str) -> list[tuple]:
+    """The groups of a file, in order: place, level, layer, matrix to the canvas, attributes.
 
-    A group's level is a running sum over opening and closing tags. Its parent is the last group that opened one level
-    above: children and possible parents, which are few, are put in one window by level. Matrices and layers go down by
-    doubling over the groups that hold others: each round a group takes what its ancestor has and that one's ancestor, so
-    that the rounds are the logarithm of the depth; all others take theirs from their parent in one join. What is sorted is
-    a group's text; its attributes are read behind that. The layer is that of the outermost group that names one.
-    ``broken``: a file whose groups do not close as they open.
+    A group's level is a running sum over opening and closing tags. Its parent is the last group that opened one level above
+    and is not closed at once; from it come matrix and layer. The layer is that of the outermost group that names one. Ends
+    with a row of None and whether groups do not close as they open.
     """
-    rows = files.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TAG), F.lit(0))).alias("place", "_tag")).withColumn("_in", F.substring_index("_tag", ">", 1)).drop("_tag")
-    ends = F.startswith("_in", F.lit("</"))
-    marks = rows.where(F.rlike("_in", F.lit(r"^</?g(?![\w:-])"))).select(*keys, "place", (~ends).alias("opens"), (ends | F.endswith("_in", F.lit("/"))).alias("closes"), F.when(~ends, F.col("_in")).alias("_in"))
-    own = Window.partitionBy(*keys).orderBy("place")
-    step = F.col("opens").cast("int") - F.col("closes").cast("int")
-    # a group that closes itself holds nothing, and stands a level below what is open
-    level = F.sum(step).over(own) + (F.col("opens") & F.col("closes")).cast("int")
-    rows = marks.withColumns({"level": level, "_open": F.sum(step).over(own), "_holds": ~F.col("closes") & F.lead("opens").over(own)})
-    file = Window.partitionBy(*keys)
-    broken = (F.min("_open").over(file) < 0) | (F.sum(step).over(file) != 0)
-    rows = rows.withColumn("broken", broken).where("opens").withColumn("_holds", F.coalesce("_holds", F.lit(False))).drop("opens", "closes", "_open")
-    roles = F.when(F.col("_holds"), F.array(F.struct(F.col("level").alias("at"), F.lit(True).alias("child")), F.struct((F.col("level") + 1).alias("at"), F.lit(False).alias("child")))).otherwise(F.array(F.struct(F.col("level").alias("at"), F.lit(True).alias("child"))))
-    met = rows.withColumn("_r", F.explode(roles))
-    before = Window.partitionBy(*keys, "_r.at").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    met = met.withColumn("up", F.last(F.when(~F.col("_r.child"), F.col("place")), ignorenulls=True).over(before)).where("_r.child").drop("_r")
-    # written with its attributes read: what stands behind a filter that is pushed down would be read again for it
-    met = met.select("*", *lists("_in", F.lit(False))).drop("_in")
-    met = stored(met.withColumns({"m": parse_transform(attribute("transform")), "layer": unescape(attribute("data-layer"))}), "groups")
-
-    def above(holders: DataFrame) -> DataFrame:
-        return holders.select(*keys, F.col("place").alias("up"), F.col("up").alias("_up"), F.col("m").alias("_m"), F.col("layer").alias("_layer"))
-
-    down = {"m": F.when(F.col("_m").isNull(), F.col("m")).otherwise(composed(F.col("_m"), F.col("m"))), "layer": F.coalesce("_layer", "layer"), "up": F.col("_up")}
-    known = stored(met.where("_holds").select(*keys, "place", "up", "m", "layer"), "holders")
-    while not known.where("up is not null").isEmpty():
-        known = stored(known.join(above(known), [*keys, "up"], "left").withColumns(down).drop("_up", "_m", "_layer"), "holders")
-    return met.join(above(known), [*keys, "up"], "left").withColumns(down).drop("up", "_up", "_m", "_layer", "_holds")
+    marks = [(place, tag.partition(">")[0]) for place, tag in enumerate(tag_list(text)) if _GROUP.match(tag)]
+    found, above, open_, broken = [], {}, 0, False
+    for n, (place, inside) in enumerate(marks):
+        if inside.startswith("</"):
+            open_ -= 1
+            broken |= open_ < 0
+            continue
+        alone = inside.endswith("/")
+        # a group that closes itself holds nothing, and stands a level below what is open
+        level, own = open_ + 1, attribute_map(inside)
+        open_ += not alone
+        m, layer = transform_matrix(own.get("transform")), own.get("data-layer")
+        if level in above:
+            up, outer = above[level]
+            m, layer = _product(up, m), layer if outer is None else outer
+        found.append((place, level, layer, m, own))
+        if not alone and n + 1 < len(marks) and not marks[n + 1][1].startswith("</"):
+            above[level + 1] = m, layer
+    return [*found, (None, None, None, None, broken or open_ != 0)]
+
+
+_STONE = {"id": "id", "code": "code", "shape": "shape", "phys_mm": "phys", "ref_mm": "ref", "locked": "locked", "source": "source"}
+
+
+def _stones(text: str) -> Iterator[tuple]:
+    """The groups with data-id: place, level, layer, four values of the matrix, attributes, whether the file is broken."""
+    *found, (*_, broken) = groups(text)
+    for place, level, layer, m, own in found:
+        if "data-id" in own:
+            yield place, level, layer, *(None if v != v else v for v in (m[0], m[1], m[4], m[5])), *(own.get(f"data-{a}") for a in _STONE.values()), broken
 
 
 def read_groups(files: DataFrame, keys: list[str], text: str = "svg") -> DataFrame:
@@ -237,15 +247,15 @@ def read_groups(files: DataFrame, keys: list[str], text: str = "svg") -> DataFra
     keys, place, level, layer, id, code, shape, x_mm, y_mm, rot_deg, phys_mm, ref_mm, locked, source, fault (outside_layer,
     broken_file, or null). Numbers are to a millionth.
     """
-    rows = groups(files, keys, text).withColumn("id", unescape(attribute("data-id"))).where("id is not null")
-    get = lambda name: unescape(attribute(name))
-    m = lambda i: F.col("m")[i]
+    columns = ["place int", "level long", "layer string", "_a double", "_b double", "_e double", "_f double", *(f"{c} string" for c in _STONE), "_broken boolean"]
+    rows = file_rows(files, keys, text, _stones, ", ".join(columns))
+    get = lambda name: unescape(F.col(name))
     # the layer's own mark is on its group; a stone that names one says so itself
     return rows.select(
-        *keys, "place", "level", "layer", "id", get("data-code").alias("code"), F.coalesce(get("data-shape"), F.lit("round")).alias("shape"),
-        rounded(m(4), 6).alias("x_mm"), rounded(m(5), 6).alias("y_mm"), rounded(F.degrees(F.atan2(m(1), m(0))), 6).alias("rot_deg"),
-        get("data-phys").try_cast("double").alias("phys_mm"), get("data-ref").try_cast("double").alias("ref_mm"), F.coalesce(get("data-locked") == "true", F.lit(False)).alias("locked"), F.coalesce(get("data-source"), F.lit("")).alias("source"),
-        F.when(F.col("broken"), "broken_file").when(F.col("layer").isNull(), "outside_layer").alias("fault"),
+        *keys, "place", "level", get("layer").alias("layer"), get("id").alias("id"), get("code").alias("code"), F.coalesce(get("shape"), F.lit("round")).alias("shape"),
+        rounded(F.col("_e"), 6).alias("x_mm"), rounded(F.col("_f"), 6).alias("y_mm"), rounded(F.degrees(F.atan2("_b", "_a")), 6).alias("rot_deg"),
+        get("phys_mm").try_cast("double").alias("phys_mm"), get("ref_mm").try_cast("double").alias("ref_mm"), F.coalesce(get("locked") == "true", F.lit(False)).alias("locked"), F.coalesce(get("source"), F.lit("")).alias("source"),
+        F.when(F.col("_broken"), "broken_file").when(F.col("layer").isNull(), "outside_layer").alias("fault"),
     )
 
 

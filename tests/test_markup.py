@@ -3,6 +3,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from lapidary.plans import imports
 from lapidary.sources import kit, markup
 
@@ -41,3 +44,21 @@ def test_many_files_in_one_batch(spark):
     got = {(r["f"], r["id"], r["layer"]) for r in kit.read(files, ["f"]).collect()}
     assert got == {(i, str(i), "bg" if i % 2 else "pet") for i in range(200) if i % 3}
     assert {r["f"] for r in kit.file_faults(files, ["f"]).where("fault = 'unread_stones'").collect()} == {i for i in range(200) if i % 3}
+
+
+def test_transforms_are_the_column(spark):
+    texts = ["", "translate(1 2) rotate(30)", "rotate(-45.5 3,4) scale(2)", "scale(1.5 -2)translate(5)", "matrix(1 2 3 4 5 6) matrix(.5 0 0 -.5 1e2 -3E-1)", "skewX(3) translate (7,8)", "rotate(.)", "scale()"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", markup.parse_transform(F.col("t")).alias("m")).orderBy("i").collect()
+    for row, text in zip(found, [*texts, None]):
+        assert markup.transform_matrix(text) == pytest.approx(row["m"], abs=1e-12), text
+
+
+def test_groups_of_odd_files(spark):
+    pages = {1: '<g data-layer="a"><g data-id="x"/></g></g><g data-id="y"></g>', 2: '<g data-layer="&lt;"><gg data-id="n"/><g transform="matrix(1 2)"><g data-id="z"></g></g></g>', 3: '<g/><g data-id="w" data-phys="2"/>', 4: "<svg/>", 5: None}
+    files = spark.createDataFrame(list(pages.items()), "f long, svg string")
+    got = [(r["f"], r["id"], r["level"], r["layer"], r["x_mm"], r["fault"]) for r in markup.read_groups(files, ["f"]).orderBy("f", "place").collect()]
+    assert got == [(1, "x", 2, "a", 0.0, "broken_file"), (1, "y", 0, None, 0.0, "broken_file"), (2, "z", 3, "<", None, None), (3, "w", 1, None, 0.0, "outside_layer")]
+
+
+def test_nested_svg_sorts_no_groups(spark):
+    assert len(re.findall(r"\bWindow \[", plan("nested_svg", spark))) == 1
