@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from lapidary.operators import matching
-from lapidary.operators.passes import by_group
+from lapidary.operators.passes import between, by_group
 from lapidary.operators.spatial import stored
 
-_BLOCK, _VOTES = 512, 65536
+_VOTES = 65536
 _NUMBERS = ["x_mm", "y_mm", "d_mm", "lab_l", "lab_a", "lab_b"]
 # the values that ``matching`` gives its steps unless told otherwise
 ROW, SPAN, VOTER, RATIO, DIFFER = 1.2, 30.0, 3.0, 1.25, 15.0
@@ -24,16 +24,6 @@ STEP, BAND, BIN, LEAST_VOTES, SIGMA, FILL = 2.0, 15.0, 0.5, 2.0, 6.0, 10.0
 LEAST, ASIDE, IMAGE_RATIO, IMAGE_DIFFER = 4.5, 0.5, 1.8, 30.0
 
 
-def _between(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs p, q where the ascending v[q] lies from low[p] to high[p], in blocks of p."""
-    first, end = np.searchsorted(v, low, side="left"), np.searchsorted(v, high, side="right")
-    for start in range(0, len(low), _BLOCK):
-        rows = np.arange(start, min(start + _BLOCK, len(low)))
-        many = np.maximum(end[rows] - first[rows], 0)
-        p = np.repeat(rows, many)
-        yield p, first[p] + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)
-
-
 def _joined(parts: list[tuple], *kinds: type) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(tuple(np.empty(0, k) for k in kinds), *parts))
 
@@ -56,7 +46,7 @@ def _votes(t: _Items, prior: float) -> tuple[np.ndarray, np.ndarray]:
     seen = np.flatnonzero(t.d >= VOTER)
     seen = seen[np.lexsort((t.item[seen], t.y[seen]))]
     y, found = t.y[seen], []
-    for p, q in _between(y, y, y + (ROW + 1e-6)):
+    for p, q in between(y, y, y + (ROW + 1e-6)):
         p, q = seen[p[p < q]], seen[q[p < q]]
         mid = (t.x[p] + t.x[q]) / 2
         met = (t.y[q] - t.y[p] <= ROW) & (np.abs(mid - prior) <= SPAN) & (np.abs(t.x[p] - t.x[q]) >= t.d[p])
@@ -118,7 +108,7 @@ def _images(t: _Items, big: np.ndarray, rows: np.ndarray, axis: np.ndarray, side
     """Of the items ``rows`` with their axes the nearest image each among ``big``: place -> its place, how far off."""
     by = big[np.argsort(t.x[big], kind="stable")]
     x, xs, found = 2 * axis - t.x[rows], t.x[by], []
-    for p, q in _between(xs, x - (reach + 1e-6), x + (reach + 1e-6)):
+    for p, q in between(xs, x - (reach + 1e-6), x + (reach + 1e-6)):
         me, you = rows[p], by[q]
         dx, dy = x[p] - t.x[you], t.y[me] - t.y[you]
         off = np.sqrt(dx * dx + dy * dy)

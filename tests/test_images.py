@@ -41,7 +41,7 @@ def test_twins(items, monkeypatch):
         assert rows(images.twins(items, ["g"], 150.0, 7.0)) == want and len(want) > 40
         assert images.twins(items.limit(0), ["g"], 150.0, 7.0).count() == 0
     for block in (1, 7):
-        monkeypatch.setattr(images, "_BLOCK", block)
+        monkeypatch.setattr(passes, "_BLOCK", block)
         monkeypatch.setattr(images, "_VOTES", block)
         monkeypatch.setattr(passes, "MOST", 60)
         assert rows(images.twins(items, ["g"], 150.0, 7.0)) == want
