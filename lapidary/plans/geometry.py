@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lapidary.functions import beads as B
 from lapidary.functions import color
 from lapidary.functions.numeric import half_up, quantile_outer, rounded, sorted_values
+from lapidary.operators import passes
 from lapidary.operators import spatial as S
 from lapidary.operators.shaped import shaped_pairs
 from lapidary.plans.distances import _DE, _PAIRS, _TOUCH, _touch_colors
@@ -119,6 +120,10 @@ owned AS MATERIALIZED (SELECT design_id, x, y, stone_id FROM (SELECT *, ROW_NUMB
 """
 
 
+#: Width of a cell, what a stone owns beyond its edge, the largest stone, cells along a side.
+_CELLS = (4.0, 3.0, 10.0, 75)
+
+
 def owners(stones: DataFrame, cell: float, spare: float, most: float, cells: int) -> DataFrame:
     """(design_id, x, y, stone_id): the stone whose edge is nearest to each cell's middle, at most ``spare`` beyond it."""
     around = F.sequence(F.lit(-math.ceil((most / 2 + spare) / cell)), F.lit(math.ceil((most / 2 + spare) / cell)))
@@ -129,7 +134,7 @@ def owners(stones: DataFrame, cell: float, spare: float, most: float, cells: int
 
 
 def _owned(spark: SparkSession, sf: str) -> DataFrame:
-    return owners(T.stones(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), 4.0, 3.0, 10.0, 75)
+    return owners(T.stones(spark, sf).select("design_id", "stone_id", "x_mm", "y_mm", "phys_mm"), *_CELLS)
 
 
 @query("stones", sql=_OWNER_SQL + "SELECT design_id, stone_id, COUNT(*) AS cells FROM owned GROUP BY ALL")
@@ -138,23 +143,30 @@ def cell_owners(spark: SparkSession, sf: str) -> DataFrame:
     return _owned(spark, sf).groupBy("design_id", "stone_id").agg(F.count("*").alias("cells"))
 
 
-@query("stones", sql=_OWNER_SQL + """, sides AS (SELECT a.design_id, a.stone_id AS p, b.stone_id AS q FROM owned a JOIN owned b ON a.design_id = b.design_id AND b.x = a.x + 1 AND b.y = a.y WHERE a.stone_id <> b.stone_id
-  UNION ALL SELECT a.design_id, a.stone_id, b.stone_id FROM owned a JOIN owned b ON a.design_id = b.design_id AND b.x = a.x AND b.y = a.y + 1 WHERE a.stone_id <> b.stone_id)
-SELECT DISTINCT design_id, LEAST(p, q) AS a, GREATEST(p, q) AS b FROM sides JOIN (SELECT design_id, stone_id AS p, x_mm AS px, y_mm AS py, phys_mm AS pp FROM stones) USING (design_id, p) JOIN (SELECT design_id, stone_id AS q, x_mm AS qx, y_mm AS qy, phys_mm AS pq FROM stones) USING (design_id, q)
-WHERE SQRT((px - qx) * (px - qx) + (py - qy) * (py - qy)) <= CAST(1.5 AS DOUBLE) * 3 + (pp + pq) / 2 - CAST(2.8 AS DOUBLE)""")
-def adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    """Stones whose cells lie side by side, unless a long way apart."""
-    owned = _owned(spark, sf).withColumn("sides", F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy"))))
+def _adjacent(stones: DataFrame) -> DataFrame:
+    """Designs too large for a task: cells, their owners and sides as tables."""
+    stones = S.stored(stones, "stones")
+    owned = owners(stones, *_CELLS).withColumn("sides", F.array(F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(1).alias("dx"), F.lit(0).alias("dy")), F.struct(F.lit(0).alias("dx"), F.lit(1).alias("dy"))))
+    owned = S.stored(owned, "owned")
     here = owned.select("design_id", "x", "y", F.col("stone_id").alias("p"))
     # a cell shows itself to its left and upper neighbour
     shown = owned.select("design_id", F.explode(F.slice("sides", 2, 2)).alias("s"), "x", "y", F.col("stone_id").alias("q")).select("design_id", (F.col("x") - F.col("s.dx")).alias("x"), (F.col("y") - F.col("s.dy")).alias("y"), "q")
     pairs = here.join(shown, ["design_id", "x", "y"]).where("p <> q").select("design_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    of = lambda c: T.stones(spark, sf).select("design_id", F.col("stone_id").alias(c), F.col("x_mm").alias(f"{c}x"), F.col("y_mm").alias(f"{c}y"), F.col("phys_mm").alias(f"{c}p"))
+    of = lambda c: stones.select("design_id", F.col("stone_id").alias(c), F.col("x_mm").alias(f"{c}x"), F.col("y_mm").alias(f"{c}y"), F.col("phys_mm").alias(f"{c}p"))
     met = pairs.join(of("a"), ["design_id", "a"]).join(of("b"), ["design_id", "b"])
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     return met.where(F.sqrt(dx * dx + dy * dy) <= F.lit(1.5) * 3 + (F.col("ap") + F.col("bp")) / 2 - F.lit(2.8)).select("design_id", "a", "b")
 
 
+@query("stones", sql=_OWNER_SQL + """, sides AS (SELECT a.design_id, a.stone_id AS p, b.stone_id AS q FROM owned a JOIN owned b ON a.design_id = b.design_id AND b.x = a.x + 1 AND b.y = a.y WHERE a.stone_id <> b.stone_id
+  UNION ALL SELECT a.design_id, a.stone_id, b.stone_id FROM owned a JOIN owned b ON a.design_id = b.design_id AND b.x = a.x AND b.y = a.y + 1 WHERE a.stone_id <> b.stone_id)
+SELECT DISTINCT design_id, LEAST(p, q) AS a, GREATEST(p, q) AS b FROM sides JOIN (SELECT design_id, stone_id AS p, x_mm AS px, y_mm AS py, phys_mm AS pp FROM stones) USING (design_id, p) JOIN (SELECT design_id, stone_id AS q, x_mm AS qx, y_mm AS qy, phys_mm AS pq FROM stones) USING (design_id, q)
+WHERE SQRT((px - qx) * (px - qx) + (py - qy) * (py - qy)) <= CAST(1.5 AS DOUBLE) * 3 + (pp + pq) / 2 - CAST(2.8 AS DOUBLE)""")
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    """Stones whose cells lie side by side, unless a long way apart."""
+    return passes.side_by_side(T.stones(spark, sf), KEY, _adjacent, *_CELLS, least=2.8)
+
+
 # Along lines ----------------------------------------------------------------------------------------------------------
 
 _LINE = "line AS (SELECT design_id, CAST(FLOOR(y_mm / 15) AS BIGINT) AS row, x_mm, stone_id, phys_mm, lab_l, lab_a, lab_b, edge FROM beads)"

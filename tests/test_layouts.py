@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapidary.operators import passes, spatial
-from lapidary.plans import distances
+from lapidary.plans import distances, geometry
 
 SF = "/root/testdata/sf0.001"
 KEY = ["design_id"]
@@ -48,3 +48,16 @@ def test_mutual_scores(stones, monkeypatch):
 def test_match_metrics_deals_designs_out_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "within", no_joins)
     assert distances.query.queries["match_metrics"](spark, SF).count() > 0
+
+
+def test_side_by_side(stones, monkeypatch):
+    cells = geometry._CELLS
+    want = rows(geometry._adjacent(stones.dropna(subset=KEY)))
+    assert len(want) > 50 and rows(passes.side_by_side(stones, KEY, no_joins, *cells, least=2.8)) == want
+    monkeypatch.setattr(passes, "MOST", 40)
+    assert rows(passes.side_by_side(stones, KEY, geometry._adjacent, *cells, least=2.8)) == want
+
+
+def test_adjacency_deals_designs_out_once(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "owners", no_joins)
+    assert geometry.query.queries["adjacency"](spark, SF).count() > 0
