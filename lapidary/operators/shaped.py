@@ -13,7 +13,7 @@ from lapidary.functions import shapes
 from lapidary.operators.spatial import close_pairs
 
 COLUMNS = ["shape", "w_mm", "h_mm", "rot_deg"]
-AT_ONCE = 128  # pairs of 64 x 64 distances
+AT_ONCE = 512  # pairs of 64 x 64 edges and points
 
 
 def edge_gaps(pairs: DataFrame) -> DataFrame:
